@@ -53,3 +53,43 @@ FROM sized JOIN targets t ON sized.source IS NOT DISTINCT FROM t.source
 """
 
 ORACLES = {"op7_quality_rules": OP7, "op9_decontamination": OP9, "op10_mixing": OP10}
+
+
+def _code(x: str) -> str:
+    return f"('0x' || substr(md5({x}), 1, 4))::INTEGER"
+
+
+_HOST = r"regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '^www\.', '')"
+_PATH = r"regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1)"
+OP2 = rf"""
+WITH p AS (SELECT page_id, url, DATE '2024-01-01' + {_code('url')} % 365 AS fetched_at, {_HOST} AS h, {_PATH} AS path FROM pages),
+e AS (
+  SELECT h AS pattern, 'block' AS verdict, action, DATE '2024-01-01' + ({_code('h')} % 150 + after)::INTEGER AS since
+  FROM (SELECT DISTINCT h FROM p WHERE h <> '' AND {_code('h')} % 3 = 0), (VALUES ('add', 0), ('remove', 90), ('add', 200)) v(action, after)
+  UNION ALL
+  SELECT DISTINCT h || regexp_extract(path, '^(/[^/]+)', 1), 'allow', 'add', DATE '2024-01-01' FROM p
+  WHERE h <> '' AND regexp_extract(path, '^(/[^/]+)', 1) <> '' AND {_code("h || regexp_extract(path, '^(/[^/]+)', 1)")} % 7 = 0),
+spans AS (SELECT *, lead(since) OVER (PARTITION BY pattern, verdict ORDER BY since) AS valid_to FROM e),
+keys AS (
+  SELECT page_id, fetched_at, array_to_string(string_split(h, '.')[i:], '.') || CASE WHEN j = 0 THEN '' ELSE '/' || array_to_string(parts[1:j], '/') END AS key
+  FROM (SELECT *, unnest(range(0, len(parts) + 1)) AS j FROM (SELECT *, unnest(range(1, len(string_split(h, '.')) + 1)) AS i, list_filter(string_split(path, '/'), x -> x <> '') AS parts FROM p WHERE h <> ''))),
+best AS (
+  SELECT page_id, arg_max(struct_pack(pattern := pattern, verdict := verdict), struct_pack(n := length(pattern), a := verdict = 'allow', p := pattern)) AS b
+  FROM keys JOIN spans ON key = pattern AND action = 'add' AND fetched_at >= since AND (valid_to IS NULL OR fetched_at < valid_to) GROUP BY page_id)
+SELECT p.page_id, url, fetched_at, b.pattern AS pattern, b.verdict AS verdict, coalesce(b.verdict <> 'block', true) AS kept FROM p LEFT JOIN best USING (page_id)
+"""
+ORACLES["op2_url_filters"] = OP2
+
+OP6 = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+r AS (SELECT *, regexp_replace(role, '[\\#<:]', '', 'g') = role AND NOT (contains(text, '\') OR contains(text, '###') OR contains(text, '</turn>')) AS plain,
+  length(role) + length(text) + length('### : </turn>') + 1 AS n FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(n + CASE WHEN plain THEN 0 ELSE length(regexp_replace(role, '[^\\#<:]', '', 'g')) + length(regexp_replace(text, '[^\\]', '', 'g'))
+    + (length(text) - length(replace(text, '</turn>', ''))) // 7 + coalesce(list_sum([length(x) - 2 for x in regexp_extract_all(text, '###+')]), 0) END)::BIGINT AS formatted_chars
+FROM r GROUP BY conv_id
+"""
+ORACLES["op6_chat_format"] = OP6
