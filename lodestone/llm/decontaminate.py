@@ -35,8 +35,9 @@ def _shingle_at(kind: str, w: str = "w", i: str = "i") -> Column:
 
 def _positions(df: DataFrame, keep: list[str]) -> DataFrame:
     """One row for each 5-word window: keep, w (the words) and i (where it starts)."""
-    cut = df.select(*keep, words(ascii_lower(F.col("text"))).alias("w")).where(F.size("w") >= K)
-    return cut.select(*keep, "w", F.explode(F.sequence(F.lit(0), F.size("w") - K)).alias("i"))
+    # explode of one value: the words are cut once, whatever is filtered later
+    cut = df.select(*keep, F.explode(F.array(words(ascii_lower(F.col("text"))))).alias("w"))
+    return cut.select(*keep, "w", F.explode(F.when(F.size("w") >= K, F.sequence(F.lit(0), F.size("w") - K))).alias("i"))
 
 
 def signatures(benchmark: DataFrame, threshold: float = 0.75) -> DataFrame:

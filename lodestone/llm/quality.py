@@ -11,14 +11,14 @@ partition is. A row's cost is n log n in its words.
 
 Defined cases: a null text has no words and fails the base rule; a null host is a host of its own;
 repeated rows are judged and counted each on their own; with one host, or hosts of equal shares, the
-prior is as strong as `flat_prior` documents; an empty table gives an empty result.
+prior is as strong as `flat_prior` documents; an empty table gives an empty result. Columns of the caller named like an added one are replaced.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lodestone.llm.common import BLANKS, WORD, spare, words
+from lodestone.llm.common import BLANKS, spare, words
 
 
 def _windows(w: str) -> str:
@@ -35,18 +35,21 @@ def _covered(t: str) -> str:
 
 def text_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words added (all long)."""
-    w, t, lines = (spare(docs, x) for x in ("q_words", "q_windows", "q_lines"))
+    w, t, counts = (spare(docs, x) for x in ("q_words", "q_windows", "q_counts"))
     whole = F.coalesce(F.col(text), F.lit(""))
-    kept = docs.withColumn(w, words(F.col(text))).withColumn(lines, F.filter(F.split(whole, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != ""))
-    kept = kept.withColumn(t, F.expr(_windows(f"`{w}`")))
+    # explode of one value: later filters on the counts are not copied down into the array expressions
+    kept = docs.select("*", F.explode(F.array(words(F.col(text)))).alias(w))
+    kept = kept.select("*", F.explode(F.array(F.expr(_windows(f"`{w}`")))).alias(t))
+    lines = F.filter(F.split(whole, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
     added = {
-        "n_words": F.size(w).cast("long"),
-        "word_chars": F.length(F.translate(whole, BLANKS, "")).cast("long"),
-        "n_symbols": F.regexp_count(whole, F.lit("[#*$%&|<>]")).cast("long"),
-        "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
-        "n_repeat_words": F.expr(_covered(f"`{t}`")).cast("long"),
+        "n_words": F.size(w),
+        "word_chars": F.length(F.translate(whole, BLANKS, "")),
+        "n_symbols": F.regexp_count(whole, F.lit("[#*$%&|<>]")),
+        "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
+        "n_repeat_words": F.expr(_covered(f"`{t}`")),
     }
-    return kept.withColumns(added).drop(w, t, lines)
+    kept = kept.select("*", F.explode(F.array(F.struct(*[v.cast("long").alias(k) for k, v in added.items()]))).alias(counts))
+    return kept.withColumns({k: F.col(f"{counts}.{k}") for k in added}).drop(w, t, counts)
 
 
 def base_failed(min_words: int = 50, repeat_percent: int = 50) -> Column:

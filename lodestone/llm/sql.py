@@ -72,7 +72,7 @@ e AS (
 spans AS (SELECT *, lead(since) OVER (PARTITION BY pattern, verdict ORDER BY since) AS valid_to FROM e),
 keys AS (
   SELECT page_id, fetched_at, array_to_string(string_split(h, '.')[i:], '.') || CASE WHEN j = 0 THEN '' ELSE '/' || array_to_string(parts[1:j], '/') END AS key
-  FROM (SELECT *, unnest(range(0, len(parts) + 1)) AS j FROM (SELECT *, unnest(range(1, len(string_split(h, '.')) + 1)) AS i, list_filter(string_split(path, '/'), x -> x <> '') AS parts FROM p WHERE h <> ''))),
+  FROM (SELECT *, unnest(range(0, len(parts) + 1)) AS j FROM (SELECT *, unnest(range(1, len(string_split(h, '.')) + 1)) AS i, list_filter(string_split(path, '/'), lambda x: x <> '') AS parts FROM p WHERE h <> ''))),
 best AS (
   SELECT page_id, arg_max(struct_pack(pattern := pattern, verdict := verdict), struct_pack(n := length(pattern), a := verdict = 'allow', p := pattern)) AS b
   FROM keys JOIN spans ON key = pattern AND action = 'add' AND fetched_at >= since AND (valid_to IS NULL OR fetched_at < valid_to) GROUP BY page_id)
