@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from lodestone.llm import chat, decontaminate, jaccard, linededup, mixing, quality, substring, urls
+from lodestone.llm import chat, decontaminate, jaccard, linededup, lmscore, mixing, quality, substring, toxicity, urls
 from lodestone.llm.common import table
 from lodestone.llm.sql import ORACLES
 
@@ -21,6 +21,10 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(urls.capture_table(pages), urls.list_entries(pages))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = linededup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), removed="n_removed_lines")
     return cut.select("doc_id", "n_removed_lines", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
@@ -42,6 +46,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.score(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -55,10 +63,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
     "op1_substring_dedup": op1_substring_dedup,
     "op2_url_filters": op2_url_filters,
+    "op3_toxicity": op3_toxicity,
     "op4_line_dedup": op4_line_dedup,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_chat_format": op6_chat_format,
     "op7_quality_rules": op7_quality_rules,
+    "op8_lm_score": op8_lm_score,
     "op9_decontamination": op9_decontamination,
     "op10_mixing": op10_mixing,
 }
