@@ -6,13 +6,13 @@ are judged on the input, and the smallest doc_id that has a window keeps it.
 
 1. Pieces. A window's anchor is the smallest hash of its short grams (a minimizer), so equal windows
    have equal anchors, and consecutive windows under one anchor are handled as one piece, a path of
-   the graph. An aggregate by anchor finds anchors of more than one document, and whether all their
-   pieces are the same run of words. Everything else of the corpus is left behind here.
-2. Graph. Pieces of repeated anchors are the edges now; where an anchor branches, each of its windows
-   is an edge of its own. An aggregate over each content (128 bits) gives its first document and
-   place, and whether one content only precedes and follows it.
-3. Compaction. Each occurrence joins its content's row. In a document, neighbours compact to one
-   span where the link between them does not branch and their first places are neighbours too.
+   the graph. An aggregate by anchor finds anchors of more than one document, and joins back whether
+   all their pieces are the same run of words. Everything else of the corpus is left behind here.
+2. Graph. Where an anchor has one run of words everywhere, the path under it doesn't branch and is
+   compacted to one edge; where it branches, each of its windows is an edge of its own. An aggregate
+   over each edge's content (96 bits) gives its first document and place.
+3. Compaction. Each occurrence joins its content's row. In a document, neighbouring edges compact to
+   one span as long as their first places are neighbours in one document too.
 4. Verification. The words at the span's first place (document and position) are read again and
    their 128-bit digest goes with the span; the span is removed only if its own words have it.
 
@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from lodestone.llm import tokens as tk
+from lodestone.sources.scratch import frugal, materialize
 
 GRAM = 6
 
@@ -88,8 +89,10 @@ def _lists(column: pa.Array, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _edge_rows(k: int):
-    """(doc_id, tkey, text, plain, branching anchors) to one row an edge in a repeated place."""
-    names = ["doc_id", "tkey", "pos", "n", "c1", "c2", "before", "after"]
+    """(doc_id, tkey, text, plain, branching anchors) to one row an edge in a repeated place.
+
+    A window that follows itself (one word over and over) is one row with `times`."""
+    names = ["doc_id", "tkey", "pos", "n", "times", "c1", "c2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,11 +120,15 @@ def _edge_rows(k: int):
                 r = words.row[s]
                 joined = np.zeros(len(s), bool)
                 joined[1:] = (s[1:] == s[:-1] + m[:-1]) & (r[1:] == r[:-1])
-                before = np.where(joined, np.roll(c1, 1), 0)
-                after = np.where(np.roll(joined, -1), np.roll(c1, -1), 0)
+                again = joined.copy()
+                again[1:] &= (c1[1:] == c1[:-1]) & (c2[1:] == c2[:-1])
+                heads = np.flatnonzero(~again)
+                times = np.diff(np.append(heads, len(s)))
+                s, m, c1, c2, r = (x[heads] for x in (s, m, c1, c2, r))
                 first = np.zeros(words.rows, np.int64)
                 first[1:] = np.cumsum(words.counts())[:-1]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[lo + r]), pa.array(keys[lo + r]), pa.array((s - first[r]).astype(np.int32)), pa.array(m.astype(np.int32)), *map(pa.array, (c1, c2, before, after))], names)
+                whole = (ids[lo + r], keys[lo + r], *(x.astype(np.int32) for x in (s - first[r], m, times)), c1, (c2 >> 32).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in whole], names)
 
     return run
 
@@ -147,13 +154,14 @@ def _cut_rows(with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total, removed, sums, texts = [], [], [], []
-            for text, spans in zip(batch.column("text"), batch.column("spans"), strict=True):
+            for text, key, spans in zip(batch.column("text"), batch.column("tkey").to_pylist(), batch.column("spans"), strict=True):
                 found = (text.as_py() or "").encode().split()
                 gone = np.zeros(len(found), bool)
                 for x in spans.as_py() or ():
                     a, b = x["pos"], x["pos"] + x["words"]
-                    if x["digest"] == _digest(found[a:b]):
-                        gone[a:b] = True
+                    if x["tkey"] == key and x["digest"] == _digest(found[a:b]):
+                        more = b + x["times"] - 1
+                        gone[a : more if x["times"] > 1 and len(set(found[a:more])) == 1 else b] = True
                 left = b" ".join(found if not gone.any() else [w for w, out in zip(found, gone.tolist(), strict=True) if not out])
                 total.append(len(found))
                 removed.append(int(gone.sum()))
@@ -169,36 +177,40 @@ def _cut_rows(with_text: bool):
 def repeated_spans(texts: DataFrame, k: int = 13) -> DataFrame:
     """doc_id, tkey, pos, words, src_doc, src_pos, digest: verified spans of repeated words.
 
-    `texts` has doc_id (long), text and tkey, a hash that tells rows of one doc_id apart."""
-    ours = texts.where(F.col("doc_id").isNotNull())
-    anchors = ours.select("doc_id", "text").mapInArrow(_anchor_rows(k), "doc_id long, anchor long, content long")
+    `texts` has doc_id (long, not null), text and tkey, a hash that tells rows of one doc_id apart."""
+    anchors = texts.select("doc_id", "text").mapInArrow(_anchor_rows(k), "doc_id long, anchor long, content long")
     # one row an anchor; the second join key keeps the join from reusing the aggregate's exchange, so that a hot anchor can be split
     known = anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("content").alias("c_lo"), F.max("content").alias("c_hi")).where("lo < hi")
     known = known.select("anchor", F.pmod("anchor", F.lit(1009)).alias("part"), (F.col("c_lo") != F.col("c_hi")).alias("branches"))
     flagged = anchors.select("doc_id", "anchor", F.pmod("anchor", F.lit(1009)).alias("part")).join(known, ["anchor", "part"])
-    flagged = flagged.groupBy(F.col("doc_id").alias("doc_")).agg(F.collect_list(F.when(~F.col("branches"), F.col("anchor"))).alias("plain"), F.collect_list(F.when(F.col("branches"), F.col("anchor"))).alias("branching"))
+    flagged = materialize(flagged.groupBy(F.col("doc_id").alias("doc_")).agg(F.collect_set(F.when(~F.col("branches"), F.col("anchor"))).alias("plain"), F.collect_set(F.when(F.col("branches"), F.col("anchor"))).alias("branching")), "anchors")
 
-    edges = ours.join(flagged, F.col("doc_id") == F.col("doc_")).select("doc_id", "tkey", "text", "plain", "branching")
-    edges = edges.mapInArrow(_edge_rows(k), "doc_id long, tkey long, pos int, n int, c1 long, c2 long, before long, after long")
-    alone = lambda c: (F.min(c) == F.max(c)) & (F.min(c) != 0)
-    contents = edges.groupBy("c1", "c2").agg(F.min("n").alias("n"), F.min("doc_id").alias("src_doc"), F.min_by("pos", "doc_id").alias("src_pos"), alone("before").alias("one_before"), alone("after").alias("one_after"))
+    edges = texts.join(flagged, F.col("doc_id") == F.col("doc_")).select("doc_id", "tkey", "text", "plain", "branching")
+    edges = edges.mapInArrow(_edge_rows(k), "doc_id long, tkey int, pos int, n int, times int, c1 long, c2 int")
+    contents = edges.groupBy("c1", "c2").agg(F.min("n").alias("n"), F.min("doc_id").alias("src_doc"), F.max("doc_id").alias("last_doc"), F.min_by("pos", "doc_id").alias("src_pos"))
+    contents = contents.where("src_doc < last_doc").drop("last_doc")
     hits = edges.join(contents, ["c1", "c2", "n"]).where(F.col("doc_id") > F.col("src_doc"))
 
     order = Window.partitionBy("doc_id", "tkey").orderBy("pos")
     last = lambda c: F.lag(c).over(order)
-    goes_on = (last("pos") + last("n") == F.col("pos")) & (last("src_doc") == F.col("src_doc")) & (last("src_pos") + last("n") == F.col("src_pos")) & last("one_after") & F.col("one_before")
-    runs = hits.withColumn("new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn("run", F.sum("new").over(order))
-    spans = runs.groupBy("doc_id", "tkey", "run").agg(F.min("pos").alias("pos"), (F.sum("n") + (k - 1)).cast("int").alias("words"), F.min("src_doc").alias("src_doc"), F.min("src_pos").alias("src_pos")).drop("run")
+    goes_on = (last("pos") + last("n") == F.col("pos")) & (last("src_doc") == F.col("src_doc")) & (last("src_pos") + last("n") == F.col("src_pos")) & (F.col("times") == 1) & (last("times") == 1)
+    runs = hits.select("doc_id", "tkey", "pos", "n", "times", "src_doc", "src_pos").repartition("doc_id").withColumn("new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn("run", F.sum("new").over(order))
+    spans = runs.groupBy("doc_id", "tkey", "run").agg(F.min("pos").alias("pos"), (F.sum("n") + (k - 1)).cast("int").alias("words"), F.max("times").alias("times"), F.min_by("src_doc", "pos").alias("src_doc"), F.min_by("src_pos", "pos").alias("src_pos")).drop("run")
+    spans = materialize(spans, "spans")
 
     wanted = spans.select("src_doc", "src_pos", "words").distinct().groupBy("src_doc").agg(F.collect_list(F.struct("src_pos", "words")).alias("wanted"))
-    digests = ours.join(wanted, F.col("doc_id") == F.col("src_doc")).select("doc_id", "text", "wanted").mapInArrow(_source_rows, "src_doc long, src_pos int, words int, digest binary")
+    digests = texts.join(wanted, F.col("doc_id") == F.col("src_doc")).select("doc_id", "text", "wanted").mapInArrow(_source_rows, "src_doc long, src_pos int, words int, digest binary")
     return spans.join(digests.distinct(), ["src_doc", "src_pos", "words"])
 
 
 def substring_dedup(docs: DataFrame, k: int = 13, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, where asked for, kept_text (kept words joined by one space)."""
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartition("doc_id")  # one exchange of the texts, reused by every pass
-    texts = dealt.withColumn("tkey", F.xxhash64("text"))
-    spans = repeated_spans(texts, k).groupBy(F.col("doc_id").alias("doc_"), F.col("tkey").alias("tkey_")).agg(F.collect_list(F.struct("pos", "words", "digest")).alias("spans"))
-    met = texts.join(spans, (F.col("doc_id") == F.col("doc_")) & (F.col("tkey") == F.col("tkey_")), "left").select("doc_id", "text", "spans")
-    return met.mapInArrow(_cut_rows(with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
+    frugal(docs.sparkSession)
+    ours = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # one exchange of the texts, reused by every pass: all of them see the same rows, keyed by doc_id alone
+    dealt = ours.where(F.col("doc_id").isNotNull()).repartition("doc_id").withColumn("tkey", F.pmod(F.hash("text"), F.lit(127)))
+    spans = repeated_spans(dealt, k).groupBy(F.col("doc_id").alias("doc_")).agg(F.collect_list(F.struct("tkey", "pos", "words", "times", "digest")).alias("spans"))
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
+    known = dealt.join(spans, F.col("doc_id") == F.col("doc_"), "left").select("doc_id", "tkey", "text", "spans").mapInArrow(_cut_rows(with_text), schema)
+    without = ours.where(F.col("doc_id").isNull()).select("doc_id", F.lit(0).alias("tkey"), "text", F.lit(None).cast("array<struct<tkey:int,pos:int,words:int,times:int,digest:binary>>").alias("spans"))
+    return known.union(without.mapInArrow(_cut_rows(with_text), schema))
