@@ -40,3 +40,80 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
             break
         seen = mark
     return nodes.join(now, F.col("node") == F.col("u"), "left").select("node", F.coalesce("v", "node").alias("component"))
+
+
+def block_key(number):
+    """A manual number without its trailing two-digit part."""
+    return F.regexp_replace(F.upper(F.trim(number)), r"-\d{2}$", "")
+
+
+def near_duplicates(docs: DataFrame, block: str, k: int = 4, threshold: float = 0.8) -> DataFrame:
+    """Clusters of documents of one block whose k-word shingles have a Jaccard similarity of threshold or more.
+
+    Pairs must share one of the smallest shingle hashes that a similar document can't lack all of, so a
+    block is never paired with itself whole. Returns doc_id, cluster, for clusters of two or more."""
+    words = F.filter(F.split(F.lower("text"), r"\s+"), lambda x: x != "")
+    gram = f"transform(sequence(0, size(w) - {k}), i -> xxhash64({', '.join(f'w[i + {j}]' for j in range(k))}))"
+    sets = docs.select("doc_id", F.col(block).alias("block"), F.explode(F.array(words)).alias("w")).where(F.size("w") >= k)
+    sets = sets.select("doc_id", "block", F.explode(F.array(F.array_sort(F.array_distinct(F.expr(gram))))).alias("s"))
+    n = F.size("s")
+    heads = sets.select("doc_id", "block", "s", F.explode(F.slice("s", F.lit(1), (n - F.ceil(n * F.lit(threshold)) + 1).cast("int"))).alias("h"))
+    pairs = heads.select("block", "h", F.col("doc_id").alias("a")).join(heads.select("block", "h", F.col("doc_id").alias("b")), ["block", "h"]).where("a < b").select("a", "b").distinct()
+    met = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    links = met.where(shared >= threshold * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+    return connected_components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
+
+
+def triples(parts: DataFrame, documents: DataFrame) -> DataFrame:
+    """Typed edges of the knowledge graph: documents, vehicles, figures and stock numbers."""
+    part = parts.select(F.lit("part").alias("src_type"), F.col("nsn").alias("src"), F.lit("used on").alias("rel"), F.lit("vehicle").alias("dst_type"), F.col("vehicle").alias("dst"))
+    fig = parts.select(F.lit("part"), "nsn", F.lit("shown in"), F.lit("figure"), F.concat_ws("/", F.col("document_id").cast("string"), F.col("fig_no").cast("string")))
+    doc = documents.select(F.lit("document"), F.col("doc_id").cast("string"), F.lit("belongs to"), F.lit("vehicle"), "source")
+    return part.union(fig).union(doc)
+
+
+def graph_edges(found: DataFrame) -> DataFrame:
+    """Distinct edges with node keys type|label."""
+    key = lambda t, c: F.concat_ws("|", t, F.lower(c))
+    return found.select(key("src_type", "src").alias("src"), "rel", key("dst_type", "dst").alias("dst")).distinct()
+
+
+def graph_statistics(edges: DataFrame) -> DataFrame:
+    """Nodes by type, and their edges."""
+    ends = edges.select(F.col("src").alias("node")).union(edges.select("dst"))
+    per = ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    return per.groupBy(F.substring_index("node", "|", 1).alias("type")).agg(F.count(F.lit(1)).alias("nodes"), F.sum("degree").alias("ends"), F.max("degree").alias("max_degree"))
+
+
+def neighbours(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges out of and into the asked nodes. `nodes`: node."""
+    out = edges.join(nodes, F.col("src") == F.col("node")).select("node", "rel", F.col("dst").alias("other"), F.lit("out").alias("way"))
+    back = edges.join(nodes, F.col("dst") == F.col("node")).select("node", "rel", F.col("src").alias("other"), F.lit("in").alias("way"))
+    return out.union(back).distinct()
+
+
+def nets(pins: DataFrame) -> DataFrame:
+    """Pins of one signal, two or more; colours that disagree lower the confidence. pins: document_id, connector, pin, signal, colour."""
+    signal = F.upper(F.regexp_replace("signal", r"[\s_-]+", ""))
+    per = pins.groupBy("document_id", signal.alias("net")).agg(F.count(F.lit(1)).alias("points"), F.count_distinct("colour").alias("colours"))
+    return per.where("points >= 2").withColumn("confidence", F.when(F.col("colours") > 1, 0.6).otherwise(0.9))
+
+
+def trace(pins: DataFrame, starts: DataFrame) -> DataFrame:
+    """Other pins on the nets of given pins. starts: document_id, connector, pin."""
+    mine = pins.join(starts, ["document_id", "connector", "pin"]).select("document_id", "signal", F.col("connector").alias("from_connector"), F.col("pin").alias("from_pin"))
+    met = mine.join(pins, ["document_id", "signal"])
+    return met.where((F.col("connector") != F.col("from_connector")) | (F.col("pin") != F.col("from_pin"))).select("document_id", "from_connector", "from_pin", "connector", "pin")
+
+
+def hamming_matches(hashes: DataFrame, queries: DataFrame, reach: int = 22, top: int = 12) -> DataFrame:
+    """Nearest 64-bit hashes, kept as two halves: id, hi, lo; queries: qid, qhi, qlo.
+
+    With 64 bits in `reach` + 1 bands at most one band of a match is untouched for certain, so bands
+    would be 2 bits wide: queries, a stated set, are broadcast instead."""
+    distance = F.bit_count(F.col("hi").bitwiseXOR(F.col("qhi"))) + F.bit_count(F.col("lo").bitwiseXOR(F.col("qlo")))
+    met = hashes.join(F.broadcast(queries), F.col("id") != F.col("qid")).withColumn("distance", distance).where(F.col("distance") <= reach)
+    from pyspark.sql import Window
+
+    return met.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id"))).where(F.col("rank") <= top).select("qid", "id", "distance", "rank")
