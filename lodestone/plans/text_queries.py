@@ -351,9 +351,9 @@ def _(spark, sf):
     return logs.current(b.read(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice"), "o_custkey", ["o_orderdate", "o_orderkey"])
 
 
-DECISIONS = """d AS (SELECT o_custkey % 300 AS niin, CASE o_orderkey % 4 WHEN 0 THEN 'interchangeable' WHEN 1 THEN 'distinct' WHEN 2 THEN 'unsure' ELSE 'nonsense' END AS decision, o_orderkey AS at FROM orders),
-local AS (SELECT * FROM d WHERE "at" % 3 = 0 AND decision <> 'nonsense'), inc AS (SELECT * FROM d WHERE "at" % 2 = 0 OR "at" % 5 = 0),
-fresh AS (SELECT * FROM inc WHERE decision <> 'nonsense' AND NOT EXISTS (SELECT 1 FROM local l WHERE l.niin = inc.niin AND l.decision = inc.decision AND l.at = inc.at)), last AS (SELECT niin, arg_max(decision, at) AS held FROM local GROUP BY niin)"""
+DECISIONS = """d AS (SELECT o_custkey % 300 AS niin, CASE o_orderkey % 4 WHEN 0 THEN 'interchangeable' WHEN 1 THEN 'distinct' WHEN 2 THEN 'unsure' ELSE 'nonsense' END AS decision, o_orderkey AS since FROM orders),
+local AS (SELECT * FROM d WHERE since % 3 = 0 AND decision <> 'nonsense'), inc AS (SELECT * FROM d WHERE since % 2 = 0 OR since % 5 = 0),
+fresh AS (SELECT * FROM inc WHERE decision <> 'nonsense' AND NOT EXISTS (SELECT 1 FROM local l WHERE l.niin = inc.niin AND l.decision = inc.decision AND l.since = inc.since)), last AS (SELECT niin, arg_max(decision, since) AS held FROM local GROUP BY niin)"""
 
 
 def decisions(spark, sf):
@@ -361,12 +361,12 @@ def decisions(spark, sf):
     return logs.import_decisions(d.where("at % 3 = 0 AND decision <> 'nonsense'"), d.where("at % 2 = 0 OR at % 5 = 0"))
 
 
-@query("m4_decisions_appended", f"WITH {DECISIONS} SELECT f.niin, f.decision, f.at FROM fresh f LEFT JOIN last USING (niin) WHERE held IS NULL OR held = f.decision")
+@query("m4_decisions_appended", f"WITH {DECISIONS} SELECT f.niin, f.decision, f.since AS "at" FROM fresh f LEFT JOIN last USING (niin) WHERE held IS NULL OR held = f.decision")
 def _(spark, sf):
     return decisions(spark, sf)[0]
 
 
-@query("m4_decision_conflicts", f"WITH {DECISIONS} SELECT f.niin, f.decision, f.at, held FROM fresh f JOIN last USING (niin) WHERE held <> f.decision")
+@query("m4_decision_conflicts", f"WITH {DECISIONS} SELECT f.niin, f.decision, f.since AS "at", held FROM fresh f JOIN last USING (niin) WHERE held <> f.decision")
 def _(spark, sf):
     return decisions(spark, sf)[1]
 
