@@ -361,12 +361,12 @@ def decisions(spark, sf):
     return logs.import_decisions(d.where("at % 3 = 0 AND decision <> 'nonsense'"), d.where("at % 2 = 0 OR at % 5 = 0"))
 
 
-@query("m4_decisions_appended", f"WITH {DECISIONS} SELECT f.niin, f.decision, f.since AS "at" FROM fresh f LEFT JOIN last USING (niin) WHERE held IS NULL OR held = f.decision")
+@query("m4_decisions_appended", f"WITH {DECISIONS} SELECT f.niin, f.decision, f.since AS \"at\" FROM fresh f LEFT JOIN last USING (niin) WHERE held IS NULL OR held = f.decision")
 def _(spark, sf):
     return decisions(spark, sf)[0]
 
 
-@query("m4_decision_conflicts", f"WITH {DECISIONS} SELECT f.niin, f.decision, f.since AS "at", held FROM fresh f JOIN last USING (niin) WHERE held <> f.decision")
+@query("m4_decision_conflicts", f"WITH {DECISIONS} SELECT f.niin, f.decision, f.since AS \"at\", held FROM fresh f JOIN last USING (niin) WHERE held <> f.decision")
 def _(spark, sf):
     return decisions(spark, sf)[1]
 
