@@ -14,7 +14,7 @@
 
 Labels are only read for rows outside the held-out fold; labels, lang, source and doc_id are never
 inputs of a score. Defined cases: null and empty texts are scored from the intercept and the absence
-of votes; several labels for one doc_id count as the highest; null labels are ignored; without any
+of votes; where no feature tells the classes apart every score is 0; several labels for one doc_id count as the highest; null labels are ignored; without any
 usable label every score is 0; repeated rows are scored each; an empty table gives an empty result.
 """
 
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lodestone.llm import tokens as tk
 from lodestone.sources.scratch import frugal
 
-SAMPLE, FEATURES, LEXICON, LEXICONS, VOTERS = 12_000, 1024, 240, 10, 16
+SAMPLE, FEATURES, LEAST_Z, LEXICON, LEXICONS, VOTERS = 12_000, 1024, 4.0, 240, 10, 16
 BEGINNINGS = (5, 7, 9)
 #: Bytes that part words here: every ASCII byte but letters and digits.
 _PART = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
@@ -119,8 +119,8 @@ def _vote_rows(chosen, voter):
 
 
 def shape(x: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The classifier's inputs: presence and density of each feature."""
-    return np.log1p(100 * x / np.maximum(n, 20)[:, None])
+    """The classifier's inputs: how often each feature occurs, damped, and how dense all of them are."""
+    return np.column_stack([np.log1p(x), np.log1p(100 * x.sum(axis=1) / np.maximum(n, 20))]).astype(np.float32)
 
 
 def _score_rows(chosen, voter, model):
@@ -167,7 +167,7 @@ def label_model(patterns: np.ndarray, n: np.ndarray, known: np.ndarray, toxic: n
     return yes - no, float(np.log(prior[1] / prior[0]) + no.sum())
 
 
-def fit(x: np.ndarray, target: np.ndarray, rounds: int = 300, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+def fit(x: np.ndarray, target: np.ndarray, rounds: int = 300, rate: float = 0.05, decay: float = 1e-3) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels by Adam."""
     w, b = np.zeros(x.shape[1], np.float32), 0.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
@@ -191,13 +191,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
         return None
     t, f = float(size["t"]), float(size["n"] - size["t"])
     df = known.mapInArrow(_feature_rows, "h long, toxic long").groupBy("h").agg(F.sum("toxic").alias("a"), F.count(F.lit(1)).alias("n")).where("n >= 5")
-    a, c = F.col("a") + 0.1, F.col("n") - F.col("a") + 0.1
-    z = (F.log(a / (t + 0.2 - a)) - F.log(c / (f + 0.2 - c))) / F.sqrt(1 / a + 1 / c)
-    best = [(r["h"], r["z"]) for r in df.where("n < %f" % (t + f)).select("h", z.alias("z")).orderBy(F.desc("z"), "h").limit(FEATURES).collect()]
-    hashes = np.array([h for h, _ in best], np.int64).view(np.uint64)
+    a, c = F.col("a") + 0.5, F.col("n") - F.col("a") + 0.5
+    odds, error = F.log(a / (t + 1 - a)) - F.log(c / (f + 1 - c)), F.sqrt(1 / a + 1 / c)
+    # best first by the lower end of the odds' confidence interval
+    ranked = df.where(F.col("n") < t + f).select("h", odds.alias("odds"), error.alias("error")).where(F.col("odds") > LEAST_Z * F.col("error"))
+    best = [r["h"] for r in ranked.orderBy(F.desc(F.col("odds") - 1.64 * F.col("error")), "h").limit(FEATURES).collect()]
+    hashes = np.array(best, np.int64).view(np.uint64)
+    if not best:
+        return None
     order = np.argsort(hashes)
-    strong = np.array([z for _, z in best])[order] > 2
-    lexicon = np.where((order < LEXICON) & strong, order % LEXICONS, -1)  # order holds each feature's rank
+    lexicon = np.where(order < LEXICON, order % LEXICONS, -1)  # order holds each feature's rank
     chosen, voter = spark.sparkContext.broadcast(hashes[order]), spark.sparkContext.broadcast(lexicon)
 
     rows = known.mapInArrow(_sample_rows(chosen, voter), "toxic int, pattern int, n long, at array<int>, count array<float>").collect()
