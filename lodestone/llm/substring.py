@@ -174,11 +174,12 @@ def _cut_rows(with_text: bool):
     return run
 
 
-def repeated_spans(texts: DataFrame, k: int = 13) -> DataFrame:
+def repeated_spans(read: DataFrame, texts: DataFrame, k: int = 13) -> DataFrame:
     """doc_id, tkey, pos, words, src_doc, src_pos, digest: verified spans of repeated words.
 
-    `texts` has doc_id (long, not null), text and tkey, a hash that tells rows of one doc_id apart."""
-    anchors = texts.select("doc_id", "text").mapInArrow(_anchor_rows(k), "doc_id long, anchor long, content long")
+    `texts` has doc_id (long, not null), text and tkey, a hash that tells rows of one doc_id apart; `read` has
+    the same rows as they were read, for the pass that needs no exchange."""
+    anchors = read.select("doc_id", "text").mapInArrow(_anchor_rows(k), "doc_id long, anchor long, content long")
     # one row an anchor; the second join key keeps the join from reusing the aggregate's exchange, so that a hot anchor can be split
     known = anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("content").alias("c_lo"), F.max("content").alias("c_hi")).where("lo < hi")
     known = known.select("anchor", F.pmod("anchor", F.lit(1009)).alias("part"), (F.col("c_lo") != F.col("c_hi")).alias("branches"))
@@ -207,9 +208,10 @@ def substring_dedup(docs: DataFrame, k: int = 13, with_text: bool = False) -> Da
     """doc_id, n_words, n_removed, kept_sha256 and, where asked for, kept_text (kept words joined by one space)."""
     frugal(docs.sparkSession)
     ours = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    # one exchange of the texts, reused by every pass: all of them see the same rows, keyed by doc_id alone
-    dealt = ours.where(F.col("doc_id").isNotNull()).repartition("doc_id").withColumn("tkey", F.pmod(F.hash("text"), F.lit(127)))
-    spans = repeated_spans(dealt, k).groupBy(F.col("doc_id").alias("doc_")).agg(F.collect_list(F.struct("tkey", "pos", "words", "times", "digest")).alias("spans"))
+    # one exchange of the texts, reused by the passes of a job: all of them see the same rows, keyed by doc_id alone
+    read = ours.where(F.col("doc_id").isNotNull())
+    dealt = read.repartition("doc_id").withColumn("tkey", F.pmod(F.hash("text"), F.lit(127)))
+    spans = repeated_spans(read, dealt, k).groupBy(F.col("doc_id").alias("doc_")).agg(F.collect_list(F.struct("tkey", "pos", "words", "times", "digest")).alias("spans"))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     known = dealt.join(spans, F.col("doc_id") == F.col("doc_"), "left").select("doc_id", "tkey", "text", "spans").mapInArrow(_cut_rows(with_text), schema)
     without = ours.where(F.col("doc_id").isNull()).select("doc_id", F.lit(0).alias("tkey"), "text", F.lit(None).cast("array<struct<tkey:int,pos:int,words:int,times:int,digest:binary>>").alias("spans"))
