@@ -5,23 +5,24 @@ more, then under any one order of all shingles the first n - ceil(t n) + 1 shing
 least one. Candidates must do so under different orders; the filters are intersected before any
 pair is verified, and none of them loses a pair.
 
-1. Documents with the same set are one class, known by its smallest doc_id; only it is searched.
-2. The first order puts the shingles most common in the corpus last, and is by hash otherwise. The
-   list of common shingles has a fixed size and changes only the order, so it can't lose a pair.
-   An aggregate by shingle leaves the prefix shingles that two classes share.
-3. Links are only needed until each group is connected. Each shingle's group is first tried as two
+1. The first order puts the shingles most common in the corpus last, and is by hash otherwise. The
+   list of common shingles has a fixed size and changes only the order, so it can't lose a pair. An
+   aggregate by shingle finds the prefix shingles that documents share; the rest is left behind.
+2. Links are only needed until each group is connected. Each shingle's group is first tried as two
    stars, its smallest and its largest doc_id against the rest. Then only groups with more than one
    component are left, and all their pairs across components are tried.
-4. Pairs must also share a prefix shingle under a second hash order. What is left is verified on
-   the whole sets, read from the texts again.
-5. Connected components of the links give the result.
+3. Pairs must also share a prefix shingle under a second, unrelated order (compared by 32 bits, which
+   can only let a pair through). What both filters leave is verified on the whole sets, made from the
+   texts again.
+4. Connected components of the links give the result.
 
-Every link between classes of different components is tried, so no component is missed; pairs inside
-one component need not be. Sets are compared by 64-bit hashes of the shingles, classes by 128 bits.
+Every link between different components is tried, so no component is missed; pairs inside one need
+not be. Sets are compared by 64-bit hashes of the shingles.
 
 Defined cases: words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased; with fewer words than five the
 whole sequence is the one shingle; without words the set is empty and linked with nothing, itself
-its component; a null doc_id has a null component; rows that repeat a doc_id share their component.
+its component; a null doc_id has a null component; rows that repeat a doc_id are one
+node; of different texts under one doc_id either may be the one that is compared.
 Only doc_id and text are read.
 """
 
@@ -34,11 +35,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lodestone.llm import tokens as tk
-from lodestone.operators.graph import connected_components, ensure_checkpoint_dir
+from lodestone.operators.graph import connected_components
+from lodestone.sources.scratch import frugal, materialize
 
 K = 5
 #: How many of the commonest shingles the first order knows; and in how many texts of a batch one must be to be counted.
-COMMON, IN_BATCH = 1 << 16, 8
+COMMON, IN_BATCH = 1 << 16, 3
 
 
 def _sets(words: tk.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -58,24 +60,10 @@ def _sets(words: tk.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, value, np.bincount(row, minlength=words.rows)
 
 
-def _keys(row: np.ndarray, value: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit keys of each row's set."""
-    out = []
-    for salt in (tk.FIRST, tk.SECOND):
-        total = np.zeros(len(value) + 1, np.uint64)
-        np.cumsum(tk.mix(value ^ np.uint64(salt)), out=total[1:])
-        end = np.searchsorted(row, np.arange(rows), "right")
-        begin = np.concatenate([[0], end[:-1]]) if rows else end
-        out.append(tk.signed(total[end] - total[begin]))
-    return out[0], out[1]
-
-
-def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _size_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, words in tk.slices(batch.column("text")):
-            row, value, n = _sets(words)
-            k1, k2 = _keys(row, value, hi - lo)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo).cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(k1), pa.array(k2)], ["doc_id", "n", "k1", "k2"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo).cast(pa.int64()), pa.array(_sets(words)[2].astype(np.int64))], ["doc_id", "n_shingles"])
 
 
 def _common_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,51 +97,45 @@ def _prefix(row: np.ndarray, value: np.ndarray, n: np.ndarray, rank: np.ndarray,
 def _token_rows(percent: int, common):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, k1 = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "k1"))
-            for lo, hi, words in tk.slices(batch.column("text")):
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            for lo, _, words in tk.slices(batch.column("text")):
                 row, value, n = _sets(words)
-                mine = _keys(row, value, hi - lo)[0] == k1[lo:hi]
                 p = _prefix(row, value, n, _ranks(value, tk.BYTES, common.value), percent)
-                p = p[mine[row[p]]]
-                yield pa.RecordBatch.from_arrays([pa.array(tk.signed(value[p])), pa.array(ids[lo + row[p]])], ["token", "doc"])
+                yield pa.RecordBatch.from_arrays([pa.array(tk.signed(value[p])), pa.array(ids[lo + row[p]]), pa.array(n[row[p]].astype(np.int32))], ["token", "doc", "n"])
 
     return run
 
 
 def _second_rows(percent: int):
-    """The prefix under the second order, as a list, for each document that is its class's first."""
+    """Each text's prefix under the second order, cut to 32 bits a shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, k1 = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "k1"))
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for lo, hi, words in tk.slices(batch.column("text")):
                 row, value, n = _sets(words)
-                mine = _keys(row, value, hi - lo)[0] == k1[lo:hi]
                 p = _prefix(row, value, n, _ranks(value, tk.SECOND, None), percent)
                 ends = np.concatenate([[0], np.cumsum(np.bincount(row[p], minlength=hi - lo))]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(tk.signed(value[p])))
-                whole = pa.RecordBatch.from_arrays([pa.array(ids[lo:hi]), pa.array(n.astype(np.int64)), lists], ["doc", "n", "prefix"])
-                yield whole.filter(pa.array(mine))
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array((tk.signed(value[p]) >> 32).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi]), lists], ["doc", "prefix"])
 
     return run
 
 
 def _verify_rows(percent: int):
-    """(a, b, k1_a, k1_b, text_a, text_b) to the pairs (a, b) that link."""
+    """(a, b, text_a, text_b) to the pairs (a, b) that link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = ({}, {})
             for name, found in (("a", a), ("b", b)):
-                expected = batch.column(f"k1_{name}").to_numpy(zero_copy_only=False)
-                rows, values, sizes, good = [], [], [], []
-                for lo, hi, words in tk.slices(batch.column(f"text_{name}")):
+                rows, values, sizes = [], [], []
+                for lo, _, words in tk.slices(batch.column(f"text_{name}")):
                     row, value, n = _sets(words)
-                    good.append(_keys(row, value, hi - lo)[0] == expected[lo:hi])
                     rows.append(row + lo)
                     values.append(value)
                     sizes.append(n)
-                found.update(row=np.concatenate(rows), value=np.concatenate(values), n=np.concatenate(sizes), good=np.concatenate(good)) if rows else found.update(n=np.zeros(0, np.int64))
+                found.update(row=np.concatenate(rows), value=np.concatenate(values), n=np.concatenate(sizes)) if rows else found.update(n=np.zeros(0, np.int64))
             if not len(a["n"]):
                 continue
             # both sides are distinct, so a tagged shingle that occurs twice is in both
@@ -162,59 +144,62 @@ def _verify_rows(percent: int):
             at = np.concatenate([a["row"], b["row"]])[order]
             twice = at[1:][both[order][1:] == both[order][:-1]]
             shared = np.bincount(twice, minlength=batch.num_rows)
-            link = (100 * shared >= percent * (a["n"] + b["n"] - shared)) & a["good"] & b["good"] & (shared > 0)
+            link = (100 * shared >= percent * (a["n"] + b["n"] - shared)) & (shared > 0)
             yield batch.select(["a", "b"]).filter(pa.array(link))
 
     return run
 
 
-def _links(pairs: DataFrame, second: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The candidate pairs (a, b) that link: second order's filter first, then the whole sets."""
-    one = pairs.join(second.select(F.col("doc").alias("a"), F.col("n").alias("n_a"), F.col("prefix").alias("p_a")), "a")
-    two = one.join(second.select(F.col("doc").alias("b"), F.col("n").alias("n_b"), F.col("prefix").alias("p_b")), "b")
-    fit = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & F.arrays_overlap("p_a", "p_b")
-    left = two.where(fit).select("a", "b")
-    whole = left.join(texts.select(F.col("doc_id").alias("a"), F.col("k1").alias("k1_a"), F.col("text").alias("text_a")), "a")
-    whole = whole.join(texts.select(F.col("doc_id").alias("b"), F.col("k1").alias("k1_b"), F.col("text").alias("text_b")), "b")
-    return whole.select("a", "b", "k1_a", "k1_b", "text_a", "text_b").mapInArrow(_verify_rows(percent), "a long, b long").distinct()
+def _links(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """The candidate pairs (a, b) that link: the second order's filter first, then the whole sets."""
+    pairs = materialize(pairs, "pairs")
+    members = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+    texts = materialize(known.join(members, F.col("doc_id") == F.col("doc"), "left_semi"), "texts")
+    second = materialize(texts.mapInArrow(_second_rows(percent), "doc long, prefix array<int>"), "prefixes")
+    one = pairs.join(second.select(F.col("doc").alias("a"), F.col("prefix").alias("p_a")), "a")
+    two = one.join(second.select(F.col("doc").alias("b"), F.col("prefix").alias("p_b")), "b")
+    left = two.where(F.arrays_overlap("p_a", "p_b")).select("a", "b")
+    whole = left.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    whole = whole.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    found = whole.select("a", "b", "text_a", "text_b").mapInArrow(_verify_rows(percent), "a long, b long")
+    return materialize(found.distinct(), "links")
+
+
+def _near_size(a: str, b: str, percent: int):
+    """Sets of these sizes can have the similarity at all."""
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
 def jaccard_classes(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs."""
     spark = docs.sparkSession
-    ensure_checkpoint_dir(spark)
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = dealt.mapInArrow(_set_rows, "doc_id long, n long, k1 long, k2 long").checkpoint()
-
-    known = sets.where("doc_id IS NOT NULL AND n > 0")
-    classes = known.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    same = known.join(classes.where("copies > 1").select("n", "k1", "k2", "rep", F.pmod("k2", F.lit(1009)).alias("part")).withColumn("n_", F.col("n")), ["n", "k1", "k2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    reps = classes.select("rep", "k1")
+    frugal(spark)
+    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    known = every.where(F.col("doc_id").isNotNull())
 
-    counted = dealt.mapInArrow(_common_rows, "token long, count long").groupBy("token").agg(F.sum("count").alias("count"))
+    counted = known.mapInArrow(_common_rows, "token long, count long").groupBy("token").agg(F.sum("count").alias("count"))
     top = sorted((r["token"] % (1 << 64), int(r["count"]).bit_length()) for r in counted.orderBy(F.desc("count"), "token").limit(COMMON).collect())
     common = spark.sparkContext.broadcast((np.array([t for t, _ in top], np.uint64), np.array([c for _, c in top], np.uint64)))
 
-    texts = dealt.join(reps, F.col("doc_id") == F.col("rep")).select("doc_id", "k1", "text")
-    rows = texts.mapInArrow(_token_rows(percent, common), "token long, doc long")
-    shared = rows.groupBy("token").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").withColumn("part", F.pmod("token", F.lit(1009)))
-    groups = rows.withColumn("part", F.pmod("token", F.lit(1009))).join(shared, ["token", "part"]).select("token", "doc", "lo", "hi").checkpoint()
+    # one row a shingle; the second join key keeps the join from reusing the aggregate's exchange, so that a hot shingle can be split
+    rows = known.mapInArrow(_token_rows(percent, common), "token long, doc long, n int")
+    shared = rows.groupBy("token").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min_by("n", "doc").alias("n_lo"), F.max_by("n", "doc").alias("n_hi")).where("lo < hi").withColumn("part", F.pmod("token", F.lit(1009)))
+    groups = materialize(rows.withColumn("part", F.pmod("token", F.lit(1009))).join(shared, ["token", "part"]).select("token", "doc", "n", "lo", "n_lo", "hi", "n_hi"), "groups")
 
-    survivors = groups.select(F.col("doc").alias("rep")).distinct().join(reps, "rep")
-    left = dealt.join(survivors, F.col("doc_id") == F.col("rep")).select("doc_id", "k1", "text").checkpoint()
-    second = left.mapInArrow(_second_rows(percent), "doc long, n long, prefix array<long>")
+    ends = F.array(F.struct(F.col("lo").alias("a"), F.col("doc").alias("b"), F.col("n_lo").alias("m")), F.struct(F.col("doc").alias("a"), F.col("hi").alias("b"), F.col("n_hi").alias("m")))
+    stars = groups.select("n", F.explode(ends).alias("p")).where((F.col("p.a") < F.col("p.b")) & _near_size("n", "p.m", percent)).select("p.a", "p.b").distinct()
+    links = _links(stars, known, percent)
 
-    stars = groups.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("doc").alias("b")), F.struct(F.col("doc").alias("a"), F.col("hi").alias("b")))).alias("p")).select("p.a", "p.b").where("a < b").distinct().checkpoint()
-    links = _links(stars, second, left, percent).checkpoint()
-
-    # groups that the stars left in pieces: all pairs across pieces
+    # groups that the stars left in pieces: all pairs across pieces that the stars haven't tried
     found = connected_components(links)
-    pieces = groups.select("token", "doc").join(found.withColumnRenamed("node", "doc"), "doc", "left").select("token", "doc", F.coalesce("component", "doc").alias("piece"))
+    pieces = groups.select("token", "doc", "n", "lo", "hi").join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("piece", F.coalesce("component", "doc")).drop("component")
+    pieces = materialize(pieces, "pieces")
     split = pieces.groupBy("token").agg(F.min("piece").alias("p_lo"), F.max("piece").alias("p_hi")).where("p_lo < p_hi").select("token")
-    rest = pieces.join(split, "token").join(second.select("doc", "n"), "doc")
-    other = rest.select("token", F.col("doc").alias("b"), F.col("piece").alias("piece_b"), F.col("n").alias("n_b"))
-    across = rest.select("token", F.col("doc").alias("a"), "piece", "n").join(other, "token").where((F.col("a") < F.col("b")) & (F.col("piece") != F.col("piece_b")) & (100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b")))
-    more = _links(across.select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"), second, left, percent)
-
-    joined = connected_components(same.union(links).union(more))
-    return sets.join(joined, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    rest = materialize(pieces.join(split, "token").where("doc <> lo AND doc <> hi").select("token", "doc", "n", "piece"), "rest")
+    other = rest.select("token", F.col("doc").alias("b"), F.col("piece").alias("piece_b"), F.col("n").alias("m"))
+    across = rest.withColumnRenamed("doc", "a").join(other, "token").where((F.col("a") < F.col("b")) & (F.col("piece") != F.col("piece_b")) & _near_size("n", "m", percent))
+    more = _links(across.select("a", "b").distinct(), known, percent)
+
+    joined = connected_components(links.union(more))
+    sizes = every.mapInArrow(_size_rows, "doc_id long, n_shingles long")
+    return sizes.join(joined, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

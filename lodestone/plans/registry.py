@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.plans import more_queries, parts_queries, text_queries
+from lodestone.plans import catalog_queries, more_queries, parts_queries, text_queries
 
-QUERIES = {**parts_queries.Q, **text_queries.Q, **more_queries.Q}
-ORACLES = {**parts_queries.SQL, **text_queries.SQL, **more_queries.SQL}
+QUERIES = {**parts_queries.Q, **text_queries.Q, **more_queries.Q, **catalog_queries.Q}
+ORACLES = {**parts_queries.SQL, **text_queries.SQL, **more_queries.SQL, **catalog_queries.SQL}
