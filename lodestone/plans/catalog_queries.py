@@ -34,9 +34,9 @@ def _(spark, sf):
     return got.select("niin", "item_name", *[F.array_join(c, "|").alias(c) for c in ("names", "replaces", "replaced_by")])
 
 
-@query("c24_by_part_number", C + ", q AS (SELECT p_partkey AS qid, lower(replace(p_brand, '#', ' ')) || '/' || p_partkey::VARCHAR AS pn FROM part WHERE p_partkey % 5 = 0) SELECT DISTINCT qid, niin, nsn FROM q JOIN parts ON upper(regexp_replace(pn, '[^A-Za-z0-9]', '', 'g')) = upper(regexp_replace(part_number, '[^A-Za-z0-9]', '', 'g'))")
+@query("c24_by_part_number", C + ", q AS (SELECT p_partkey AS qid, lower(replace(p_brand, '#', ' ')) || '/' || p_partkey::VARCHAR AS pn FROM part WHERE p_partkey % 100 = 0) SELECT DISTINCT qid, niin, nsn FROM q JOIN parts ON upper(regexp_replace(pn, '[^A-Za-z0-9]', '', 'g')) = upper(regexp_replace(part_number, '[^A-Za-z0-9]', '', 'g'))")
 def _(spark, sf):
-    q = b.read(spark, sf, "part").where("p_partkey % 5 = 0").selectExpr("p_partkey AS qid", "concat(lower(replace(p_brand, '#', ' ')), '/', p_partkey) AS pn")
+    q = b.read(spark, sf, "part").where("p_partkey % 100 = 0").selectExpr("p_partkey AS qid", "concat(lower(replace(p_brand, '#', ' ')), '/', p_partkey) AS pn")
     return k.by_part_number(q, b.parts(spark, sf))
 
 

@@ -126,11 +126,11 @@ def _(spark, sf):
     return x.trimmed(pages.select("doc_id", F.col("page_number").alias("page"), "body_text"), facts.boilerplate(pages))
 
 
-@query("h12_nsn_prefix", C + """, q AS (SELECT niin::BIGINT AS qid, niin FROM catalogue WHERE niin::BIGINT % 50 = 1), m AS (SELECT qid, p AS shared, c.niin AS found FROM q CROSS JOIN (VALUES (7), (6), (5)) v(p) JOIN catalogue c ON substr(q.niin, 1, p) = substr(c.niin, 1, p) WHERE c.niin <> q.niin)
+@query("h12_nsn_prefix", C + """, q AS (SELECT niin::BIGINT AS qid, niin FROM catalogue WHERE niin::BIGINT % 100 = 0), m AS (SELECT qid, p AS shared, c.niin AS found FROM q CROSS JOIN (VALUES (7), (6), (5)) v(p) JOIN catalogue c ON substr(q.niin, 1, p) = substr(c.niin, 1, p) WHERE c.niin <> q.niin)
 SELECT qid, shared, found, row_number() OVER (PARTITION BY qid ORDER BY found) AS rank FROM (SELECT * FROM m QUALIFY shared = max(shared) OVER (PARTITION BY qid)) QUALIFY rank <= 6""")
 def _(spark, sf):
     c = b.catalogue(spark, sf)
-    return x.nsn_prefix(c.where("cast(niin as long) % 50 = 1").select(F.col("niin").cast("long").alias("qid"), "niin"), c)
+    return x.nsn_prefix(c.where("cast(niin as long) % 100 = 0").select(F.col("niin").cast("long").alias("qid"), "niin"), c)
 
 
 @query("d2_status", b.with_(b.PAGES) + "SELECT count(DISTINCT doc_id) AS docs, count(*) AS pages, count(*) FILTER (length(trim(body_text)) >= 15) AS text_pages, round(100.0::DOUBLE * count(*) FILTER (length(trim(body_text)) >= 15) / count(*), 1) AS percent FROM pages_v")

@@ -25,17 +25,17 @@ P, C, FC = b.with_(b.PARTS), b.with_(b.PARTS, b.CATALOGUE), b.with_(b.FACTS)
 
 
 def asked(spark, sf):
-    """Stock numbers asked for in joins: those of every tenth part."""
-    return b.catalogue(spark, sf).where("cast(niin as long) % 10 = 1").select("nsn")
+    """Stock numbers that searches ask for: every part whose number is divisible by 100."""
+    return b.catalogue(spark, sf).where("cast(niin as long) % 100 = 0").select("nsn")
 
 
-ASKED = "asked AS (SELECT nsn FROM catalogue WHERE niin::BIGINT % 10 = 1)"
+ASKED = "asked AS (SELECT nsn FROM catalogue WHERE niin::BIGINT % 100 = 0)"
 
 
-@query("c2_locate", C + """, q AS (SELECT niin::BIGINT AS qid, nsn AS key FROM catalogue WHERE niin::BIGINT % 10 = 1)
+@query("c2_locate", C + """, q AS (SELECT niin::BIGINT AS qid, nsn AS key FROM catalogue WHERE niin::BIGINT % 100 = 0)
 SELECT qid, document_id, page, fig_no, min(nsn) AS nsn, min(part_number) AS part_number FROM parts JOIN q ON nsn = key OR part_number = key GROUP BY ALL""")
 def _(spark, sf):
-    q = b.catalogue(spark, sf).where("cast(niin as long) % 10 = 1").select(F.col("niin").cast("long").alias("qid"), F.col("nsn").alias("key"))
+    q = b.catalogue(spark, sf).where("cast(niin as long) % 100 = 0").select(F.col("niin").cast("long").alias("qid"), F.col("nsn").alias("key"))
     return pj.locate(b.parts(spark, sf), q)
 
 
@@ -93,11 +93,11 @@ def _(spark, sf):
     return pj.recover_niin(rows, b.parts(spark, sf))
 
 
-@query("c12_key_conflicts", P + """, codes AS (SELECT DISTINCT document_id, page, '5300-00-000-0000' AS barcode FROM parts WHERE document_id % 50 = 0), k AS (SELECT document_id, page, list(DISTINCT nsn) AS keys FROM parts GROUP BY ALL)
+@query("c12_key_conflicts", P + """, codes AS (SELECT DISTINCT document_id, page, '5300-00-000-0000' AS barcode FROM parts), k AS (SELECT document_id, page, list(DISTINCT nsn) AS keys FROM parts GROUP BY ALL)
 SELECT document_id, page, barcode, unnest(keys) AS page_nsn FROM codes JOIN k USING (document_id, page) WHERE NOT list_contains(keys, barcode) AND len(keys) <= 5""")
 def _(spark, sf):
     parts = b.parts(spark, sf)
-    codes_ = parts.where("document_id % 50 = 0").select("document_id", "page", F.lit("5300-00-000-0000").alias("barcode")).distinct()
+    codes_ = parts.select("document_id", "page", F.lit("5300-00-000-0000").alias("barcode")).distinct()
     return pj.key_conflicts(codes_, parts)
 
 
