@@ -11,9 +11,9 @@ pair is verified, and none of them loses a pair.
 2. Links are only needed until each group is connected. Each shingle's group is first tried as two
    stars, its smallest and its largest doc_id against the rest. Then only groups with more than one
    component are left, and all their pairs across components are tried.
-3. Pairs must also share a prefix shingle under a second, unrelated order (compared by 32 bits, which
-   can only let a pair through). What both filters leave is verified on the whole sets, made from the
-   texts again.
+3. Pairs must also agree on their prefixes under a second order, by another hash, as far as similar sets
+   must (places are compared by 32 bits, which can only let a pair through). What both filters leave
+   is verified on the whole sets, made from the texts again.
 4. Connected components of the links give the result.
 
 Every link between different components is tried, so no component is missed; pairs inside one need
@@ -106,18 +106,40 @@ def _token_rows(percent: int, common):
     return run
 
 
-def _second_rows(percent: int):
-    """Each text's prefix under the second order, cut to 32 bits a shingle."""
+def _second_rows(percent: int, common):
+    """The size of each text's set and its prefix under the second order: places cut to 32 bits, distinct, ascending."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for lo, hi, words in tk.slices(batch.column("text")):
                 row, value, n = _sets(words)
-                p = _prefix(row, value, n, _ranks(value, tk.SECOND, None), percent)
-                ends = np.concatenate([[0], np.cumsum(np.bincount(row[p], minlength=hi - lo))]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array((tk.signed(value[p]) >> 32).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi]), lists], ["doc", "prefix"])
+                rank = _ranks(value, tk.SECOND, common.value)
+                p = _prefix(row, value, n, rank, percent)
+                place, of = ((rank[p] >> np.uint64(32)).astype(np.int64) - (1 << 31)).astype(np.int32), row[p]
+                new = np.ones(len(p), bool)
+                new[1:] = (place[1:] != place[:-1]) | (of[1:] != of[:-1])
+                ends = np.concatenate([[0], np.cumsum(np.bincount(of[new], minlength=hi - lo))]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(place[new]))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi]), pa.array(n.astype(np.int32)), lists], ["doc", "n", "prefix"])
+
+    return run
+
+
+def _fitting_rows(percent: int):
+    """Pairs with their sizes and second prefixes to those that the prefixes let through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for n_a, n_b, p_a, p_b in zip(batch.column("n_a").to_pylist(), batch.column("n_b").to_pylist(), batch.column("p_a"), batch.column("p_b"), strict=True):
+                a, b = (x.values.to_numpy(zero_copy_only=False) for x in (p_a, p_b))
+                end = min(a[-1], b[-1])
+                a, b = a[: np.searchsorted(a, end)], b[: np.searchsorted(b, end)]
+                shared = len(np.intersect1d(a, b, assume_unique=True))
+                need = -(-percent * (n_a + n_b) // (100 + percent))
+                keep.append(len(a) - shared <= n_a - need and len(b) - shared <= n_b - need)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -150,15 +172,18 @@ def _verify_rows(percent: int):
     return run
 
 
-def _links(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """The candidate pairs (a, b) that link: the second order's filter first, then the whole sets."""
+def _links(pairs: DataFrame, known: DataFrame, percent: int, common) -> DataFrame:
+    """The candidate pairs (a, b) that link: the second order's filter first, then the whole sets.
+
+    Up to the place where the shorter prefix ends both prefixes are complete, so there each side may have
+    as many shingles of its own as it may have in all."""
     pairs = materialize(pairs, "pairs")
     members = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
     texts = materialize(known.join(members, F.col("doc_id") == F.col("doc"), "left_semi"), "texts")
-    second = materialize(texts.mapInArrow(_second_rows(percent), "doc long, prefix array<int>"), "prefixes")
-    one = pairs.join(second.select(F.col("doc").alias("a"), F.col("prefix").alias("p_a")), "a")
-    two = one.join(second.select(F.col("doc").alias("b"), F.col("prefix").alias("p_b")), "b")
-    left = two.where(F.arrays_overlap("p_a", "p_b")).select("a", "b")
+    second = materialize(texts.mapInArrow(_second_rows(percent, common), "doc long, n int, prefix array<int>"), "prefixes")
+    one = pairs.join(second.select(F.col("doc").alias("a"), F.col("n").alias("n_a"), F.col("prefix").alias("p_a")), "a")
+    two = one.join(second.select(F.col("doc").alias("b"), F.col("n").alias("n_b"), F.col("prefix").alias("p_b")), "b")
+    left = materialize(two.mapInArrow(_fitting_rows(percent), "a long, b long"), "candidates")
     whole = left.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     whole = whole.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     found = whole.select("a", "b", "text_a", "text_b").mapInArrow(_verify_rows(percent), "a long, b long")
@@ -188,7 +213,7 @@ def jaccard_classes(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     ends = F.array(F.struct(F.col("lo").alias("a"), F.col("doc").alias("b"), F.col("n_lo").alias("m")), F.struct(F.col("doc").alias("a"), F.col("hi").alias("b"), F.col("n_hi").alias("m")))
     stars = groups.select("n", F.explode(ends).alias("p")).where((F.col("p.a") < F.col("p.b")) & _near_size("n", "p.m", percent)).select("p.a", "p.b").distinct()
-    links = _links(stars, known, percent)
+    links = _links(stars, known, percent, common)
 
     # groups that the stars left in pieces: all pairs across pieces that the stars haven't tried
     found = connected_components(links)
@@ -198,7 +223,7 @@ def jaccard_classes(docs: DataFrame, percent: int = 75) -> DataFrame:
     rest = materialize(pieces.join(split, "token").where("doc <> lo AND doc <> hi").select("token", "doc", "n", "piece"), "rest")
     other = rest.select("token", F.col("doc").alias("b"), F.col("piece").alias("piece_b"), F.col("n").alias("m"))
     across = rest.withColumnRenamed("doc", "a").join(other, "token").where((F.col("a") < F.col("b")) & (F.col("piece") != F.col("piece_b")) & _near_size("n", "m", percent))
-    more = _links(across.select("a", "b").distinct(), known, percent)
+    more = _links(across.select("a", "b").distinct(), known, percent, common)
 
     joined = connected_components(links.union(more))
     sizes = every.mapInArrow(_size_rows, "doc_id long, n_shingles long")
