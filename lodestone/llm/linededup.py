@@ -15,6 +15,14 @@ Defined cases: a null text stays null, an empty one empty; a text without newlin
 never removed; a row with a null doc_id is unchanged and is nobody's earlier document; rows that
 repeat a doc_id don't remove each other's chunks; columns besides text (and n_chars, which follows
 it) are kept as they are.
+
+Chunks alone leave most short runs behind: a run of a few lines seldom holds two boundaries, and the
+lines beside a run's first and last boundary share chunks with other neighbours. `run_dedup` takes
+every window of `min_lines` lines with a word as an anchor, joins anchors to their first document and
+extends them line by line to whole runs for as long as that document goes on likewise. The first
+document's bytes of each run are read in a second join and compared. A window goes, all its lines, if
+an earlier document has its bytes, or its own text has them before without overlap. The blank lines
+inside a window belong to its bytes.
 """
 
 from __future__ import annotations
@@ -26,9 +34,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from lodestone.llm.common import spare
+from lodestone.sources.scratch import frugal, materialize
 
 WINDOW, DIVISOR, MIN_LINES = 2, 3, 2
 
@@ -151,3 +160,118 @@ def line_dedup(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, mi
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
     return out.select(*docs.columns, *([F.col(f"{made}.removed").alias(removed)] if removed else []))
+
+
+def _bounds(raw: bytes) -> list[tuple[int, int, int]]:
+    """Of each line with a word: its number, its first byte and the byte after its last."""
+    at, out = 0, []
+    for i, line in enumerate(raw.split(b"\n")):
+        if line.strip():
+            out.append((i, at, at + len(line)))
+        at += len(line) + 1
+    return out
+
+
+def _window_rows(min_lines: int):
+    """(doc_id, tkey, text) to one row a window: its hash, its place among the text's windows, and whether the text has it there first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, keys, places, found, new = [], [], [], [], []
+            for d, k, t in zip(batch.column("doc_id").to_pylist(), batch.column("tkey").to_pylist(), batch.column("text").cast(pa.binary()), strict=True):
+                raw, seen = t.as_py() or b"", set()
+                lines = _bounds(raw)
+                for i in range(len(lines) - min_lines + 1):
+                    h = xxhash.xxh3_64_intdigest(raw[lines[i][1] : lines[i + min_lines - 1][2]])
+                    ids.append(d)
+                    keys.append(k)
+                    places.append(i)
+                    found.append(h)
+                    new.append(h not in seen)
+                    seen.add(h)
+            columns = [pa.array(ids, pa.int64()), pa.array(keys, pa.int32()), pa.array(places, pa.int32()), pa.array(np.array(found, np.uint64).view(np.int64)), pa.array(new, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tkey", "pos", "h", "new"])
+
+    return run
+
+
+def _first_rows(min_lines: int):
+    """(doc_id, text, wanted: src_pos and n) to the bytes of those runs of windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: tuple[list, ...] = ([], [], [], [])
+            for d, t, wanted in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()), batch.column("wanted").to_pylist(), strict=True):
+                raw = t.as_py() or b""
+                lines = _bounds(raw)
+                for x in wanted:
+                    last = x["src_pos"] + x["n"] + min_lines - 2
+                    if last < len(lines):
+                        for column, value in zip(out, (d, x["src_pos"], x["n"], raw[lines[x["src_pos"]][1] : lines[last][2]]), strict=True):
+                            column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary())], ["src_doc", "src_pos", "n", "body"])
+
+    return run
+
+
+def _run_cutter(min_lines: int):
+    """(text or null, runs an earlier document has) to the text without them and without windows that repeat its own, and the lines removed."""
+
+    def cut(text: pd.Series, runs: pd.Series) -> pd.DataFrame:
+        left, removed = [], []
+        for t, found in zip(text, runs, strict=True):
+            if t is None:
+                left.append(None)
+                removed.append(0)
+                continue
+            raw = t.encode()
+            lines, gone, seen = _bounds(raw), set(), {}
+            for x in () if found is None else found:
+                last = x["pos"] + x["n"] + min_lines - 2
+                if last < len(lines) and raw[lines[x["pos"]][1] : lines[last][2]] == x["body"]:
+                    gone.update(range(lines[x["pos"]][0], lines[last][0] + 1))
+            for i in range(len(lines) - min_lines + 1):
+                last = i + min_lines - 1
+                if seen.setdefault(raw[lines[i][1] : lines[last][2]], i) + min_lines <= i:
+                    gone.update(range(lines[i][0], lines[last][0] + 1))
+            left.append(t if not gone else b"\n".join(x for i, x in enumerate(raw.split(b"\n")) if i not in gone).decode())
+            removed.append(len(gone))
+        return pd.DataFrame({"text": left, "removed": np.array(removed, np.int64)})
+
+    return F.pandas_udf(cut, "text string, removed long")
+
+
+def repeated_runs(read: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+    """doc_id, pos, n, src_doc, src_pos: runs of n windows that a document with a smaller doc_id has, by hash. `read`: doc_id (long, not null), text."""
+    windows = read.withColumn("tkey", F.pmod(F.hash("text"), F.lit(127))).select("doc_id", "tkey", "text").mapInArrow(_window_rows(min_lines), "doc_id long, tkey int, pos int, h long, new boolean")
+    shared = windows.where("new").groupBy("h").agg(F.min("doc_id").alias("src_doc"), F.max("doc_id").alias("last_doc"), F.min_by("pos", "doc_id").alias("src_pos")).where("src_doc < last_doc")
+    shared = shared.select("h", F.pmod("h", F.lit(1009)).alias("part"), "src_doc", "src_pos")
+    hits = windows.select("doc_id", "tkey", "pos", "h", F.pmod("h", F.lit(1009)).alias("part")).join(shared, ["h", "part"]).where(F.col("doc_id") > F.col("src_doc"))
+
+    order = Window.partitionBy("doc_id", "tkey").orderBy("pos")
+    last = lambda c: F.lag(c).over(order)
+    goes_on = (last("pos") + 1 == F.col("pos")) & (last("src_doc") == F.col("src_doc")) & (last("src_pos") + 1 == F.col("src_pos"))
+    runs = hits.select("doc_id", "tkey", "pos", "src_doc", "src_pos").distinct().repartition("doc_id").withColumn("new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn("run", F.sum("new").over(order))
+    return runs.groupBy("doc_id", "tkey", "run").agg(F.min("pos").alias("pos"), F.count(F.lit(1)).cast("int").alias("n"), F.min("src_doc").alias("src_doc"), F.min("src_pos").alias("src_pos")).drop("run", "tkey")
+
+
+def run_dedup(docs: DataFrame, min_lines: int = MIN_LINES, removed: str | None = None) -> DataFrame:
+    """docs with every repeated run of min_lines lines or more cut out of text; `removed` names a column for the number of lines removed."""
+    frugal(docs.sparkSession)
+    named = docs.where(F.col("doc_id").isNotNull())
+    runs = materialize(repeated_runs(named.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), min_lines), "runs")
+    key, lost, made = spare(docs, "dedup_doc"), spare(docs, "dedup_runs"), spare(docs, "dedup_made")
+    # one exchange of the texts, for the first documents' bytes and for the cut
+    dealt = named.withColumn(key, F.col("doc_id").cast("long")).repartition(key)
+    wanted = runs.groupBy(F.col("src_doc").alias("src_")).agg(F.collect_set(F.struct("src_pos", "n")).alias("wanted"))
+    first = dealt.join(wanted, F.col(key) == F.col("src_")).select(F.col(key).alias("doc_id"), "text", "wanted").mapInArrow(_first_rows(min_lines), "src_doc long, src_pos int, n int, body binary").distinct()
+    met = runs.join(first, ["src_doc", "src_pos", "n"]).groupBy(F.col("doc_id").alias("met_")).agg(F.collect_list(F.struct("pos", "n", "body")).alias(lost))
+    cut = dealt.join(met, F.col(key) == F.col("met_"), "left").withColumn(made, _run_cutter(min_lines)("text", lost))
+    cut = cut.withColumn("text", F.col(f"{made}.text")).withColumn(made, F.col(f"{made}.removed"))
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.length("text").cast("long"))
+    rest = docs.where(F.col("doc_id").isNull()).withColumn(made, F.lit(0).cast("long"))
+    if "n_chars" in docs.columns:
+        rest = rest.withColumn("n_chars", F.length("text").cast("long"))
+    names = [*docs.columns, *([F.col(made).alias(removed)] if removed else [])]
+    return cut.select(*names).union(rest.select(*names))

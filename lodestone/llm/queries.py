@@ -26,7 +26,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = linededup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), removed="n_removed_lines")
+    cut = linededup.run_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), removed="n_removed_lines")
     return cut.select("doc_id", "n_removed_lines", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
 
 
