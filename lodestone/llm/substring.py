@@ -91,7 +91,7 @@ def _lists(column: pa.Array, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
 def _edge_rows(k: int):
     """(doc_id, tkey, text, plain, branching anchors) to one row an edge in a repeated place.
 
-    A window that follows itself (one word over and over) is one row with `times`."""
+    An edge that follows itself (one phrase over and over) is one row with `times`; its n is the phrase's length."""
     names = ["doc_id", "tkey", "pos", "n", "times", "c1", "c2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +150,7 @@ def _source_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary())], ["src_doc", "src_pos", "words", "digest"])
 
 
-def _cut_rows(with_text: bool):
+def _cut_rows(with_text: bool, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total, removed, sums, texts = [], [], [], []
@@ -160,8 +160,10 @@ def _cut_rows(with_text: bool):
                 for x in spans.as_py() or ():
                     a, b = x["pos"], x["pos"] + x["words"]
                     if x["tkey"] == key and x["digest"] == _digest(found[a:b]):
-                        more = b + x["times"] - 1
-                        gone[a : more if x["times"] > 1 and len(set(found[a:more])) == 1 else b] = True
+                        # a row of several times is one edge of words - k + 1 windows: the words repeat with that period
+                        n = x["words"] - k + 1
+                        more = b + (x["times"] - 1) * n
+                        gone[a : more if x["times"] > 1 and more <= len(found) and found[a + n : more] == found[a : more - n] else b] = True
                 left = b" ".join(found if not gone.any() else [w for w, out in zip(found, gone.tolist(), strict=True) if not out])
                 total.append(len(found))
                 removed.append(int(gone.sum()))
@@ -213,6 +215,6 @@ def substring_dedup(docs: DataFrame, k: int = 13, with_text: bool = False) -> Da
     dealt = read.repartition("doc_id").withColumn("tkey", F.pmod(F.hash("text"), F.lit(127)))
     spans = repeated_spans(read, dealt, k).groupBy(F.col("doc_id").alias("doc_")).agg(F.collect_list(F.struct("tkey", "pos", "words", "times", "digest")).alias("spans"))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    known = dealt.join(spans, F.col("doc_id") == F.col("doc_"), "left").select("doc_id", "tkey", "text", "spans").mapInArrow(_cut_rows(with_text), schema)
+    known = dealt.join(spans, F.col("doc_id") == F.col("doc_"), "left").select("doc_id", "tkey", "text", "spans").mapInArrow(_cut_rows(with_text, k), schema)
     without = ours.where(F.col("doc_id").isNull()).select("doc_id", F.lit(0).alias("tkey"), "text", F.lit(None).cast("array<struct<tkey:int,pos:int,words:int,times:int,digest:binary>>").alias("spans"))
-    return known.union(without.mapInArrow(_cut_rows(with_text), schema))
+    return known.union(without.mapInArrow(_cut_rows(with_text, k), schema))
