@@ -7,12 +7,15 @@ softmax layers of 32 (the word's group, and the word in its group), so that a wo
 exponentials instead of a whole vocabulary.
 
 1. Words are counted over all documents; the `TOP` commonest have ids of their own, all others share
-   the remaining ids by hash. The list has a fixed size.
+   the remaining ids by hash. That list, and so the network, has a fixed size; the counts of all
+   words stay a table, and a word with a shared id has its own share of that id's count.
 2. Training goes in rounds. A round takes the documents whose hash falls to it, so that every document
    is used once; each partition starts from the current parameters, runs over its documents in small
    batches and returns its parameters with the number of words seen. Spark adds them up by
    parameter, and their weighted mean (a few hundred kilobytes, whatever the corpus) starts the next.
-3. A last pass scores every word of every whole text.
+3. A last pass scores every word of every whole text. Words with a shared id are joined to the table
+   of counts, and log p(word | id) is added to the network's log p(id | context). Every scored word
+   is in the counts, so that shares are never 0 and add up to 1.
 
 Defined cases: a null or blank text has no words, log-likelihood 0 and a null mean; repeated rows are
 scored each; places beyond a text's ends hold a mark of their own; an empty table gives an empty
@@ -29,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lodestone.llm import tokens as tk
-from lodestone.sources.scratch import frugal
+from lodestone.sources.scratch import frugal, materialize
 
 SIDE, IDS, TOP, DIM, GROUP = 2, 1024, 768, 16, 32
 PLACES, EDGE = 2 * SIDE, IDS
@@ -145,7 +148,26 @@ def _score_rows(model, top):
                 logp = np.concatenate([forward(m, ctx[i : i + BATCH], ids[i : i + BATCH])[3] for i in range(0, len(ids), BATCH)]) if len(ids) else np.zeros(0)
                 n = words.counts()
                 total = np.bincount(words.row, logp, hi - lo)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo).cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(total)], ["doc_id", "n_words", "log_likelihood"])
+                shared = np.bincount(words.row[ids >= TOP], minlength=hi - lo)
+                keys = [batch.column(c).slice(lo, hi - lo).cast(pa.int64()) for c in ("doc_id", "tkey")]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(n.astype(np.int64)), pa.array(shared.astype(np.int64)), pa.array(total)], ["doc_id", "tkey", "n_words", "n_shared", "network"])
+
+    return run
+
+
+def _shared_rows(top):
+    """(doc_id, tkey, text) to one row a text and distinct word with a shared id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "tkey"))
+            for lo, _, words in tk.slices(batch.column("text")):
+                rare = np.flatnonzero(word_ids(words, top.value) >= TOP)
+                if len(rare):
+                    h, row = tk.word_hashes(words, lower=True)[rare], words.row[rare]
+                    _, at, n = np.unique(tk.tagged(h, row), return_index=True, return_counts=True)
+                    where = lo + row[at]
+                    yield pa.RecordBatch.from_arrays([pa.array(docs[where]), pa.array(keys[where]), pa.array(tk.signed(h[at])), pa.array(n.astype(np.int32))], ["doc_id", "tkey", "h", "n"])
 
     return run
 
@@ -158,11 +180,24 @@ def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(tk.signed(h)), pa.array(n.astype(np.int64))], ["h", "n"])
 
 
-def train(docs: DataFrame, rounds: int = ROUNDS):
+def word_counts(docs: DataFrame) -> DataFrame:
+    """h, n: how often each word of the corpus occurs, by hash."""
+    texts = docs.select("text").where(F.col("text").isNotNull())
+    return materialize(texts.mapInArrow(_count_rows, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "words")
+
+
+def shares(counts: DataFrame, top) -> DataFrame:
+    """h, share: log p(word | shared id) of every word without an id of its own."""
+    own = counts.sparkSession.createDataFrame([(int(h),) for h in top.value[0].view(np.int64)], "h long")
+    rest = counts.join(F.broadcast(own), "h", "left_anti").withColumn("bucket", F.shiftrightunsigned("h", 20) % F.lit(IDS - TOP))
+    totals = rest.groupBy("bucket").agg(F.sum("n").alias("total"))
+    return rest.join(F.broadcast(totals), "bucket").select("h", F.log(F.col("n") / F.col("total")).alias("share"))
+
+
+def train(docs: DataFrame, counts: DataFrame, rounds: int = ROUNDS):
     """The trained parameters and the known words, both broadcast."""
     spark = docs.sparkSession
     texts = docs.select("text").where(F.col("text").isNotNull())
-    counts = texts.mapInArrow(_count_rows, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     known = [r["h"] for r in counts.orderBy(F.desc("n"), "h").limit(TOP).collect()]
     hashes = np.array(known, np.int64).view(np.uint64)
     order = np.argsort(hashes)
@@ -183,6 +218,15 @@ def train(docs: DataFrame, rounds: int = ROUNDS):
 def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_words, log_likelihood (sum over all words) and mean_logp."""
     frugal(docs.sparkSession)
-    model, top = train(docs, rounds)
-    rows = docs.select("doc_id", "text").mapInArrow(_score_rows(model, top), "doc_id long, n_words long, log_likelihood double")
-    return rows.withColumn("mean_logp", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")))
+    counts = word_counts(docs)
+    model, top = train(docs, counts, rounds)
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("tkey"), "text")
+    rows = keyed.mapInArrow(_score_rows(model, top), "doc_id long, tkey long, n_words long, n_shared long, network double")
+    found = keyed.withColumn("doc_id", F.coalesce("doc_id", F.lit(0))).mapInArrow(_shared_rows(top), "doc_id long, tkey long, h long, n int")
+    # a mean, so that rows that repeat a doc_id and text get the same whichever of them it was summed over
+    mean = (F.sum(F.col("n") * F.col("share")) / F.sum("n")).alias("mean_share")
+    within = found.join(shares(counts, top), "h").groupBy(F.col("doc_id").alias("doc_"), F.col("tkey").alias("tkey_")).agg(mean)
+    met = rows.join(within, (F.coalesce("doc_id", F.lit(0)) == F.col("doc_")) & (F.col("tkey") == F.col("tkey_")), "left")
+    total = F.col("network") + F.when(F.col("n_shared") > 0, F.col("n_shared") * F.col("mean_share")).otherwise(0.0)
+    out = met.select("doc_id", "n_words", total.alias("log_likelihood"))
+    return out.withColumn("mean_logp", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")))
