@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder that the session names; a local one only where none is named, as in tests."""
+    """Use the folder that the session names; one of this machine's only where none is named and Spark runs on it alone, as in tests."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and sc.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 50) -> DataFrame:
@@ -21,6 +24,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     smaller neighbour (small star), until the edges form stars. Rounds grow with the logarithm of
     the longest path. Minima are aggregated before the shuffle, so hubs are no hot spot, and each
     round ends in a checkpoint. Self loops give a component of one node; rows with a null are left out.
+    An answer that isn't final after max_rounds is an error.
     """
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
@@ -39,6 +43,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         if mark == seen:
             break
         seen = mark
+    else:
+        raise RuntimeError(f"components aren't found after {max_rounds} rounds")
     return nodes.join(now, F.col("node") == F.col("u"), "left").select("node", F.coalesce("v", "node").alias("component"))
 
 

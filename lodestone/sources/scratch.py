@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestone.operators.graph import ensure_checkpoint_dir
 
 #: A finished job's shuffle files are deleted at once instead of when the driver next collects garbage.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows of a narrow table up to which it is broadcast; beyond, joins with it exchange both sides.
+SMALL = 200_000
+_open: list[list[str]] = []
 
 
 def frugal(spark: SparkSession) -> None:
@@ -24,4 +28,36 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for paths in _open:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it lies."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables once their last reader has been written."""
+    for df in tables:
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            remove(df.sparkSession, path)
+
+
+@contextmanager
+def collected():
+    """Yields a list that gets the paths of all tables materialized meanwhile."""
+    paths: list[str] = []
+    _open.append(paths)
+    try:
+        yield paths
+    finally:
+        _open.remove(paths)
+
+
+def small(df: DataFrame, name: str = "small", limit: int = SMALL) -> DataFrame:
+    """df materialized, and marked for a broadcast only if it has been counted to have `limit` rows or fewer."""
+    made = materialize(df, name)
+    return F.broadcast(made) if made.count() <= limit else made
