@@ -2,28 +2,29 @@
 
 A document's set holds its distinct 5-word shingles. If two sets have a Jaccard similarity of t or
 more, then under any one order of all shingles the first n - ceil(t n) + 1 shingles of each share at
-least one. Candidates must do so under different orders; the filters are intersected before any
+least one. Candidates must do so under each of three orders; the filters are intersected before any
 pair is verified, and none of them loses a pair.
 
-1. The first order puts the shingles most common in the corpus last, and is by hash otherwise. The
-   list of common shingles has a fixed size and changes only the order, so it can't lose a pair. An
-   aggregate by shingle finds the prefix shingles that documents share; the rest is left behind.
-2. Links are only needed until each group is connected. Each shingle's group is first tried as two
-   stars, its smallest and its largest doc_id against the rest. Then only groups with more than one
-   component are left, and all their pairs across components are tried.
-3. Pairs must also agree on their prefixes under a second order, by another hash, as far as similar sets
-   must (places are compared by 32 bits, which can only let a pair through). What both filters leave
-   is verified on the whole sets, made from the texts again.
-4. Connected components of the links give the result.
-
-Every link between different components is tried, so no component is missed; pairs inside one need
-not be. Sets are compared by 64-bit hashes of the shingles.
+1. Equal sets are one class from here on; its copies never meet each other.
+2. First order: by hash. A prefix of `sample` of all shingles (those with the smallest hashes) is
+   aggregated by shingle. A similar set lacks (1 - t) n shingles at most, so a class with more than
+   that many in the prefix that no other class has is linked with nothing. Most of a corpus ends here.
+3. Second order: rarest first, by the number of classes left that have a shingle, then by hash. A pair
+   is a candidate at a shingle of both prefixes only if what follows it in both sets is enough for the
+   similarity. This place bound is what keeps groups that share a common passage from pairing.
+4. Third order: by another hash. The pairs' prefixes must overlap under it too; then whole sets are
+   intersected.
+
+Links are only needed until each group is connected. Each shingle's group is first tried as a star
+around its most central class (the one whose shingles most others have); then the classes of groups
+that the stars left in several components are tried with those of other components that fit. Every
+link between different components is tried, so no component is missed; pairs inside one need not be.
 
 Defined cases: words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased; with fewer words than five the
 whole sequence is the one shingle; without words the set is empty and linked with nothing, itself
-its component; a null doc_id has a null component; rows that repeat a doc_id are one
-node; of different texts under one doc_id either may be the one that is compared.
-Only doc_id and text are read.
+its component; a null doc_id has a null component and is compared with nothing; rows that repeat a
+doc_id are one node, with the links of all their texts, and each row has the size of its own set.
+Shingles and sets are told apart by 64-bit hashes. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -31,16 +32,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import LongType
 
 from lodestone.llm import tokens as tk
+from lodestone.llm.common import n_words, spare
 from lodestone.operators.graph import connected_components
-from lodestone.sources.scratch import frugal, materialize
+from lodestone.sources.scratch import discard, frugal, materialize
 
-K = 5
-#: How many of the commonest shingles the first order knows; and in how many texts of a batch one must be to be counted.
-COMMON, IN_BATCH = 1 << 16, 3
+K, PERCENT, SAMPLE = 5, 75, 0.5
 
 
 def _sets(words: tk.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,171 +62,170 @@ def _sets(words: tk.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, value, np.bincount(row, minlength=words.rows)
 
 
-def _size_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lo, hi, words in tk.slices(batch.column("text")):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo).cast(pa.int64()), pa.array(_sets(words)[2].astype(np.int64))], ["doc_id", "n_shingles"])
+def _class_of(value: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A hash of each row's set; 0 for an empty one."""
+    total = np.zeros(len(value) + 1, np.uint64)
+    np.cumsum(tk.mix(value ^ np.uint64(tk.SECOND)), out=total[1:])
+    end = np.cumsum(n)
+    return tk.signed(np.where(n > 0, tk.mix(total[end] - total[end - n] + n.astype(np.uint64) * np.uint64(tk.FIRST)), np.uint64(0)))
 
 
-def _common_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _class_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        parts = [_sets(words)[1] for _, _, words in tk.slices(batch.column("text"))]
-        if parts:
-            value = np.sort(np.concatenate(parts))
-            new = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]])) if len(value) else np.zeros(0, np.int64)
-            count = np.diff(np.append(new, len(value)))
-            many = count >= IN_BATCH
-            yield pa.RecordBatch.from_arrays([pa.array(tk.signed(value[new[many]])), pa.array(count[many].astype(np.int64))], ["token", "count"])
-
-
-def _ranks(value: np.ndarray, salt: int, common: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
-    """The place of each shingle in a global order; equal places are ordered by the hash itself."""
-    rank = tk.mix(value ^ np.uint64(salt)) >> np.uint64(8)
-    if common is not None and len(common[0]):
-        at = np.minimum(np.searchsorted(common[0], value), len(common[0]) - 1)
-        found = common[0][at] == value
-        rank[found] |= common[1][at[found]] << np.uint64(56)
-    return rank
-
-
-def _prefix(row: np.ndarray, value: np.ndarray, n: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
-    """Places of the prefix shingles, row by row."""
-    order = np.lexsort((rank, row))
-    place = np.arange(len(row)) - (np.cumsum(n) - n)[row]
-    return order[place < (n - (percent * n + 99) // 100 + 1)[row]]
-
+        for lo, hi, words in tk.slices(batch.column("text")):
+            _, value, n = _sets(words)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(_class_of(value, n))], ["doc_id", "n_shingles", "class"])
 
-def _token_rows(percent: int, common):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for lo, _, words in tk.slices(batch.column("text")):
-                row, value, n = _sets(words)
-                p = _prefix(row, value, n, _ranks(value, tk.BYTES, common.value), percent)
-                yield pa.RecordBatch.from_arrays([pa.array(tk.signed(value[p])), pa.array(ids[lo + row[p]]), pa.array(n[row[p]].astype(np.int32))], ["token", "doc", "n"])
 
-    return run
+@F.pandas_udf(LongType())
+def class_hash(text: pd.Series) -> pd.Series:
+    """The class of each text's set."""
+    out = np.zeros(len(text), np.int64)
+    for lo, hi, words in tk.slices(pa.array(text, pa.string(), from_pandas=True)):
+        _, value, n = _sets(words)
+        out[lo:hi] = _class_of(value, n)
+    return pd.Series(out)
 
 
-def _second_rows(percent: int, common):
-    """The size of each text's set and its prefix under the second order: places cut to 32 bits, distinct, ascending."""
+def _sample_rows(sample: float):
+    """The shingles with the smallest hashes and the smallest and largest class of a slice that has them."""
+    most = np.uint64(int(sample * 2**64) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for lo, hi, words in tk.slices(batch.column("text")):
+            for _, _, words in tk.slices(batch.column("text")):
                 row, value, n = _sets(words)
-                rank = _ranks(value, tk.SECOND, common.value)
-                p = _prefix(row, value, n, rank, percent)
-                place, of = ((rank[p] >> np.uint64(32)).astype(np.int64) - (1 << 31)).astype(np.int32), row[p]
-                new = np.ones(len(p), bool)
-                new[1:] = (place[1:] != place[:-1]) | (of[1:] != of[:-1])
-                ends = np.concatenate([[0], np.cumsum(np.bincount(of[new], minlength=hi - lo))]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(place[new]))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi]), pa.array(n.astype(np.int32)), lists], ["doc", "n", "prefix"])
-
-    return run
-
-
-def _fitting_rows(percent: int):
-    """Pairs with their sizes and second prefixes to those that the prefixes let through."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for n_a, n_b, p_a, p_b in zip(batch.column("n_a").to_pylist(), batch.column("n_b").to_pylist(), batch.column("p_a"), batch.column("p_b"), strict=True):
-                a, b = (x.values.to_numpy(zero_copy_only=False) for x in (p_a, p_b))
-                end = min(a[-1], b[-1])
-                a, b = a[: np.searchsorted(a, end)], b[: np.searchsorted(b, end)]
-                shared = len(np.intersect1d(a, b, assume_unique=True))
-                need = -(-percent * (n_a + n_b) // (100 + percent))
-                keep.append(len(a) - shared <= n_a - need and len(b) - shared <= n_b - need)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                mine = value <= most
+                token, of = value[mine], _class_of(value, n)[row[mine]]
+                if not len(token):
+                    continue
+                order = np.argsort(token)
+                token, of = token[order], of[order]
+                at = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+                yield pa.RecordBatch.from_arrays([pa.array(tk.signed(token[at])), pa.array(np.minimum.reduceat(of, at)), pa.array(np.maximum.reduceat(of, at))], ["token", "lo", "hi"])
 
     return run
 
 
-def _verify_rows(percent: int):
-    """(a, b, text_a, text_b) to the pairs (a, b) that link."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = ({}, {})
-            for name, found in (("a", a), ("b", b)):
-                rows, values, sizes = [], [], []
-                for lo, _, words in tk.slices(batch.column(f"text_{name}")):
-                    row, value, n = _sets(words)
-                    rows.append(row + lo)
-                    values.append(value)
-                    sizes.append(n)
-                found.update(row=np.concatenate(rows), value=np.concatenate(values), n=np.concatenate(sizes)) if rows else found.update(n=np.zeros(0, np.int64))
-            if not len(a["n"]):
-                continue
-            # both sides are distinct, so a tagged shingle that occurs twice is in both
-            both = np.concatenate([tk.tagged(x["value"], x["row"]) for x in (a, b)])
-            order = np.argsort(both, kind="stable")
-            at = np.concatenate([a["row"], b["row"]])[order]
-            twice = at[1:][both[order][1:] == both[order][:-1]]
-            shared = np.bincount(twice, minlength=batch.num_rows)
-            link = (100 * shared >= percent * (a["n"] + b["n"] - shared)) & (shared > 0)
-            yield batch.select(["a", "b"]).filter(pa.array(link))
-
-    return run
-
-
-def _links(pairs: DataFrame, known: DataFrame, percent: int, common) -> DataFrame:
-    """The candidate pairs (a, b) that link: the second order's filter first, then the whole sets.
-
-    Up to the place where the shorter prefix ends both prefixes are complete, so there each side may have
-    as many shingles of its own as it may have in all."""
-    pairs = materialize(pairs, "pairs")
-    members = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    texts = materialize(known.join(members, F.col("doc_id") == F.col("doc"), "left_semi"), "texts")
-    second = materialize(texts.mapInArrow(_second_rows(percent, common), "doc long, n int, prefix array<int>"), "prefixes")
-    one = pairs.join(second.select(F.col("doc").alias("a"), F.col("n").alias("n_a"), F.col("prefix").alias("p_a")), "a")
-    two = one.join(second.select(F.col("doc").alias("b"), F.col("n").alias("n_b"), F.col("prefix").alias("p_b")), "b")
-    left = materialize(two.mapInArrow(_fitting_rows(percent), "a long, b long"), "candidates")
-    whole = left.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    whole = whole.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    found = whole.select("a", "b", "text_a", "text_b").mapInArrow(_verify_rows(percent), "a long, b long")
-    return materialize(found.distinct(), "links")
-
-
-def _near_size(a: str, b: str, percent: int):
-    """Sets of these sizes can have the similarity at all."""
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
-
-
-def jaccard_classes(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs."""
-    spark = docs.sparkSession
-    frugal(spark)
+def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(class, text) to the sets of texts that are of the class."""
+    for batch in batches:
+        wanted = batch.column("class").to_numpy(zero_copy_only=False)
+        for lo, hi, words in tk.slices(batch.column("text")):
+            _, value, n = _sets(words)
+            ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(tk.signed(value)))
+            yield pa.RecordBatch.from_arrays([batch.column("class").slice(lo, hi - lo), lists], ["class", "tokens"]).filter(pa.array(_class_of(value, n) == wanted[lo:hi]))
+
+
+def _enough(most: Column, n: Column, m: Column, percent: int) -> Column:
+    """An intersection of `most` is enough for sets of n and m shingles."""
+    return (100 + percent) * most >= percent * (n + m)
+
+
+def _fit(a: str, b: str, percent: int) -> Column:
+    """Two classes can be similar if their first common shingle is at these places. a, b: prefixes of n and place."""
+    n, m = F.col(f"{a}n"), F.col(f"{b}n")
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & _enough(F.least(n - F.col(f"{a}place"), m - F.col(f"{b}place")), n, m, percent)
+
+
+def _part(df: DataFrame) -> DataFrame:
+    """A second join key, so that a join doesn't reuse an aggregate's exchange and a hot shingle can be split."""
+    return df.withColumn("part", F.pmod("token", F.lit(1009)))
+
+
+def _candidate_sets(known: DataFrame, classes: DataFrame, percent: int, sample: float) -> DataFrame:
+    """class, n, tokens, prefix, third: the classes that the first order leaves, as what others have of them.
+
+    `tokens` are the shingles that other classes left have, `prefix` those of the second order's prefix with their
+    counts, and `third` those of the third order's."""
+    own = known.select("text").mapInArrow(_sample_rows(sample), "token long, lo long, hi long")
+    own = own.groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo = hi").groupBy(F.col("lo").alias("class")).agg(F.count(F.lit(1)).alias("own"))
+    left = classes.join(own, "class", "left").where(100 * (F.col("n") - F.coalesce("own", F.lit(0))) >= percent * F.col("n")).select("class", F.col("doc").alias("doc_"))
+    texts = known.join(left, F.col("doc_id") == F.col("doc_")).select("class", "text")
+    # one row a class: rows that repeat a doc_id and text are dropped here
+    sets = materialize(texts.mapInArrow(_set_rows, "class long, tokens array<long>").groupBy("class").agg(F.first("tokens").alias("tokens")), "sets")
+
+    rows = sets.select("class", F.size("tokens").cast("long").alias("n"), F.explode("tokens").alias("token"))
+    common = rows.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    met = _part(rows).join(_part(common), ["token", "part"]).groupBy("class").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("c", "token"))).alias("t"))
+    met = met.where(100 * F.size("t").cast("long") >= percent * F.col("n"))
+    # shingles of no other class come first under both orders, and can't be shared
+    alone = F.col("n") - F.size("t")
+    length = (F.col("n") - F.ceil(F.col("n") * percent / 100.0) + 1 - alone).cast("int")
+    by_hash = F.transform(F.array_sort(F.transform("t", lambda x: F.struct(F.xxhash64(x["token"]).alias("h"), x["token"].alias("token")))), lambda x: x["token"])
+    score = F.aggregate("t", F.lit(0.0), lambda s, x: s + F.log2(x["c"])) / F.col("n")
+    out = met.select("class", "n", alone.alias("alone"), F.transform("t", lambda x: x["token"]).alias("tokens"), F.slice("t", F.lit(1), length).alias("prefix"), F.slice(by_hash, F.lit(1), length).alias("third"), score.alias("score"))
+    kept = materialize(out, "candidates")
+    discard(sets)
+    return kept
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes that share a shingle of the third order's prefixes and are similar."""
+    side = lambda x: sets.select(F.col("class").alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"t_{x}"), F.col("third").alias(f"p_{x}"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b").where(F.arrays_overlap("p_a", "p_b"))
+    met = met.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("t_a", "t_b")).cast("long").alias("both"))
+    return materialize(met.where(_enough(F.col("both"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b"), "links")
+
+
+def class_links(docs: DataFrame, percent: int = PERCENT, sample: float = SAMPLE) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, classes, links): doc_id, n_shingles, class of every row; class, n, doc (the smallest doc_id) of every
+    set with a shingle; and links (a, b) between classes, enough to connect what is similar."""
+    frugal(docs.sparkSession)
     every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = every.where(F.col("doc_id").isNotNull())
+    rows = materialize(every.mapInArrow(_class_rows, "doc_id long, n_shingles long, class long"), "rows")
+    classes = rows.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("class").agg(F.first("n_shingles").alias("n"), F.min("doc_id").alias("doc"))
+    sets = _candidate_sets(known, classes, percent, sample)
+
+    at = sets.select("class", "n", "alone", "score", F.posexplode("prefix").alias("i", "x"))
+    groups = at.select(F.col("x.token").alias("token"), "class", "n", (F.col("alone") + F.col("i")).cast("long").alias("place"), "score")
+    ends = groups.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least"), F.max_by(F.struct("class", "n", "place"), F.struct("score", "class")).alias("hub")).where("k > 1")
+    # only rows that a set of the group may be large and small enough for
+    near = F.greatest(F.ceil(F.col("n") * percent / 100.0), F.col("least"))
+    groups = _part(groups).join(_part(ends), ["token", "part"]).where(_enough(F.col("n") - F.col("place"), F.col("n"), near, percent))
+    groups = materialize(groups.select("token", "class", "n", "place", F.col("hub.class").alias("hub"), F.col("hub.n").alias("h_n"), F.col("hub.place").alias("h_place")), "groups")
+
+    stars = groups.where(F.col("class") != F.col("hub")).where(_fit("", "h_", percent)).select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b")).distinct()
+    links = _verified(stars, sets, percent)
+
+    # groups that the stars left in pieces: pairs across pieces
+    found = connected_components(links).withColumnRenamed("node", "class")
+    pieces = groups.select("token", "class", "n", "place").join(found, "class", "left").withColumn("piece", F.coalesce("component", "class")).drop("component")
+    pieces = materialize(pieces, "pieces")
+    split = pieces.groupBy("token").agg(F.min("piece").alias("lo"), F.max("piece").alias("hi")).where("lo < hi").select("token")
+    rest = _part(pieces).join(_part(split), ["token", "part"])
+    other = rest.select("token", "part", *[F.col(c).alias(f"o_{c}") for c in ("class", "n", "place", "piece")])
+    across = rest.join(other, ["token", "part"]).where((F.col("class") < F.col("o_class")) & (F.col("piece") != F.col("o_piece")) & _fit("", "o_", percent))
+    more = _verified(across.select(F.col("class").alias("a"), F.col("o_class").alias("b")).distinct(), sets, percent)
+    discard(groups, pieces, sets)
+    return rows, classes, links.union(more)
+
 
-    counted = known.mapInArrow(_common_rows, "token long, count long").groupBy("token").agg(F.sum("count").alias("count"))
-    top = sorted((r["token"] % (1 << 64), int(r["count"]).bit_length()) for r in counted.orderBy(F.desc("count"), "token").limit(COMMON).collect())
-    common = spark.sparkContext.broadcast((np.array([t for t, _ in top], np.uint64), np.array([c for _, c in top], np.uint64)))
+def jaccard_classes(docs: DataFrame, percent: int = PERCENT, sample: float = SAMPLE) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of docs."""
+    rows, classes, links = class_links(docs, percent, sample)
+    name = lambda x: classes.select(F.col("class").alias(x), F.col("doc").alias(f"doc_{x}"))
+    between = links.join(name("a"), "a").join(name("b"), "b").select("doc_a", "doc_b")
+    copies = rows.where("doc_id IS NOT NULL AND n_shingles > 0").join(classes.select("class", "doc"), "class").where("doc_id <> doc").select("doc_id", "doc")
+    joined = connected_components(between.union(copies), "doc_a", "doc_b")
+    return rows.join(joined, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
-    # one row a shingle; the second join key keeps the join from reusing the aggregate's exchange, so that a hot shingle can be split
-    rows = known.mapInArrow(_token_rows(percent, common), "token long, doc long, n int")
-    shared = rows.groupBy("token").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min_by("n", "doc").alias("n_lo"), F.max_by("n", "doc").alias("n_hi")).where("lo < hi").withColumn("part", F.pmod("token", F.lit(1009)))
-    groups = materialize(rows.withColumn("part", F.pmod("token", F.lit(1009))).join(shared, ["token", "part"]).select("token", "doc", "n", "lo", "n_lo", "hi", "n_hi"), "groups")
 
-    ends = F.array(F.struct(F.col("lo").alias("a"), F.col("doc").alias("b"), F.col("n_lo").alias("m")), F.struct(F.col("doc").alias("a"), F.col("hi").alias("b"), F.col("n_hi").alias("m")))
-    stars = groups.select("n", F.explode(ends).alias("p")).where((F.col("p.a") < F.col("p.b")) & _near_size("n", "p.m", percent)).select("p.a", "p.b").distinct()
-    links = _links(stars, known, percent, common)
+def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT, sample: float = SAMPLE) -> DataFrame:
+    """docs with one row of each group of similar texts: of the smallest doc_id. Rows without a doc_id or a word stay.
 
-    # groups that the stars left in pieces: all pairs across pieces that the stars haven't tried
+    Rows that repeat a doc_id are told apart by their texts here, so that one of two different texts is never dropped for the other."""
+    rows, classes, links = class_links(docs.select("doc_id", "text"), percent, sample)
     found = connected_components(links)
-    pieces = groups.select("token", "doc", "n", "lo", "hi").join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("piece", F.coalesce("component", "doc")).drop("component")
-    pieces = materialize(pieces, "pieces")
-    split = pieces.groupBy("token").agg(F.min("piece").alias("p_lo"), F.max("piece").alias("p_hi")).where("p_lo < p_hi").select("token")
-    rest = materialize(pieces.join(split, "token").where("doc <> lo AND doc <> hi").select("token", "doc", "n", "piece"), "rest")
-    other = rest.select("token", F.col("doc").alias("b"), F.col("piece").alias("piece_b"), F.col("n").alias("m"))
-    across = rest.withColumnRenamed("doc", "a").join(other, "token").where((F.col("a") < F.col("b")) & (F.col("piece") != F.col("piece_b")) & _near_size("n", "m", percent))
-    more = _links(across.select("a", "b").distinct(), known, percent, common)
-
-    joined = connected_components(links.union(more))
-    sizes = every.mapInArrow(_size_rows, "doc_id long, n_shingles long")
-    return sizes.join(joined, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    group = classes.join(found, F.col("class") == F.col("node"), "left").groupBy(F.coalesce("component", "class").alias("group")).agg(F.min(F.struct("doc", "class")).alias("first"))
+    several = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg((F.count(F.lit(1)) > 1).alias("several"))
+    key, want, many, rank = (spare(docs, x) for x in ("near_doc", "near_class", "near_several", "near_rank"))
+    first = group.select("first.doc", "first.class").join(several, F.col("doc") == F.col("doc_id")).select(F.col("doc").alias(key), F.col("class").alias(want), F.col("several").alias(many))
+    judged = F.col("doc_id").isNotNull() & (n_words(F.col("text")) > 0)
+    met = docs.where(judged).join(first, F.col("doc_id") == F.col(key))
+    # texts of a repeated doc_id: the row must be of the class, and the first such
+    met = met.withColumn(rank, class_hash(F.when(F.col(many), F.col("text")))).where(~F.col(many) | (F.col(rank) == F.col(want)))
+    met = met.withColumn(rank, F.row_number().over(Window.partitionBy(key, want).orderBy(many))).where(F.col(rank) == 1)
+    return met.select(*docs.columns).unionByName(docs.where(~judged))
