@@ -12,8 +12,9 @@ are judged on the input, and the smallest doc_id that has a window keeps it.
    compacted to one edge; where it branches, each of its windows is an edge of its own. An aggregate
    over each edge's content (96 bits) gives its first document and place.
 3. Compaction. Each occurrence joins its content's row. In a document, neighbouring edges compact to
-   one span as long as their first places are neighbours in one document too.
-4. Verification. The words at the span's first place (document and position) are read again and
+   one span as long as their first places are neighbours in one text too; spans that follow each other
+   with one and the same first place (a phrase over and over) compact to one row with a count.
+4. Verification. The words at the span's first place (document, text and position) are read again and
    their 128-bit digest goes with the span; the span is removed only if its own words have it.
 
 Hot windows cost one row for each document; they are aggregated before any shuffle, and the joins
@@ -21,7 +22,7 @@ that bring results back have plain exchanges on both sides, which adaptive execu
 
 Defined cases: a null or blank text has no words; a row with a null doc_id is returned unchanged and
 is nobody's source; rows that repeat a doc_id are parts of one document, so none removes words of
-another; texts of fewer than k words have no window. Columns besides doc_id and text are not read.
+another, and a first place is one in one of them; texts of fewer than k words have no window. Columns besides doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from lodestone.llm import tokens as tk
-from lodestone.sources.scratch import frugal, materialize
+from lodestone.sources.scratch import discard, frugal, materialize
 
 GRAM = 6
 
@@ -138,16 +139,17 @@ def _digest(words: list[bytes]) -> bytes:
 
 
 def _source_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, wanted: pos and words) to the digest of those words."""
+    """(doc_id, tkey, text, wanted: pos and words) to the digest of those words."""
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
     for batch in batches:
-        out: tuple[list, ...] = ([], [], [], [])
-        for i, d, text, wanted in zip(range(batch.num_rows), batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("wanted"), strict=True):
+        out: list[tuple] = []
+        for d, key, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tkey")), batch.column("text"), batch.column("wanted"), strict=True):
             found = (text.as_py() or "").encode().split()
             for x in wanted.as_py():
                 if x["src_pos"] + x["words"] <= len(found):
-                    for column, value in zip(out, (d, x["src_pos"], x["words"], _digest(found[x["src_pos"] : x["src_pos"] + x["words"]])), strict=True):
-                        column.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary())], ["src_doc", "src_pos", "words", "digest"])
+                    out.append((d, key, x["src_pos"], x["words"], _digest(found[x["src_pos"] : x["src_pos"] + x["words"]])))
+        columns = zip(*out, strict=True) if out else [()] * len(types)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["src_doc", "src_key", "src_pos", "words", "digest"])
 
 
 def _cut_rows(with_text: bool, k: int):
@@ -177,7 +179,7 @@ def _cut_rows(with_text: bool, k: int):
 
 
 def repeated_spans(read: DataFrame, texts: DataFrame, k: int = 13) -> DataFrame:
-    """doc_id, tkey, pos, words, src_doc, src_pos, digest: verified spans of repeated words.
+    """doc_id, tkey, pos, words, times, src_doc, src_key, src_pos, digest: verified spans of repeated words.
 
     `texts` has doc_id (long, not null), text and tkey, a hash that tells rows of one doc_id apart; `read` has
     the same rows as they were read, for the pass that needs no exchange."""
@@ -190,20 +192,27 @@ def repeated_spans(read: DataFrame, texts: DataFrame, k: int = 13) -> DataFrame:
 
     edges = texts.join(flagged, F.col("doc_id") == F.col("doc_")).select("doc_id", "tkey", "text", "plain", "branching")
     edges = edges.mapInArrow(_edge_rows(k), "doc_id long, tkey int, pos int, n int, times int, c1 long, c2 int")
-    contents = edges.groupBy("c1", "c2").agg(F.min("n").alias("n"), F.min("doc_id").alias("src_doc"), F.max("doc_id").alias("last_doc"), F.min_by("pos", "doc_id").alias("src_pos"))
-    contents = contents.where("src_doc < last_doc").drop("last_doc")
+    contents = edges.groupBy("c1", "c2").agg(F.min("n").alias("n"), F.min(F.struct("doc_id", "tkey", "pos")).alias("src"), F.max("doc_id").alias("last_doc"))
+    contents = contents.where("src.doc_id < last_doc").select("c1", "c2", "n", F.col("src.doc_id").alias("src_doc"), F.col("src.tkey").alias("src_key"), F.col("src.pos").alias("src_pos"))
     hits = edges.join(contents, ["c1", "c2", "n"]).where(F.col("doc_id") > F.col("src_doc"))
 
     order = Window.partitionBy("doc_id", "tkey").orderBy("pos")
     last = lambda c: F.lag(c).over(order)
-    goes_on = (last("pos") + last("n") == F.col("pos")) & (last("src_doc") == F.col("src_doc")) & (last("src_pos") + last("n") == F.col("src_pos")) & (F.col("times") == 1) & (last("times") == 1)
-    runs = hits.select("doc_id", "tkey", "pos", "n", "times", "src_doc", "src_pos").repartition("doc_id").withColumn("new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn("run", F.sum("new").over(order))
-    spans = runs.groupBy("doc_id", "tkey", "run").agg(F.min("pos").alias("pos"), (F.sum("n") + (k - 1)).cast("int").alias("words"), F.max("times").alias("times"), F.min_by("src_doc", "pos").alias("src_doc"), F.min_by("src_pos", "pos").alias("src_pos")).drop("run")
-    spans = materialize(spans, "spans")
-
-    wanted = spans.select("src_doc", "src_pos", "words").distinct().groupBy("src_doc").agg(F.collect_list(F.struct("src_pos", "words")).alias("wanted"))
-    digests = texts.join(wanted, F.col("doc_id") == F.col("src_doc")).select("doc_id", "text", "wanted").mapInArrow(_source_rows, "src_doc long, src_pos int, words int, digest binary")
-    return spans.join(digests.distinct(), ["src_doc", "src_pos", "words"])
+    same = (last("src_doc") == F.col("src_doc")) & (last("src_key") == F.col("src_key")) & (F.col("times") == 1) & (last("times") == 1)
+    numbered = lambda df, goes_on: df.withColumn("new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn("run", F.sum("new").over(order))
+    runs = hits.select("doc_id", "tkey", "pos", "n", "times", "src_doc", "src_key", "src_pos").repartition("doc_id")
+    runs = numbered(runs, same & (last("pos") + last("n") == F.col("pos")) & (last("src_pos") + last("n") == F.col("src_pos")))
+    first = [F.min_by(c, "pos").alias(c) for c in ("src_doc", "src_key", "src_pos")]
+    spans = runs.groupBy("doc_id", "tkey", "run").agg(F.min("pos").alias("pos"), F.sum("n").cast("int").alias("n"), F.max("times").alias("times"), *first)
+    again = numbered(spans, same & (last("pos") + last("n") == F.col("pos")) & (last("src_pos") == F.col("src_pos")) & (last("n") == F.col("n")))
+    again = again.groupBy("doc_id", "tkey", "run").agg(F.min("pos").alias("pos"), (F.first("n") + (k - 1)).cast("int").alias("words"), F.sum("times").cast("int").alias("times"), *first)
+    spans = materialize(again.drop("run"), "spans")
+    discard(flagged)
+
+    place = ["src_doc", "src_key", "src_pos", "words"]
+    wanted = spans.select(*place).distinct().groupBy("src_doc", "src_key").agg(F.collect_list(F.struct("src_pos", "words")).alias("wanted"))
+    digests = texts.join(wanted, (F.col("doc_id") == F.col("src_doc")) & (F.col("tkey") == F.col("src_key"))).select("doc_id", "tkey", "text", "wanted").mapInArrow(_source_rows, "src_doc long, src_key int, src_pos int, words int, digest binary")
+    return spans.join(digests.distinct(), place)
 
 
 def substring_dedup(docs: DataFrame, k: int = 13, with_text: bool = False) -> DataFrame:
@@ -212,7 +221,7 @@ def substring_dedup(docs: DataFrame, k: int = 13, with_text: bool = False) -> Da
     ours = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # one exchange of the texts, reused by the passes of a job: all of them see the same rows, keyed by doc_id alone
     read = ours.where(F.col("doc_id").isNotNull())
-    dealt = read.repartition("doc_id").withColumn("tkey", F.pmod(F.hash("text"), F.lit(127)))
+    dealt = read.repartition("doc_id").withColumn("tkey", F.hash("text"))
     spans = repeated_spans(read, dealt, k).groupBy(F.col("doc_id").alias("doc_")).agg(F.collect_list(F.struct("tkey", "pos", "words", "times", "digest")).alias("spans"))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     known = dealt.join(spans, F.col("doc_id") == F.col("doc_"), "left").select("doc_id", "tkey", "text", "spans").mapInArrow(_cut_rows(with_text, k), schema)

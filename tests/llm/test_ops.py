@@ -238,3 +238,37 @@ def test_lm(spark):
     assert got[0]["mean_logp"] > got[900]["mean_logp"] and got[0]["n_words"] == 60
     assert got[901]["n_words"] == 0 and got[901]["log_likelihood"] == 0 and got[902]["mean_logp"] is None
     assert lmscore.score(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_substring_source_of_two_texts(spark):
+    """Windows of one span lie in two texts under one doc_id."""
+    p = [f"p{i}" for i in range(14)]
+    rows = [(1, " ".join([*p[:13], "zz", "yy"])), (1, " ".join(["qq", *p[1:], "vv"])), (2, " ".join(["s1", "s2", *p, "s3"]))]
+    got = {r["doc_id"]: r["n_removed"] for r in substring.substring_dedup(frame(spark, rows)).collect()}
+    assert got[2] == 14
+
+
+def test_jaccard_repeated_ids(spark):
+    """A doc_id with two texts is one node; near duplicates are dropped text by text."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, a), (2, a + " more"), (3, b), (3, c), (4, c + " end"), (3, b), (None, a), (5, None), (6, " "), (2, a)]
+    docs = frame(spark, rows)
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_classes(docs).collect()}
+    assert got == {(1, 26, 1), (2, 27, 1), (2, 26, 1), (3, 26, 3), (4, 27, 3), (None, 26, None), (5, 0, 5), (6, 0, 6)}
+    left = jaccard.drop_near_duplicates(docs)
+    assert left.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=repr) == sorted([(1, a), (3, b), (3, c), (None, a), (5, None), (6, " ")], key=repr)
+
+
+def test_jaccard_near_groups(spark):
+    """A large group of copies of one text that differ in a few words, most pairs of which aren't similar."""
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(80)]
+    rows = []
+    for d in range(150):
+        words = list(base)
+        for _ in range(rng.randrange(0, 8)):
+            words[rng.randrange(80)] = f"e{rng.randrange(30)}"
+        rows.append((d, " ".join(words)))
+    got = sorted(tuple(r) for r in jaccard.jaccard_classes(frame(spark, rows)).collect())
+    assert got == brute.jaccard_classes(rows) and len({c for *_, c in got}) > 1
