@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -13,7 +12,6 @@ from lodestone.operators.graph import ensure_checkpoint_dir
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows of a narrow table up to which it is broadcast; beyond, joins with it exchange both sides.
 SMALL = 200_000
-_open: list[list[str]] = []
 
 
 def frugal(spark: SparkSession) -> None:
@@ -28,8 +26,6 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    for paths in _open:
-        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -46,17 +42,6 @@ def discard(*tables: DataFrame) -> None:
             remove(df.sparkSession, path)
 
 
-@contextmanager
-def collected():
-    """Yields a list that gets the paths of all tables materialized meanwhile."""
-    paths: list[str] = []
-    _open.append(paths)
-    try:
-        yield paths
-    finally:
-        _open.remove(paths)
-
-
 def small(df: DataFrame, name: str = "small", limit: int = SMALL) -> DataFrame:
     """df materialized, and marked for a broadcast only if it has been counted to have `limit` rows or fewer."""
     made = materialize(df, name)
