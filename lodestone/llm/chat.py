@@ -100,7 +100,10 @@ def _digest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if now:
                     out.append((now[0], n, said.hexdigest(), loss, learnt.hexdigest(), chars))
                 now, n, loss, chars, said, learnt = (conv,), 0, 0, 0, hashlib.sha256(), hashlib.sha256()
-            for role, text in parse(piece) or ():
+            turns = parse(piece)
+            if turns is None:
+                raise ValueError("a piece isn't in the grammar")
+            for role, text in turns:
                 n += 1
                 said.update(f"{role}\n{text}\n".encode())
             chars += len(piece)
@@ -116,7 +119,10 @@ def _digest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def chat_digests(formatted: DataFrame) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, read back from format_chats' rows."""
-    # turns with equal numbers sort by role, then text, as the source would
-    key = F.regexp_replace("piece", r"(?s)\\(.)", "$1")
-    dealt = formatted.withColumn("key", key).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "key")
+    # turns with equal numbers sort by role, then text, as the source would; the keys are cut from the pieces only where two are equal
+    head = r"^### ([^\\#<:]*+(?:\\.[^\\#<:]*+)*+): "
+    plain = lambda c: F.regexp_replace(c, r"(?s)\\(.)", "$1")
+    role = plain(F.regexp_extract("piece", "(?s)" + head, 1))
+    text = plain(F.regexp_extract("piece", "(?s)" + head + r"(.*)</turn>\n$", 2))
+    dealt = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", role, text)
     return dealt.mapInArrow(_digest_rows, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

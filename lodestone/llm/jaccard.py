@@ -42,7 +42,7 @@ from lodestone.llm.common import n_words, spare
 from lodestone.operators.graph import connected_components
 from lodestone.sources.scratch import discard, frugal, materialize
 
-K, PERCENT, SAMPLE = 5, 75, 0.5
+K, PERCENT, SAMPLE = 5, 75, 0.4
 
 
 def _sets(words: tk.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -9,7 +9,9 @@ so nothing iterates and only one row for each source is ever sorted together.
 A document of a source with rate r = target / size is taken floor(r) whole times and a last,
 fractional time. The fractional repetition is a run of the document's words that starts at a seeded
 place; its length is r's fraction of the document, rounded up or down by a seeded draw. So the
-words taken from a source are within one word a document of its target, and reruns agree.
+words taken from a source are within one word a document of its target, and reruns agree. Draws
+depend on the doc_id, the text and, where both are repeated, on the number of the copy; copies are
+counted from a narrow table, and only rows that have any are numbered.
 
 Defined cases: null text has size 0 and is taken 0 times; a null source is a source of its own,
 sorted last; a source without words has target 0; repeated rows are each taken on their own; when
@@ -25,6 +27,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lodestone.llm.common import n_words, spare, words
+from lodestone.sources.scratch import frugal, materialize, small
 
 WEIGHTS = (3.0, 1.0, 2.0)
 
@@ -50,20 +53,43 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, budget:
 
 def draw(seed: int, key: Column, salt: str) -> Column:
     """A number in [0, 1) that depends on the seed and the key alone."""
-    text = F.concat(F.lit(f"{seed}:{salt}:"), F.coalesce(key.cast("string"), F.lit("")))
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:{salt}:"), key)), 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
+
+
+def _digest() -> Column:
+    return F.md5(F.coalesce(F.col("text"), F.lit("")))
+
+
+def _narrow(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size, digest: all that the plan needs, read from the texts once."""
+    return materialize(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), _digest().alias("digest")), "sizes")
+
+
+def _draw_key(df: DataFrame, narrow: DataFrame, digest: str, key: str) -> DataFrame:
+    """df with the column `key`: doc_id, digest and number of the copy. Copies of one doc_id and text are sorted together."""
+    repeats = materialize(narrow.groupBy(F.col("doc_id").alias("r_doc"), F.col("digest").alias("r_digest")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "repeats")
+    named = lambda n: F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col(digest), F.lit(":"), n.cast("string"))
+    if not repeats.count():
+        return df.withColumn(key, named(F.lit(1)))
+    of, at = (spare(df, x) for x in ("r_doc", "r_digest"))
+    mine = F.col("doc_id").eqNullSafe(F.col(of)) & (F.col(digest) == F.col(at))
+    repeats = repeats.withColumnsRenamed({"r_doc": of, "r_digest": at})
+    copies = df.join(repeats, mine, "left_semi").withColumn(key, named(F.row_number().over(Window.partitionBy("doc_id", digest).orderBy(digest))))
+    return df.join(repeats, mine, "left_anti").withColumn(key, named(F.lit(1))).unionByName(copies)
 
 
 def mixing_plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = 1.5, max_epochs: float = 2.0, seed: int = 17) -> DataFrame:
     """Every document with its size, its source's size and target, and the words taken from it.
 
     Returns doc_id, source, size, source_size, target, taken."""
-    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
-    per = source_targets(sized.select("source", "size"), weights, budget, max_epochs).withColumnRenamed("source", "source_")
+    frugal(docs.sparkSession)
+    narrow = _narrow(docs)
+    per = small(source_targets(narrow.select("source", "size"), weights, budget, max_epochs).withColumnRenamed("source", "source_"), "targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    exact = F.floor(rate * F.col("size") + draw(seed, F.col("doc_id"), "round"))
+    exact = F.floor(rate * F.col("size") + draw(seed, F.col("key"), "round"))
     taken = F.least(exact, F.floor(F.col("size") * F.lit(float(max_epochs)))).cast("long")
-    return sized.join(per, F.col("source").eqNullSafe(F.col("source_"))).select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
+    met = _draw_key(narrow, narrow, "digest", "key").join(per, F.col("source").eqNullSafe(F.col("source_")))
+    return met.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = 1.5, max_epochs: float = 2.0, seed: int = 17) -> DataFrame:
@@ -71,18 +97,19 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = 1.5
 
     A whole repetition keeps the text as it is. A fractional one holds consecutive words of the
     document, joined by one space, from a seeded start (it wraps to no other document). `n_chars`,
-    where the caller has it, follows the text."""
-    size, taken, total, rep, start = (spare(docs, x) for x in ("mix_size", "mix_taken", "mix_source_size", "repetition", "mix_start"))
-    src, per_source = spare(docs, "mix_source"), "mix_target_of_source"
-    sized = docs.withColumn(size, n_words(F.col("text")))
-    per = source_targets(sized.select("source", F.col(size).alias("size")), weights, budget, max_epochs)
-    per = per.select(F.col("source").alias(src), F.col("source_size").alias(total), F.col("target").alias(per_source))
-    rate = F.when(F.col(total) > 0, F.col(per_source) / F.col(total)).otherwise(F.lit(0.0))
-    count = F.least(F.floor(rate * F.col(size) + draw(seed, F.col("doc_id"), "round")), F.floor(F.col(size) * F.lit(float(max_epochs)))).cast("long")
+    where the caller has it, follows the text. Where the caller has a column named like one that is
+    added, the added one's name ends in underscores."""
+    frugal(docs.sparkSession)
+    size, taken, total, start, src, goal, digest, key, rep = (spare(docs, x) for x in ("mix_size", "mix_taken", "mix_source_size", "mix_start", "mix_source", "mix_target", "mix_digest", "mix_key", "repetition"))
+    narrow = _narrow(docs)
+    per = small(source_targets(narrow.select("source", "size"), weights, budget, max_epochs).select(F.col("source").alias(src), F.col("source_size").alias(total), F.col("target").alias(goal)), "targets")
+    sized = _draw_key(docs.withColumn(size, n_words(F.col("text"))).withColumn(digest, _digest()), narrow, digest, key)
+    rate = F.when(F.col(total) > 0, F.col(goal) / F.col(total)).otherwise(F.lit(0.0))
+    count = F.least(F.floor(rate * F.col(size) + draw(seed, F.col(key), "round")), F.floor(F.col(size) * F.lit(float(max_epochs)))).cast("long")
     met = sized.join(per, F.col("source").eqNullSafe(F.col(src))).withColumn(taken, count).where(F.col(taken) > 0)
     met = met.withColumn(rep, F.explode(F.sequence(F.lit(1), F.ceil(F.col(taken) / F.col(size)).cast("int"))))
     left = F.least(F.col(size), F.col(taken) - (F.col(rep) - 1) * F.col(size)).cast("int")
-    met = met.withColumn(taken, left).withColumn(start, F.floor(draw(seed, F.col("doc_id"), "start") * (F.col(size) - F.col(taken) + 1)).cast("int") + 1)
+    met = met.withColumn(taken, left).withColumn(start, F.floor(draw(seed, F.col(key), "start") * (F.col(size) - F.col(taken) + 1)).cast("int") + 1)
     text = F.when(F.col(taken) == F.col(size), F.col("text")).otherwise(F.array_join(F.slice(words(F.col("text")), F.col(start), F.col(taken)), " "))
     out = met.withColumn("text", text)
     if "n_chars" in docs.columns:

@@ -42,8 +42,8 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality.quality_rules(table(spark, sf_dir, "documents"))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    judged = quality.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), keep=["doc_id"])
+    return judged.select("doc_id", *[f"quality.{c}" for c in (*quality.COUNTS, "base_failed", "kept")])
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,9 +13,10 @@ counted AS (
     length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(lines.n, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words
   FROM cut LEFT JOIN lines USING (rid) LEFT JOIN covered USING (rid)),
 judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted),
-hosts AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS f FROM judged GROUP BY source),
-prior AS (SELECT m, CASE WHEN v > 1e-12 AND m * (1 - m) > v THEN m * (1 - m) / v - 1 ELSE 10.0 END AS k FROM (SELECT avg(f / n) AS m, var_pop(f / n) AS v FROM hosts)),
-verdict AS (SELECT source, (f + m * k) / (n + k) > 0.8 AS rejected FROM hosts, prior)
+failed AS (SELECT source, unnest([n_words < 50, 100 * n_repeat_words > 50 * n_words, 100 * n_symbols > 20 * n_words]) AS bad, unnest([1, 2, 3]) AS rule FROM judged),
+hosts AS (SELECT source, rule, count(*) AS n, count(*) FILTER (bad) AS f FROM failed GROUP BY source, rule),
+prior AS (SELECT rule, m, CASE WHEN v > 1e-12 AND m * (1 - m) > v THEN m * (1 - m) / v - 1 ELSE 10.0 END AS k FROM (SELECT rule, avg(f / n) AS m, var_pop(f / n) AS v FROM hosts GROUP BY rule)),
+verdict AS (SELECT source, max((f + m * k) / (n + k)) > 0.8 AS rejected FROM hosts JOIN prior USING (rule) GROUP BY source)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
   n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept
 FROM judged JOIN verdict ON judged.source IS NOT DISTINCT FROM verdict.source
@@ -33,11 +34,11 @@ SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment FROM
 
 
 def _draw(salt: str) -> str:
-    return f"('0x' || substr(md5('17:{salt}:' || doc_id::VARCHAR), 1, 8))::BIGINT::DOUBLE / 4294967296.0"
+    return f"('0x' || substr(md5('17:{salt}:' || coalesce(doc_id::VARCHAR, '') || ':' || digest || ':' || copy), 1, 8))::BIGINT::DOUBLE / 4294967296.0"
 
 
 OP10 = rf"""
-WITH sized AS (SELECT doc_id, source, len({WORDS}) AS size FROM documents),
+WITH sized AS (SELECT doc_id, source, len({WORDS}) AS size, md5(coalesce(text, '')) AS digest, row_number() OVER (PARTITION BY doc_id, md5(coalesce(text, ''))) AS copy FROM documents),
 per AS (SELECT source, sum(size) AS source_size FROM sized GROUP BY source),
 ranked AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight,
   row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM per),

@@ -52,20 +52,21 @@ def validity(entries: DataFrame) -> DataFrame:
 
 
 def filter_urls(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: str = "fetched_at") -> DataFrame:
-    """captures with `pattern` (the entry that decides, null for none), `verdict` and `kept` added.
+    """captures with `pattern` (the entry that decides, null for none), `verdict` and `kept` added; where captures has such
+    a column, the added one's name ends in underscores.
 
     `entries`: list, pattern, verdict ('block' or 'allow'), action ('add' or 'remove') and at."""
-    row, pat = spare(captures, "url_row"), spare(captures, "url_pattern")
-    spans = validity(entries).select(F.col("pattern").alias(pat), "verdict", "valid_from", "valid_to")
+    spans = validity(entries).select("pattern", "verdict", "valid_from", "valid_to")
     # distinct (url, time) pairs are judged, so copies of one capture cost one row
     asked = captures.select(F.col(url).alias("u"), F.col(fetched).alias("f")).where("u IS NOT NULL AND f IS NOT NULL").distinct()
     keys = asked.select("u", "f", F.explode(patterns_of(F.col("u"))).alias("key"))
-    active = keys.join(spans, (F.col("key") == F.col(pat)) & (F.col("f") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("f") < F.col("valid_to"))))
-    best = F.max(F.struct(F.length(pat).alias("n"), (F.col("verdict") == "allow").alias("allow"), F.col(pat).alias("pattern"), F.col("verdict").alias("verdict")))
-    decided = active.groupBy(F.col("u").alias(row), F.col("f").alias(pat)).agg(best.alias("best"))
-    met = captures.join(decided, (F.col(url) == F.col(row)) & (F.col(fetched) == F.col(pat)), "left")
-    kept = F.coalesce(F.col("best.verdict") != "block", F.lit(True))
-    return met.select(*captures.columns, F.col("best.pattern").alias("pattern"), F.col("best.verdict").alias("verdict"), kept.alias("kept"))
+    active = keys.join(spans, (F.col("key") == F.col("pattern")) & (F.col("f") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("f") < F.col("valid_to"))))
+    best = F.max(F.struct(F.length("pattern").alias("n"), (F.col("verdict") == "allow").alias("allow"), F.col("pattern").alias("pattern"), F.col("verdict").alias("verdict")))
+    u, f, b = (spare(captures, x) for x in ("url_u", "url_f", "url_best"))
+    decided = active.groupBy(F.col("u").alias(u), F.col("f").alias(f)).agg(best.alias(b))
+    met = captures.join(decided, (F.col(url) == F.col(u)) & (F.col(fetched) == F.col(f)), "left")
+    kept = F.coalesce(F.col(f"{b}.verdict") != "block", F.lit(True))
+    return met.select(*captures.columns, F.col(f"{b}.pattern").alias(spare(captures, "pattern")), F.col(f"{b}.verdict").alias(spare(captures, "verdict")), kept.alias(spare(captures, "kept")))
 
 
 def capture_table(pages: DataFrame) -> DataFrame:

@@ -129,34 +129,54 @@ def test_chat_grammar():
 
 def test_chat(spark):
     rows = [(1, 1, "assistant", "b</turn>"), (1, 0, "user", None), (None, 0, None, "x"), (2, 0, "assistant", "é"), (2, 0, "assistant", "é"), (2, 0, "assistant", "a\\"), (3, None, "user", "")]
+    rows += [(4, 0, "a", "x"), (4, 0, "a!", "y"), (5, 0, "u", "x!"), (5, 0, "u", "x"), (6, 0, "u", "\\z"), (6, 0, "u", "z")]
     got = {r["conv_id"]: r for r in chat.chat_digests(chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     assert got[1]["turns_sha256"] == sha("user\n\nassistant\nb</turn>\n") and got[1]["loss_sha256"] == sha("b</turn>")
     assert got[2]["n_turns"] == 3 and got[2]["loss_sha256"] == sha("a\\éé") and got[2]["loss_chars"] == 4
     assert got[None]["turns_sha256"] == sha("\nx\n") and got[3]["loss_chars"] == 0
+    assert got[4]["turns_sha256"] == sha("a\nx\na!\ny\n") and got[5]["turns_sha256"] == sha("u\nx\nu\nx!\n") and got[6]["turns_sha256"] == sha("u\n\\z\nu\nz\n")
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("piece", F.lit("mine"))
+    assert chat.format_chats(turns).columns == ["conv_id", "turn", "piece", "loss_start", "loss_end", "escaped"]
+    assert chat.chat_digests(chat.format_chats(turns.limit(0))).count() == 0
+    with pytest.raises(Exception, match="grammar"):
+        chat.chat_digests(chat.format_chats(turns).withColumn("piece", F.lit("no turn"))).collect()
+
+
+def plain_quality(text):
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
+    w = brute.words(text)
+    seen = {}
+    for i in range(len(w) - 2):
+        seen.setdefault(tuple(w[i : i + 3]), []).append(i)
+    covered = {i + j for v in seen.values() if len(v) > 1 for i in v for j in range(3)}
+    lines = [x for x in (text or "").split("\n") if x.strip(brute.BLANKS)]
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(covered), len(w) < 50 or 100 * len(covered) > 50 * len(w)
 
 
 def test_quality(spark):
-    rows = corpus()
-    got = quality.quality_rules(frame(spark, rows))
+    rows = corpus() + [(7, "a\n\na\nb# c\n"), (7, "a\n\na\nb# c\n")]
+    docs = frame(spark, rows).withColumn("n_words", F.lit("mine")).withColumn("kept", F.lit("mine"))
+    got = quality.quality_rules(docs)
+    assert got.columns == [*docs.columns, "quality"] and got.count() == len(rows)
     for r in got.collect():
-        w = brute.words(r["text"])
-        seen = {}
-        for i in range(len(w) - 2):
-            seen.setdefault(tuple(w[i : i + 3]), []).append(i)
-        covered = {i + j for v in seen.values() if len(v) > 1 for i in v for j in range(3)}
-        lines = [x for x in (r["text"] or "").split("\n") if x.strip(brute.BLANKS)]
-        assert (r["n_words"], r["n_repeat_words"], r["n_dup_lines"]) == (len(w), len(covered), len(lines) - len(set(lines)))
-        assert r["word_chars"] == sum(map(len, w)) and r["n_symbols"] == sum(c in "#*$%&|<>" for c in r["text"] or "")
-        assert r["base_failed"] == (len(w) < 50 or 100 * len(covered) > 50 * len(w)) and r["kept"] <= (not r["base_failed"])
-    assert quality.quality_rules(frame(spark, rows).limit(0)).count() == 0
+        q = r["quality"]
+        assert tuple(q[c] for c in (*quality.COUNTS, "base_failed")) == plain_quality(r["text"])
+        assert q["kept"] <= (not q["base_failed"]) and r["n_words"] == r["kept"] == "mine"
+    assert quality.quality_rules(docs.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        quality.quality_rules(got)
 
 
 def test_quality_host(spark):
+    """Hosts are rejected by a rule of their own, shrunk towards all hosts; the symbols rule is no base rule."""
     good, bad = " ".join(f"g{i}" for i in range(60)), "short"
+    signs = " ".join(f"#{i}" for i in range(60))
     rows = [(i, bad if i < 58 else good, "bad", 0, "", "") for i in range(60)] + [(100 + i, good, "good", 0, "", "") for i in range(60)] + [(200, good, "small", 0, "", ""), (201, bad, "small", 0, "", "")]
-    kept = {r[0] for r in quality.quality_rules(spark.createDataFrame(rows, DOC)).where("kept").select("doc_id").collect()}
-    assert 58 not in kept and 100 in kept and 200 in kept and 201 not in kept
+    rows += [(300 + i, signs if i < 59 else good, "signs", 0, "", "") for i in range(60)]
+    kept = {r[0] for r in quality.quality_rules(spark.createDataFrame(rows, DOC)).where("quality.kept").select("doc_id").collect()}
+    assert 58 not in kept and 100 in kept and 200 in kept and 201 not in kept and not kept & set(range(300, 360))
+    assert 359 in {r[0] for r in quality.quality_rules(spark.createDataFrame(rows, DOC), host_limit=0.999).where("quality.kept").select("doc_id").collect()}
 
 
 def test_decontamination(spark):
@@ -167,6 +187,27 @@ def test_decontamination(spark):
     assert got == {(d, i) for d in (1, 2, None) for i in (1, 4)}
     assert {r["doc_id"] for r in decontaminate.decontaminate(frame(spark, rows), items).collect()} == {3, 4, 5}
     assert decontaminate.decontaminate(frame(spark, rows), items.limit(0)).count() == len(rows)
+    assert decontaminate.decontaminate(frame(spark, rows).limit(0), items).count() == 0
+    clash = frame(spark, rows).withColumn("leak", F.lit("mine")).withColumn("leak_", F.lit("mine")).withColumn("found_", F.lit(1))
+    left = decontaminate.decontaminate(clash, items)
+    assert left.columns == clash.columns and {r["doc_id"] for r in left.collect()} == {3, 4, 5}
+
+
+def test_decontamination_parts(spark):
+    """A window is compared only in the partitions of items whose bound it keeps to, and long texts are searched whole."""
+    rng = random.Random(8)
+    texts = [" ".join(f"i{i}x{j}" for j in range(n)) for i, n in enumerate((6, 9, 20, 40, 90))]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    long = " ".join(f"z{rng.randrange(10**6)}" for _ in range(30000))
+    rows = [(i, f"{long} {t}") for i, t in enumerate(texts)] + [(50, long)]
+    docs = frame(spark, rows)
+    sign = decontaminate.signatures(items)
+    bounds = {r["part"]: r["b"] for r in sign.groupBy("part").agg(F.max("h").alias("b")).collect()}
+    got = decontaminate.sketches(docs.select("doc_id", "text", F.xxhash64("text").alias("tkey")), sign)
+    assert len(bounds) >= 4 and all(r["top"] <= bounds[r["part"]] for r in got.groupBy("part").agg(F.max("h").alias("top")).collect())
+    counts = {r["part"]: r["count"] for r in got.groupBy("part").count().collect()}
+    assert len(set(counts.values())) > 1 and sorted(bounds, key=bounds.get) == sorted(counts, key=counts.get)
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, items).collect()} == {(i, i) for i in range(len(texts))}
 
 
 def test_mixing(spark):
@@ -187,6 +228,19 @@ def test_mixing(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixing_repeats(spark):
+    """Rows without a doc_id, and rows that repeat all they have, are rounded each on their own."""
+    rows = [(None, "one")] * 150 + [(None, f"w{i}") for i in range(150)] + [(1, "same")] * 100 + [(i, "a b c") for i in range(2, 60)]
+    docs = spark.createDataFrame([(d, t, "src" if i < 300 else "other", "x", "y") for i, (d, t) in enumerate(rows)], "doc_id long, text string, source string, mix_target_of_source string, mix_key string")
+    plan = mixing.mixing_plan(docs).collect()
+    for source in ("src", "other"):
+        mine = [r for r in plan if r["source"] == source]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) < 0.1 * mine[0]["target"]
+    assert sorted(map(tuple, plan), key=repr) == sorted(map(tuple, mixing.mixing_plan(docs.repartition(5)).collect()), key=repr)
+    mixed = mixing.mix(docs)
+    assert mixed.columns == [*docs.columns, "repetition", "n_taken"] and mixed.agg(F.sum("n_taken")).first()[0] == sum(r["taken"] for r in plan)
+
+
 def test_urls(spark):
     day = lambda d: f"2024-01-{d:02d}"
     entries = spark.createDataFrame([("l", "bad.org", "block", "add", day(5)), ("l", "bad.org", "block", "remove", day(10)), ("l", "bad.org/ok", "allow", "add", day(1)), ("l", None, "block", "add", day(1)), ("l", "x.com", "block", "add", day(5)), ("l", "x.com", "block", "remove", day(5))], "list string, pattern string, verdict string, action string, at string").withColumn("at", F.to_date("at"))
@@ -194,6 +248,11 @@ def test_urls(spark):
     df = spark.createDataFrame([(u, f, k) for u, f, k in rows], "url string, f string, want boolean").withColumn("fetched_at", F.to_date("f")).withColumn("pattern_", F.lit(1))
     got = urls.filter_urls(df, entries).collect()
     assert len(got) == len(rows) and all(r["kept"] == r["want"] for r in got)
+    clash = df.withColumn("best", F.lit("mine")).withColumn("verdict", F.lit("mine")).withColumn("kept", F.lit("mine"))
+    out = urls.filter_urls(clash.union(clash), entries)
+    assert out.columns == [*clash.columns, "pattern", "verdict_", "kept_"] and out.count() == 2 * len(rows)
+    assert all(r["kept_"] == r["want"] and r["verdict"] == "mine" for r in out.collect())
+    assert urls.filter_urls(df.limit(0), entries).count() == 0 and urls.filter_urls(df, entries.limit(0)).where("kept").count() == len(rows)
 
 
 def test_toxicity(spark):
