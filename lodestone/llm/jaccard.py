@@ -131,7 +131,7 @@ def _fit(a: str, b: str, percent: int) -> Column:
 
 def _part(df: DataFrame) -> DataFrame:
     """A second join key, so that a join doesn't reuse an aggregate's exchange and a hot shingle can be split."""
-    return df.withColumn("part", F.pmod("token", F.lit(1009)))
+    return df.withColumn("part", F.shiftrightunsigned("token", 63))
 
 
 def _candidate_sets(known: DataFrame, classes: DataFrame, percent: int, sample: float) -> DataFrame:

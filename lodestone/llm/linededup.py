@@ -139,8 +139,8 @@ def repeated_chunks(texts: DataFrame, window: int = WINDOW, divisor: int = DIVIS
     rule = (window, divisor, min_lines)
     ours = texts.select("doc_id", "text").where(F.col("doc_id").isNotNull())
     hashes = ours.mapInArrow(_hash_rows(*rule), "doc_id long, h long")
-    shared = hashes.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h", F.pmod("h", F.lit(1009)).alias("part"))
-    wanted = hashes.withColumn("part", F.pmod("h", F.lit(1009))).join(shared, ["h", "part"]).groupBy(F.col("doc_id").alias("doc_")).agg(F.collect_set("h").alias("wanted"))
+    shared = hashes.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h", F.shiftrightunsigned("h", 63).alias("part"))
+    wanted = hashes.withColumn("part", F.shiftrightunsigned("h", 63)).join(shared, ["h", "part"]).groupBy(F.col("doc_id").alias("doc_")).agg(F.collect_set("h").alias("wanted"))
     again = ours.join(wanted, F.col("doc_id") == F.col("doc_")).select("doc_id", "text", "wanted").mapInArrow(_chunk_rows(*rule), "doc_id long, h long, chunk binary")
     # byte comparison: the groups are the chunks themselves
     first = again.groupBy("chunk").agg(F.min("h").alias("h"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("chunk", "h", "lo")
@@ -245,8 +245,8 @@ def repeated_runs(read: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """doc_id, pos, n, src_doc, src_pos: runs of n windows that a document with a smaller doc_id has, by hash. `read`: doc_id (long, not null), text."""
     windows = read.withColumn("tkey", F.pmod(F.hash("text"), F.lit(127))).select("doc_id", "tkey", "text").mapInArrow(_window_rows(min_lines), "doc_id long, tkey int, pos int, h long, new boolean")
     shared = windows.where("new").groupBy("h").agg(F.min("doc_id").alias("src_doc"), F.max("doc_id").alias("last_doc"), F.min_by("pos", "doc_id").alias("src_pos")).where("src_doc < last_doc")
-    shared = shared.select("h", F.pmod("h", F.lit(1009)).alias("part"), "src_doc", "src_pos")
-    hits = windows.select("doc_id", "tkey", "pos", "h", F.pmod("h", F.lit(1009)).alias("part")).join(shared, ["h", "part"]).where(F.col("doc_id") > F.col("src_doc"))
+    shared = shared.select("h", F.shiftrightunsigned("h", 63).alias("part"), "src_doc", "src_pos")
+    hits = windows.select("doc_id", "tkey", "pos", "h", F.shiftrightunsigned("h", 63).alias("part")).join(shared, ["h", "part"]).where(F.col("doc_id") > F.col("src_doc"))
 
     order = Window.partitionBy("doc_id", "tkey").orderBy("pos")
     last = lambda c: F.lag(c).over(order)

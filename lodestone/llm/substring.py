@@ -186,14 +186,18 @@ def repeated_spans(read: DataFrame, texts: DataFrame, k: int = 13) -> DataFrame:
     anchors = read.select("doc_id", "text").mapInArrow(_anchor_rows(k), "doc_id long, anchor long, content long")
     # one row an anchor; the second join key keeps the join from reusing the aggregate's exchange, so that a hot anchor can be split
     known = anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("content").alias("c_lo"), F.max("content").alias("c_hi")).where("lo < hi")
-    known = known.select("anchor", F.pmod("anchor", F.lit(1009)).alias("part"), (F.col("c_lo") != F.col("c_hi")).alias("branches"))
-    flagged = anchors.select("doc_id", "anchor", F.pmod("anchor", F.lit(1009)).alias("part")).join(known, ["anchor", "part"])
+    known = known.select("anchor", F.shiftrightunsigned("anchor", 63).alias("part"), (F.col("c_lo") != F.col("c_hi")).alias("branches"))
+    flagged = anchors.select("doc_id", "anchor", F.shiftrightunsigned("anchor", 63).alias("part")).join(known, ["anchor", "part"])
     flagged = materialize(flagged.groupBy(F.col("doc_id").alias("doc_")).agg(F.collect_set(F.when(~F.col("branches"), F.col("anchor"))).alias("plain"), F.collect_set(F.when(F.col("branches"), F.col("anchor"))).alias("branching")), "anchors")
 
     edges = texts.join(flagged, F.col("doc_id") == F.col("doc_")).select("doc_id", "tkey", "text", "plain", "branching")
     edges = edges.mapInArrow(_edge_rows(k), "doc_id long, tkey int, pos int, n int, times int, c1 long, c2 int")
-    contents = edges.groupBy("c1", "c2").agg(F.min("n").alias("n"), F.min(F.struct("doc_id", "tkey", "pos")).alias("src"), F.max("doc_id").alias("last_doc"))
-    contents = contents.where("src.doc_id < last_doc").select("c1", "c2", "n", F.col("src.doc_id").alias("src_doc"), F.col("src.tkey").alias("src_key"), F.col("src.pos").alias("src_pos"))
+    # text and position as one number, so that the minimum is one row's and the aggregate works on fixed-width buffers
+    place = F.shiftleft(F.col("tkey").cast("long"), 32).bitwiseOR(F.col("pos").cast("long"))
+    contents = edges.groupBy("c1", "c2").agg(F.min("n").alias("n"), F.min("doc_id").alias("src_doc"), F.max("doc_id").alias("last_doc"), F.min_by(place, "doc_id").alias("at"))
+    contents = contents.where("src_doc < last_doc").select("c1", "c2", "n", "src_doc", F.shiftright("at", 32).cast("int").alias("src_key"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("src_pos"))
+    # a job of its own: the edges are made again for the join, and the shuffle files of either go before the other's
+    contents = materialize(contents, "contents")
     hits = edges.join(contents, ["c1", "c2", "n"]).where(F.col("doc_id") > F.col("src_doc"))
 
     order = Window.partitionBy("doc_id", "tkey").orderBy("pos")
@@ -207,7 +211,7 @@ def repeated_spans(read: DataFrame, texts: DataFrame, k: int = 13) -> DataFrame:
     again = numbered(spans, same & (last("pos") + last("n") == F.col("pos")) & (last("src_pos") == F.col("src_pos")) & (last("n") == F.col("n")))
     again = again.groupBy("doc_id", "tkey", "run").agg(F.min("pos").alias("pos"), (F.first("n") + (k - 1)).cast("int").alias("words"), F.sum("times").cast("int").alias("times"), *first)
     spans = materialize(again.drop("run"), "spans")
-    discard(flagged)
+    discard(flagged, contents)
 
     place = ["src_doc", "src_key", "src_pos", "words"]
     wanted = spans.select(*place).distinct().groupBy("src_doc", "src_key").agg(F.collect_list(F.struct("src_pos", "words")).alias("wanted"))
@@ -221,7 +225,9 @@ def substring_dedup(docs: DataFrame, k: int = 13, with_text: bool = False) -> Da
     ours = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # one exchange of the texts, reused by the passes of a job: all of them see the same rows, keyed by doc_id alone
     read = ours.where(F.col("doc_id").isNotNull())
-    dealt = read.repartition("doc_id").withColumn("tkey", F.hash("text"))
+    # tkey tells the rows of one doc_id apart, and is nothing in all the rows that follow where no doc_id is repeated
+    repeated = read.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
+    dealt = read.repartition("doc_id").withColumn("tkey", F.hash("text") if repeated else F.lit(0))
     spans = repeated_spans(read, dealt, k).groupBy(F.col("doc_id").alias("doc_")).agg(F.collect_list(F.struct("tkey", "pos", "words", "times", "digest")).alias("spans"))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     known = dealt.join(spans, F.col("doc_id") == F.col("doc_"), "left").select("doc_id", "tkey", "text", "spans").mapInArrow(_cut_rows(with_text, k), schema)
