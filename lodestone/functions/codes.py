@@ -6,12 +6,27 @@ from pyspark.sql import Column, functions as F
 
 # The units of each dimension, the factor to its base unit, and its usual and hard bands.
 UNITS = {
-    "torque": {"ft-lb": 1.0, "in-lb": 1 / 12, "n-m": 0.737562},
-    "pressure": {"psi": 1.0, "kpa": 0.145038, "bar": 14.5038},
+    "torque": {"ft-lb": 1.0, "in-lb": 1 / 12, "N-m": 0.737562},
+    "pressure": {"psi": 1.0, "kPa": 0.145038, "bar": 14.5038},
     "length": {"in": 1.0, "ft": 12.0, "mm": 0.0393701, "cm": 0.393701},
-    "capacity": {"qt": 1.0, "gal": 4.0, "pt": 0.5, "l": 1.05669},
+    "capacity": {"qt": 1.0, "gal": 4.0, "pt": 0.5, "L": 1.05669},
+}
+#: Hard least and most, usual least and most, and whether a value may be negative.
+BANDS = {
+    "torque": (0, 200000, 0.5, 3000, False),
+    "pressure": (0, 100000, 0, 12000, False),
+    "length": (0, 100000, 0.0005, 2000, False),
+    "weight": (0, 500000, 0, 120000, False),
+    "force": (0, 500000, 0, 100000, False),
+    "electrical": (0, 100000, 0, 1500, False),
+    "temperature": (-150, 6000, -70, 1600, True),
+    "capacity": (0, 100000, 0, 20000, False),
+    "flow": (0, 100000, 0, 20000, False),
+    "speed": (0, 100000, 0, 20000, False),
+    "rotation": (0, 2000000, 0, 200000, False),
+    "angle": (-720, 720, 0, 360, True),
+    "area": (0, 1000000, 0, 100000, False),
 }
-BANDS = {"torque": (1.0, 1200.0, 0.1, 20000.0), "pressure": (1.0, 5000.0, 0.0, 50000.0), "length": (0.01, 1200.0, 0.0001, 100000.0), "capacity": (0.1, 500.0, 0.01, 20000.0)}
 MONTHS = ("JANUARY", "FEBRUARY", "MARCH", "APRIL", "MAY", "JUNE", "JULY", "AUGUST", "SEPTEMBER", "OCTOBER", "NOVEMBER", "DECEMBER")
 
 
@@ -103,14 +118,23 @@ def quality_flag(score: Column) -> Column:
 
 
 def value_gate(kind: Column, value: Column) -> Column:
-    """Ok, suspect (outside the usual band) or quarantine (no number, negative, outside the hard band)."""
-    out = F.when(value.isNull() | (value < 0), "quarantine")
-    for name, (lo, hi, hard_lo, hard_hi) in BANDS.items():
+    """Ok, suspect (outside the usual band) or quarantine (no number, negative where it can't be, outside the hard band); kinds without a band are ok."""
+    out = None
+    for name, (hard_lo, hard_hi, lo, hi, signed) in BANDS.items():
         mine = kind == name
-        out = out.when(mine & ((value < hard_lo) | (value > hard_hi)), "quarantine").when(mine & ((value < lo) | (value > hi)), "suspect")
+        bad = value.isNull() | (value < (hard_lo if signed else 0)) | (value > hard_hi)
+        out = F.when(mine & bad, "quarantine") if out is None else out.when(mine & bad, "quarantine")
+        out = out.when(mine & ((value < lo) | (value > hi)), "suspect")
     return out.otherwise("ok")
 
 
+def garbled(value: Column) -> Column:
+    """A number as it was read that no number is: letters inside it, two points, eight digits in a run."""
+    core = F.regexp_extract(F.trim(value), r"^\S*", 0)
+    digits = F.regexp_replace(core, "[,.]", "")
+    return F.coalesce(core.rlike(r"\d[A-Za-z]\d") | (F.regexp_count(core, F.lit(r"\.")) > 1) | digits.rlike(r"\d{8,}"), F.lit(False))
+
+
 def trust(status: Column, n: Column, spread: Column) -> Column:
     """Quarantined, low, review, medium or high."""
     return F.when(status == "quarantine", "quarantined").when(status == "suspect", "low").when(spread > 0.25, "review").when(n < 2, "medium").otherwise("high")

@@ -53,24 +53,6 @@ def block_key(number):
     return F.regexp_replace(F.upper(F.trim(number)), r"-\d{2}$", "")
 
 
-def near_duplicates(docs: DataFrame, block: str, k: int = 4, threshold: float = 0.8) -> DataFrame:
-    """Clusters of documents of one block whose k-word shingles have a Jaccard similarity of threshold or more.
-
-    Pairs must share one of the smallest shingle hashes that a similar document can't lack all of, so a
-    block is never paired with itself whole. Returns doc_id, cluster, for clusters of two or more."""
-    words = F.filter(F.split(F.lower("text"), r"\s+"), lambda x: x != "")
-    gram = f"transform(sequence(0, size(w) - {k}), i -> xxhash64({', '.join(f'w[i + {j}]' for j in range(k))}))"
-    sets = docs.select("doc_id", F.col(block).alias("block"), F.explode(F.array(words)).alias("w")).where(F.size("w") >= k)
-    sets = sets.select("doc_id", "block", F.explode(F.array(F.array_sort(F.array_distinct(F.expr(gram))))).alias("s"))
-    n = F.size("s")
-    heads = sets.select("doc_id", "block", "s", F.explode(F.slice("s", F.lit(1), (n - F.ceil(n * F.lit(threshold)) + 1).cast("int"))).alias("h"))
-    pairs = heads.select("block", "h", F.col("doc_id").alias("a")).join(heads.select("block", "h", F.col("doc_id").alias("b")), ["block", "h"]).where("a < b").select("a", "b").distinct()
-    met = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    links = met.where(shared >= threshold * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
-    return connected_components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
-
-
 def triples(parts: DataFrame, documents: DataFrame) -> DataFrame:
     """Typed edges of the knowledge graph: documents, vehicles, figures and stock numbers."""
     part = parts.select(F.lit("part").alias("src_type"), F.col("nsn").alias("src"), F.lit("used on").alias("rel"), F.lit("vehicle").alias("dst_type"), F.col("vehicle").alias("dst"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone import bindings as b
 from lodestone.functions import codes
-from lodestone.operators import graph, logs, search
+from lodestone.operators import graph, logs, search, similar
 
 Q, SQL = {}, {}
 
@@ -276,15 +276,19 @@ def _(spark, sf):
     return search.answers(b.pages(spark, sf).select("doc_id", "body_text"), q)
 
 
-@query("j1_near_duplicates")
+@query("j1_near_duplicates", """WITH RECURSIVE w AS (SELECT doc_id, coalesce(source, '') AS block, regexp_extract_all(lower(coalesce(text, '')), '[a-z]{3,}') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, block, unnest(CASE WHEN len(w) < 4 THEN w ELSE list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]) END) AS s FROM w),
+n AS (SELECT w.doc_id, w.block, count(s) AS n FROM w LEFT JOIN g USING (doc_id) GROUP BY ALL),
+shared AS (SELECT a.doc_id AS a, c.doc_id AS b, count(*) AS k FROM g a JOIN g c ON a.s = c.s AND a.block = c.block AND a.doc_id < c.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k) UNION SELECT x.doc_id, y.doc_id FROM n x JOIN n y ON x.block = y.block AND x.n = 0 AND y.n = 0 AND x.doc_id < y.doc_id),
+u AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e), r AS (SELECT x, x AS y FROM u UNION SELECT r.x, u.y FROM r JOIN u ON r.y = u.x) SELECT x AS doc_id, min(y) AS cluster FROM r GROUP BY x""")
 def _(spark, sf):
-    docs = b.read(spark, sf, "documents")
-    return graph.near_duplicates(docs, "lang")
+    return similar.near_duplicates(b.read(spark, sf, "documents"), "source")
 
 
-@query("j2_components", "WITH RECURSIVE e AS (SELECT doc_id AS a, (doc_id // 2) AS b FROM documents WHERE doc_id % 10 <> 1), u AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e), r AS (SELECT x, x AS y FROM u UNION SELECT r.x, u.y FROM r JOIN u ON r.y = u.x) SELECT x AS node, min(y) AS component FROM r GROUP BY x")
+@query("j2_components", "WITH RECURSIVE e AS (SELECT doc_id AS a, (doc_id // 2) AS b FROM documents), u AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e), r AS (SELECT x, x AS y FROM u UNION SELECT r.x, u.y FROM r JOIN u ON r.y = u.x) SELECT x AS node, min(y) AS component FROM r GROUP BY x")
 def _(spark, sf):
-    return graph.connected_components(b.read(spark, sf, "documents").where("doc_id % 10 <> 1").selectExpr("doc_id AS a", "cast(doc_id div 2 as long) AS b"))
+    return graph.connected_components(b.read(spark, sf, "documents").selectExpr("doc_id AS a", "cast(doc_id div 2 as long) AS b"))
 
 
 TRIPLES = b.with_(b.PARTS) + """, edges AS (SELECT DISTINCT 'part|' || lower(nsn) AS src, 'used on' AS rel, 'vehicle|' || lower(vehicle) AS dst FROM parts

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from lodestone.functions import codes
-from lodestone.operators import facts, graph, partsjoin, search
+from lodestone.operators import facts, graph, partsjoin, search, similar
 
 
 def one(spark, expr, *values, schema="c string"):
@@ -35,14 +35,26 @@ def test_html(spark):
 
 
 def test_gate(spark):
-    df = spark.createDataFrame([("torque", 50.0), ("torque", 1e6), ("length", -1.0), ("pressure", 0.5), ("other", None)], "k string, v double")
-    assert [r[0] for r in df.select(codes.value_gate(F.col("k"), F.col("v"))).collect()] == ["ok", "quarantine", "quarantine", "suspect", "quarantine"]
+    df = spark.createDataFrame([("torque", 50.0), ("torque", 1e6), ("length", -1.0), ("pressure", 0.5), ("other", None), ("torque", 4000.0), ("temperature", -40.0), ("torque", None)], "k string, v double")
+    assert [r[0] for r in df.select(codes.value_gate(F.col("k"), F.col("v"))).collect()] == ["ok", "quarantine", "quarantine", "ok", "ok", "suspect", "ok", "quarantine"]
 
 
 def test_measurements(spark):
     text = "Torque to 35-40 ft-lb, then 1,200 psi. Gap 0.5 inches; 10 inmates, fill 3 qt. None: 5 volts."
     got = facts.measurements(spark.createDataFrame([(1, 1, text), (1, 2, ""), (1, 3, None)], "document_id long, page int, body_text string")).orderBy("place").collect()
-    assert [(r["type"], r["value"], r["value2"], r["unit"]) for r in got] == [("torque", 35.0, 40.0, "ft-lb"), ("pressure", 1200.0, None, "psi"), ("length", 0.5, None, "in"), ("capacity", 3.0, None, "qt")]
+    assert [(r["type"], r["value"], r["value2"], r["unit"]) for r in got] == [("torque", 35.0, 40.0, "ft-lb"), ("pressure", 1200.0, None, "psi"), ("length", 0.5, None, "in"), ("capacity", 3.0, None, "qt"), ("electrical", 5.0, None, "V")]
+
+
+def test_measurements_wide(spark):
+    text = "-40 F to 120 F; 854 N•m, .015 in., 12 ±2 lbs, 350000000 ft-lb, 90 °C, 3,000 rpm and 12 VDC. 5W-30 oil, 0.5C rate.\n26\nN 7 sq ft"
+    got = facts.measurements(spark.createDataFrame([(1, text)], "page int, body_text string")).orderBy("place").collect()
+    assert [(r["type"], r["value"], r["tolerance"], r["unit"]) for r in got] == [
+        ("temperature", -40.0, None, "degF"), ("temperature", 120.0, None, "degF"), ("torque", 854.0, None, "N-m"), ("length", 0.015, None, "in"), ("weight", 12.0, 2.0, "lb"),
+        ("torque", 350000000.0, None, "ft-lb"), ("temperature", 90.0, None, "degC"), ("rotation", 3000.0, None, "rpm"), ("electrical", 12.0, None, "V"), ("area", 7.0, None, "sq-ft")]
+
+
+def test_garbled(spark):
+    assert one(spark, codes.garbled(F.col("c")), "12", "1O2", "1.2.3", "123456789", "12V", None) == [False, True, True, True, False, False]
 
 
 def test_callouts(spark):
@@ -57,9 +69,9 @@ def test_components(spark):
 
 
 def test_near_duplicates(spark):
-    base = " ".join(f"w{i}" for i in range(60))
-    docs = spark.createDataFrame([(1, "x", base), (2, "x", base + " end"), (3, "x", "something else that is quite short"), (4, "y", base), (5, "x", None), (6, "x", "")], "doc_id long, block string, text string")
-    assert {(r[0], r[1]) for r in graph.near_duplicates(docs, "block").collect()} == {(1, 1), (2, 1)}
+    base = " ".join(f"wo{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60))
+    docs = spark.createDataFrame([(1, "x", base), (2, "x", base + " end"), (3, "x", "something else that is quite short"), (4, "y", base), (5, "x", None), (6, "x", ""), (7, None, "tiny text"), (8, None, "text tiny"), (9, None, "tiny other"), (10, "x", base)], "doc_id long, block string, text string")
+    assert {(r[0], r[1]) for r in similar.near_duplicates(docs, "block").collect()} == {(1, 1), (2, 1), (10, 1), (5, 5), (6, 5), (7, 7), (8, 7)}
 
 
 def test_figure_before(spark):
