@@ -34,12 +34,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import LongType
 
 from lodestone.llm import tokens as tk
 from lodestone.llm.common import n_words, spare
 from lodestone.operators.graph import connected_components
+from lodestone.operators.similar import similar_links
 from lodestone.sources.scratch import discard, frugal, materialize
 
 K, PERCENT, SAMPLE = 5, 75, 0.4
@@ -118,55 +119,14 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("class").slice(lo, hi - lo), lists], ["class", "tokens"]).filter(pa.array(_class_of(value, n) == wanted[lo:hi]))
 
 
-def _enough(most: Column, n: Column, m: Column, percent: int) -> Column:
-    """An intersection of `most` is enough for sets of n and m shingles."""
-    return (100 + percent) * most >= percent * (n + m)
-
-
-def _fit(a: str, b: str, percent: int) -> Column:
-    """Two classes can be similar if their first common shingle is at these places. a, b: prefixes of n and place."""
-    n, m = F.col(f"{a}n"), F.col(f"{b}n")
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & _enough(F.least(n - F.col(f"{a}place"), m - F.col(f"{b}place")), n, m, percent)
-
-
-def _part(df: DataFrame) -> DataFrame:
-    """A second join key, so that a join doesn't reuse an aggregate's exchange and a hot shingle can be split."""
-    return df.withColumn("part", F.shiftrightunsigned("token", 63))
-
-
-def _candidate_sets(known: DataFrame, classes: DataFrame, percent: int, sample: float) -> DataFrame:
-    """class, n, tokens, prefix, third: the classes that the first order leaves, as what others have of them.
-
-    `tokens` are the shingles that other classes left have, `prefix` those of the second order's prefix with their
-    counts, and `third` those of the third order's."""
+def _first_order(known: DataFrame, classes: DataFrame, percent: int, sample: float) -> DataFrame:
+    """class, tokens: the sets of the classes that the first order leaves."""
     own = known.select("text").mapInArrow(_sample_rows(sample), "token long, lo long, hi long")
     own = own.groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo = hi").groupBy(F.col("lo").alias("class")).agg(F.count(F.lit(1)).alias("own"))
     left = classes.join(own, "class", "left").where(100 * (F.col("n") - F.coalesce("own", F.lit(0))) >= percent * F.col("n")).select("class", F.col("doc").alias("doc_"))
     texts = known.join(left, F.col("doc_id") == F.col("doc_")).select("class", "text")
     # one row a class: rows that repeat a doc_id and text are dropped here
-    sets = materialize(texts.mapInArrow(_set_rows, "class long, tokens array<long>").groupBy("class").agg(F.first("tokens").alias("tokens")), "sets")
-
-    rows = sets.select("class", F.size("tokens").cast("long").alias("n"), F.explode("tokens").alias("token"))
-    common = rows.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    met = _part(rows).join(_part(common), ["token", "part"]).groupBy("class").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("c", "token"))).alias("t"))
-    met = met.where(100 * F.size("t").cast("long") >= percent * F.col("n"))
-    # shingles of no other class come first under both orders, and can't be shared
-    alone = F.col("n") - F.size("t")
-    length = (F.col("n") - F.ceil(F.col("n") * percent / 100.0) + 1 - alone).cast("int")
-    by_hash = F.transform(F.array_sort(F.transform("t", lambda x: F.struct(F.xxhash64(x["token"]).alias("h"), x["token"].alias("token")))), lambda x: x["token"])
-    score = F.aggregate("t", F.lit(0.0), lambda s, x: s + F.log2(x["c"])) / F.col("n")
-    out = met.select("class", "n", alone.alias("alone"), F.transform("t", lambda x: x["token"]).alias("tokens"), F.slice("t", F.lit(1), length).alias("prefix"), F.slice(by_hash, F.lit(1), length).alias("third"), score.alias("score"))
-    kept = materialize(out, "candidates")
-    discard(sets)
-    return kept
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that share a shingle of the third order's prefixes and are similar."""
-    side = lambda x: sets.select(F.col("class").alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"t_{x}"), F.col("third").alias(f"p_{x}"))
-    met = pairs.join(side("a"), "a").join(side("b"), "b").where(F.arrays_overlap("p_a", "p_b"))
-    met = met.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("t_a", "t_b")).cast("long").alias("both"))
-    return materialize(met.where(_enough(F.col("both"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b"), "links")
+    return materialize(texts.mapInArrow(_set_rows, "class long, tokens array<long>").groupBy("class").agg(F.first("tokens").alias("tokens")), "sets")
 
 
 def class_links(docs: DataFrame, percent: int = PERCENT, sample: float = SAMPLE) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -177,30 +137,10 @@ def class_links(docs: DataFrame, percent: int = PERCENT, sample: float = SAMPLE)
     known = every.where(F.col("doc_id").isNotNull())
     rows = materialize(every.mapInArrow(_class_rows, "doc_id long, n_shingles long, class long"), "rows")
     classes = rows.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("class").agg(F.first("n_shingles").alias("n"), F.min("doc_id").alias("doc"))
-    sets = _candidate_sets(known, classes, percent, sample)
-
-    at = sets.select("class", "n", "alone", "score", F.posexplode("prefix").alias("i", "x"))
-    groups = at.select(F.col("x.token").alias("token"), "class", "n", (F.col("alone") + F.col("i")).cast("long").alias("place"), "score")
-    ends = groups.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least"), F.max_by(F.struct("class", "n", "place"), F.struct("score", "class")).alias("hub")).where("k > 1")
-    # only rows that a set of the group may be large and small enough for
-    near = F.greatest(F.ceil(F.col("n") * percent / 100.0), F.col("least"))
-    groups = _part(groups).join(_part(ends), ["token", "part"]).where(_enough(F.col("n") - F.col("place"), F.col("n"), near, percent))
-    groups = materialize(groups.select("token", "class", "n", "place", F.col("hub.class").alias("hub"), F.col("hub.n").alias("h_n"), F.col("hub.place").alias("h_place")), "groups")
-
-    stars = groups.where(F.col("class") != F.col("hub")).where(_fit("", "h_", percent)).select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b")).distinct()
-    links = _verified(stars, sets, percent)
-
-    # groups that the stars left in pieces: pairs across pieces
-    found = connected_components(links).withColumnRenamed("node", "class")
-    pieces = groups.select("token", "class", "n", "place").join(found, "class", "left").withColumn("piece", F.coalesce("component", "class")).drop("component")
-    pieces = materialize(pieces, "pieces")
-    split = pieces.groupBy("token").agg(F.min("piece").alias("lo"), F.max("piece").alias("hi")).where("lo < hi").select("token")
-    rest = _part(pieces).join(_part(split), ["token", "part"])
-    other = rest.select("token", "part", *[F.col(c).alias(f"o_{c}") for c in ("class", "n", "place", "piece")])
-    across = rest.join(other, ["token", "part"]).where((F.col("class") < F.col("o_class")) & (F.col("piece") != F.col("o_piece")) & _fit("", "o_", percent))
-    more = _verified(across.select(F.col("class").alias("a"), F.col("o_class").alias("b")).distinct(), sets, percent)
-    discard(groups, pieces, sets)
-    return rows, classes, links.union(more)
+    sets = _first_order(known, classes, percent, sample)
+    links = similar_links(sets, percent)
+    discard(sets)
+    return rows, classes, links
 
 
 def jaccard_classes(docs: DataFrame, percent: int = PERCENT, sample: float = SAMPLE) -> DataFrame:
