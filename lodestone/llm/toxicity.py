@@ -1,6 +1,6 @@
 """Toxicity by weak supervision.
 
-1. A bounded sample of labelled rows (`SAMPLE`, the rows with the smallest hash of doc_id) gives each
+1. A bounded sample of labelled rows (`SAMPLE`, one row for each of the doc_ids with the smallest hash) gives each
    word and word beginning its log odds between toxic and other texts. The best `FEATURES` are kept.
 2. Sixteen voters look at every document: ten lexicons dealt from the best features, and six patterns
    (how many different hits, and how dense). A vote is yes or nothing.
@@ -9,8 +9,9 @@
    2^16 vote patterns at most, so the counts that it needs have a fixed size. The labelled sample
    is its starting point and stays in as evidence. From the posteriors follow, for each class, the
    correlations of voters beyond it; a voter's evidence is divided by what it shares with the others.
-4. A logistic regression over the features is trained on the posterior labels of the sample and scores
-   every whole text.
+4. In the sample the label is one more voter, whose rates are estimated from its agreement with the
+   posterior. A logistic regression over the features is trained on the posteriors that follow and
+   scores every whole text.
 
 Labels are only read for rows outside the held-out fold; labels, lang, source and doc_id are never
 inputs of a score. Defined cases: null and empty texts are scored from the intercept and the absence
@@ -167,6 +168,15 @@ def label_model(patterns: np.ndarray, n: np.ndarray, known: np.ndarray, toxic: n
     return yes - no, float(np.log(prior[1] / prior[0]) + no.sum())
 
 
+def with_label(odds: np.ndarray, toxic: np.ndarray, rounds: int = 20) -> np.ndarray:
+    """Posteriors of the sample with its label as one more voter, whose two rates are estimated from its agreement with the posterior."""
+    q = 1 / (1 + np.exp(-odds))
+    for _ in range(rounds):
+        yes, no = (q[toxic == 1].sum() + 1) / (q.sum() + 2), ((1 - q)[toxic == 1].sum() + 1) / ((1 - q).sum() + 2)
+        q = 1 / (1 + np.exp(-(odds + np.where(toxic == 1, np.log(yes / no), np.log((1 - yes) / (1 - no))))))
+    return q
+
+
 def fit(x: np.ndarray, target: np.ndarray, rounds: int = 300, rate: float = 0.05, decay: float = 1e-3) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels by Adam."""
     w, b = np.zeros(x.shape[1], np.float32), 0.0
@@ -185,7 +195,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     spark = docs.sparkSession
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold(F.col("doc_id")) != 2))
     chosen_rows = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    known = docs.select("doc_id", "text").join(F.broadcast(chosen_rows.withColumnRenamed("doc_id", "id_")), F.col("doc_id") == F.col("id_")).select("toxic", F.coalesce("text", F.lit("")).alias("text"))
+    known = docs.select("doc_id", "text").join(F.broadcast(chosen_rows.withColumnRenamed("doc_id", "id_")), F.col("doc_id") == F.col("id_")).dropDuplicates(["id_"]).select("toxic", F.coalesce("text", F.lit("")).alias("text"))
     size = known.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t")).first()
     if not size["t"] or size["t"] == size["n"]:
         return None
@@ -211,8 +221,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     voted = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_vote_rows(chosen, voter), "pattern int, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
     evidence, offset = label_model(np.array([r["pattern"] for r in voted]), np.array([float(r["n"]) for r in voted]), pattern, toxic)
     odds = np.clip(((pattern[:, None] >> np.arange(VOTERS)) & 1) @ evidence + offset, -8, 8)
-    # the label is one more voter, right in nine of ten cases beyond the others
-    target = 1 / (1 + np.exp(-(odds + np.log(9.0) * 2 * np.where(toxic == 1, 1, -1))))
+    target = with_label(odds, toxic)
     w, b = fit(np.column_stack([shape(x, n), odds.astype(np.float32)]), target)
     return chosen, voter, spark.sparkContext.broadcast((w, b, evidence.astype(np.float32), offset))
 
