@@ -30,8 +30,8 @@ def doc_tokens(spark, sf):
     return b.tokens(b.read(spark, sf, "documents"), ["doc_id"], "text")
 
 
-def two_words(spark, sf):
-    """Queries made from the benchmark: the first words of each item."""
+def asked_items(spark, sf):
+    """The benchmark's items as queries, with all of their words; a phrase or a pair needs three words or more."""
     cut = b.read(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("w"))
     return cut.where(F.size("w") >= 3)
 
@@ -176,25 +176,25 @@ def _(spark, sf):
     return logs.capped_count(b.read(spark, sf, "lineitem").where("l_quantity > 20"))
 
 
-@query("h1_match_all", f"WITH {WORDS}, {ASKED}, a AS (SELECT DISTINCT qid, unnest(w[1:3]) AS term FROM q WHERE len(w) >= 3) SELECT qid, doc_id FROM (SELECT DISTINCT doc_id, term FROM tok) JOIN a USING (term) GROUP BY qid, doc_id HAVING count(*) = (SELECT count(*) FROM a x WHERE x.qid = a.qid)".replace("HAVING count(*) = (SELECT count(*) FROM a x WHERE x.qid = a.qid)", "HAVING count(*) = any_value(need)").replace("SELECT DISTINCT qid, unnest(w[1:3]) AS term FROM q WHERE len(w) >= 3", "SELECT qid, term, count(*) OVER (PARTITION BY qid) AS need FROM (SELECT DISTINCT qid, unnest(w[1:3]) AS term FROM q WHERE len(w) >= 3)"))
+@query("h1_match_all", f"WITH {WORDS}, {ASKED}, a AS (SELECT qid, term, count(*) OVER (PARTITION BY qid) AS need FROM (SELECT DISTINCT qid, unnest(w) AS term FROM q WHERE len(w) >= 3)) SELECT qid, doc_id FROM (SELECT DISTINCT doc_id, term FROM tok) JOIN a USING (term) GROUP BY qid, doc_id HAVING count(*) = any_value(need)")
 def _(spark, sf):
-    q = two_words(spark, sf).select("qid", F.explode(F.slice("w", 1, 3)).alias("term"))
-    return search.match_all(doc_tokens(spark, sf), q)
+    return search.match_all(doc_tokens(spark, sf), asked_items(spark, sf).select("qid", F.explode("w").alias("term")))
 
 
-@query("h1_phrase", f"WITH {WORDS}, {ASKED}, a AS (SELECT qid, unnest([0, 1, 2]) AS i, unnest(w[1:3]) AS term FROM q WHERE len(w) >= 3) SELECT DISTINCT qid, doc_id FROM (SELECT qid, doc_id, pos - i AS at, count(DISTINCT i) AS n FROM tok JOIN a USING (term) GROUP BY ALL) WHERE n = 3")
+@query("h1_phrase", f"WITH {WORDS}, {ASKED}, a AS (SELECT qid, len(w) AS need, unnest(range(0, len(w))) AS i, unnest(w) AS term FROM q WHERE len(w) >= 3) SELECT DISTINCT qid, doc_id FROM (SELECT qid, doc_id, pos - i AS at, count(DISTINCT i) AS n, any_value(need) AS need FROM tok JOIN a USING (term) GROUP BY ALL) WHERE n = need")
 def _(spark, sf):
-    q = two_words(spark, sf).select("qid", F.posexplode(F.slice("w", 1, 3)).alias("i", "term"))
-    return search.phrase(doc_tokens(spark, sf), q)
+    return search.phrase(doc_tokens(spark, sf), asked_items(spark, sf).select("qid", F.posexplode("w").alias("i", "term")))
 
 
-@query("h1_near", f"WITH {WORDS}, {ASKED}, a AS (SELECT qid, w[1] AS a, w[3] AS b FROM q WHERE len(w) >= 3 AND w[1] <> w[3] AND qid < 10) SELECT DISTINCT qid, x.doc_id FROM a JOIN tok x ON x.term = a.a JOIN tok y ON y.term = a.b AND y.doc_id = x.doc_id AND abs(x.pos - y.pos) <= 10".replace(" AND qid < 10", ""))
+@query("h1_near", f"WITH {WORDS}, {ASKED}, p AS (SELECT qid, w, unnest(range(0, len(w) - 2)) AS i FROM q WHERE len(w) >= 3), a AS (SELECT qid * 1000 + i AS qid, w[i + 1] AS a, w[i + 3] AS b FROM p WHERE w[i + 1] <> w[i + 3]) SELECT DISTINCT qid, x.doc_id FROM a JOIN tok x ON x.term = a.a JOIN tok y ON y.term = a.b AND y.doc_id = x.doc_id AND abs(x.pos - y.pos) <= 10")
 def _(spark, sf):
-    q = two_words(spark, sf).select("qid", F.get("w", F.lit(0)).alias("a"), F.get("w", F.lit(2)).alias("b")).where("a <> b")
+    rest = F.size("w") - 2
+    pairs = F.arrays_zip(F.slice("w", F.lit(1), rest).alias("a"), F.slice("w", F.lit(3), rest).alias("b"))
+    q = asked_items(spark, sf).select("qid", F.posexplode(pairs).alias("i", "p")).select((F.col("qid") * 1000 + F.col("i")).alias("qid"), "p.a", "p.b").where("a <> b")
     return search.near(doc_tokens(spark, sf), q)
 
 
-BM25 = rf"""{WORDS}, {ASKED}, a AS (SELECT DISTINCT qid, unnest(w[1:3]) AS term FROM q WHERE len(w) >= 3),
+BM25 = rf"""{WORDS}, {ASKED}, a AS (SELECT DISTINCT qid, unnest(w) AS term FROM q WHERE len(w) >= 3),
 sizes AS (SELECT doc_id, count(*) AS len FROM tok GROUP BY doc_id), whole AS (SELECT count(*) AS n, avg(len) AS avg FROM sizes),
 tf AS (SELECT term, doc_id, count(*) AS tf FROM tok WHERE term IN (SELECT term FROM a) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 scored AS (SELECT qid, doc_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * len / avg))), 6) AS score FROM tf JOIN df USING (term) JOIN a USING (term) JOIN sizes USING (doc_id), whole GROUP BY ALL),
@@ -203,7 +203,7 @@ best AS (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY
 
 @query("h3_bm25", f"WITH {BM25} SELECT * FROM best")
 def _(spark, sf):
-    q = two_words(spark, sf).select("qid", F.explode(F.slice("w", 1, 3)).alias("term"))
+    q = asked_items(spark, sf).select("qid", F.explode("w").alias("term"))
     return search.bm25(doc_tokens(spark, sf), q)
 
 
@@ -218,13 +218,13 @@ ELSE list_contains([substr(term, 1, i - 1) || substr(term, i + 1) for i in range
 
 @query("h5_fuzzy", f"WITH {WORDS}, {VOCAB}, {ASKED}, a AS (SELECT DISTINCT substr(x, 1, length(x) - 1) AS word FROM (SELECT unnest(w) AS x FROM q) WHERE length(x) >= 6) SELECT word, term, df, row_number() OVER (PARTITION BY word ORDER BY df DESC, term) AS rank FROM a JOIN vocab ON substr(word, 1, 2) = substr(term, 1, 2) WHERE abs(length(word) - length(term)) <= 1 AND word <> term AND {ONE_EDIT} QUALIFY rank <= 4")
 def _(spark, sf):
-    q = two_words(spark, sf).select(F.explode("w").alias("x")).where("length(x) >= 6").selectExpr("substr(x, 1, length(x) - 1) AS word")
+    q = asked_items(spark, sf).select(F.explode("w").alias("x")).where("length(x) >= 6").selectExpr("substr(x, 1, length(x) - 1) AS word")
     return search.fuzzy(search.vocabulary(doc_tokens(spark, sf)), q)
 
 
 @query("h7_suggest", f"WITH {WORDS}, {VOCAB}, {ASKED}, a AS (SELECT DISTINCT substr(x, 1, 3) AS prefix FROM (SELECT unnest(w) AS x FROM q) WHERE length(x) >= 3) SELECT prefix, term, df, row_number() OVER (PARTITION BY prefix ORDER BY df DESC, term) AS rank FROM a JOIN vocab ON prefix = substr(term, 1, 3) QUALIFY rank <= 8")
 def _(spark, sf):
-    q = two_words(spark, sf).select(F.explode("w").alias("x")).where("length(x) >= 3").selectExpr("substr(x, 1, 3) AS prefix")
+    q = asked_items(spark, sf).select(F.explode("w").alias("x")).where("length(x) >= 3").selectExpr("substr(x, 1, 3) AS prefix")
     return search.suggest(search.vocabulary(doc_tokens(spark, sf)), q)
 
 
@@ -264,7 +264,7 @@ SELECT qid, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, array_to_
 def _(spark, sf):
     from pyspark.sql import Window
 
-    q = two_words(spark, sf).select("qid", F.explode(F.slice("w", 1, 3)).alias("term"))
+    q = asked_items(spark, sf).select("qid", F.explode("w").alias("term"))
     first = search.bm25(doc_tokens(spark, sf), q)
     second = first.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("doc_id")))
     return search.fuse(first, second)
@@ -272,7 +272,7 @@ def _(spark, sf):
 
 @query("h16_answers")
 def _(spark, sf):
-    q = two_words(spark, sf).select("qid", F.explode(F.slice("w", 1, 5)).alias("term"))
+    q = asked_items(spark, sf).select("qid", F.explode("w").alias("term"))
     return search.answers(b.pages(spark, sf).select("doc_id", "body_text"), q)
 
 
