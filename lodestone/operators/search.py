@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from lodestone.functions import codes
+
 K1, B = 1.2, 0.75
 
 
@@ -39,8 +41,8 @@ def near(tokens: DataFrame, queries: DataFrame, reach: int = 10, key: str = "doc
     return both.withColumn("as_", F.sum(is_a).over(w)).where((F.col("term") != F.col("a")) & (F.col("as_") > 0)).select("qid", key).distinct()
 
 
-def bm25(tokens: DataFrame, queries: DataFrame, top: int = 25, key: str = "doc_id") -> DataFrame:
-    """H2, H3: the best pages of each query by BM25 (k1 1.2, b 0.75). `queries`: qid, term.
+def bm25_scores(tokens: DataFrame, queries: DataFrame, key: str = "doc_id") -> DataFrame:
+    """H3: BM25 (k1 1.2, b 0.75) of every page that has a term of a query, and how many of its terms. `queries`: qid, term.
 
     Postings of asked terms only are joined; lengths and frequencies are aggregates."""
     sizes = tokens.groupBy(key).agg(F.count(F.lit(1)).alias("len"))
@@ -51,11 +53,38 @@ def bm25(tokens: DataFrame, queries: DataFrame, top: int = 25, key: str = "doc_i
     met = tf.join(df, "term").join(asked, "term").join(sizes, key).join(F.broadcast(whole))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg")))
-    scored = met.groupBy("qid", key).agg(F.round(F.sum(part), 6).alias("score"))
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), key)))
+    return met.groupBy("qid", key).agg(F.round(F.sum(part), 6).alias("score"), F.count(F.lit(1)).alias("matched"))
+
+
+def bm25(tokens: DataFrame, queries: DataFrame, top: int = 25, key: str = "doc_id") -> DataFrame:
+    """H3: the best pages of each query by BM25. `queries`: qid, term."""
+    ranked = bm25_scores(tokens, queries, key).drop("matched").withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), key)))
     return ranked.where(F.col("rank") <= top)
 
 
+def routed(queries: DataFrame, documents: DataFrame, aliases: DataFrame, tokens: DataFrame, top: int = 25) -> DataFrame:
+    """H2: each query by its route, best first: four digits to documents by the end of their stock number, a whole stock number to documents
+    by it (exact) or an alias of it (alias), any other text to documents with all its terms (exact) and, where fewer than three have, with any (approximate).
+
+    queries: qid, text; documents: doc_id, nsn; aliases: nsn, alias; tokens: doc_id, term."""
+    nsn = codes.norm_nsn(F.col("text"))
+    route = F.when(F.col("text").rlike(r"^\s*\d{4}\s*$"), "suffix").when(nsn.isNotNull() & F.col("text").rlike(r"^[\d\s-]+$"), "nsn").otherwise("text")
+    asked = queries.select("qid", "text", route.alias("route"))
+    ends = asked.where("route = 'suffix'").select("qid", F.trim("text").alias("four")).join(documents.select("doc_id", F.right("nsn", F.lit(4)).alias("four")), "four")
+    own = asked.where("route = 'nsn'").select("qid", nsn.alias("nsn"), F.lit("exact").alias("mark"))
+    other = own.join(aliases.where("nsn <> alias").distinct(), "nsn").select("qid", "alias", F.lit("alias"))
+    by_nsn = own.union(other).join(documents.select("doc_id", "nsn"), "nsn")
+    terms = asked.where("route = 'text'").select("qid", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("term"))
+    need = terms.groupBy("qid").agg(F.count(F.lit(1)).alias("need"))
+    hits = bm25_scores(tokens, terms).join(need, "qid").withColumn("all_", F.col("matched") == F.col("need"))
+    few = F.count_if("all_").over(Window.partitionBy("qid")) < 3
+    by_text = hits.withColumn("few", few).where("all_ OR few").select("qid", "doc_id", F.lit("text"), F.when(F.col("all_"), "exact").otherwise("approximate"), "score")
+    none = F.lit(None).cast("double").alias("score")
+    every = ends.select("qid", "doc_id", F.lit("suffix").alias("route"), F.lit("exact").alias("mark"), none).union(by_nsn.select("qid", "doc_id", F.lit("nsn"), "mark", none)).union(by_text)
+    order = Window.partitionBy("qid").orderBy(F.col("mark") != "exact", F.desc_nulls_last("score"), "doc_id")
+    return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+
+
 def fuzzy(vocab: DataFrame, words: DataFrame, cap: int = 4) -> DataFrame:
     """H5, H6: terms within one edit of a word of five letters or more, sharing its first two, commonest first. `words`: word."""
     asked = words.select("word", F.substring("word", 1, 2).alias("head")).where(F.length("word") >= 5).distinct()
@@ -119,6 +148,26 @@ def fuse(first: DataFrame, second: DataFrame, k: int = 60, key: str = "doc_id")
     return both.groupBy("qid", key).agg(F.round(F.sum(1.0 / (k + F.col("rank"))), 9).alias("score"), F.array_join(F.array_sort(F.collect_set("signal")), "+").alias("signals"))
 
 
+def sparse_top(vectors: DataFrame, asked: DataFrame, top: int = 25, key: str = "doc_id") -> DataFrame:
+    """The nearest rows to each query by the product of sparse vectors of length 1. vectors: key, bucket, w; asked: qid, bucket, w."""
+    met = vectors.join(asked.select("qid", "bucket", F.col("w").alias("q")), "bucket").groupBy("qid", key).agg(F.round(F.sum(F.col("w") * F.col("q")), 6).alias("score"))
+    return met.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), key))).where(F.col("rank") <= top)
+
+
+def hybrid(tokens: DataFrame, queries: DataFrame, top: int = 25, key: str = "doc_id") -> DataFrame:
+    """The best pages of each query by keywords (BM25) and by hashed vectors, fused by their ranks. queries: qid, term, a row for each word."""
+    words = bm25(tokens, queries, top, key).select("qid", key, "rank")
+    sense = sparse_top(hashed_vectors(tokens, key), hashed_vectors(queries, "qid"), top, key).select("qid", key, "rank")
+    both = fuse(words, sense, key=key)
+    return both.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), key))).where(F.col("rank") <= top)
+
+
+def top_near(scored: DataFrame, k: int, by: str = "distance", at_most: float | None = None, key: str = "id") -> DataFrame:
+    """the k rows of least distance, at most `at_most`; ties by key."""
+    near_ = scored if at_most is None else scored.where(F.col(by) <= at_most)
+    return near_.orderBy(by, key).limit(k)
+
+
 def answers(pages: DataFrame, queries: DataFrame, top: int = 5) -> DataFrame:
     """The sentences that cover most of a question's terms. `queries`: qid, term; pages: doc_id, body_text."""
     sentences = pages.select("doc_id", F.explode(F.split("body_text", r"(?<=[.!?])\s+")).alias("sentence")).where(F.length("sentence") > 12)

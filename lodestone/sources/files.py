@@ -89,17 +89,32 @@ def alias_map(spark: SparkSession, path: str) -> DataFrame:
 
 
 def publish(df: DataFrame, path: str) -> None:
-    """Full rebuild: written beside the old table, then swapped in by one rename; a failure leaves the old table."""
+    """Full rebuild: written beside the old table, which is moved aside and dropped once the new one is in place.
+
+    A job that fails leaves the old table; where the second rename fails, the old table is moved back. Between the two renames no table is there."""
     spark = df.sparkSession
     stage = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
     df.write.parquet(stage)
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    here, there = jvm.org.apache.hadoop.fs.Path(stage), jvm.org.apache.hadoop.fs.Path(path)
+    here, there, aside = (jvm.org.apache.hadoop.fs.Path(p) for p in (stage, path, f"{stage}.old"))
     fs = there.getFileSystem(conf)
-    if fs.exists(there):
-        fs.rename(there, jvm.org.apache.hadoop.fs.Path(f"{stage}.old"))
-    fs.rename(here, there)
-    fs.delete(jvm.org.apache.hadoop.fs.Path(f"{stage}.old"), True)
+    had = fs.exists(there)
+    if had and not fs.rename(there, aside):
+        raise OSError(f"{path} can't be moved aside")
+    if not fs.rename(here, there):
+        if had:
+            fs.rename(aside, there)
+        raise OSError(f"{stage} can't be moved to {path}")
+    fs.delete(aside, True)
+
+
+def rollback(spark: SparkSession, derived: list[str], confirm: bool = False) -> DataFrame:
+    """M8: derived tables with their rows (null where there is none); dropped only where confirmed. No other table is touched."""
+    there = [t for t in derived if spark.catalog.tableExists(t)]
+    counts = [(t, spark.table(t).count() if t in there else None, confirm and t in there) for t in derived]
+    for t in there if confirm else []:
+        spark.sql(f"DROP TABLE IF EXISTS {t}")
+    return spark.createDataFrame(counts, "name string, n long, dropped boolean")
 
 
 def to_build(documents: DataFrame, done: DataFrame) -> DataFrame:
