@@ -9,6 +9,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows dealt over all cores where their files have fewer splits than there are cores; as they are, without an exchange, where they have as many.
+
+    For narrow rows that much is computed from, before it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def nsn_of(niin, fsc):
     """The dashed stock number of a 9-digit item number and a 4-digit class."""
     return F.concat_ws("-", fsc.cast("string"), F.substring(niin, 1, 2), F.substring(niin, 3, 3), F.substring(niin, 6, 4))
@@ -53,7 +61,7 @@ CATALOGUE = """catalogue AS (
 
 def manual(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with one sentence each that states a dimension; the columns hold what an extraction must find."""
-    joined = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    joined = spread(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")).join(read(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     q = F.col("l_quantity").cast("long").cast("string")
     kind = F.col("l_linenumber") % 4
     text = (
