@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from lodestone.llm import chat, decontaminate, jaccard, linededup, lmscore, mixing, quality, substring, toxicity, urls
-from lodestone.llm.common import table
+from lodestone.llm import chat, decontaminate, jaccard, lexical, linededup, lmscore, mixing, quality, runs, substring, toxicity, urls
+from lodestone.llm.common import table, words
 from lodestone.llm.sql import ORACLES
 
 
@@ -59,6 +59,25 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def looped(docs: DataFrame) -> DataFrame:
+    """doc_id, text: documents of one in ten doc_ids, by their crc32, repeat a piece of theirs from some word on to the end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    w, g = words(F.col("text")), F.expr("h DIV 10")
+    cut = docs.select("doc_id", "text", h.alias("h"), F.when((h % 10 == 0) & (F.col("text") != ""), w).alias("w"))
+    at = cut.withColumns({"g": g, "n": F.size("w").cast("long")}).withColumn("a", F.expr("CASE WHEN n > 0 THEN g % n END"))
+    at = at.withColumn("p", F.expr("1 + (n - a) DIV (3 + g % 8)"))
+    repeated = F.expr("array_join(transform(sequence(0L, n - 1), i -> w[int(if(i < a, i, a + (i - a) % p))]), ' ')")
+    return at.select("doc_id", F.when(F.col("n") > 0, repeated).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_digests(runs.find_runs(looped(table(spark, sf_dir, "documents"))))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
     "op1_substring_dedup": op1_substring_dedup,
@@ -71,4 +90,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_score": op8_lm_score,
     "op9_decontamination": op9_decontamination,
     "op10_mixing": op10_mixing,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_ranked_search": op12_ranked_search,
 }

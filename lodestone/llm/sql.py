@@ -53,7 +53,23 @@ SELECT doc_id, size::BIGINT AS size, t.source_size::BIGINT AS source_size, targe
 FROM sized JOIN targets t ON sized.source IS NOT DISTINCT FROM t.source
 """
 
-ORACLES = {"op7_quality_rules": OP7, "op9_decontamination": OP9, "op10_mixing": OP10}
+TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP12 = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {TERMS} AS w FROM documents WHERE text IS NOT NULL),
+sizes AS (SELECT rid, doc_id, len(w) AS n FROM d WHERE len(w) > 0),
+whole AS (SELECT count(*) AS nd, sum(n)::BIGINT AS l FROM sizes),
+asked AS (SELECT DISTINCT item_id, unnest({TERMS}) AS term FROM benchmark WHERE item_id IS NOT NULL),
+tf AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM asked) GROUP BY rid, term),
+weights AS (SELECT term, floor(1000 * ln((2 * nd + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, whole GROUP BY term, nd),
+scored AS (
+  SELECT item_id, doc_id, rid, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nd) // l))))::BIGINT AS score
+  FROM tf JOIN weights USING (term) JOIN asked USING (term) JOIN sizes USING (rid), whole WHERE doc_id IS NOT NULL GROUP BY item_id, doc_id, rid)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score FROM scored WHERE score > 0
+QUALIFY rank <= 50
+"""
+
+ORACLES = {"op7_quality_rules": OP7, "op9_decontamination": OP9, "op10_mixing": OP10, "op12_ranked_search": OP12}
 
 
 def _code(x: str) -> str:
