@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from lodestone.llm import chat, decontaminate, jaccard, lexical, linededup, lmscore, mixing, quality, runs, substring, toxicity, urls
+from lodestone.llm import chat, covertree, decontaminate, jaccard, lexical, linededup, lmscore, mixing, quality, runs, substring, toxicity, urls
 from lodestone.llm.common import table, words
 from lodestone.llm.sql import ORACLES
 
@@ -78,6 +78,10 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
     "op1_substring_dedup": op1_substring_dedup,
@@ -92,4 +96,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": op10_mixing,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_ranked_search": op12_ranked_search,
+    "op13_embedding_near_dedup": op13_embedding_near_dedup,
 }

@@ -69,7 +69,18 @@ SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, do
 QUALIFY rank <= 50
 """
 
-ORACLES = {"op7_quality_rules": OP7, "op9_decontamination": OP9, "op10_mixing": OP10, "op12_ranked_search": OP12}
+OP13 = """
+WITH RECURSIVE good AS (
+  SELECT vec_id, label, v, sqrt(list_inner_product(v, v)) AS norm FROM (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings)
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_inner_product(a.v, b.v) / (a.norm * b.norm) >= 0.93),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+n AS (SELECT a, count(*) AS n FROM links GROUP BY a), least AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, least(vec_id, least.b) AS component_id, least(vec_id, least.b) = vec_id AS kept
+FROM embeddings LEFT JOIN n ON vec_id = n.a LEFT JOIN least ON vec_id = least.a
+"""
+
+ORACLES = {"op7_quality_rules": OP7, "op9_decontamination": OP9, "op10_mixing": OP10, "op12_ranked_search": OP12, "op13_embedding_near_dedup": OP13}
 
 
 def _code(x: str) -> str:
