@@ -1,165 +1,48 @@
 """Line deduplication over content-defined chunks.
 
-A text's lines are hashed, and a rolling hash over the last `window` line hashes ends a chunk where
-it is 0 modulo `divisor`. Boundaries depend on the lines around them only, so a block that is moved,
-or follows inserted lines, falls into the same chunks after its first lines. A chunk of `min_lines`
-lines with a word, or more, is removed if the same bytes are a chunk earlier in its own text or a
-chunk of a document with a smaller doc_id; the first of all occurrences stays.
-
-Chunks meet by 64-bit hash first, without their text. Only chunks whose hash occurs in more than one
-document are read again, and those are grouped by their bytes: hashes decide nothing alone. Groups
-are reduced to their smallest doc_id before the shuffle, and the joins back have plain exchanges on
-both sides, so that a chunk in a third of all documents is dealt out.
+A text's lines with a word are hashed, and a rolling hash goes over every two of them in a row. Chunks are
+cut where it isn't above both its neighbours; so where a chunk ends depends on four lines only, and a
+block that is moved, or follows inserted lines, is cut as before but for its edges. The text's ends cut too.
+Of two windows in a row one is a cut in every text that has both, so no repeated block of three lines or
+more is without one; of a block of two lines only that holds if both texts cut there.
+
+1. Cuts are the anchors: each gives its window's hash, its place, and short hashes of the lines from the cut
+   before to the cut after. Anchors meet by hash; the smallest doc_id that has one is its first document.
+2. A document's anchor is extended line by line, in both directions up to its neighbouring cuts, as far as
+   its first document goes on likewise. Where that is the whole way, the next cut is an anchor of that block
+   too. Stretches that meet in one first document are one run.
+3. The first document's bytes of each run are read in a second join and compared line by line; hashes decide
+   nothing alone. Lines that are equal go, two or more in a row.
+
+A window that the text itself has before, without overlap, goes too. The first of all occurrences stays. The
+blank lines inside a run belong to its bytes.
+
+Anchors are reduced to their smallest doc_id before the shuffle, and the joins back have plain exchanges on
+both sides, so that a line pair in a third of all documents is dealt out.
 
 Defined cases: a null text stays null, an empty one empty; a text without newlines is one line and so
-never removed; a row with a null doc_id is unchanged and is nobody's earlier document; rows that
-repeat a doc_id don't remove each other's chunks; columns besides text (and n_chars, which follows
-it) are kept as they are.
-
-Chunks alone leave most short runs behind: a run of a few lines seldom holds two boundaries, and the
-lines beside a run's first and last boundary share chunks with other neighbours. `run_dedup` takes
-every window of `min_lines` lines with a word as an anchor, joins anchors to their first document and
-extends them line by line to whole runs for as long as that document goes on likewise. The first
-document's bytes of each run are read in a second join and compared. A window goes, all its lines, if
-an earlier document has its bytes, or its own text has them before without overlap. The blank lines
-inside a window belong to its bytes.
+never cut; a row with a null doc_id is unchanged and is nobody's earlier document; rows that repeat a
+doc_id are told apart by their texts and don't remove each other's lines; columns besides text (and
+n_chars, which follows it) are kept as they are.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lodestone.llm.common import spare
+from lodestone.llm.tokens import mix, signed
 from lodestone.sources.scratch import frugal, materialize
 
-WINDOW, DIVISOR, MIN_LINES = 2, 3, 2
-
-
-def chunks(lines: list[bytes], window: int = WINDOW, divisor: int = DIVISOR) -> list[tuple[int, int]]:
-    """[start, end) of the chunks of a text's lines."""
-    hashes = [zlib.crc32(x) for x in lines]
-    out, start = [], 0
-    for i in range(len(lines)):
-        rolled = 0
-        for h in hashes[max(0, i - window + 1) : i + 1]:
-            rolled = (rolled * 0x01000193 + h) & 0xFFFFFFFF
-        if (rolled * 0x9E3779B1 >> 16 & 0xFFFF) % divisor == 0 and i + 1 - start >= 1:
-            out.append((start, i + 1))
-            start = i + 1
-    if start < len(lines):
-        out.append((start, len(lines)))
-    return out
-
-
-def _candidates(text: bytes, window: int, divisor: int, min_lines: int) -> Iterator[tuple[int, bytes]]:
-    """(number of the chunk, its bytes) for every chunk that may go."""
-    lines = text.split(b"\n")
-    if len(lines) < min_lines:
-        return
-    for no, (a, b) in enumerate(chunks(lines, window, divisor)):
-        if b - a >= min_lines and sum(1 for x in lines[a:b] if x.strip()) >= min_lines:
-            yield no, b"\n".join(lines[a:b])
-
-
-def _hash_rows(*rule: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, found = [], []
-            for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()), strict=True):
-                for h in {xxhash.xxh3_64_intdigest(x) for _, x in _candidates(t.as_py() or b"", *rule)}:
-                    ids.append(d)
-                    found.append(h)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.array(found, np.uint64).view(np.int64))], ["doc_id", "h"])
-
-    return run
-
-
-def _chunk_rows(*rule: int):
-    """Chunks with a wanted hash, with their bytes; each once for a text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, found, texts = [], [], []
-            for d, t, wanted in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()), batch.column("wanted").to_pylist(), strict=True):
-                asked = {x % (1 << 64) for x in wanted}
-                for x in {x for _, x in _candidates(t.as_py() or b"", *rule)}:
-                    if (h := xxhash.xxh3_64_intdigest(x)) in asked:
-                        ids.append(d)
-                        found.append(h)
-                        texts.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.array(found, np.uint64).view(np.int64)), pa.array(texts, pa.binary())], ["doc_id", "h", "chunk"])
-
-    return run
-
-
-def _cutter(*rule: int):
-    """(text or null, digests of chunks to remove) to the text without them and without repeats of its own, and the lines removed."""
-
-    def cut(text: pd.Series, gone: pd.Series) -> pd.DataFrame:
-        left, removed = [], []
-        for t, digests in zip(text, gone, strict=True):
-            if t is None:
-                left.append(None)
-                removed.append(0)
-                continue
-            raw = t.encode()
-            lines, n = raw.split(b"\n"), 0
-            asked, seen, kept = set() if digests is None else set(digests), set(), []
-            taken = dict(_candidates(raw, *rule))
-            for no, (a, b) in enumerate(chunks(lines, rule[0], rule[1])):
-                body = taken.get(no)
-                if body is not None and (body in seen or (asked and xxhash.xxh3_128_digest(body) in asked)):
-                    n += b - a
-                else:
-                    kept += lines[a:b]
-                if body is not None:
-                    seen.add(body)
-            left.append(t if not n else b"\n".join(kept).decode())
-            removed.append(n)
-        return pd.DataFrame({"text": left, "removed": np.array(removed, np.int64)})
-
-    return F.pandas_udf(cut, "text string, removed long")
-
-
-def _digest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        made = pa.array([xxhash.xxh3_128_digest(x.as_py()) for x in batch.column("chunk")], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), made], ["doc_", "digest"])
-
-
-def repeated_chunks(texts: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> DataFrame:
-    """(doc_, gone): for each document the digests of its chunks that an earlier document has, byte for byte."""
-    rule = (window, divisor, min_lines)
-    ours = texts.select("doc_id", "text").where(F.col("doc_id").isNotNull())
-    hashes = ours.mapInArrow(_hash_rows(*rule), "doc_id long, h long")
-    shared = hashes.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h", F.shiftrightunsigned("h", 63).alias("part"))
-    wanted = hashes.withColumn("part", F.shiftrightunsigned("h", 63)).join(shared, ["h", "part"]).groupBy(F.col("doc_id").alias("doc_")).agg(F.collect_set("h").alias("wanted"))
-    again = ours.join(wanted, F.col("doc_id") == F.col("doc_")).select("doc_id", "text", "wanted").mapInArrow(_chunk_rows(*rule), "doc_id long, h long, chunk binary")
-    # byte comparison: the groups are the chunks themselves
-    first = again.groupBy("chunk").agg(F.min("h").alias("h"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("chunk", "h", "lo")
-    gone = again.join(first, ["chunk", "h"]).where(F.col("doc_id") > F.col("lo")).select("doc_id", "chunk")
-    return gone.mapInArrow(_digest_rows, "doc_ long, digest binary").groupBy("doc_").agg(F.collect_set("digest").alias("gone"))
-
-
-def line_dedup(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, min_lines: int = MIN_LINES, removed: str | None = None) -> DataFrame:
-    """docs with repeated chunks cut out of text; `removed` names a column for the number of lines removed."""
-    gone = repeated_chunks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartition("doc_id"), window, divisor, min_lines)
-    key, lost, made = spare(docs, "dedup_doc"), spare(docs, "dedup_gone"), spare(docs, "dedup_made")
-    met = docs.join(gone.select(F.col("doc_").alias(key), F.col("gone").alias(lost)), F.col("doc_id") == F.col(key), "left")
-    cut = _cutter(window, divisor, min_lines)
-    met = met.withColumn(made, cut(F.when(F.col("doc_id").isNotNull(), F.col("text")), F.col(lost)))
-    text = F.when(F.col("doc_id").isNull(), F.col("text")).otherwise(F.col(f"{made}.text"))
-    out = met.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns, *([F.col(f"{made}.removed").alias(removed)] if removed else []))
+MIN_LINES = 2
+#: Odd multipliers of the rolling hash.
+LINE, GAP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def _bounds(raw: bytes) -> list[tuple[int, int, int]]:
@@ -172,46 +55,88 @@ def _bounds(raw: bytes) -> list[tuple[int, int, int]]:
     return out
 
 
-def _window_rows(min_lines: int):
-    """(doc_id, tkey, text) to one row a window: its hash, its place among the text's windows, and whether the text has it there first."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, keys, places, found, new = [], [], [], [], []
-            for d, k, t in zip(batch.column("doc_id").to_pylist(), batch.column("tkey").to_pylist(), batch.column("text").cast(pa.binary()), strict=True):
-                raw, seen = t.as_py() or b"", set()
-                lines = _bounds(raw)
-                for i in range(len(lines) - min_lines + 1):
-                    h = xxhash.xxh3_64_intdigest(raw[lines[i][1] : lines[i + min_lines - 1][2]])
-                    ids.append(d)
-                    keys.append(k)
-                    places.append(i)
-                    found.append(h)
-                    new.append(h not in seen)
-                    seen.add(h)
-            columns = [pa.array(ids, pa.int64()), pa.array(keys, pa.int32()), pa.array(places, pa.int32()), pa.array(np.array(found, np.uint64).view(np.int64)), pa.array(new, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tkey", "pos", "h", "new"])
-
-    return run
-
-
-def _first_rows(min_lines: int):
-    """(doc_id, text, wanted: src_pos and n) to the bytes of those runs of windows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [])
-            for d, t, wanted in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()), batch.column("wanted").to_pylist(), strict=True):
-                raw = t.as_py() or b""
-                lines = _bounds(raw)
-                for x in wanted:
-                    last = x["src_pos"] + x["n"] + min_lines - 2
-                    if last < len(lines):
-                        for column, value in zip(out, (d, x["src_pos"], x["n"], raw[lines[x["src_pos"]][1] : lines[last][2]]), strict=True):
-                            column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary())], ["src_doc", "src_pos", "n", "body"])
-
-    return run
+def _hashes(parts: list[bytes]) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(x) for x in parts], np.uint64)
+
+
+class Cuts:
+    """The cuts of a text: `lines` with a word, `windows` of two of them by rolling hash, and `at`, the windows where chunks are cut."""
+
+    def __init__(self, raw: bytes):
+        self.lines = _bounds(raw)
+        line = _hashes([raw[a:b] for _, a, b in self.lines])
+        gap = _hashes([raw[x[2] : y[1]] for x, y in zip(self.lines, self.lines[1:])])
+        # a line with what lies between it and the next, and one with what lies before it
+        self.before = mix(line[:-1] * LINE + gap * GAP)
+        self.after = mix(gap * GAP + line[1:] * LINE + GAP)
+        self.windows = mix(self.before * LINE + line[1:])
+        w = self.windows
+        above = np.zeros(len(w), bool)
+        if len(w) > 2:
+            above[1:-1] = (w[1:-1] > w[:-2]) & (w[1:-1] > w[2:])
+        self.at = np.flatnonzero(~above)
+
+    def near(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each cut the lines before its window, nearest first, from the cut before, and those after it to the cut after."""
+        short = lambda x: (x >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        before, after = short(self.before), short(self.after)
+        ends = [0, *self.at[:-1]], [*self.at[1:], len(self.windows) - 1]
+        return [(before[lo:i][::-1], after[i + 1 : hi + 1]) for i, lo, hi in zip(self.at, *ends)]
+
+
+def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, tkey, text) to one row a cut: its hash, its place, and the lines around it."""
+    for batch in batches:
+        ids, keys, places, found, back, on = [], [], [], [], [], []
+        for d, k, t in zip(batch.column("doc_id").to_pylist(), batch.column("tkey").to_pylist(), batch.column("text").cast(pa.binary()), strict=True):
+            cuts = Cuts(t.as_py() or b"")
+            if len(cuts.at):
+                near = cuts.near()
+                ids += [d] * len(near)
+                keys += [k] * len(near)
+                places.append(cuts.at)
+                found.append(cuts.windows[cuts.at])
+                back += [x for x, _ in near]
+                on += [x for _, x in near]
+        joined = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
+        columns = [pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(joined(places, np.int64).astype(np.int32)), pa.array(signed(joined(found, np.uint64))), _lists(back), _lists(on)]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tkey", "pos", "h", "back", "on"])
+
+
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    ends = np.zeros(len(parts) + 1, np.int32)
+    np.cumsum([len(x) for x in parts], out=ends[1:])
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32), pa.int32()))
+
+
+def _first_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, wanted: src_pos and n) to the bytes of those runs of lines."""
+    for batch in batches:
+        out: tuple[list, ...] = ([], [], [], [])
+        for d, t, wanted in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()), batch.column("wanted").to_pylist(), strict=True):
+            raw = t.as_py() or b""
+            lines = _bounds(raw)
+            for x in wanted:
+                last = x["src_pos"] + x["n"] - 1
+                if last < len(lines):
+                    for column, value in zip(out, (d, x["src_pos"], x["n"], raw[lines[x["src_pos"]][1] : lines[last][2]]), strict=True):
+                        column.append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary())], ["src_doc", "src_pos", "n", "body"])
+
+
+def _equal_lines(raw: bytes, lines: list[tuple[int, int, int]], body: bytes, min_lines: int) -> Iterator[tuple[int, int]]:
+    """[first, last] of the stretches of min_lines lines or more of raw that are those of body, with what lies between them."""
+    theirs = _bounds(body)
+    if raw[lines[0][1] : lines[-1][2]] == body:
+        yield 0, len(lines) - 1
+        return
+    start = 0
+    for i in range(1, len(lines) + 1):
+        equal = i < min(len(lines), len(theirs)) and raw[lines[i - 1][1] : lines[i][2]] == body[theirs[i - 1][1] : theirs[i][2]]
+        if not equal:
+            if i - start >= min_lines:
+                yield start, i - 1
+            start = i
 
 
 def _run_cutter(min_lines: int):
@@ -227,9 +152,9 @@ def _run_cutter(min_lines: int):
             raw = t.encode()
             lines, gone, seen = _bounds(raw), set(), {}
             for x in () if found is None else found:
-                last = x["pos"] + x["n"] + min_lines - 2
-                if last < len(lines) and raw[lines[x["pos"]][1] : lines[last][2]] == x["body"]:
-                    gone.update(range(lines[x["pos"]][0], lines[last][0] + 1))
+                mine = lines[x["pos"] : x["pos"] + x["n"]]
+                for a, b in _equal_lines(raw, mine, x["body"], min_lines) if mine else ():
+                    gone.update(range(mine[a][0], mine[b][0] + 1))
             for i in range(len(lines) - min_lines + 1):
                 last = i + min_lines - 1
                 if seen.setdefault(raw[lines[i][1] : lines[last][2]], i) + min_lines <= i:
@@ -241,32 +166,41 @@ def _run_cutter(min_lines: int):
     return F.pandas_udf(cut, "text string, removed long")
 
 
-def repeated_runs(read: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """doc_id, pos, n, src_doc, src_pos: runs of n windows that a document with a smaller doc_id has, by hash. `read`: doc_id (long, not null), text."""
-    windows = read.withColumn("tkey", F.pmod(F.hash("text"), F.lit(127))).select("doc_id", "tkey", "text").mapInArrow(_window_rows(min_lines), "doc_id long, tkey int, pos int, h long, new boolean")
-    shared = windows.where("new").groupBy("h").agg(F.min("doc_id").alias("src_doc"), F.max("doc_id").alias("last_doc"), F.min_by("pos", "doc_id").alias("src_pos")).where("src_doc < last_doc")
-    shared = shared.select("h", F.shiftrightunsigned("h", 63).alias("part"), "src_doc", "src_pos")
-    hits = windows.select("doc_id", "tkey", "pos", "h", F.shiftrightunsigned("h", 63).alias("part")).join(shared, ["h", "part"]).where(F.col("doc_id") > F.col("src_doc"))
+def _alike(a: Column | str, b: Column | str) -> Column:
+    """How many numbers two arrays have in common from their beginning."""
+    other = F.array_position(F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False))), False)
+    return F.when(other == 0, F.size(a)).otherwise(other - 1).cast("int")
+
+
+def repeated_runs(read: DataFrame) -> DataFrame:
+    """doc_id, pos, n, src_doc, src_pos: runs of n lines that a document with a smaller doc_id has, by hash. `read`: doc_id (long, not null), text."""
+    anchors = read.withColumn("tkey", F.xxhash64("text")).select("doc_id", "tkey", "text").mapInArrow(_anchor_rows, "doc_id long, tkey long, pos int, h long, back array<int>, on array<int>")
+    first = anchors.groupBy("h").agg(F.min(F.struct("doc_id", "pos", "back", "on")).alias("src"), F.max("doc_id").alias("last_doc")).where("src.doc_id < last_doc")
+    first = first.select("h", F.shiftrightunsigned("h", 63).alias("part"), F.col("src.doc_id").alias("src_doc"), F.col("src.pos").alias("src_pos"), F.col("src.back").alias("src_back"), F.col("src.on").alias("src_on"))
+    met = anchors.withColumn("part", F.shiftrightunsigned("h", 63)).join(first, ["h", "part"]).where(F.col("doc_id") > F.col("src_doc"))
+    back, on = _alike("back", "src_back"), _alike("on", "src_on")
+    stretches = met.select("doc_id", "tkey", "src_doc", (F.col("src_pos") - F.col("pos")).alias("shift"), (F.col("pos") - back).alias("pos"), (F.col("pos") + MIN_LINES + on).alias("end")).distinct()
 
-    order = Window.partitionBy("doc_id", "tkey").orderBy("pos")
-    last = lambda c: F.lag(c).over(order)
-    goes_on = (last("pos") + 1 == F.col("pos")) & (last("src_doc") == F.col("src_doc")) & (last("src_pos") + 1 == F.col("src_pos"))
-    runs = hits.select("doc_id", "tkey", "pos", "src_doc", "src_pos").distinct().repartition("doc_id").withColumn("new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn("run", F.sum("new").over(order))
-    return runs.groupBy("doc_id", "tkey", "run").agg(F.min("pos").alias("pos"), F.count(F.lit(1)).cast("int").alias("n"), F.min("src_doc").alias("src_doc"), F.min("src_pos").alias("src_pos")).drop("run", "tkey")
+    # stretches that meet: a text's lines at one distance from those of one first document
+    by = Window.partitionBy("doc_id", "tkey", "src_doc", "shift").orderBy("pos", "end")
+    reached = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    runs = stretches.withColumn("new", F.when(F.col("pos") <= reached, 0).otherwise(1)).withColumn("run", F.sum("new").over(by))
+    whole = runs.groupBy("doc_id", "tkey", "src_doc", "shift", "run").agg(F.min("pos").alias("pos"), F.max("end").alias("end"))
+    return whole.select("doc_id", "pos", (F.col("end") - F.col("pos")).alias("n"), "src_doc", (F.col("pos") + F.col("shift")).alias("src_pos"))
 
 
-def run_dedup(docs: DataFrame, min_lines: int = MIN_LINES, removed: str | None = None) -> DataFrame:
-    """docs with every repeated run of min_lines lines or more cut out of text; `removed` names a column for the number of lines removed."""
+def run_dedup(docs: DataFrame, removed: str | None = None) -> DataFrame:
+    """docs with every repeated run of lines cut out of text; `removed` names a column for the number of lines removed."""
     frugal(docs.sparkSession)
     named = docs.where(F.col("doc_id").isNotNull())
-    runs = materialize(repeated_runs(named.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), min_lines), "runs")
+    runs = materialize(repeated_runs(named.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), "runs")
     key, lost, made = spare(docs, "dedup_doc"), spare(docs, "dedup_runs"), spare(docs, "dedup_made")
     # one exchange of the texts, for the first documents' bytes and for the cut
     dealt = named.withColumn(key, F.col("doc_id").cast("long")).repartition(key)
     wanted = runs.groupBy(F.col("src_doc").alias("src_")).agg(F.collect_set(F.struct("src_pos", "n")).alias("wanted"))
-    first = dealt.join(wanted, F.col(key) == F.col("src_")).select(F.col(key).alias("doc_id"), "text", "wanted").mapInArrow(_first_rows(min_lines), "src_doc long, src_pos int, n int, body binary").distinct()
+    first = dealt.join(wanted, F.col(key) == F.col("src_")).select(F.col(key).alias("doc_id"), "text", "wanted").mapInArrow(_first_rows, "src_doc long, src_pos int, n int, body binary").distinct()
     met = runs.join(first, ["src_doc", "src_pos", "n"]).groupBy(F.col("doc_id").alias("met_")).agg(F.collect_list(F.struct("pos", "n", "body")).alias(lost))
-    cut = dealt.join(met, F.col(key) == F.col("met_"), "left").withColumn(made, _run_cutter(min_lines)("text", lost))
+    cut = dealt.join(met, F.col(key) == F.col("met_"), "left").withColumn(made, _run_cutter(MIN_LINES)("text", lost))
     cut = cut.withColumn("text", F.col(f"{made}.text")).withColumn(made, F.col(f"{made}.removed"))
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.length("text").cast("long"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import brute
-from lodestone.llm import chat, decontaminate, jaccard, linededup, lmscore, mixing, quality, substring, toxicity, urls
+from lodestone.llm import chat, decontaminate, jaccard, lmscore, mixing, quality, substring, toxicity, urls
 
 DOC = "doc_id long, text string, source string, n_chars long, n_words string, size string"
 VOCAB = [f"w{i}" for i in range(40)] + ["the", "of", "É", "Ünï", "A", "b#"]
@@ -67,53 +67,6 @@ def test_jaccard_edges(spark):
     assert jaccard.jaccard_classes(frame(spark, rows).limit(0)).count() == 0
 
 
-def plain_lines(rows):
-    """The same rule with dictionaries."""
-    rule = (linededup.WINDOW, linededup.DIVISOR, linededup.MIN_LINES)
-    first = {}
-    for d, t in rows:
-        if d is not None:
-            for _, body in linededup._candidates((t or "").encode(), *rule):
-                first[body] = min(first.get(body, d), d)
-    out = []
-    for d, t in rows:
-        if d is None or t is None:
-            out.append((d, t))
-            continue
-        lines, seen, kept = t.encode().split(b"\n"), set(), []
-        taken = dict(linededup._candidates(t.encode(), *rule))
-        for no, (a, b) in enumerate(linededup.chunks(lines)):
-            body = taken.get(no)
-            if body is None or (body not in seen and first[body] == d):
-                kept += lines[a:b]
-            seen.add(body)
-        out.append((d, b"\n".join(kept).decode()))
-    return sorted(out, key=repr)
-
-
-def test_lines(spark):
-    rng = random.Random(9)
-    block = [f"line {i} é" for i in range(30)]
-    rows = []
-    for d in range(40):
-        lines = [f"own {d} {i}" for i in range(rng.randrange(0, 9))]
-        at = rng.randrange(len(lines) + 1)
-        rows.append((d, "\n".join(lines[:at] + (block if rng.random() < 0.5 else []) + lines[at:])))
-    rows += [(50, None), (51, ""), (52, "x\n" * 500), (None, rows[0][1]), (3, rows[3][1]), (60, "\n".join(block + block))]
-    got = linededup.line_dedup(frame(spark, rows), removed="gone")
-    assert got.columns == [*frame(spark, rows).columns, "gone"]
-    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr) == plain_lines(rows)
-    assert got.agg(F.sum("gone")).first()[0] > 100
-    assert linededup.line_dedup(frame(spark, rows).limit(0)).count() == 0
-
-
-def test_chunks_shift():
-    lines = [f"l{i}".encode() for i in range(400)]
-    a = {tuple(lines[i:j]) for i, j in linededup.chunks(lines)}
-    moved = [b"new"] + lines
-    assert len(a & {tuple(moved[i:j]) for i, j in linededup.chunks(moved)}) >= len(a) - 1
-
-
 def test_chat_grammar():
     rng = random.Random(1)
     signs = ["\\", "#", "##", "###", "### ", "<", "</turn>", ": ", "\n", "a", "é", " "]
