@@ -81,6 +81,41 @@ FACTS = """facts AS (
   FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 
 
+#: How a reading is written after its number, and what it is; null for what is no measurement.
+READINGS = (
+    (" ft-lb", "ft-lb", "torque"), (" foot pounds", "ft-lb", "torque"), (" lbs-ft", "ft-lb", "torque"), (" ft. lbs", "ft-lb", "torque"), (" in-lbs", "in-lb", "torque"), (" inch-pounds", "in-lb", "torque"),
+    (" N·m", "N-m", "torque"), (" Nm", "N-m", "torque"), (" newton meters", "N-m", "torque"), (" psi", "psi", "pressure"), (" PSIG", "psi", "pressure"), (" lbs per square inch", "psi", "pressure"),
+    (" lb/in2", "psi", "pressure"), (" kPa", "kPa", "pressure"), (" megapascals", "MPa", "pressure"), (" bar", "bar", "pressure"), (" inches of mercury", "inHg", "pressure"), (" in-Hg", "inHg", "pressure"),
+    (" volts", "V", "electrical"), (" VDC", "V", "electrical"), (" V", "V", "electrical"), (" amperes", "A", "electrical"), (" A", "A", "electrical"), (" mA", "mA", "electrical"), (" ohms", "ohm", "electrical"),
+    (" watts", "W", "electrical"), (" Hz", "Hz", "electrical"), (" gallons per min", "gpm", "flow"), (" gal/min", "gpm", "flow"), (" gpm", "gpm", "flow"), (" cu ft/min", "cfm", "flow"), (" rpm", "rpm", "rotation"),
+    (" rev/min", "rpm", "rotation"), (" mph", "mph", "speed"), (" miles per hour", "mph", "speed"), (" km/h", "km/h", "speed"), (" gallons", "gal", "capacity"), (" qts", "qt", "capacity"), (" pint", "pt", "capacity"),
+    (" fl oz", "fl-oz", "capacity"), (" L", "L", "capacity"), (" millilitres", "mL", "capacity"), (" cc", "mL", "capacity"), (" lbf", "lbf", "force"), (" kN", "kN", "force"), (" N", "N", "force"), (" pounds", "lb", "weight"),
+    (" lbs", "lb", "weight"), (" oz", "oz", "weight"), (" kg", "kg", "weight"), (" grams", "g", "weight"), (" tons", "ton", "weight"), (" F", "degF", "temperature"), ("° F", "degF", "temperature"), (" deg C", "degC", "temperature"),
+    (" degrees Celsius", "degC", "temperature"), (" sq in", "sq-in", "area"), (" square feet", "sq-ft", "area"), ("°", "deg", "angle"), (" degrees", "deg", "angle"), (" in.", "in", "length"), (" inches", "in", "length"),
+    (" feet", "ft", "length"), (" yards", "yd", "length"), (" mm", "mm", "length"), (" centimeters", "cm", "length"), (" m", "m", "length"), (" mils", "mil", "length"),
+    ("W-30 oil", None, None), (" inmates", None, None), ("C rate", None, None), (" F-15 jets", None, None), (" volunteers", None, None), (" bolts", None, None),
+)
+
+
+def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with one reading each, in one of many spellings, as a value, a range or a value with a tolerance, and what it is by the columns."""
+    rows = spread(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag")).join(read(spark, sf_dir, "part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
+    spelled = F.element_at(F.array(*[F.lit(s) for s, _, _ in READINGS]), ((F.col("l_partkey") * 5 + F.col("l_linenumber") % 4) % len(READINGS) + 1).cast("int"))
+    q = F.col("l_quantity").cast("long")
+    number = F.when(q % 3 == 0, q.cast("string")).when(q % 3 == 1, F.concat(q.cast("string"), F.lit(" to "), (q + 5).cast("string"))).otherwise(F.concat(q.cast("string"), F.lit(" +/- 2")))
+    text = F.concat(F.lit("Set the "), "p_name", F.lit(" of this vehicle to "), number, spelled, F.lit(" before the next run;\n then go on with the other steps of this procedure."))
+    return rows.select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("page"), F.lpad(F.col("l_partkey").cast("string"), 9, "0").alias("niin"), text.alias("body_text"), F.col("l_suppkey").alias("source_id"), F.col("l_returnflag").alias("grade"))
+
+
+_CASES = ", ".join("({}, '{}', {}, {})".format(i, s, *("NULL" if x is None else f"'{x}'" for x in (u, k))) for i, (s, u, k) in enumerate(READINGS))
+#: What the readings are, from the columns and the table above alone.
+READ = f"""cases(i, spelled, unit, type) AS (VALUES {_CASES}),
+facts AS (
+  SELECT l_orderkey AS document_id, l_linenumber AS page, lpad(l_partkey::VARCHAR, 9, '0') AS niin, l_suppkey AS source_id, l_returnflag AS grade, p_name, spelled, type, unit, floor(l_quantity)::DOUBLE AS value,
+    CASE WHEN floor(l_quantity)::BIGINT % 3 = 1 THEN floor(l_quantity) + 5.0::DOUBLE END AS value2, CASE WHEN floor(l_quantity)::BIGINT % 3 = 2 THEN 2.0::DOUBLE END AS tolerance
+  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN cases ON i = (l_partkey * 5 + l_linenumber % 4) % {len(READINGS)} WHERE unit IS NOT NULL)"""
+
+
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Usage events: kind, query (a key), document and time."""
     events = read(spark, sf_dir, "events")

@@ -4,13 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# The units of each dimension, the factor to its base unit, and its usual and hard bands.
-UNITS = {
-    "torque": {"ft-lb": 1.0, "in-lb": 1 / 12, "N-m": 0.737562},
-    "pressure": {"psi": 1.0, "kPa": 0.145038, "bar": 14.5038},
-    "length": {"in": 1.0, "ft": 12.0, "mm": 0.0393701, "cm": 0.393701},
-    "capacity": {"qt": 1.0, "gal": 4.0, "pt": 0.5, "L": 1.05669},
-}
+# Fixed values.
 #: Hard least and most, usual least and most, and whether a value may be negative.
 BANDS = {
     "torque": (0, 200000, 0.5, 3000, False),
@@ -117,15 +111,27 @@ def quality_flag(score: Column) -> Column:
     return F.when(score >= 0.85, "clean").when(score >= 0.6, "suspect").otherwise("poor")
 
 
-def value_gate(kind: Column, value: Column) -> Column:
-    """Ok, suspect (outside the usual band) or quarantine (no number, negative where it can't be, outside the hard band); kinds without a band are ok."""
-    out = None
+def _gate(kind: Column, value: Column, given: Column | None) -> list[tuple[Column, str, Column]]:
+    """(condition, status, reason) in order of precedence."""
+    out = [] if given is None else [(garbled(given), "quarantine", F.lit("garbled"))]
     for name, (hard_lo, hard_hi, lo, hi, signed) in BANDS.items():
         mine = kind == name
-        bad = value.isNull() | (value < (hard_lo if signed else 0)) | (value > hard_hi)
-        out = F.when(mine & bad, "quarantine") if out is None else out.when(mine & bad, "quarantine")
-        out = out.when(mine & ((value < lo) | (value > hi)), "suspect")
-    return out.otherwise("ok")
+        out.append((mine & value.isNull(), "quarantine", F.lit("no number")))
+        if not signed:
+            out.append((mine & (value < 0), "quarantine", F.lit("negative")))
+        out.append((mine & ((value < hard_lo) | (value > hard_hi)), "quarantine", F.lit("out of physical range")))
+        out.append((mine & ((value < lo) | (value > hi)), "suspect", F.lit("outside the usual band")))
+    return out
+
+
+def value_gate(kind: Column, value: Column, given: Column | None = None) -> Column:
+    """Ok, suspect (outside the usual band) or quarantine (garbled as it was given, no number, negative where it can't be, outside the hard band); kinds without a band are ok."""
+    return F.coalesce(*[F.when(c, status) for c, status, _ in _gate(kind, value, given)], F.lit("ok"))
+
+
+def gate_reason(kind: Column, value: Column, given: Column | None = None) -> Column:
+    """Why; empty for ok."""
+    return F.coalesce(*[F.when(c, why) for c, _, why in _gate(kind, value, given)], F.lit(""))
 
 
 def garbled(value: Column) -> Column:
@@ -140,13 +146,6 @@ def trust(status: Column, n: Column, spread: Column) -> Column:
     return F.when(status == "quarantine", "quarantined").when(status == "suspect", "low").when(spread > 0.25, "review").when(n < 2, "medium").otherwise("high")
 
 
-def convert(value: Column, unit: Column, to: str, kind: str) -> Column:
-    """A value in another unit of its dimension; null for units that it hasn't."""
-    units = UNITS[kind]
-    factor = F.create_map(*[F.lit(x) for u, f in units.items() for x in (u, f)])
-    return value * factor[unit] / F.lit(units[to])
-
-
 def clean_vehicles(c: Column, most: int = 20) -> Column:
     """Names between pipes, without junk, file names and single letters."""
     names = F.transform(F.split(c, r"\|"), lambda x: F.trim(x))

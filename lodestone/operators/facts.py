@@ -2,151 +2,157 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lodestone.functions import codes
-
-# Spellings of units in order of precedence, with their canonical form and dimension.
-UNIT_PATTERNS = (
-    (r"ft[\s\-.]?lbs?|lbs?[\s\-.]?ft|foot[\s\-]?pounds?|ft\. lbs?", "ft-lb", "torque"),
-    (r"in[\s\-.]?lbs?|inch[\s\-]?pounds?|in\. lbs?", "in-lb", "torque"),
-    (r"n[\s·•∙\-.]?m|newton[\s\-]?met(?:er|re)s?", "N-m", "torque"),
-    (r"psi[ag]?|lbs?/in\^?2|lbs?[\s\-]?per[\s\-]?square[\s\-]?inch", "psi", "pressure"),
-    (r"kpa|kilopascals?", "kPa", "pressure"),
-    (r"mpa|megapascals?", "MPa", "pressure"),
-    (r"bar\b", "bar", "pressure"),
-    (r"in[\s\-.]?hg|inch(?:es)?[\s\-]?of[\s\-]?mercury", "inHg", "pressure"),
-    (r"vdc|vac|volts?|(?<![a-z])v(?![a-z])", "V", "electrical"),
-    (r"amp(?:ere)?s?|(?<![a-z])a\b", "A", "electrical"),
-    (r"milliamps?|ma\b", "mA", "electrical"),
-    (r"ohms?|Ω", "ohm", "electrical"),
-    (r"watts?|(?<![a-z])w(?![a-z])(?!-\d)", "W", "electrical"),
-    (r"hertz|hz\b", "Hz", "electrical"),
-    (r"gpm|gal(?:lon)?s?[\s/]*(?:per\s*)?min", "gpm", "flow"),
-    (r"cfm|cu\.?\s*ft[\s/]*(?:per\s*)?min", "cfm", "flow"),
-    (r"rpm|rev(?:olution)?s?[\s/]*(?:per\s*)?min", "rpm", "rotation"),
-    (r"mph|miles?[\s/]*(?:per\s*)?h(?:ou)?r", "mph", "speed"),
-    (r"km/?h|kph|kilomet(?:er|re)s?[\s/]*(?:per\s*)?h(?:ou)?r", "km/h", "speed"),
-    (r"gal(?:lon)?s?", "gal", "capacity"),
-    (r"quarts?|qts?", "qt", "capacity"),
-    (r"pints?|pts?", "pt", "capacity"),
-    (r"fl[\s.]?oz|fluid[\s\-]?ounces?", "fl-oz", "capacity"),
-    (r"lit(?:er|re)s?|(?<![a-z])l\b", "L", "capacity"),
-    (r"millilit(?:er|re)s?|ml\b|cc\b|cubic[\s\-]?cent", "mL", "capacity"),
-    (r"lbs?f", "lbf", "force"),
-    (r"kn\b|kilonewtons?", "kN", "force"),
-    (r"(?<![a-z])n(?![a-z\-])", "N", "force"),
-    (r"pounds?|lbs?(?![\s\-.]?ft)|lbs\.?", "lb", "weight"),
-    (r"ounces?|oz\b", "oz", "weight"),
-    (r"kilograms?|kgs?", "kg", "weight"),
-    (r"grams?|(?<![a-z])g\b", "g", "weight"),
-    (r"tons?", "ton", "weight"),
-    (r"°\s*f|deg(?:ree)?s?[\s.]*f(?:ahrenheit)?|(?<![a-z])f(?![a-z])(?!\d)(?!-\d)(?!/)", "degF", "temperature"),
-    (r"°\s*c|deg(?:ree)?s?[\s.]*c(?:elsius|entigrade)?|(?<![a-z])c(?![a-z])(?!\d)(?!-\d)(?!/)", "degC", "temperature"),
-    (r"sq\.?[\s\-]?in|in\^?2|square[\s\-]?inch(?:es)?", "sq-in", "area"),
-    (r"sq\.?[\s\-]?ft|ft\^?2|square[\s\-]?f(?:ee|oo)t", "sq-ft", "area"),
-    (r"°|deg(?:ree)?s?", "deg", "angle"),
-    (r"in(?:ch(?:es)?)?\.?|\"", "in", "length"),
-    (r"f(?:ee|oo)t\.?|ft\.?|'", "ft", "length"),
-    (r"yards?|yds?", "yd", "length"),
-    (r"millimet(?:er|re)s?|mm\b", "mm", "length"),
-    (r"centimet(?:er|re)s?|cm\b", "cm", "length"),
-    (r"met(?:er|re)s?|(?<![a-z])m(?![a-z])", "m", "length"),
-    (r"mils?|thou\b|thousandths?", "mil", "length"),
-)
-#: Units of one letter, which a number of the line before must not be joined to.
-BARE = ("V", "A", "W", "N", "L", "m", "g", "degF", "degC")
-NUMBER = r"[+\-]?(?:\d+(?:,\d{3})*(?:\.\d+)?|\.\d+)"
-_AMOUNT = rf"({NUMBER})\s*(?:(?:-|–|to|through)\s*({NUMBER})\s*)?(?:(?:±|\+/-|plus or minus)\s*({NUMBER})\s*)?"
-MEASURE = rf"(?i)(?<![\w.]){_AMOUNT}({'|'.join(p for p, _, _ in UNIT_PATTERNS)})(?![\w-])"
-#: Cuts what MEASURE has found, without trying the units again.
-_CUT = rf"(?is)^{_AMOUNT}(.*)$"
-#: Canonical forms that are spelled as they are named: looked up before the patterns are tried.
-_PLAIN = {}
-for _pattern, _unit, _kind in UNIT_PATTERNS:
-    if re.fullmatch(_pattern, _unit.lower()) and not any(re.fullmatch(p, _unit.lower()) for p, u, _ in UNIT_PATTERNS[: [u for _, u, _ in UNIT_PATTERNS].index(_unit)]):
-        _PLAIN[_unit.lower()] = (_unit, _kind)
-
-
-def _canonical(unit: Column) -> Column:
-    """unit and type of a spelling."""
-    named = lambda u, k: F.struct(F.lit(u).alias("unit"), F.lit(k).alias("type"))
-    found = None
-    for pattern, name, kind in UNIT_PATTERNS:
-        hit = unit.rlike(f"(?i)^(?:{pattern})$")
-        found = F.when(hit, named(name, kind)) if found is None else found.when(hit, named(name, kind))
-    plain = F.create_map(*[x for u, v in _PLAIN.items() for x in (F.lit(u), named(*v))])
-    return F.coalesce(F.try_element_at(plain, F.lower(unit)), found)
-
-
-def measurements(pages: DataFrame, cap: int = 200, text: str = "body_text") -> DataFrame:
-    """(document_id, page, ...) to one row a measurement: type, value, value2, tolerance, unit. The first `cap` of each page.
-
-    A unit of one letter is only taken on the number's own line, and F or C alone only after a blank."""
+from lodestone.functions import codes, units
+
+#: Marks where a measurement was found; not a character of text.
+_MARK = "\x01"
+#: Cuts what units.MEASURE has found, without trying the units again.
+_CUT = rf"(?is)^{units.AMOUNT}(.*)$"
+#: Characters of text on either side that a measurement is kept with, pieces of text that hold as many, and characters kept in all.
+_AROUND, _PIECES, _CONTEXT = 45, 40, 160
+
+
+def _read(at: Column) -> Column:
+    """The measurement at a place of `parts`, and what stands around it."""
+    joined = lambda lo, n: F.array_join(F.slice("parts", lo, n), "")
+    raw, first = F.element_at("parts", at), F.greatest(at - _PIECES, F.lit(1))
+    near = F.concat(F.right(joined(first, at - first), F.lit(_AROUND)), raw, F.left(joined(at + 1, F.lit(_PIECES)), F.lit(_AROUND)))
+    cut = [F.regexp_extract(raw, _CUT, i).alias(n) for i, n in enumerate(("value", "value2", "tolerance", "spelling"), 1)]
+    return F.struct(F.trim(raw).alias("raw"), F.substring(F.trim(F.regexp_replace(near, r"\s+", " ")), 1, _CONTEXT).alias("context"), *cut)
+
+
+def _named(x: Column) -> Column:
+    unit = units.resolve(x["spelling"])
+    return F.struct(*[x[c].alias(c) for c in ("raw", "context", "value", "value2", "tolerance", "spelling")], unit["unit"].alias("unit"), unit["type"].alias("type"))
+
+
+def _taken(x: Column) -> Column:
+    glued = x["unit"].isin("degF", "degC") & (F.length(x["spelling"]) == 1) & ~x["raw"].rlike(r"\s\w$")
+    return x["unit"].isNotNull() & ~(x["unit"].isin(*units.BARE) & x["raw"].contains("\n")) & ~glued
+
+
+def _same(x: Column) -> Column:
+    return F.concat(F.lower(x["raw"]), F.lit(_MARK), F.substring(x["context"], 1, 30))
+
+
+def measurements(pages: DataFrame, cap: int = 200, text: str = "body_text", context: bool = False) -> DataFrame:
+    """(document_id, page, ...) to one row a measurement: type, value, value2, tolerance, unit; with `context`, also `raw`, what was
+    read, and `context`, what stands around it. The first `cap` of each page.
+
+    A unit of one letter is only taken on the number's own line, and F or C alone only after a blank. What is
+    read twice with the same words before it counts once."""
     keys = [c for c in pages.columns if c != text]
-    found = pages.select(*keys, F.posexplode(F.slice(F.regexp_extract_all(text, F.lit(MEASURE), F.lit(0)), 1, cap)).alias("place", "raw"))
-    # explode of one value: filters on what is found are not copied down into the patterns
-    cut = found.select(*keys, "place", "raw", F.explode(F.array(F.struct(*[F.regexp_extract("raw", _CUT, i).alias(n) for i, n in enumerate(("v1", "v2", "tol", "u"), 1)]))).alias("m"))
-    cut = cut.select("*", F.explode(F.array(_canonical(F.col("m.u")))).alias("c"))
-    glued = F.col("c.unit").isin("degF", "degC") & (F.length("m.u") == 1) & ~F.col("raw").rlike(r"\s\w$")
-    cut = cut.where(~(F.col("c.unit").isin(*BARE) & F.col("raw").contains("\n")) & ~glued)
-    number = lambda c: F.nullif(F.replace(F.col(c), F.lit(","), F.lit("")), F.lit("")).cast("double")
-    return cut.select(*keys, "place", "c.type", number("m.v1").alias("value"), number("m.v2").alias("value2"), number("m.tol").alias("tolerance"), "c.unit")
+    # explode of one value: what it holds is computed once, and filters aren't copied down into it
+    step = lambda df, name, value: df.select(*keys, F.explode(F.array(value)).alias(name))
+    # one pass over the text: what is between the marks is text, measurement, text, ...
+    marked = F.regexp_replace(F.translate(F.col(text), _MARK, ""), units.MEASURE, f"{_MARK}$0{_MARK}")
+    cut = step(pages, "parts", F.split(marked, _MARK)).where(F.size("parts") > 1)
+    found = step(cut, "found", F.transform(F.sequence(F.lit(2), F.size("parts") - 1, F.lit(2)), _read))
+    named = step(found, "named", F.filter(F.transform("found", _named), lambda x: _taken(x)))
+    once = step(named, "once", F.struct("named", F.transform("named", _same).alias("keys")))
+    rows = F.slice(F.filter("once.named", lambda x, i: F.array_position("once.keys", _same(x)) == i + 1), 1, cap)
+    out = once.select(*keys, F.posexplode(rows).alias("place", "r"))
+    number = lambda c: F.nullif(F.replace(F.col(f"r.{c}"), F.lit(","), F.lit("")), F.lit("")).cast("double").alias(c)
+    more = [F.substring("r.raw", 1, 60).alias("raw"), F.col("r.context").alias("context")] if context else []
+    return out.select(*keys, "place", F.col("r.type").alias("type"), number("value"), number("value2"), number("tolerance"), F.col("r.unit").alias("unit"), *more)
 
 
 def gated(facts: DataFrame) -> DataFrame:
-    """Facts with their quality status."""
-    return facts.withColumn("status", codes.value_gate(F.col("type"), F.col("value")))
+    """Facts with their quality status and why. `raw`, what was read, is judged too where there is such a column."""
+    given = F.regexp_extract("raw", rf"^({units.NUMBER})", 1) if "raw" in facts.columns else F.format_string("%.0f", "value")
+    return facts.withColumns({"status": codes.value_gate(F.col("type"), F.col("value"), given), "reason": codes.gate_reason(F.col("type"), F.col("value"), given)})
+
+
+def consolidate(facts: DataFrame, subject: str = "niin", external: DataFrame | None = None) -> DataFrame:
+    """One row a subject, type, unit and origin: median, or where nothing is a number the commonest text (`given`, the first of equals),
+    with low, high and count. A value counts once for each document and page of the corpus; external rows, each for itself, only where the
+    corpus has nothing of the type.
+
+    facts: subject, type, unit, document_id, page, value and, where there are texts, given."""
+    text = lambda df: F.col("given") if "given" in df.columns else F.lit(None).cast("string")
+    once = facts.select(subject, "type", "unit", "document_id", "page", "value", text(facts).alias("given")).distinct().withColumn("origin", F.lit("corpus"))
+    if external is not None:
+        once = once.unionByName(external.select(subject, "type", "unit", "value", text(external).alias("given"), F.lit("external").alias("origin")), allowMissingColumns=True)
+    group = [subject, "type", "unit", "origin"]
+    per = once.groupBy(*group, "value", "given").agg(F.count(F.lit(1)).alias("times"))
+    if external is not None:
+        # the corpus is read once: whether it has a type is seen among the counted rows
+        has = F.max(F.col("origin") == "corpus").over(Window.partitionBy(subject, "type"))
+        per = per.withColumn("has", has).where((F.col("origin") == "corpus") | ~F.col("has"))
+    numbers = F.when(F.count("value") > 0, F.round(F.expr("percentile(value, 0.5D, times)"), 6))
+    kept = per.groupBy(*group).agg(numbers.alias("value"), F.min("value").alias("low"), F.max("value").alias("high"), F.sum("times").alias("n"), F.min_by("given", F.struct(-F.col("times"), "given")).alias("text"))
+    return kept.withColumn("text", F.when(F.col("value").isNull(), F.col("text")))
 
 
-def consolidate(facts: DataFrame, subject: str = "niin") -> DataFrame:
-    """One row a subject, type and unit: median, low, high and count. A value counts once for each document and page."""
-    once = facts.select(subject, "type", "unit", "document_id", "page", "value").distinct()
-    return once.groupBy(subject, "type", "unit").agg(F.round(F.median("value"), 6).alias("value"), F.min("value").alias("low"), F.max("value").alias("high"), F.count(F.lit(1)).alias("n"))
+def dimension_sheet(master: DataFrame) -> DataFrame:
+    """Consolidated rows in both systems of units, with their spread and confidence. What only external sources say is low."""
+    wide = (F.col("high") > F.col("low")) & (F.col("high") - F.col("low") > 0.25 * F.abs(F.coalesce(F.nullif("value", F.lit(0.0)), F.lit(1.0)))) & (F.col("n") > 1)
+    wide = F.coalesce(wide, F.lit(False))
+    confidence = F.when(F.col("origin") != "corpus", "low").when(wide, "review").when(F.col("n") >= 2, "high").otherwise("medium")
+    return master.select("*", units.dual(F.col("value"), F.col("unit")).alias("alt"), units.system(F.col("unit")).alias("system"), F.when(wide, "wide").otherwise("").alias("spread"), confidence.alias("confidence"))
 
 
-def dimension_sheet(master: DataFrame) -> DataFrame:
-    """Consolidated rows with their spread and confidence."""
-    spread = (F.col("high") - F.col("low")) / F.greatest(F.abs("value"), F.lit(1e-9))
-    wide = (spread > 0.25) & (F.col("n") > 1)
-    confidence = F.when(wide, "review").when(F.col("n") >= 3, "high").when(F.col("n") == 2, "medium").otherwise("low")
-    return master.select("*", F.when(wide, "wide").otherwise("tight").alias("spread"), confidence.alias("confidence"))
+def type_coverage(master: DataFrame, subject: str = "niin", types: tuple[str, ...] = units.TYPES) -> DataFrame:
+    """Of each subject how many dimension types it has, its corpus and external rows, and the types that it lacks."""
+    per = master.groupBy(subject).agg(F.collect_set("type").alias("have"), F.count_if(F.col("origin") == "corpus").alias("corpus"), F.count_if(F.col("origin") != "corpus").alias("external"))
+    return per.select(subject, F.size("have").cast("long").alias("n"), "corpus", "external", F.array_join(F.array_except(F.array(*map(F.lit, types)), "have"), ",").alias("missing"))
 
 
-def type_coverage(master: DataFrame, types: tuple[str, ...] = ("torque", "pressure", "length", "capacity")) -> DataFrame:
-    """The dimension types that a subject has, and those it lacks."""
-    have = F.array_sort(F.collect_set("type"))
-    return master.groupBy("niin").agg(have.alias("have")).select("niin", F.array_join("have", ",").alias("types"), F.array_join(F.array_sort(F.array_except(F.array(*map(F.lit, types)), "have")), ",").alias("missing"))
+def gaps(facts: DataFrame, subject: str = "niin", types: tuple[str, ...] = units.TYPES) -> DataFrame:
+    """Per subject and type: gap, inconclusive (one value) or present. One aggregate a subject; the types are a fixed list."""
+    n = facts.groupBy(subject, "type").agg(F.count(F.lit(1)).alias("n"))
+    per = n.groupBy(subject).agg(F.map_from_entries(F.collect_list(F.struct("type", "n"))).alias("has"))
+    each = per.select(subject, "has", F.explode(F.array(*map(F.lit, types))).alias("type"))
+    had = F.coalesce(F.try_element_at("has", F.col("type")), F.lit(0))
+    return each.select(subject, "type", F.when(had == 0, "gap").when(had == 1, "inconclusive").otherwise("present").alias("state"))
 
 
-def gaps(facts: DataFrame, types: tuple[str, ...] = ("torque", "pressure", "length", "capacity")) -> DataFrame:
-    """Per subject and type: gap, inconclusive (one value) or present. The types are a fixed list, exploded beside each subject."""
-    subjects = facts.select("niin").distinct().select("niin", F.explode(F.array(*map(F.lit, types))).alias("type"))
-    n = facts.groupBy("niin", "type").agg(F.count(F.lit(1)).alias("n"))
-    state = F.when(F.col("n").isNull(), "gap").when(F.col("n") == 1, "inconclusive").otherwise("present")
-    return subjects.join(n, ["niin", "type"], "left").select("niin", "type", state.alias("state"))
+#: Types of which a disagreement may be dangerous.
+DANGEROUS = ("torque", "pressure", "electrical", "force")
 
 
-def conflicts(facts: DataFrame, tolerance: float = 0.05, min_docs: int = 2) -> DataFrame:
-    """Subjects whose documents disagree on a dimension, for all subjects in one job."""
-    per = gated(facts).where("status <> 'quarantine'").groupBy("niin", "type", "unit").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.count_distinct("document_id").alias("n_docs"), F.count_distinct(F.round("value", 6)).alias("n_values"))
-    odd = per.where((F.col("n_values") >= 2) & (F.col("high") > 0) & ((F.col("high") - F.col("low")) / F.col("high") > tolerance) & (F.col("n_docs") >= min_docs))
-    return odd.withColumn("severity", F.when(F.col("type").isin("torque", "pressure"), "high").otherwise("medium"))
+def conflicts(facts: DataFrame, subject: str = "niin", tolerance: float = 0.05, min_docs: int = 2) -> DataFrame:
+    """Subjects whose documents disagree on a dimension, for all subjects in one job. What the gate quarantines doesn't count."""
+    rounded = gated(facts).where("status <> 'quarantine'").select(subject, "type", "unit", F.round("value", 6).alias("v"), "value", "document_id")
+    # values and documents are counted one after the other over pre-aggregated rows, so that no row is multiplied for them
+    values = rounded.groupBy(subject, "type", "unit", "v").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    per = values.groupBy(subject, "type", "unit").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.count(F.lit(1)).alias("n_values"))
+    docs = rounded.groupBy(subject, "type", "unit").agg(F.count_distinct("document_id").alias("n_docs"))
+    odd = per.where((F.col("n_values") >= 2) & (F.col("high") > 0) & ((F.col("high") - F.col("low")) / F.col("high") > tolerance))
+    met = odd.join(docs, [subject, "type", "unit"]).where(F.col("n_docs") >= min_docs)
+    return met.withColumn("severity", F.when(F.col("type").isin(*DANGEROUS), "high").otherwise("medium"))
 
 
-def agreement(facts: DataFrame, method: str = "source_id", tolerance: float = 0.03) -> DataFrame:
-    """Do methods agree: single method, confirmed or conflict, with the upper median."""
-    per = facts.groupBy("niin", "type", "unit").agg(F.count_distinct(method).alias("methods"), F.sort_array(F.collect_list("value")).alias("v"))
-    middle = F.element_at("v", (F.floor(F.size("v") / 2) + 1).cast("int"))
-    spread = (F.array_max("v") - F.array_min("v")) / F.greatest(F.array_max("v"), F.lit(1e-9))
-    return per.select("niin", "type", "unit", "methods", middle.alias("consensus"), F.when(F.col("methods") < 2, "single method").when(spread <= tolerance, "confirmed").otherwise("conflict").alias("verdict"))
+def conflict_sweep(facts: DataFrame, most: int = 2000, subject: str = "niin", tolerance: float = 0.05) -> tuple[DataFrame, DataFrame]:
+    """The conflicts of the `most` subjects that occur most often, and one row for the log: how many were checked, and what was found."""
+    top = facts.groupBy(subject).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), subject).limit(most).select(subject)
+    found = conflicts(facts.join(top, subject, "left_semi"), subject, tolerance)
+    log = found.agg(F.count_distinct(subject).alias("subjects"), F.count(F.lit(1)).alias("conflicts"), F.count_if(F.col("severity") == "high").alias("high"))
+    return found, top.agg(F.count(F.lit(1)).alias("checked")).join(log)
 
 
-def suppressed(external: DataFrame, corpus: DataFrame) -> DataFrame:
+def agreement(facts: DataFrame, method: str = "source_id", tolerance: float = 0.03) -> DataFrame:
+    """Do methods agree: single method, confirmed or conflict, with the upper median, the counts, and trust.
+
+    A value's times are counted before values come together, so that a group holds its different values only."""
+    per = facts.groupBy("niin", "type", "unit", "value").agg(F.count(F.lit(1)).alias("times"))
+    order = Window.partitionBy("niin", "type", "unit").orderBy("value")
+    placed = per.withColumn("upto", F.sum("times").over(order)).withColumn("n", F.sum("times").over(Window.partitionBy("niin", "type", "unit")))
+    middle = F.min(F.when(F.col("upto") > F.floor(F.col("n") / 2), F.col("value")))
+    whole = placed.groupBy("niin", "type", "unit").agg(F.sum("times").alias("n"), middle.alias("consensus"), F.min("value").alias("low"), F.max("value").alias("high"))
+    methods = facts.groupBy("niin", "type", "unit").agg(F.count_distinct(method).alias("methods"))
+    spread = (F.col("high") - F.col("low")) / F.greatest("high", F.lit(1e-9))
+    verdict = F.when(F.col("methods") < 2, "single method").when(spread <= tolerance, "confirmed").otherwise("conflict")
+    trust = F.when(verdict == "confirmed", "high").when(verdict == "conflict", "review").otherwise("medium")
+    return whole.join(methods, ["niin", "type", "unit"]).select("niin", "type", "unit", "methods", "n", "consensus", verdict.alias("verdict"), trust.alias("trust"))
+
+
+def suppressed(external: DataFrame, corpus: DataFrame, by: list[str] | None = None) -> DataFrame:
     """External rows only where the corpus has none for (niin, type)."""
-    return external.join(corpus.select("niin", "type"), ["niin", "type"], "left_anti")
+    by = by or ["niin", "type"]
+    return external.join(corpus.select(*by), by, "left_anti")
 
 
 def callouts(pages: DataFrame, text: str = "body_text") -> DataFrame:

@@ -156,7 +156,7 @@ def _(spark, sf):
 p AS (SELECT niin, type, unit, count(DISTINCT method) AS methods, list_sort(list(value)) AS v FROM o GROUP BY ALL)
 SELECT niin, type, unit, methods, v[len(v) // 2 + 1] AS consensus, CASE WHEN methods < 2 THEN 'single method' WHEN (v[-1] - v[1]) / greatest(v[-1], 1e-9) <= 0.03 THEN 'confirmed' ELSE 'conflict' END AS verdict FROM p""")
 def _(spark, sf):
-    return facts.agreement(m.observations(facts.measurements(b.manual(spark, sf)), b.catalogue(spark, sf)), "method")
+    return facts.agreement(m.observations(facts.measurements(b.manual(spark, sf)), b.catalogue(spark, sf)), "method").drop("n", "trust")
 
 
 @query("d3_overview", b.with_(b.PAGES) + " SELECT (SELECT count(*) FROM documents) AS n_documents, count(*) AS n_pages, count(*) FILTER (length(body_text) >= 50) AS with_text, round(100 * count(*) FILTER (length(body_text) >= 50) / count(*), 2) AS pct, round(avg(length(body_text)), 3) AS mean_chars FROM pages_v")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone import bindings as b
-from lodestone.functions import codes
+from lodestone.functions import codes, units
 from lodestone.operators import facts, partsjoin as pj
 
 Q, SQL = {}, {}
@@ -250,53 +250,107 @@ def _(spark, sf):
     return pj.interchange(pairs, known, replaced, traits)
 
 
-@query("i1_measurements", FC + "SELECT document_id, page, niin, source_id, type, value, NULL::DOUBLE AS value2, NULL::DOUBLE AS tolerance, unit FROM facts")
+RD = b.with_(b.READ)
+
+
+def read_facts(spark, sf):
+    return facts.measurements(b.readings(spark, sf))
+
+
+@query("i1_measurements", RD + """, cut AS (SELECT *, 'Set the ' || p_name || ' of this vehicle to ' AS before, value::BIGINT::VARCHAR || CASE WHEN value2 IS NOT NULL THEN ' to ' || value2::BIGINT::VARCHAR WHEN tolerance IS NOT NULL THEN ' +/- 2' ELSE '' END || spelled AS seen FROM facts),
+-- a dot after a unit is not of it
+ends AS (SELECT *, rtrim(seen, '.') AS raw, substr(seen, length(rtrim(seen, '.')) + 1) || ' before the next run;' || chr(10) || ' then go on with the other steps of this procedure.' AS after FROM cut)
+SELECT document_id, page, niin, source_id, type, value, value2, tolerance, unit, raw, trim(regexp_replace(right(before, 45) || raw || left(after, 45), '\\s+', ' ', 'g')) AS context FROM ends""")
 def _(spark, sf):
-    return facts.measurements(b.manual(spark, sf)).drop("place")
+    return facts.measurements(b.readings(spark, sf), context=True).drop("place", "grade")
 
 
-@query("b14_gate_summary", FC + """SELECT type, CASE WHEN value < 0 OR value > CASE type WHEN 'torque' THEN 200000 ELSE 100000 END THEN 'quarantine'
-  WHEN (type = 'torque' AND (value < 0.5 OR value > 3000)) OR (type = 'pressure' AND value > 12000) OR (type = 'length' AND (value < 0.0005 OR value > 2000)) OR (type = 'capacity' AND value > 20000) THEN 'suspect' ELSE 'ok' END AS status, count(*) AS n FROM facts GROUP BY ALL""")
+@query("b13_value_gate", """WITH v AS (SELECT l_orderkey, l_linenumber, CASE l_linenumber % 7 WHEN 0 THEN 'torque' WHEN 1 THEN 'pressure' WHEN 2 THEN 'temperature' WHEN 3 THEN 'length' WHEN 4 THEN 'torque' WHEN 5 THEN 'serial' ELSE 'weight' END AS type,
+  CASE WHEN l_quantity < 5 THEN l_quantity::BIGINT::VARCHAR || 'O' || '2' WHEN l_quantity < 10 THEN '-' || l_quantity::BIGINT::VARCHAR WHEN l_quantity < 15 THEN l_quantity::BIGINT::VARCHAR || '00000' WHEN l_quantity < 20 THEN l_quantity::BIGINT::VARCHAR || '1234567' WHEN l_quantity < 25 THEN 'n/a'
+  WHEN l_quantity < 30 THEN l_quantity::BIGINT::VARCHAR || '.5.1' ELSE l_quantity::BIGINT::VARCHAR END AS given, l_quantity AS q FROM lineitem)
+SELECT l_orderkey, l_linenumber, type, given, CASE WHEN q < 5 OR q BETWEEN 15 AND 19 OR q BETWEEN 25 AND 29 THEN 'quarantine' WHEN type = 'serial' THEN 'ok' WHEN q BETWEEN 20 AND 24 THEN 'quarantine'
+    WHEN q BETWEEN 5 AND 9 THEN CASE WHEN type = 'temperature' THEN 'ok' ELSE 'quarantine' END
+    WHEN q BETWEEN 10 AND 14 THEN 'quarantine' ELSE 'ok' END AS status,
+  CASE WHEN q < 5 OR q BETWEEN 15 AND 19 OR q BETWEEN 25 AND 29 THEN 'garbled' WHEN type = 'serial' THEN '' WHEN q BETWEEN 20 AND 24 THEN 'no number' WHEN q BETWEEN 5 AND 9 THEN CASE WHEN type = 'temperature' THEN '' ELSE 'negative' END
+    WHEN q BETWEEN 10 AND 14 THEN 'out of physical range' ELSE '' END AS reason FROM v""")
 def _(spark, sf):
-    return facts.gated(facts.measurements(b.manual(spark, sf))).groupBy("type", "status").agg(F.count(F.lit(1)).alias("n"))
+    q = F.col("l_quantity").cast("long")
+    kind = F.element_at(F.array(*map(F.lit, ("torque", "pressure", "temperature", "length", "torque", "serial", "weight"))), F.col("l_linenumber") % 7 + 1)
+    text = q.cast("string")
+    given = F.when(q < 5, F.concat(text, F.lit("O2"))).when(q < 10, F.concat(F.lit("-"), text)).when(q < 15, F.concat(text, F.lit("00000"))).when(q < 20, F.concat(text, F.lit("1234567"))).when(q < 25, "n/a").when(q < 30, F.concat(text, F.lit(".5.1"))).otherwise(text)
+    rows = b.read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", kind.alias("type"), given.alias("given"))
+    value = F.expr("try_cast(given AS double)")
+    return rows.select("*", codes.value_gate(F.col("type"), value, F.col("given")).alias("status"), codes.gate_reason(F.col("type"), value, F.col("given")).alias("reason"))
+
+
+@query("b14_gate_summary", RD + """SELECT type, CASE WHEN type = 'torque' AND value < 0.5 THEN 'suspect' WHEN type = 'length' AND value < 0.0005 THEN 'suspect' ELSE 'ok' END AS status, count(*) AS n, min(value) AS least, max(value) AS most FROM facts GROUP BY ALL""")
+def _(spark, sf):
+    return facts.gated(read_facts(spark, sf)).groupBy("type", "status").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("least"), F.max("value").alias("most"))
+
 
+MASTER = """corpus AS (SELECT DISTINCT niin, type, unit, document_id, page, value, NULL::VARCHAR AS given FROM facts UNION ALL SELECT DISTINCT niin, 'grade', '', document_id, page, NULL, grade FROM facts),
+ext AS (SELECT lpad(p_partkey::VARCHAR, 9, '0') AS niin, unnest(['length', 'area']) AS type, unnest(['in', 'sq-in']) AS unit, p_size::DOUBLE AS value FROM part),
+every AS (SELECT niin, type, unit, value, given, 'corpus' AS origin FROM corpus UNION ALL SELECT niin, type, unit, value, NULL, 'external' FROM ext WHERE NOT EXISTS (SELECT 1 FROM corpus c WHERE c.niin = ext.niin AND c.type = ext.type)),
+said AS (SELECT niin, type, unit, origin, first(given ORDER BY n DESC, given) AS given FROM (SELECT niin, type, unit, origin, given, count(*) AS n FROM every GROUP BY ALL) GROUP BY ALL),
+master AS (SELECT niin, type, unit, origin, round(median(value), 6) AS value, min(value) AS low, max(value) AS high, count(*) AS n, CASE WHEN count(value) = 0 THEN any_value(said.given) END AS text FROM every JOIN said USING (niin, type, unit, origin) GROUP BY ALL)"""
 
-MASTER = "master AS (SELECT niin, type, unit, round(median(value), 6) AS value, min(value) AS low, max(value) AS high, count(*) AS n FROM (SELECT DISTINCT niin, type, unit, document_id, page, value FROM facts) GROUP BY ALL)"
 
+def master_table(spark, sf):
+    found = read_facts(spark, sf)
+    grades = found.select("niin", F.lit("grade").alias("type"), F.lit("").alias("unit"), "document_id", "page", F.lit(None).cast("double").alias("value"), F.col("grade").alias("given"))
+    both = found.select("niin", "type", "unit", "document_id", "page", "value", F.lit(None).cast("string").alias("given")).union(grades)
+    kinds = F.explode(F.array(F.struct(F.lit("length").alias("type"), F.lit("in").alias("unit")), F.struct(F.lit("area").alias("type"), F.lit("sq-in").alias("unit"))))
+    ext = b.read(spark, sf, "part").select(F.lpad(F.col("p_partkey").cast("string"), 9, "0").alias("niin"), F.col("p_size").cast("double").alias("value"), kinds.alias("k")).select("niin", "k.type", "k.unit", "value")
+    return facts.consolidate(both, external=ext)
 
-@query("d14_consolidate", FC + f", {MASTER} SELECT * FROM master")
+
+@query("d14_consolidate", RD + f", {MASTER} SELECT * FROM master")
+def _(spark, sf):
+    return master_table(spark, sf)
+
+
+@query("d15_dimension_sheet", RD + f""", {MASTER}, wide AS (SELECT *, coalesce(high > low AND high - low > 0.25 * abs(CASE WHEN value = 0 THEN 1 ELSE value END) AND n > 1, false) AS w FROM master)
+SELECT niin, type, unit, origin, value, low, high, n, text, CASE WHEN w THEN 'wide' ELSE '' END AS spread, CASE WHEN origin = 'external' THEN 'low' WHEN w THEN 'review' WHEN n >= 2 THEN 'high' ELSE 'medium' END AS confidence,
+  CASE WHEN unit IN ('mm', 'cm', 'm', 'N-m', 'kPa', 'MPa', 'bar', 'L', 'mL', 'kg', 'g', 'N', 'kN', 'km/h', 'degC') THEN 'metric' WHEN unit IN ('', 'V', 'A', 'mA', 'ohm', 'W', 'Hz', 'deg', 'rpm') THEN '' ELSE 'imperial' END AS system FROM wide""")
 def _(spark, sf):
-    return facts.consolidate(facts.measurements(b.manual(spark, sf)))
+    return facts.dimension_sheet(master_table(spark, sf)).drop("alt")
 
 
-@query("d15_dimension_sheet", FC + f""", {MASTER} SELECT niin, type, unit, value, low, high, n, CASE WHEN (high - low) / greatest(abs(value), 1e-9) > 0.25 AND n > 1 THEN 'wide' ELSE 'tight' END AS spread,
-CASE WHEN (high - low) / greatest(abs(value), 1e-9) > 0.25 AND n > 1 THEN 'review' WHEN n >= 3 THEN 'high' WHEN n = 2 THEN 'medium' ELSE 'low' END AS confidence FROM master""")
+TYPES = "['length', 'area', 'angle', 'weight', 'force', 'torque', 'pressure', 'capacity', 'electrical', 'temperature', 'flow', 'speed', 'rotation']"
+
+
+@query("d16_type_coverage", RD + f""", {MASTER} SELECT niin, len(have)::BIGINT AS n, corpus, external, array_to_string(list_filter({TYPES}, lambda t: NOT list_contains(have, t)), ',') AS missing
+FROM (SELECT niin, list(DISTINCT type) AS have, count(*) FILTER (origin = 'corpus') AS corpus, count(*) FILTER (origin = 'external') AS external FROM master GROUP BY niin)""")
 def _(spark, sf):
-    return facts.dimension_sheet(facts.consolidate(facts.measurements(b.manual(spark, sf))))
+    return facts.type_coverage(master_table(spark, sf))
 
 
-@query("d16_type_coverage", FC + """SELECT niin, array_to_string(list_sort(list(DISTINCT type)), ',') AS types, array_to_string(list_sort(list_filter(['torque', 'pressure', 'length', 'capacity'], lambda t: NOT list_contains(list(DISTINCT type), t))), ',') AS missing FROM facts GROUP BY niin""".replace("SELECT niin, array_to_string(list_sort(list(DISTINCT type)), ',') AS types, array_to_string(list_sort(list_filter(['torque', 'pressure', 'length', 'capacity'], lambda t: NOT list_contains(list(DISTINCT type), t))), ',') AS missing FROM facts GROUP BY niin",
-    "SELECT niin, array_to_string(list_sort(have), ',') AS types, array_to_string(list_sort(list_filter(['torque', 'pressure', 'length', 'capacity'], lambda t: NOT list_contains(have, t))), ',') AS missing FROM (SELECT niin, list(DISTINCT type) AS have FROM facts GROUP BY niin)"))
+@query("d17_gaps", RD + f"""SELECT s.niin, t.type, CASE WHEN count(f.niin) = 0 THEN 'gap' WHEN count(f.niin) = 1 THEN 'inconclusive' ELSE 'present' END AS state
+FROM (SELECT DISTINCT niin FROM facts) s CROSS JOIN (SELECT unnest({TYPES}) AS type) t LEFT JOIN facts f ON f.niin = s.niin AND f.type = t.type GROUP BY ALL""")
 def _(spark, sf):
-    return facts.type_coverage(facts.consolidate(facts.measurements(b.manual(spark, sf))))
+    return facts.gaps(read_facts(spark, sf))
+
+
+CONFLICTS = """per AS (SELECT niin, type, unit, min(value) AS low, max(value) AS high, count(DISTINCT document_id) AS n_docs, count(DISTINCT round(value, 6)) AS n_values FROM facts GROUP BY ALL),
+odd AS (SELECT *, CASE WHEN type IN ('torque', 'pressure', 'electrical', 'force') THEN 'high' ELSE 'medium' END AS severity FROM per WHERE n_values >= 2 AND high > 0 AND (high - low) / high > 0.05 AND n_docs >= 2)"""
 
 
-@query("d17_gaps", FC + """SELECT s.niin, t.type, CASE WHEN count(f.niin) = 0 THEN 'gap' WHEN count(f.niin) = 1 THEN 'inconclusive' ELSE 'present' END AS state
-FROM (SELECT DISTINCT niin FROM facts) s CROSS JOIN (VALUES ('torque'), ('pressure'), ('length'), ('capacity')) t(type) LEFT JOIN facts f ON f.niin = s.niin AND f.type = t.type GROUP BY ALL""")
+@query("d18_conflicts", RD + f", {CONFLICTS} SELECT * FROM odd")
 def _(spark, sf):
-    return facts.gaps(facts.measurements(b.manual(spark, sf)))
+    return facts.conflicts(read_facts(spark, sf))
 
 
-@query("d18_conflicts", FC + """, per AS (SELECT niin, type, unit, min(value) AS low, max(value) AS high, count(DISTINCT document_id) AS n_docs, count(DISTINCT round(value, 6)) AS n_values FROM facts GROUP BY ALL)
-SELECT *, CASE WHEN type IN ('torque', 'pressure') THEN 'high' ELSE 'medium' END AS severity FROM per WHERE n_values >= 2 AND high > 0 AND (high - low) / high > 0.05 AND n_docs >= 2""")
+@query("d19_conflict_sweep", RD + f""", {CONFLICTS}, top AS (SELECT niin FROM facts GROUP BY niin ORDER BY count(*) DESC, niin LIMIT 100)
+SELECT (SELECT count(*) FROM top) AS checked, count(DISTINCT niin) AS subjects, count(*) AS conflicts, count(*) FILTER (severity = 'high') AS high FROM odd WHERE niin IN (SELECT niin FROM top)""")
 def _(spark, sf):
-    return facts.conflicts(facts.measurements(b.manual(spark, sf)))
+    return facts.conflict_sweep(read_facts(spark, sf), 100)[1]
 
 
-@query("d20_agreement", FC + """, per AS (SELECT niin, type, unit, count(DISTINCT source_id) AS methods, list_sort(list(value)) AS v FROM facts GROUP BY ALL)
-SELECT niin, type, unit, methods, v[len(v) // 2 + 1] AS consensus, CASE WHEN methods < 2 THEN 'single method' WHEN (v[-1] - v[1]) / greatest(v[-1], 1e-9) <= 0.03 THEN 'confirmed' ELSE 'conflict' END AS verdict FROM per""")
+@query("d20_agreement", RD + """, per AS (SELECT niin, type, unit, count(DISTINCT source_id) AS methods, count(*) AS n, list_sort(list(value)) AS v FROM facts GROUP BY ALL),
+judged AS (SELECT *, CASE WHEN methods < 2 THEN 'single method' WHEN (v[-1] - v[1]) / greatest(v[-1], 1e-9) <= 0.03 THEN 'confirmed' ELSE 'conflict' END AS verdict FROM per)
+SELECT niin, type, unit, methods, n, v[len(v) // 2 + 1] AS consensus, verdict, CASE verdict WHEN 'confirmed' THEN 'high' WHEN 'conflict' THEN 'review' ELSE 'medium' END AS trust FROM judged""")
 def _(spark, sf):
-    return facts.agreement(facts.measurements(b.manual(spark, sf)))
+    return facts.agreement(read_facts(spark, sf))
 
 
 @query("i3_callouts", FC + "SELECT document_id, page, niin, source_id, 'WARNING' AS severity, 3 AS rank, 'keep the ' || p_name || ' at a pressure of ' || value::BIGINT::VARCHAR || ' psi or less.' AS body FROM facts WHERE type = 'pressure'")
@@ -331,10 +385,14 @@ def _(spark, sf):
     return facts.assess(facts.measurements(b.manual(spark, sf)).select("niin", "type", "unit", "document_id", "page", "value"), lim)
 
 
-@query("i2_dual_units", FC + "SELECT document_id, page, value, round(value / 0.737562, 4) AS newton_metres FROM facts WHERE type = 'torque'")
+@query("i2_dual_units", RD + """, partners(unit, other, factor) AS (VALUES ('ft-lb', 'N-m', 1.3558179483314004), ('in-lb', 'N-m', 0.1129848290276167), ('N-m', 'ft-lb', 0.7375621492772656), ('psi', 'kPa', 6.894757293168361), ('in', 'mm', 25.4), ('ft', 'm', 0.3048), ('m', 'ft', 3.280839895013123),
+  ('gal', 'L', 3.785411784), ('qt', 'L', 0.946352946), ('lb', 'kg', 0.45359237), ('kg', 'lb', 2.2046226218487757), ('oz', 'g', 28.349523125), ('mph', 'km/h', 1.609344), ('km/h', 'mph', 0.621371192237334), ('sq-in', 'sq-cm', 6.4516), ('lbf', 'N', 4.4482216152605), ('gpm', 'L/min', 3.785411784), ('bar', 'psi', 14.503773773020923))
+SELECT document_id, page, niin, value, unit, other, round(value * factor, 4) AS converted FROM facts JOIN partners USING (unit)
+UNION ALL SELECT document_id, page, niin, value, unit, CASE unit WHEN 'degF' THEN 'degC' ELSE 'degF' END, round(CASE unit WHEN 'degF' THEN (value - 32) * 5 / 9 ELSE value * 9 / 5 + 32 END, 4) FROM facts WHERE type = 'temperature'""")
 def _(spark, sf):
-    found = facts.torques(b.manual(spark, sf))
-    return found.select("document_id", "page", "value", F.round(codes.convert(F.col("value"), F.col("unit"), "N-m", "torque"), 4).alias("newton_metres"))
+    shown = ("ft-lb", "in-lb", "N-m", "psi", "in", "ft", "m", "gal", "qt", "lb", "kg", "oz", "mph", "km/h", "sq-in", "lbf", "gpm", "bar", "degF", "degC")
+    found = read_facts(spark, sf).where(F.col("unit").isin(*shown)).withColumn("other", units.partner(F.col("unit")))
+    return found.select("document_id", "page", "niin", "value", "unit", "other", F.round(units.convert(F.col("value"), F.col("unit"), F.col("other")), 4).alias("converted"))
 
 
 @query("i25_decode_nsn", P + "SELECT DISTINCT nsn, substr(nsn, 1, 4) AS fsc, substr(nsn, 1, 2) AS fsg, substr(nsn, 6, 2) AS country, niin FROM parts")
