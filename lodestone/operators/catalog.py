@@ -29,11 +29,22 @@ def reference_cards(queries: DataFrame, catalogue: DataFrame, versions: DataFram
     return queries.join(catalogue, "nsn", "left").join(n, "nsn", "left").withColumn("n_versions", F.coalesce("n_versions", F.lit(0)))
 
 
-def obsolescence(items: DataFrame, links: DataFrame, terminal: tuple[str, ...] = ("V", "X", "Y")) -> DataFrame:
-    """Obsolete when replaced or with a terminal code, active with another code, else unknown. items: niin, aac."""
-    by = links.groupBy(F.col("old").alias("k")).agg(F.array_sort(F.collect_set("new")).alias("replaced_by"))
-    state = F.when(F.col("replaced_by").isNotNull() | F.col("aac").isin(*terminal), "obsolete").when(F.col("aac").isNotNull(), "active").otherwise("unknown")
-    return items.join(by, F.col("niin") == F.col("k"), "left").select("niin", "aac", F.array_join("replaced_by", " | ").alias("replaced_by"), state.alias("state"))
+# Acquisition advice codes of items that are no longer bought.
+TERMINAL = ("H", "J", "K", "L", "O", "V", "Y", "Z")
+
+
+def obsolescence(items: DataFrame, links: DataFrame, most: int = 6) -> DataFrame:
+    """Obsolete when replaced or with a terminal code, active with another code, else unknown; the items that it is replaced by, and those
+    that it replaces, up to `most` of each, smallest first.
+
+    items: niin, aac, place (null aac: none), the code of the smallest place counts; links: old, new."""
+    first = items.groupBy("niin").agg(F.upper(F.min_by("aac", F.when(F.trim("aac") != "", F.col("place")))).alias("aac"))
+    known = links.distinct()
+    side = lambda key, value, name: known.groupBy(F.col(key).alias("niin")).agg(F.array_join(F.slice(F.array_sort(F.collect_set(value)), 1, most), " | ").alias(name))
+    met = first.join(side("old", "new", "replaced_by"), "niin", "left").join(side("new", "old", "replaces"), "niin", "left")
+    code = F.substring("aac", 1, 1)
+    state = F.when(F.col("replaced_by").isNotNull() | F.coalesce(code.isin(*TERMINAL), F.lit(False)), "obsolete").when(F.col("aac").isNotNull(), "active").otherwise("unknown")
+    return met.select("niin", "aac", "replaced_by", "replaces", state.alias("state"))
 
 
 def name_clashes(names: DataFrame) -> DataFrame:
@@ -144,15 +155,6 @@ def sampled_text(pages: DataFrame, first: int = 5, cap: int = 20_000) -> DataFra
     return few.select("doc_id", F.substring(F.array_join(F.transform("p", lambda x: x["body_text"]), "\n"), 1, cap).alias("text"))
 
 
-def netlist(segments: DataFrame, snap: float = 0.007) -> DataFrame:
-    """Nets of a page's drawing: segment ends snapped to a grid, connected through shared points. segments: page, x1, y1, x2, y2."""
-    from lodestone.operators.graph import connected_components
-
-    point = lambda x, y: F.concat_ws("/", F.col("page").cast("string"), F.round(F.col(x) / snap).cast("long").cast("string"), F.round(F.col(y) / snap).cast("long").cast("string"))
-    nets = connected_components(segments.select(point("x1", "y1").alias("a"), point("x2", "y2").alias("b")))
-    return nets.groupBy(F.substring_index("node", "/", 1).cast("long").alias("page"), F.col("component").alias("net")).agg(F.count(F.lit(1)).alias("points"))
-
-
 def orphans(children: DataFrame, documents: DataFrame) -> DataFrame:
     """M9: child rows whose document is gone."""
     return children.join(documents.select("doc_id"), "doc_id", "left_anti")

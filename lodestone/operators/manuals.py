@@ -151,14 +151,31 @@ def table_types(pages: DataFrame, key: str = "document_id") -> DataFrame:
 
 
 def stitch(tables: DataFrame) -> DataFrame:
-    """E5: tables that go on over pages: one number for tables of equal width that begin with data or repeat the first header.
-
-    tables: doc_id, page, n_cols, header (null where the first row is data)."""
-    order = Window.partitionBy("doc_id").orderBy("page")
-    head = F.last("header", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    goes_on = (F.lag("n_cols").over(order) == F.col("n_cols")) & (F.lag("page").over(order) == F.col("page") - 1) & (F.col("header").isNull() | (F.col("header") == head))
-    marked = tables.withColumn("new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn("table_no", F.sum("new").over(order))
-    return marked.groupBy("doc_id", "table_no").agg(F.min("page").alias("first_page"), F.max("page").alias("last_page"), F.min("n_cols").alias("n_cols"))
+    """E5: doc_id, table_no, n_cols, pages, rows: tables that go on over pages, joined.
+
+    tables: doc_id, page, place (order on the page), rows (array of arrays of cells). Going through a document in order, a table goes on
+    with the open one if it is as wide and begins with a row of data (a cell of digits alone) or repeats the open table's first row,
+    which is dropped then; else it is the open one from there. Tables without rows are passed over, whatever page numbers lie between.
+    One fold a document: whether a table goes on depends on how far the ones before it went."""
+    number = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), "[,.]", "").rlike(r"^\p{Nd}+$")
+    width = F.array_max(F.transform("rows", lambda r: F.size(r)))
+    shown = tables.where(F.size("rows") > 0).select("doc_id", "page", "place", width.alias("n_cols"), F.exists(F.element_at("rows", 1), number).alias("data"), "rows")
+    kind = "array<struct<n_cols:int,pages:array<int>,rows:array<array<string>>>>"
+    # the tables are folded in the order of page and place
+    ordered = shown.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("page").cast("int").alias("page"), "place", "n_cols", "data", "rows"))).alias("t"))
+
+    def step(done: Column, t: Column) -> Column:
+        last = F.element_at(done, -1)
+        head = F.element_at(last["rows"], 1)
+        repeats = F.element_at(t["rows"], 1) == head
+        more = F.when(repeats, F.slice(t["rows"], F.lit(2), F.size(t["rows"]))).otherwise(t["rows"])
+        grown = F.struct(last["n_cols"].alias("n_cols"), F.concat(last["pages"], F.array(t["page"])).alias("pages"), F.concat(last["rows"], more).alias("rows"))
+        fresh = F.struct(t["n_cols"].alias("n_cols"), F.array(t["page"]).alias("pages"), t["rows"].alias("rows"))
+        goes_on = (F.size(done) > 0) & (last["n_cols"] == t["n_cols"]) & (t["data"] | repeats)
+        return F.when(goes_on, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(grown))).otherwise(F.concat(done, F.array(fresh)))
+
+    folded = ordered.select("doc_id", F.posexplode(F.aggregate("t", F.array().cast(kind), step)).alias("table_no", "x"))
+    return folded.select("doc_id", (F.col("table_no") + 1).cast("long").alias("table_no"), "x.n_cols", "x.pages", "x.rows")
 
 
 def split_review(heads: DataFrame, overrides: DataFrame) -> DataFrame:

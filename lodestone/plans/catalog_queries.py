@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone import bindings as b
-from lodestone.operators import catalog as k, facts
+from lodestone.operators import catalog as k, drawings, facts
 
 Q, SQL = {}, {}
 
@@ -40,10 +40,20 @@ def _(spark, sf):
     return k.by_part_number(q, b.parts(spark, sf))
 
 
-@query("d31_obsolescence", f"WITH {LINKS}, i AS (SELECT lpad(p_partkey::VARCHAR, 9, '0') AS niin, CASE p_partkey % 4 WHEN 0 THEN 'V' WHEN 1 THEN 'D' WHEN 2 THEN 'J' END AS aac FROM part), r AS (SELECT old, array_to_string(list_sort(list(DISTINCT new)), ' | ') AS replaced_by FROM links GROUP BY old) SELECT niin, aac, replaced_by, CASE WHEN replaced_by IS NOT NULL OR aac IN ('V', 'X', 'Y') THEN 'obsolete' WHEN aac IS NOT NULL THEN 'active' ELSE 'unknown' END AS state FROM i LEFT JOIN r ON old = niin")
+#: What each code means for buying, as a table of answers.
+CODES = "(VALUES ('B', 'active'), ('C', 'active'), ('D', 'active'), ('G', 'active'), ('H', 'obsolete'), ('J', 'obsolete'), ('K', 'obsolete'), ('L', 'obsolete'), ('O', 'obsolete'), ('V', 'obsolete'), ('Y', 'obsolete'), ('Z', 'obsolete'), ('X', 'active'))"
+
+
+@query("d31_obsolescence", f"""WITH {LINKS}, codes AS (SELECT row_number() OVER () - 1 AS i, code, meaning FROM {CODES} v(code, meaning)),
+i AS (SELECT lpad(p_partkey::VARCHAR, 9, '0') AS niin, code AS aac, meaning FROM part LEFT JOIN codes ON i = p_partkey % 16),
+r AS (SELECT old, array_to_string(list_sort(list(DISTINCT new))[1:6], ' | ') AS replaced_by FROM links GROUP BY old), s AS (SELECT new, array_to_string(list_sort(list(DISTINCT old))[1:6], ' | ') AS replaces FROM links GROUP BY new)
+SELECT niin, aac, replaced_by, replaces, CASE WHEN replaced_by IS NOT NULL THEN 'obsolete' ELSE coalesce(meaning, 'unknown') END AS state FROM i LEFT JOIN r ON old = niin LEFT JOIN s ON new = niin""")
 def _(spark, sf):
-    items = b.read(spark, sf, "part").selectExpr("lpad(cast(p_partkey as string), 9, '0') AS niin", "CASE p_partkey % 4 WHEN 0 THEN 'V' WHEN 1 THEN 'D' WHEN 2 THEN 'J' END AS aac")
-    return k.obsolescence(items, links(spark, sf))
+    codes_ = F.element_at(F.array(*map(F.lit, "BCDGHJKLOVYZX"), *[F.lit(None).cast("string")] * 3), (F.col("p_partkey") % 16 + 1).cast("int"))
+    items = b.read(spark, sf, "part").select(F.lpad(F.col("p_partkey").cast("string"), 9, "0").alias("niin"), codes_.alias("aac"))
+    # a later code of the same item, and an empty one before it, don't count
+    rows = items.select("niin", F.explode(F.array(F.struct(F.lit("").alias("aac"), F.lit(1).alias("place")), F.struct(F.col("aac").alias("aac"), F.lit(2).alias("place")), F.struct(F.when(F.col("aac").isNotNull(), "D").alias("aac"), F.lit(3).alias("place")))).alias("r")).select("niin", "r.aac", "r.place")
+    return k.obsolescence(rows, links(spark, sf))
 
 
 @query("d32_name_clashes", "SELECT lower(p_name) AS name, count(DISTINCT p_type) AS n_classes FROM part GROUP BY 1 HAVING count(DISTINCT p_type) > 1")
@@ -104,10 +114,47 @@ def _(spark, sf):
     return k.sampled_text(b.pages(spark, sf))
 
 
-@query("j11_netlist")
+def wires(spark, sf):
+    """Drawings of a few wires: ends on a grid of a twentieth, some of them 0.005 or 0.01 off it, so that ends nearly meet and wires end on others."""
+    off = lambda c: f"({c} % 3) * 5"
+    return b.read(spark, sf, "lineitem").selectExpr(
+        "l_orderkey AS page", f"((l_partkey % 7) * 50 + {off('l_suppkey')}) / 1000.0D AS x1", "((l_suppkey % 5) * 50) / 1000.0D AS y1",
+        f"((l_partkey % 7) * 50 * (l_linenumber % 2) + {off('l_partkey')}) / 1000.0D AS x2", "((l_suppkey % 5) * 50 * ((l_linenumber + 1) % 2)) / 1000.0D AS y2")
+
+
+WIRES = """s AS (SELECT row_number() OVER () AS w, l_orderkey AS page, ((l_partkey % 7) * 50 + (l_suppkey % 3) * 5)::BIGINT AS x1, ((l_suppkey % 5) * 50)::BIGINT AS y1, ((l_partkey % 7) * 50 * (l_linenumber % 2) + (l_partkey % 3) * 5)::BIGINT AS x2, ((l_suppkey % 5) * 50 * ((l_linenumber + 1) % 2))::BIGINT AS y2 FROM lineitem),
+wires AS (SELECT * FROM s WHERE x1 <> x2 OR y1 <> y2),
+p AS (SELECT page, x1 AS x, y1 AS y FROM wires UNION SELECT page, x2, y2 FROM wires),
+near AS (SELECT a.page, a.x AS ax, a.y AS ay, b.x AS ox, b.y AS oy FROM p a JOIN p b ON a.page = b.page AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 49),
+same AS (SELECT page, ax, ay, ox, oy FROM near UNION SELECT same.page, same.ax, same.ay, near.ox, near.oy FROM same JOIN near ON same.page = near.page AND same.ox = near.ax AND same.oy = near.ay),
+node AS (SELECT page, ax AS x, ay AS y, min(ox * 100000 + oy) AS n FROM same GROUP BY ALL),
+known AS (SELECT wires.*, a.n AS a, b.n AS b FROM wires JOIN node a ON a.page = wires.page AND a.x = x1 AND a.y = y1 JOIN node b ON b.page = wires.page AND b.x = x2 AND b.y = y2 WHERE a.n <> b.n),
+spot AS (SELECT DISTINCT page, n, n // 100000 AS x, n % 100000 AS y FROM node),
+tap AS (SELECT w, n, t FROM (SELECT w, n, x1, y1, x2, y2, x, y, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / ((x2 - x1) ** 2 + (y2 - y1) ** 2) AS t FROM known JOIN spot USING (page) WHERE n <> a AND n <> b)
+  WHERE t > 0.02 AND t < 0.98 AND (x1 + t * (x2 - x1) - x) ** 2 + (y1 + t * (y2 - y1) - y) ** 2 <= 49),
+stop AS (SELECT page, w, a AS n, -1.0 AS t FROM known UNION ALL SELECT page, w, b, 2.0 FROM known UNION ALL SELECT page, w, n, t FROM tap JOIN known USING (w)),
+hop AS (SELECT page, n AS a, lead(n) OVER (PARTITION BY w ORDER BY t) AS b FROM stop),
+edge AS (SELECT page, a, b FROM hop WHERE a <> b),
+ways AS (SELECT page, a, b FROM edge UNION SELECT page, b, a FROM edge),
+reach AS (SELECT page, a, b FROM ways UNION SELECT r.page, r.a, e.b FROM reach r JOIN ways e ON r.page = e.page AND r.b = e.a),
+net AS (SELECT page, a, min(b) AS net FROM (SELECT page, a, b FROM reach UNION SELECT page, a, a FROM ways) GROUP BY ALL)"""
+
+
+@query("j11_netlist", f"WITH RECURSIVE {WIRES}, sizes AS (SELECT page, net, count(*) AS n_nodes FROM net GROUP BY ALL) SELECT page, n_nodes, count(*) AS n_edges FROM edge JOIN net USING (page, a) JOIN sizes USING (page, net) GROUP BY page, net, n_nodes")
+def _(spark, sf):
+    return drawings.netlist(wires(spark, sf))[0].drop("net")
+
+
+@query("j11_confidence", f"""WITH RECURSIVE {WIRES}, degree AS (SELECT page, n, count(*) AS d FROM (SELECT page, a AS n FROM edge UNION ALL SELECT page, b FROM edge) GROUP BY ALL),
+e AS (SELECT edge.page, count(*) AS n_edges, count(*) FILTER (x.d >= 2 AND y.d >= 2) AS going FROM edge JOIN degree x ON x.page = edge.page AND x.n = edge.a JOIN degree y ON y.page = edge.page AND y.n = edge.b GROUP BY ALL),
+j AS (SELECT page, count(*) FILTER (d >= 3) AS n_junctions FROM degree GROUP BY page), k AS (SELECT page, count(DISTINCT net) AS n_nets FROM net GROUP BY page),
+l AS (SELECT l_orderkey AS page, count(*) FILTER (l_returnflag <> 'N') AS n_labels FROM lineitem GROUP BY ALL),
+c AS (SELECT page, n_segments, n_nodes, coalesce(n_edges, 0) AS n_edges, coalesce(going, 0) AS going, coalesce(n_nets, 0) AS n_nets, coalesce(n_junctions, 0) AS n_junctions, coalesce(n_labels, 0) AS n_labels
+  FROM (SELECT page, count(*) AS n_segments FROM wires GROUP BY page) JOIN (SELECT page, count(*) AS n_nodes FROM spot GROUP BY page) USING (page) LEFT JOIN e USING (page) LEFT JOIN j USING (page) LEFT JOIN k USING (page) LEFT JOIN l USING (page))
+SELECT page, n_segments, n_nodes, n_edges, n_nets, n_junctions, n_labels, CASE WHEN n_edges = 0 THEN 0.0 ELSE round(least(0.97, 0.5 * going / n_edges + 0.2 * least(1.0, n_junctions / 8) + 0.18 * least(1.0, n_labels / 8) + CASE WHEN n_nets BETWEEN 1 AND 200 THEN 0.12 ELSE 0 END), 6) END::DOUBLE AS confidence FROM c""")
 def _(spark, sf):
-    seg = b.read(spark, sf, "lineitem").selectExpr("l_orderkey % 50 AS page", "(l_partkey % 40) / 100.0D AS x1", "(l_suppkey % 40) / 100.0D AS y1", "(l_partkey * 7 % 40) / 100.0D AS x2", "(l_suppkey * 3 % 40) / 100.0D AS y2")
-    return k.netlist(seg)
+    labels = b.read(spark, sf, "lineitem").selectExpr("l_orderkey AS page", "CASE WHEN l_returnflag = 'N' THEN 'note 1' ELSE concat(' r', l_linenumber, lower(l_returnflag)) END AS text")
+    return drawings.netlist(wires(spark, sf), labels, digits=6)[1]
 
 
 @query("m9_orphans", "SELECT l_orderkey AS doc_id, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT doc_id FROM documents)")

@@ -187,10 +187,21 @@ def _(spark, sf):
 TABLES = "t AS (SELECT l_orderkey AS doc_id, l_linenumber AS page, min(l_suppkey) % 2 + 3 AS n_cols, CASE WHEN min(l_partkey) % 3 > 0 THEN 'H' || (min(l_partkey) % 2)::VARCHAR END AS header FROM lineitem GROUP BY ALL)"
 
 
-@query("e5_stitched", f"WITH {TABLES}, x AS (SELECT *, CASE WHEN lag(n_cols) OVER o = n_cols AND lag(page) OVER o = page - 1 AND (header IS NULL OR header = last_value(header IGNORE NULLS) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) THEN 0 ELSE 1 END AS new FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY page)), y AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY page) AS table_no FROM x) SELECT doc_id, table_no::BIGINT AS table_no, min(page) AS first_page, max(page) AS last_page, min(n_cols) AS n_cols FROM y GROUP BY doc_id, table_no")
+@query("e5_stitched", """WITH RECURSIVE t AS (SELECT l_orderkey AS doc_id, l_linenumber AS page, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS i, w, CASE WHEN p % 3 > 0 THEN 'H' || (p % 2)::VARCHAR || ' name' ELSE '1,' || p::VARCHAR || ' ' || s::VARCHAR END || CASE WHEN w = 3 THEN ' x' ELSE '' END AS head,
+    p % 3 = 0 AS data, p::VARCHAR || ' part' || CASE WHEN w = 3 THEN ' x' ELSE '' END AS body FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p, min(l_suppkey) AS s, min(l_suppkey) % 2 + 2 AS w FROM lineitem GROUP BY ALL) WHERE p % 11 <> 0),
+f AS (SELECT doc_id, i, 1 AS table_no, w, head, page, head || '/' || body AS text, 2 AS n FROM t WHERE i = 1
+  UNION ALL SELECT t.doc_id, t.i, CASE WHEN g THEN f.table_no ELSE f.table_no + 1 END, t.w, CASE WHEN g THEN f.head ELSE t.head END, t.page, CASE WHEN g AND t.head = f.head THEN t.body ELSE t.head || '/' || t.body END, CASE WHEN g AND t.head = f.head THEN 1 ELSE 2 END
+  FROM f JOIN (SELECT * FROM t) t ON t.doc_id = f.doc_id AND t.i = f.i + 1, LATERAL (SELECT f.w = t.w AND (t.data OR t.head = f.head) AS g))
+SELECT doc_id, table_no::BIGINT AS table_no, any_value(w)::INT AS n_cols, string_agg(page::VARCHAR, ',' ORDER BY i) AS pages, sum(n)::INT AS n_rows, string_agg(text, '/' ORDER BY i) AS text FROM f GROUP BY doc_id, table_no""")
 def _(spark, sf):
-    t = b.read(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("l_suppkey"), F.min("l_partkey").alias("l_partkey")).selectExpr("l_orderkey AS doc_id", "l_linenumber AS page", "l_suppkey % 2 + 3 AS n_cols", "CASE WHEN l_partkey % 3 > 0 THEN concat('H', l_partkey % 2) END AS header")
-    return m.stitch(t)
+    t = b.read(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("s"), F.min("l_partkey").alias("p"))
+    more = F.when(F.col("s") % 2 == 1, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>"))
+    first = F.when(F.col("p") % 3 > 0, F.array(F.concat(F.lit("H"), (F.col("p") % 2).cast("string")), F.lit("name"))).otherwise(F.array(F.concat(F.lit("1,"), F.col("p").cast("string")), F.col("s").cast("string")))
+    rows = F.array(F.concat(first, more), F.concat(F.array(F.col("p").cast("string"), F.lit("part")), more))
+    # a table that was not read has no rows
+    tables = t.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("page"), F.lit(0).alias("place"), F.when(F.col("p") % 11 != 0, rows).otherwise(F.slice(rows, 1, 0)).alias("rows"))
+    text = F.array_join(F.transform("rows", lambda r: F.array_join(r, " ")), "/")
+    return m.stitch(tables).select("doc_id", "table_no", "n_cols", F.array_join("pages", ",").alias("pages"), F.size("rows").alias("n_rows"), text.alias("text"))
 
 
 @query("e9_split_review", """WITH h AS (SELECT l_orderkey AS document_id, l_linenumber AS page, CASE WHEN l_suppkey % 2 = 0 THEN 'operator' ELSE 'mechanic' END AS side FROM lineitem),
