@@ -79,9 +79,14 @@ def similar_links(given: DataFrame, percent: int) -> DataFrame:
     pieces = groups.select("token", "class", "n", "place").join(found, "class", "left").withColumn("piece", F.coalesce("component", "class")).drop("component")
     pieces = materialize(pieces, "pieces")
     split = pieces.groupBy("token").agg(F.min("piece").alias("lo"), F.max("piece").alias("hi")).where("lo < hi").select("token")
-    rest = _part(pieces).join(_part(split), ["token", "part"])
-    other = rest.select("token", "part", *[F.col(c).alias(f"o_{c}") for c in ("class", "n", "place", "piece")])
-    across = rest.join(other, ["token", "part"]).where((F.col("class") < F.col("o_class")) & (F.col("piece") != F.col("o_piece")) & _fit("", "o_", percent))
+    # similar sets are of one size band or of neighbouring ones, each a share of `percent` wide: the smaller set of a pair
+    # meets its own band and the next, so a group is joined band by band, not whole with itself
+    band = F.floor(F.log("n") / F.log(F.lit(100 / percent)) + 1e-9).cast("int")
+    rest = _part(pieces).join(_part(split), ["token", "part"]).withColumn("band", band)
+    larger = rest.select("token", "part", F.explode(F.array("band", F.col("band") - 1)).alias("band"), *[F.col(c).alias(f"o_{c}") for c in ("class", "n", "place", "piece")])
+    smaller = (F.col("n") < F.col("o_n")) | ((F.col("n") == F.col("o_n")) & (F.col("class") < F.col("o_class")))
+    across = rest.join(larger, ["token", "part", "band"]).where(smaller & (F.col("piece") != F.col("o_piece")) & _fit("", "o_", percent))
+    across = across.select(F.least("class", "o_class").alias("class"), F.greatest("class", "o_class").alias("o_class"))
     more = _verified(across.select(F.col("class").alias("a"), F.col("o_class").alias("b")).distinct(), sets, percent)
     discard(groups, pieces, sets)
     return links.union(more)
