@@ -41,6 +41,8 @@ from lodestone.llm.tokens import mix, signed
 from lodestone.sources.scratch import frugal, materialize
 
 MIN_LINES = 2
+#: Texts that are cut at a time.
+TEXTS = 256
 #: Odd multipliers of the rolling hash.
 LINE, GAP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -85,22 +87,27 @@ class Cuts:
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, tkey, text) to one row a cut: its hash, its place, and the lines around it."""
+    """(doc_id, tkey, text) to one row a cut: its hash, its place, and the lines around it. So many texts at a time as `TEXTS`."""
     for batch in batches:
-        ids, keys, places, found, back, on = [], [], [], [], [], []
-        for d, k, t in zip(batch.column("doc_id").to_pylist(), batch.column("tkey").to_pylist(), batch.column("text").cast(pa.binary()), strict=True):
-            cuts = Cuts(t.as_py() or b"")
-            if len(cuts.at):
-                near = cuts.near()
-                ids += [d] * len(near)
-                keys += [k] * len(near)
-                places.append(cuts.at)
-                found.append(cuts.windows[cuts.at])
-                back += [x for x, _ in near]
-                on += [x for _, x in near]
-        joined = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-        columns = [pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(joined(places, np.int64).astype(np.int32)), pa.array(signed(joined(found, np.uint64))), _lists(back), _lists(on)]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tkey", "pos", "h", "back", "on"])
+        for lo in range(0, len(batch), TEXTS):
+            yield _anchors(batch.slice(lo, TEXTS))
+
+
+def _anchors(batch: pa.RecordBatch) -> pa.RecordBatch:
+    ids, keys, places, found, back, on = [], [], [], [], [], []
+    for d, k, t in zip(batch.column("doc_id").to_pylist(), batch.column("tkey").to_pylist(), batch.column("text").cast(pa.binary()), strict=True):
+        cuts = Cuts(t.as_py() or b"")
+        if len(cuts.at):
+            near = cuts.near()
+            ids += [d] * len(near)
+            keys += [k] * len(near)
+            places.append(cuts.at)
+            found.append(cuts.windows[cuts.at])
+            back += [x for x, _ in near]
+            on += [x for _, x in near]
+    joined = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
+    columns = [pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(joined(places, np.int64).astype(np.int32)), pa.array(signed(joined(found, np.uint64))), _lists(back), _lists(on)]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "tkey", "pos", "h", "back", "on"])
 
 
 def _lists(parts: list[np.ndarray]) -> pa.Array:
