@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -81,6 +81,20 @@ def neighbours(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return out.union(back).distinct()
 
 
+def find_nodes(nodes: DataFrame, asked: DataFrame, most: int = 20) -> DataFrame:
+    """Q, node, how: the nodes that a question names: those of that label (exact), else those whose label begins with it (prefix), else
+    those that have it inside (substring); the first `most` by label and node. nodes: node, label; asked: q."""
+    from lodestone.operators.postings import containing, gram_table  # it uses ensure_checkpoint_dir of this module
+
+    known = nodes.select("node", F.lower("label").alias("name"))
+    met = containing(gram_table(known.select("name")), asked)
+    how = F.when(F.col("name") == F.col("q"), 1).when(F.startswith("name", "q"), 2).otherwise(3)
+    best = met.select("q", "name", how.alias("how"))
+    best = best.join(best.groupBy("q").agg(F.min("how").alias("how")), ["q", "how"])
+    ranked = best.join(known, "name").withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("name", "node"))).where(F.col("rank") <= most)
+    return ranked.select("q", "node", F.element_at(F.array(*map(F.lit, ("exact", "prefix", "substring"))), F.col("how")).alias("how"))
+
+
 def nets(pins: DataFrame) -> DataFrame:
     """Pins of one signal, two or more; colours that disagree lower the confidence. pins: document_id, connector, pin, signal, colour."""
     signal = F.upper(F.regexp_replace("signal", r"[\s_-]+", ""))
@@ -102,6 +116,4 @@ def hamming_matches(hashes: DataFrame, queries: DataFrame, reach: int = 22, top:
     would be 2 bits wide: queries, a stated set, are broadcast instead."""
     distance = F.bit_count(F.col("hi").bitwiseXOR(F.col("qhi"))) + F.bit_count(F.col("lo").bitwiseXOR(F.col("qlo")))
     met = hashes.join(F.broadcast(queries), F.col("id") != F.col("qid")).withColumn("distance", distance).where(F.col("distance") <= reach)
-    from pyspark.sql import Window
-
     return met.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id"))).where(F.col("rank") <= top).select("qid", "id", "distance", "rank")

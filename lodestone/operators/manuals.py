@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lodestone.operators import facts
+from lodestone.operators import facts, postings
 
 # Name parts of parts lists, and the words of dimensions in characteristics.
 PARTS_LIST = "24P|RPSTL|-20P|PARTS"
@@ -64,12 +64,15 @@ def fielded(documents: DataFrame, tm: str | None = None, vehicle: str | None = N
     return out
 
 
-def retrieve(tokens: DataFrame, asked: DataFrame, documents: DataFrame, top: int = 20) -> DataFrame:
-    """The best pages of each query with their document's columns. tokens: doc_id, page_number, term; asked: qid, term."""
-    hits = tokens.select("doc_id", "page_number", "term").distinct().join(asked, "term").groupBy("qid", "doc_id", "page_number").agg(F.count(F.lit(1)).alias("score"))
-    order = Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id", "page_number")
-    best = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-    return best.join(documents, "doc_id")
+def retrieve(index: postings.Postings, asked: DataFrame, documents: DataFrame, top: int = 20, vehicle: str | None = None) -> DataFrame:
+    """The best pages of each query by BM25 with their document's columns, of one vehicle's documents (part of its name) where one is named.
+
+    index: postings of pages, its key beginning with doc_id; asked: qid, term. Only pages that can be among the best are scored in full."""
+    if vehicle:
+        mine = documents.where(F.contains(F.lower("vehicle"), F.lit(vehicle.lower())))
+        found = postings.scores(index._replace(postings=index.postings.join(mine.select("doc_id"), "doc_id", "left_semi")), postings._weighted(index, asked)).drop("matched")
+        return postings._ranked(found, index.key, top).join(mine, "doc_id")
+    return postings.best_bounded(index, asked, top).join(documents, "doc_id")
 
 
 def saved_query_hits(tokens: DataFrame, collections: DataFrame, documents: DataFrame) -> DataFrame:

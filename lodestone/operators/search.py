@@ -93,17 +93,18 @@ def fuzzy(vocab: DataFrame, words: DataFrame, cap: int = 4) -> DataFrame:
     return ranked.where(F.col("rank") <= cap).select("word", "term", "df", "rank")
 
 
-def suggest(vocab: DataFrame, prefixes: DataFrame, top: int = 8) -> DataFrame:
-    """H7: the commonest terms that begin with a prefix of three letters. `prefixes`: prefix."""
-    met = vocab.withColumn("prefix", F.substring("term", 1, 3)).join(prefixes.distinct(), "prefix")
-    return met.withColumn("rank", F.row_number().over(Window.partitionBy("prefix").orderBy(F.desc("df"), "term"))).where(F.col("rank") <= top).select("prefix", "term", "df", "rank")
-
-
-def find_in_document(pages: DataFrame, what: str) -> DataFrame:
-    """H8: how often a text occurs on each page, without regard to case."""
-    low = F.lower("body_text")
-    n = ((F.length("body_text") - F.length(F.replace(low, F.lit(what), F.lit("")))) / len(what)).cast("long")
-    return pages.select("doc_id", "page_number", n.alias("n")).where("n > 0")
+def find_in_documents(pages: DataFrame, asked: DataFrame, most: int = 80, around: int = 40) -> DataFrame:
+    """H8: doc_id, q, page_number, n, snippet: the first `most` pages of a document that have a text, how often, without regard to case, and what stands around the first. asked: doc_id, q."""
+    want = asked.select("doc_id", F.trim("q").alias("q")).where("q <> ''").distinct()
+    low, what = F.lower("body_text"), F.lower("q")
+    met = pages.join(want, "doc_id").where(F.contains(low, what))
+    n = (F.length("body_text") - F.length(F.replace(low, what, F.lit("")))) / F.length("q")
+    at = F.instr(low, what) - 1
+    start = F.greatest(F.lit(0), at - around)
+    said = F.trim(F.regexp_replace(F.substring("body_text", start + 1, at + F.length("q") + around - start), r"\s+", " "))
+    snippet = F.concat(F.when(start > 0, "…").otherwise(""), said, F.lit("…"))
+    order = Window.partitionBy("doc_id", "q").orderBy("page_number")
+    return met.select("doc_id", "q", "page_number", n.cast("long").alias("n"), snippet.alias("snippet"), F.row_number().over(order).alias("place")).where(F.col("place") <= most).drop("place")
 
 
 def inverted_name(c):

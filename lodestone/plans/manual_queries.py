@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone import bindings as b
-from lodestone.operators import facts, manuals as m
+from lodestone.operators import facts, manuals as m, postings
 
 Q, SQL = {}, {}
 
@@ -86,12 +86,19 @@ def _(spark, sf):
 ASKED = "asked AS (SELECT DISTINCT doc_id AS qid, term FROM tok WHERE doc_id % 100 = 0)"
 
 
-@query("c1_retrieve", b.with_(DOCS, b.PAGES, TOK, ASKED) + """, hits AS (SELECT qid, doc_id, page_number, count(*) AS score FROM tok JOIN asked USING (term) GROUP BY ALL),
-best AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id, page_number) AS rank FROM hits QUALIFY rank <= 20) SELECT * FROM best JOIN docs USING (doc_id)""")
+C1 = """, words AS (SELECT doc_id, page_number, unnest(regexp_extract_all(lower(body_text), '[\\p{L}\\p{N}]+')) AS term FROM pages_v),
+asked AS (SELECT DISTINCT doc_id AS qid, term FROM words WHERE doc_id % 100 = 0),
+sizes AS (SELECT doc_id, page_number, count(*) AS len FROM words GROUP BY ALL), whole AS (SELECT count(*) AS n, avg(len) AS avg FROM sizes), tf AS (SELECT doc_id, page_number, term, count(*) AS tf FROM words GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+scored AS (SELECT qid, doc_id, page_number, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avg))), 6) AS score FROM tf JOIN df USING (term) JOIN asked USING (term) JOIN sizes USING (doc_id, page_number), whole GROUP BY ALL),
+best AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id, page_number) AS rank FROM scored QUALIFY rank <= 20) SELECT * FROM best JOIN docs USING (doc_id)"""
+
+
+@query("c1_retrieve", b.with_(DOCS, b.PAGES).rstrip() + C1)
 def _(spark, sf):
-    tokens = b.tokens(b.pages(spark, sf), ["doc_id", "page_number"]).drop("pos")
+    tokens = b.tokens(b.pages(spark, sf), ["doc_id", "page_number"])
+    index = postings.kept(spark, (sf, "pages"), lambda: (tokens, ["doc_id", "page_number"]))
     asked = tokens.where("doc_id % 100 = 0").select(F.col("doc_id").alias("qid"), "term").distinct()
-    return m.retrieve(tokens, asked, docs(spark, sf))
+    return m.retrieve(index, asked, docs(spark, sf))
 
 
 SAVED = """saved AS (SELECT 'c' || doc_id::VARCHAR AS slug, term, upper(vehicle) AS scope_vehicle, CASE WHEN doc_id % 2 = 0 THEN '-2' ELSE '-10' END AS scope_type

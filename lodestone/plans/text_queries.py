@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone import bindings as b
 from lodestone.functions import codes
-from lodestone.operators import graph, logs, search, similar
+from lodestone.operators import graph, logs, postings, search, similar
 
 Q, SQL = {}, {}
 
@@ -186,14 +186,50 @@ def _(spark, sf):
     return search.phrase(doc_tokens(spark, sf), asked_items(spark, sf).select("qid", F.posexplode("w").alias("i", "term")))
 
 
-@query("h1_near", f"WITH {WORDS}, {ASKED}, p AS (SELECT qid, w, unnest(range(0, len(w) - 2)) AS i FROM q WHERE len(w) >= 3), a AS (SELECT qid * 1000 + i AS qid, w[i + 1] AS a, w[i + 3] AS b FROM p WHERE w[i + 1] <> w[i + 3]) SELECT DISTINCT qid, x.doc_id FROM a JOIN tok x ON x.term = a.a JOIN tok y ON y.term = a.b AND y.doc_id = x.doc_id AND abs(x.pos - y.pos) <= 10")
+@query("h1_near", f"WITH {WORDS}, {ASKED}, p AS (SELECT qid, w, unnest(range(0, len(w) - 2)) AS i FROM q WHERE len(w) >= 3), a AS (SELECT qid::VARCHAR || '/' || i::VARCHAR AS qid, w[i + 1] AS a, w[i + 3] AS b FROM p WHERE w[i + 1] <> w[i + 3]) SELECT DISTINCT qid, x.doc_id FROM a JOIN tok x ON x.term = a.a JOIN tok y ON y.term = a.b AND y.doc_id = x.doc_id AND abs(x.pos - y.pos) <= 10")
 def _(spark, sf):
     rest = F.size("w") - 2
     pairs = F.arrays_zip(F.slice("w", F.lit(1), rest).alias("a"), F.slice("w", F.lit(3), rest).alias("b"))
-    q = asked_items(spark, sf).select("qid", F.posexplode(pairs).alias("i", "p")).select((F.col("qid") * 1000 + F.col("i")).alias("qid"), "p.a", "p.b").where("a <> b")
+    q = asked_items(spark, sf).select("qid", F.posexplode(pairs).alias("i", "p")).select(F.concat_ws("/", "qid", "i").alias("qid"), "p.a", "p.b").where("a <> b")
     return search.near(doc_tokens(spark, sf), q)
 
 
+def index(spark, sf):
+    """The documents' postings, written once an application."""
+    return postings.kept(spark, (sf, "documents"), lambda: (doc_tokens(spark, sf),))
+
+
+#: Texts with a word begun, a quoted phrase, a hyphenated code, or all of them, from the words of the items.
+BOOLEAN = """z AS (SELECT qid, w, qid % 4 AS kind FROM q WHERE len(w) >= 6),
+words AS (SELECT qid, unnest(CASE kind WHEN 0 THEN [0, 1, 2] WHEN 1 THEN [0, 1] WHEN 2 THEN [0, 1, 2] ELSE [0, 1, 2, 3] END) AS g, unnest(CASE kind WHEN 0 THEN [w[1], w[2], left(w[3], 3)] WHEN 1 THEN [w[1], left(w[2], 4)] WHEN 2 THEN [w[2], w[3], w[5]] ELSE [w[4], w[5], w[1], left(w[6], 2)] END) AS word,
+  CASE kind WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 3 END AS last FROM z),
+hits AS (SELECT DISTINCT qid, g, doc_id FROM words JOIN (SELECT DISTINCT doc_id, term FROM tok) ON term = word OR (g = last AND starts_with(term, word))),
+pairs AS (SELECT qid, 'phrase' AS kind, w[3] AS a, w[4] AS b FROM z WHERE kind = 1 UNION ALL SELECT qid, 'phrase', w[2], w[3] FROM z WHERE kind = 3 UNION ALL SELECT qid, 'code', w[2], w[3] FROM z WHERE kind = 2 UNION ALL SELECT qid, 'code', w[4], w[5] FROM z WHERE kind = 3),
+runs AS (SELECT DISTINCT qid, pairs.kind, x.doc_id FROM pairs JOIN tok x ON x.term = a JOIN tok y ON y.term = b AND y.doc_id = x.doc_id AND y.pos = x.pos + 1)"""
+
+
+def boolean_texts(spark, sf):
+    w = lambda i: F.element_at("w", i)
+    kind = F.col("qid") % 4
+    text = (
+        F.when(kind == 0, F.concat_ws(" ", w(1), w(2), F.left(w(3), F.lit(3))))
+        .when(kind == 1, F.concat(w(1), F.lit(' "'), w(3), F.lit(" "), F.upper(w(4)), F.lit('" '), F.left(w(2), F.lit(4))))
+        .when(kind == 2, F.concat(w(2), F.lit("-"), w(3), F.lit(" "), w(5)))
+        .otherwise(F.concat(w(4), F.lit("-"), w(5), F.lit(' "'), w(2), F.lit(" "), w(3), F.lit('" '), w(1), F.lit(" "), F.left(w(6), F.lit(2))))
+    )
+    return asked_items(spark, sf).where(F.size("w") >= 6).select("qid", text.alias("text"))
+
+
+@query("h1_boolean", f"WITH {WORDS}, {ASKED}, {BOOLEAN} SELECT qid, doc_id FROM hits JOIN z USING (qid) GROUP BY qid, doc_id, kind HAVING count(DISTINCT g) = CASE kind WHEN 1 THEN 2 WHEN 3 THEN 4 ELSE 3 END AND (kind IN (0, 2) OR EXISTS (SELECT 1 FROM runs r WHERE r.qid = hits.qid AND r.doc_id = hits.doc_id AND r.kind = 'phrase')) AND (kind IN (0, 1) OR EXISTS (SELECT 1 FROM runs r WHERE r.qid = hits.qid AND r.doc_id = hits.doc_id AND r.kind = 'code'))")
+def _(spark, sf):
+    return postings.match(index(spark, sf), boolean_texts(spark, sf))
+
+
+@query("h1_any", f"WITH {WORDS}, {ASKED}, {BOOLEAN} SELECT qid, doc_id FROM hits UNION SELECT qid, doc_id FROM runs WHERE kind = 'phrase'")
+def _(spark, sf):
+    return postings.match(index(spark, sf), boolean_texts(spark, sf), any_=True)
+
+
 BM25 = rf"""{WORDS}, {ASKED}, a AS (SELECT DISTINCT qid, unnest(w) AS term FROM q WHERE len(w) >= 3),
 sizes AS (SELECT doc_id, count(*) AS len FROM tok GROUP BY doc_id), whole AS (SELECT count(*) AS n, avg(len) AS avg FROM sizes),
 tf AS (SELECT term, doc_id, count(*) AS tf FROM tok WHERE term IN (SELECT term FROM a) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
@@ -203,8 +239,12 @@ best AS (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY
 
 @query("h3_bm25", f"WITH {BM25} SELECT * FROM best")
 def _(spark, sf):
-    q = asked_items(spark, sf).select("qid", F.explode("w").alias("term"))
-    return search.bm25(doc_tokens(spark, sf), q)
+    return postings.best(index(spark, sf), asked_items(spark, sf).select("qid", F.explode("w").alias("term")))
+
+
+@query("h3_bounded", f"WITH {BM25} SELECT * FROM best")
+def _(spark, sf):
+    return postings.best_bounded(index(spark, sf), asked_items(spark, sf).select("qid", F.explode("w").alias("term")))
 
 
 VOCAB = "vocab AS (SELECT term, count(*) AS n, count(DISTINCT doc_id) AS df FROM tok WHERE length(term) >= 2 GROUP BY term HAVING count(*) >= 2)"
@@ -222,15 +262,32 @@ def _(spark, sf):
     return search.fuzzy(search.vocabulary(doc_tokens(spark, sf)), q)
 
 
-@query("h7_suggest", f"WITH {WORDS}, {VOCAB}, {ASKED}, a AS (SELECT DISTINCT substr(x, 1, 3) AS prefix FROM (SELECT unnest(w) AS x FROM q) WHERE length(x) >= 3) SELECT prefix, term, df, row_number() OVER (PARTITION BY prefix ORDER BY df DESC, term) AS rank FROM a JOIN vocab ON prefix = substr(term, 1, 3) QUALIFY rank <= 8")
+@query("h7_suggest", f"""WITH {WORDS}, {ASKED}, names AS (SELECT source AS word, 'vehicle' AS kind, count(*) AS freq FROM documents WHERE source IS NOT NULL GROUP BY source
+  UNION ALL SELECT p_name, 'part', count(*) FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_name UNION ALL SELECT term, 'term', count(*) FROM tok GROUP BY term),
+a AS (SELECT DISTINCT lower(left(x, k)) AS prefix FROM (SELECT unnest(w) AS x FROM q UNION ALL SELECT source FROM documents UNION ALL SELECT p_name FROM part), (VALUES (2), (3), (5), (15)) v(k) WHERE length(x) >= k),
+met AS (SELECT prefix, word, kind, freq, CASE kind WHEN 'vehicle' THEN 1 WHEN 'part' THEN 2 ELSE 3 END AS k FROM a JOIN names ON starts_with(lower(word), prefix)),
+once AS (SELECT * FROM met QUALIFY row_number() OVER (PARTITION BY prefix, lower(word) ORDER BY k, freq DESC, word) = 1)
+SELECT prefix, word, kind, (row_number() OVER (PARTITION BY prefix ORDER BY k, freq DESC, word))::INT AS rank FROM once QUALIFY rank <= 8""")
 def _(spark, sf):
-    q = asked_items(spark, sf).select(F.explode("w").alias("x")).where("length(x) >= 3").selectExpr("substr(x, 1, 3) AS prefix")
-    return search.suggest(search.vocabulary(doc_tokens(spark, sf)), q)
+    docs, part = b.read(spark, sf, "documents"), b.read(spark, sf, "part")
+    vehicles = docs.where("source IS NOT NULL").groupBy(F.col("source").alias("word")).agg(F.count(F.lit(1)).alias("freq")).select("word", F.lit("vehicle").alias("kind"), "freq")
+    requested = b.read(spark, sf, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("p_name").alias("word")).agg(F.count(F.lit(1)).alias("freq")).select("word", F.lit("part").alias("kind"), "freq")
+    terms = index(spark, sf).dictionary().where("term <> ''").select(F.col("term").alias("word"), F.lit("term").alias("kind"), F.col("tf").alias("freq"))
+    words = asked_items(spark, sf).select(F.explode("w").alias("x")).union(docs.select("source")).union(part.select("p_name"))
+    lengths = F.explode(F.array(*map(F.lit, (2, 3, 5, 15))))
+    asked = words.select("x", lengths.alias("k")).where("length(x) >= k").select(F.expr("left(x, k)").alias("prefix"))
+    # as long as the longest prefix that is asked: the table is whole for it
+    return postings.suggest(postings.prefix_table(vehicles.union(requested).union(terms), longest=15), asked, longest=15)
 
 
-@query("h8_find", PG + "SELECT doc_id, page_number, ((length(body_text) - length(replace(lower(body_text), 'the', ''))) // 3)::BIGINT AS n FROM pages_v WHERE contains(lower(body_text), 'the')")
+@query("h8_find", PG + """, low AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]{4,}') AS w FROM documents WHERE doc_id % 100 = 0), asked AS (SELECT doc_id, unnest(list_distinct([w[1], substr(w[2], 2, 3), w[len(w)]])) AS q FROM low WHERE len(w) > 0),
+m AS (SELECT doc_id, q, page_number, body_text, instr(lower(body_text), q) - 1 AS i FROM pages_v JOIN asked USING (doc_id) WHERE contains(lower(body_text), q))
+SELECT doc_id, q, page_number, ((length(body_text) - length(replace(lower(body_text), q, ''))) // length(q))::BIGINT AS n,
+  CASE WHEN i > 40 THEN '…' ELSE '' END || trim(regexp_replace(substr(body_text, greatest(0, i - 40) + 1, i + length(q) + 40 - greatest(0, i - 40)), '\\s+', ' ', 'g')) || '…' AS snippet FROM m QUALIFY row_number() OVER (PARTITION BY doc_id, q ORDER BY page_number) <= 80""")
 def _(spark, sf):
-    return search.find_in_document(b.pages(spark, sf), "the")
+    w = b.read(spark, sf, "documents").where("doc_id % 100 = 0").select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0)).alias("w")).where(F.size("w") > 0)
+    asked = w.select("doc_id", F.explode(F.array_distinct(F.array(F.element_at("w", 1), F.expr("substr(try_element_at(w, 2), 2, 3)"), F.element_at("w", -1)))).alias("q"))
+    return search.find_in_documents(b.pages(spark, sf).select("doc_id", "page_number", "body_text"), asked)
 
 
 @query("h9_inverted_names", "SELECT p_partkey, upper(split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1)) AS name FROM part")
@@ -304,9 +361,30 @@ def _(spark, sf):
     return edges(spark, sf)
 
 
-@query("j7_neighbours", TRIPLES + ", n AS (SELECT DISTINCT 'vehicle|' || lower(n_name) AS node FROM nation) SELECT node, rel, dst AS other, 'out' AS way FROM edges JOIN n ON src = node UNION SELECT node, rel, src, 'in' FROM edges JOIN n ON dst = node")
+FOUND = """nodes AS (SELECT DISTINCT node, split_part(node, '|', 2) AS label FROM (SELECT src AS node FROM edges UNION ALL SELECT dst FROM edges)),
+asked AS (SELECT lower(n_name) AS q FROM nation UNION SELECT lower(left(n_name, 3)) FROM nation UNION SELECT lower(substr(n_name, 2, 4)) FROM nation UNION SELECT '00-' || right('000' || p_partkey::VARCHAR, 3) FROM part WHERE p_partkey % 100 = 0 UNION SELECT 'no such label'),
+levels AS (SELECT q, node, label, CASE WHEN label = q THEN 1 WHEN starts_with(label, q) THEN 2 ELSE 3 END AS how FROM asked JOIN nodes ON contains(label, q)),
+found AS (SELECT q, node, CASE how WHEN 1 THEN 'exact' WHEN 2 THEN 'prefix' ELSE 'substring' END AS how FROM (SELECT *, min(how) OVER (PARTITION BY q) AS best FROM levels) WHERE how = best QUALIFY row_number() OVER (PARTITION BY q ORDER BY label, node) <= 20)"""
+
+
+def found_nodes(spark, sf, edges_):
+    nodes = edges_.select(F.col("src").alias("node")).union(edges_.select("dst")).distinct().select("node", F.split_part("node", F.lit("|"), F.lit(2)).alias("label"))
+    name = F.lower("n_name")
+    nation = b.read(spark, sf, "nation").select(F.explode(F.array(name, F.left(name, F.lit(3)), F.substring(name, 2, 4))).alias("q"))
+    numbers = b.read(spark, sf, "part").where("p_partkey % 100 = 0").select(F.concat(F.lit("00-"), F.right(F.concat(F.lit("000"), F.col("p_partkey").cast("string")), F.lit(3))).alias("q"))
+    none = spark.createDataFrame([("no such label",)], "q string")
+    return graph.find_nodes(nodes, nation.union(numbers).union(none))
+
+
+@query("j7_find_nodes", TRIPLES + f", {FOUND} SELECT q, node, how FROM found")
+def _(spark, sf):
+    return found_nodes(spark, sf, edges(spark, sf))
+
+
+@query("j7_neighbours", TRIPLES + f", {FOUND}, n AS (SELECT DISTINCT node FROM found) SELECT node, rel, dst AS other, 'out' AS way FROM edges JOIN n ON src = node UNION SELECT node, rel, src, 'in' FROM edges JOIN n ON dst = node")
 def _(spark, sf):
-    return graph.neighbours(edges(spark, sf), b.read(spark, sf, "nation").select(F.concat(F.lit("vehicle|"), F.lower("n_name")).alias("node")).distinct())
+    known = edges(spark, sf)
+    return graph.neighbours(known, found_nodes(spark, sf, known).select("node").distinct())
 
 
 @query("j8_graph_statistics", TRIPLES + ", d AS (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM edges UNION ALL SELECT dst FROM edges) GROUP BY node) SELECT split_part(node, '|', 1) AS type, count(*) AS nodes, sum(degree)::BIGINT AS ends, max(degree) AS max_degree FROM d GROUP BY 1")
