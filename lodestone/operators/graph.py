@@ -107,13 +107,3 @@ def trace(pins: DataFrame, starts: DataFrame) -> DataFrame:
     mine = pins.join(starts, ["document_id", "connector", "pin"]).select("document_id", "signal", F.col("connector").alias("from_connector"), F.col("pin").alias("from_pin"))
     met = mine.join(pins, ["document_id", "signal"])
     return met.where((F.col("connector") != F.col("from_connector")) | (F.col("pin") != F.col("from_pin"))).select("document_id", "from_connector", "from_pin", "connector", "pin")
-
-
-def hamming_matches(hashes: DataFrame, queries: DataFrame, reach: int = 22, top: int = 12) -> DataFrame:
-    """Nearest 64-bit hashes, kept as two halves: id, hi, lo; queries: qid, qhi, qlo.
-
-    With 64 bits in `reach` + 1 bands at most one band of a match is untouched for certain, so bands
-    would be 2 bits wide: queries, a stated set, are broadcast instead."""
-    distance = F.bit_count(F.col("hi").bitwiseXOR(F.col("qhi"))) + F.bit_count(F.col("lo").bitwiseXOR(F.col("qlo")))
-    met = hashes.join(F.broadcast(queries), F.col("id") != F.col("qid")).withColumn("distance", distance).where(F.col("distance") <= reach)
-    return met.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id"))).where(F.col("rank") <= top).select("qid", "id", "distance", "rank")

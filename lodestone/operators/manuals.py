@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lodestone.operators import facts, postings
@@ -130,13 +132,18 @@ def observations(page_facts: DataFrame, catalogue: DataFrame) -> DataFrame:
     return ours.union(found.select("niin", F.lit("catalogue"), "type", "unit", "value"))
 
 
-def label_values(pages: DataFrame, cap: int = 200) -> DataFrame:
-    """I8: 'Label: value' lines, distinct, with the number and unit of values that are measurements."""
+def first_measurement(pages: DataFrame) -> DataFrame:
+    return facts.measurements(pages, 1)
+
+
+def label_values(pages: DataFrame, cap: int = 200, measure: Callable[[DataFrame], DataFrame] = first_measurement) -> DataFrame:
+    """I8, U1: 'Label: value' lines, distinct, with the number and unit of values that are measurements, as `measure` finds them: from pages with
+    body_text to at most one row a page with its other columns, type, value and unit."""
     keys = [c for c in pages.columns if c != "body_text"]
     pattern = r"(?m)^[ \t]*([A-Z][A-Za-z /-]{1,40}):[ \t]*(\S[^\n]*)$"
     raw = pages.select(*keys, F.explode(F.slice(F.regexp_extract_all("body_text", F.lit(pattern), F.lit(0)), 1, cap)).alias("raw"))
     cut = raw.select(*keys, F.trim(F.regexp_extract("raw", pattern, 1)).alias("label"), F.trim(F.regexp_extract("raw", pattern, 2)).alias("text")).distinct()
-    number = facts.measurements(cut.withColumn("body_text", F.col("text")), 1).select(*keys, "label", "text", "type", "value", "unit")
+    number = measure(cut.withColumn("body_text", F.col("text"))).select(*keys, "label", "text", "type", "value", "unit")
     return cut.join(number, [*keys, "label", "text"], "left")
 
 
@@ -147,9 +154,9 @@ def mixed_facts(pages: DataFrame) -> DataFrame:
     return free.union(label_values(pages).where("value IS NOT NULL").select(*keys, F.lit("label"), "type", "value", "unit"))
 
 
-def table_types(pages: DataFrame, key: str = "document_id") -> DataFrame:
+def table_types(pages: DataFrame, key: str = "document_id", measure: Callable[[DataFrame], DataFrame] = facts.measurements) -> DataFrame:
     """The dimension types in a table's cells, and whether it is a table of specifications (two types or more)."""
-    types = facts.measurements(pages).groupBy(key).agg(F.array_sort(F.collect_set("type")).alias("t"))
+    types = measure(pages).groupBy(key).agg(F.array_sort(F.collect_set("type")).alias("t"))
     return types.select(key, F.array_join("t", ",").alias("types"), (F.size("t") >= 2).alias("is_spec"))
 
 

@@ -129,20 +129,6 @@ def hashed_vectors(tokens: DataFrame, key: str = "doc_id", dim: int = 384) -> Da
     return counts.select(key, "bucket", (F.col("n") / norm).alias("w"))
 
 
-def cosine_top(vectors: DataFrame, queries: DataFrame, top: int = 15) -> DataFrame:
-    """The nearest rows to each query vector by cosine. (vec_id, embedding); queries: (qid, q), as few as fit a broadcast or a nested loop of blocks."""
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
-    with_norm = vectors.withColumn("norm", F.sqrt(dot("embedding", "embedding")))
-    asked = queries.withColumn("qnorm", F.sqrt(dot("q", "q")))
-    met = with_norm.join(F.broadcast(asked), F.col("vec_id") != F.col("qid"))
-    scored = met.select("qid", "vec_id", F.round(dot("embedding", "q") / (F.col("norm") * F.col("qnorm")), 6).alias("score"))
-    best = F.max_by(F.struct("vec_id", "score"), F.struct("score", -F.col("vec_id"))) if top == 1 else None
-    if best is not None:
-        return scored.groupBy("qid").agg(best.alias("b")).select("qid", "b.vec_id", "b.score")
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")))
-    return ranked.where(F.col("rank") <= top)
-
-
 def fuse(first: DataFrame, second: DataFrame, k: int = 60, key: str = "doc_id") -> DataFrame:
     """Reciprocal-rank fusion of two ranked lists (qid, key, rank)."""
     both = first.select("qid", key, "rank", F.lit("a").alias("signal")).unionByName(second.select("qid", key, "rank", F.lit("b").alias("signal")))
@@ -163,12 +149,6 @@ def hybrid(tokens: DataFrame, queries: DataFrame, top: int = 25, key: str = "doc
     return both.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), key))).where(F.col("rank") <= top)
 
 
-def top_near(scored: DataFrame, k: int, by: str = "distance", at_most: float | None = None, key: str = "id") -> DataFrame:
-    """the k rows of least distance, at most `at_most`; ties by key."""
-    near_ = scored if at_most is None else scored.where(F.col(by) <= at_most)
-    return near_.orderBy(by, key).limit(k)
-
-
 def answers(pages: DataFrame, queries: DataFrame, top: int = 5) -> DataFrame:
     """The sentences that cover most of a question's terms. `queries`: qid, term; pages: doc_id, body_text."""
     sentences = pages.select("doc_id", F.explode(F.split("body_text", r"(?<=[.!?])\s+")).alias("sentence")).where(F.length("sentence") > 12)

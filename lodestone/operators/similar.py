@@ -12,7 +12,7 @@ stars left in several components are tried with those of other components that f
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lodestone.operators.graph import connected_components
 from lodestone.sources.scratch import discard, materialize
@@ -110,3 +110,29 @@ def near_duplicates(docs: DataFrame, block: str, k: int = 4, percent: int = 80)
     copies = sets.select("doc_id", "class").join(classes.where("n > 1"), "class").select("doc_id", "doc").where("doc_id <> doc")
     joined = connected_components(between.union(copies), "doc_a", "doc_b")
     return joined.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
+
+
+def editions(docs: DataFrame, clusters: DataFrame, k: int = 4) -> DataFrame:
+    """doc_id, cluster, similarity: each member of a cluster with its similarity (Jaccard, 6 decimals) to the cluster's smallest doc_id, 1 for that itself.
+
+    docs: doc_id, text; clusters: doc_id, cluster. A member's shingles meet the anchor's only, not each other's."""
+    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]{3,}"), F.lit(0))
+    gram = f"CASE WHEN size(w) < {k} THEN transform(w, x -> xxhash64(x)) ELSE transform(sequence(0, size(w) - {k}), i -> xxhash64({', '.join(f'w[i + {j}]' for j in range(k))})) END"
+    mine = docs.select("doc_id", "text").join(clusters, "doc_id").select("doc_id", "cluster", F.explode(F.array(words)).alias("w"))
+    sets = materialize(mine.select("doc_id", "cluster", F.explode(F.array(F.array_distinct(F.expr(gram)))).alias("g")), "editions")
+    sizes = sets.select("doc_id", "cluster", F.size("g").cast("long").alias("n"))
+    anchor = sets.where("doc_id = cluster").select("cluster", F.explode("g").alias("s"))
+    both = sets.where("doc_id <> cluster").select("doc_id", "cluster", F.explode("g").alias("s")).join(anchor, ["cluster", "s"]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("both"))
+    met = sizes.join(sizes.where("doc_id = cluster").select("cluster", F.col("n").alias("m")), "cluster").join(both, "doc_id", "left")
+    shared = F.coalesce("both", F.lit(0))
+    union = F.col("n") + F.col("m") - shared
+    similarity = F.when((F.col("doc_id") == F.col("cluster")) | (union == 0), 1.0).otherwise(F.round(shared / union, 6))
+    return met.select("doc_id", "cluster", similarity.alias("similarity"))
+
+
+def siblings(found: DataFrame, asked: DataFrame) -> DataFrame:
+    """doc_id, other, similarity, rank: the other editions of asked documents, those most similar to the cluster's anchor first. found: editions(); asked: doc_id."""
+    mine = asked.select("doc_id").distinct().join(found.select("doc_id", "cluster"), "doc_id")
+    other = found.select("cluster", F.col("doc_id").alias("other"), "similarity")
+    met = mine.join(other, "cluster").where("other <> doc_id")
+    return met.select("doc_id", "other", "similarity", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("similarity"), "other")).alias("rank"))

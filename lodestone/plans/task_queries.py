@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from lodestone import bindings as b
-from lodestone.operators import extract as x, facts, search, tasks as t
+from lodestone.operators import extract as x, facts, search, tasks as t, vectors
 from lodestone.plans.more_queries import glossary_pages
 from lodestone.plans.text_queries import BM25, doc_tokens
 
@@ -58,14 +60,16 @@ def _(spark, sf):
     return search.hybrid(doc_tokens(spark, sf), b.tokens(whole, ["qid"], "text"))
 
 
-@query("f4_top_near", """WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings)), d AS (SELECT vec_id AS id, round(1 - list_dot_product(embedding::DOUBLE[], q) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) * list_dot_product(q, q)), 6) AS distance FROM embeddings, q)
-SELECT id, distance FROM d WHERE distance <= 0.95 ORDER BY distance, id LIMIT 15""")
+@query("f4_top_near", """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS norm FROM embeddings),
+d AS (SELECT q.vec_id AS qid, v.vec_id AS id, round(1 - list_dot_product(v.e, q.e) / (v.norm * q.norm), 6) AS distance FROM v JOIN v q ON q.vec_id % 100 = 0)
+SELECT qid, id, distance, row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS rank FROM d WHERE distance <= 0.75 QUALIFY rank <= 15""")
 def _(spark, sf):
     v = b.read(spark, sf, "embeddings")
-    q = v.agg(F.min_by("embedding", "vec_id")).scalar()
-    dot = lambda a, c: F.aggregate(F.zip_with(a, c, lambda m, n: m.cast("double") * n), F.lit(0.0), lambda s, y: s + y)
-    far = F.round(1 - dot("embedding", "q") / F.sqrt(dot("embedding", "embedding") * dot("q", "q")), 6)
-    return search.top_near(v.withColumn("q", q).select(F.col("vec_id").alias("id"), far.alias("distance")), 15, at_most=0.95)
+    rows = v.select(F.col("vec_id").alias("id"), "embedding", F.sqrt(vectors.dot("embedding", "embedding")).alias("norm"))
+    asked = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"), F.sqrt(vectors.dot("embedding", "embedding")).alias("qnorm"))
+    far = F.round(1 - vectors.dot("embedding", "q") / (F.col("norm") * F.col("qnorm")), 6)
+    near = vectors.meet(rows, asked).select("qid", "id", far.alias("distance")).where("distance <= 0.75")
+    return vectors.best_of(near, 15, [F.col("distance")], "id")
 
 
 #: Headings in several shapes, with the side that each names.
@@ -208,3 +212,23 @@ def _(spark, sf):
 def _(spark, sf):
     stages = {"measurements": facts.measurements, "warnings": lambda p: p.where("body_text LIKE 'WARNING:%'").select("document_id", "page"), "standards": lambda p: t.standards(p.withColumnRenamed("document_id", "doc_id"))}
     return t.run_extractors(b.manual(spark, sf), stages, {"measurements", "warnings"}).groupBy("stage").agg(F.count(F.lit(1)).alias("n"))
+
+
+def foot_pounds(text: str):
+    """A caller's own extractor: torque in foot-pounds only."""
+    for m in re.finditer(r"(\d+) ft-lb", text):
+        yield "torque", float(m[1]), None, None, "ft-lb"
+
+
+@query("u2_foreign", b.with_(b.FACTS) + " SELECT document_id, page, niin, source_id, type, value, NULL::DOUBLE AS value2, NULL::DOUBLE AS tolerance, unit FROM facts WHERE type = 'torque'")
+def _(spark, sf):
+    return t.foreign(b.manual(spark, sf), foot_pounds, "type string, value double, value2 double, tolerance double, unit string")
+
+
+@query("u1_measure_function", b.with_(b.FACTS) + " SELECT DISTINCT document_id, page, 'Torque' AS label, p_name || ': ' || value::BIGINT::VARCHAR || ' ft-lb' AS text, type, value, unit FROM facts WHERE type = 'torque'")
+def _(spark, sf):
+    from lodestone.operators import manuals
+
+    line = F.concat(F.lit("Torque: "), F.regexp_extract("body_text", "^Torque the (.*) to ", 1), F.lit(": "), F.regexp_extract("body_text", r"(\d+ ft-lb)", 1))
+    pages = b.manual(spark, sf).where("body_text LIKE 'Torque%'").select("document_id", "page", line.alias("body_text"))
+    return manuals.label_values(pages, measure=lambda p: t.foreign(p, foot_pounds, "type string, value double, value2 double, tolerance double, unit string"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone import bindings as b
 from lodestone.functions import codes
-from lodestone.operators import graph, logs, postings, search, similar
+from lodestone.operators import graph, logs, postings, search, similar, vectors
 
 Q, SQL = {}, {}
 
@@ -312,7 +312,25 @@ s AS (SELECT q.vec_id AS qid, v.vec_id, round(list_sum([a * b for a, b in list_z
 SELECT qid, vec_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 15""".replace("list_sum([a * b for a, b in list_zip(v.e, q.e)])", "list_dot_product(v.e, q.e)"))
 def _(spark, sf):
     v = b.read(spark, sf, "embeddings")
-    return search.cosine_top(v, v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")))
+    return vectors.cosine_top(v, v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")))
+
+
+@query("h14_hyperplanes", "SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % 100 = 0")
+def _(spark, sf):
+    v = b.read(spark, sf, "embeddings")
+    asked = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
+    found = vectors.recall(vectors.hyperplane_top(v, asked, v.select(F.size("embedding")).first()[0], 15), vectors.cosine_top(v, asked, 15))
+    return found.select("queries", (F.col("recall") >= 0.9).alias("enough"))
+
+
+@query("j13_neighbours_with_labels", """WITH n AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, sqrt(list_sum([x::DOUBLE * x::DOUBLE for x in embedding])) AS norm FROM embeddings),
+s AS (SELECT q.vec_id AS qid, v.vec_id, v.label, q.label AS own, round(list_dot_product(v.e, q.e) / (v.norm * q.norm), 6) AS score FROM n q JOIN n v ON v.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) <= 10) SELECT qid, any_value(own) AS own, label, count(*) AS n, max(score) AS nearest FROM b GROUP BY qid, label""")
+def _(spark, sf):
+    v = b.read(spark, sf, "embeddings")
+    best = vectors.cosine_top(v, v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")), 10)
+    met = best.join(v.select("vec_id", "label"), "vec_id").join(v.select(F.col("vec_id").alias("qid"), F.col("label").alias("own")), "qid")
+    return met.groupBy("qid", "label").agg(F.first("own").alias("own"), F.count(F.lit(1)).alias("n"), F.max("score").alias("nearest"))
 
 
 @query("e8_fuse", f"""WITH {BM25}, other AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY doc_id) AS rank FROM best),
@@ -333,16 +351,39 @@ def _(spark, sf):
     return search.answers(b.pages(spark, sf).select("doc_id", "body_text"), q)
 
 
-@query("j1_near_duplicates", """WITH RECURSIVE w AS (SELECT doc_id, coalesce(source, '') AS block, regexp_extract_all(lower(coalesce(text, '')), '[a-z]{3,}') AS w FROM documents),
+J1 = """WITH RECURSIVE w AS (SELECT doc_id, coalesce(source, '') AS block, regexp_extract_all(lower(coalesce(text, '')), '[a-z]{3,}') AS w FROM documents),
 g AS (SELECT DISTINCT doc_id, block, unnest(CASE WHEN len(w) < 4 THEN w ELSE list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]) END) AS s FROM w),
 n AS (SELECT w.doc_id, w.block, count(s) AS n FROM w LEFT JOIN g USING (doc_id) GROUP BY ALL),
 shared AS (SELECT a.doc_id AS a, c.doc_id AS b, count(*) AS k FROM g a JOIN g c ON a.s = c.s AND a.block = c.block AND a.doc_id < c.doc_id GROUP BY ALL),
 e AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k) UNION SELECT x.doc_id, y.doc_id FROM n x JOIN n y ON x.block = y.block AND x.n = 0 AND y.n = 0 AND x.doc_id < y.doc_id),
-u AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e), r AS (SELECT x, x AS y FROM u UNION SELECT r.x, u.y FROM r JOIN u ON r.y = u.x) SELECT x AS doc_id, min(y) AS cluster FROM r GROUP BY x""")
+u AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e), r AS (SELECT x, x AS y FROM u UNION SELECT r.x, u.y FROM r JOIN u ON r.y = u.x), c AS (SELECT x AS doc_id, min(y) AS cluster FROM r GROUP BY x)"""
+
+
+@query("j1_near_duplicates", J1 + " SELECT * FROM c")
 def _(spark, sf):
     return similar.near_duplicates(b.read(spark, sf, "documents"), "source")
 
 
+EDITIONS = J1 + """, k AS (SELECT c.doc_id, c.cluster, count(h.s) AS k FROM c JOIN g USING (doc_id) LEFT JOIN g h ON h.doc_id = c.cluster AND h.s = g.s GROUP BY ALL),
+ed AS (SELECT c.doc_id, c.cluster, CASE WHEN c.doc_id = c.cluster OR coalesce(n.n, 0) + coalesce(m.n, 0) = 0 THEN 1.0 ELSE round(coalesce(k.k, 0) / (n.n + m.n - coalesce(k.k, 0)), 6) END AS similarity FROM c JOIN n USING (doc_id) JOIN n m ON m.doc_id = c.cluster LEFT JOIN k ON k.doc_id = c.doc_id)"""
+
+
+def found_editions(spark, sf):
+    docs = b.read(spark, sf, "documents")
+    return similar.editions(docs, similar.near_duplicates(docs, "source"))
+
+
+@query("j4_editions", EDITIONS + " SELECT doc_id, cluster, similarity FROM ed")
+def _(spark, sf):
+    return found_editions(spark, sf)
+
+
+@query("j4_siblings", EDITIONS + " SELECT a.doc_id, o.doc_id AS other, o.similarity, row_number() OVER (PARTITION BY a.doc_id ORDER BY o.similarity DESC, o.doc_id) AS rank FROM ed a JOIN ed o ON a.cluster = o.cluster AND a.doc_id <> o.doc_id")
+def _(spark, sf):
+    found = found_editions(spark, sf)
+    return similar.siblings(found, found.select("doc_id"))
+
+
 @query("j2_components", "WITH RECURSIVE e AS (SELECT doc_id AS a, (doc_id // 2) AS b FROM documents), u AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e), r AS (SELECT x, x AS y FROM u UNION SELECT r.x, u.y FROM r JOIN u ON r.y = u.x) SELECT x AS node, min(y) AS component FROM r GROUP BY x")
 def _(spark, sf):
     return graph.connected_components(b.read(spark, sf, "documents").selectExpr("doc_id AS a", "cast(doc_id div 2 as long) AS b"))
@@ -416,7 +457,7 @@ FROM h q JOIN h ON h.id <> q.id WHERE q.id % 100 = 0 AND bit_count(xor(h.hi, q.h
 def _(spark, sf):
     half = lambda i: F.conv(F.substring(F.md5("text"), i, 8), 16, 10).cast("long")
     h = b.read(spark, sf, "documents").select(F.col("doc_id").alias("id"), half(1).alias("hi"), half(9).alias("lo"))
-    return graph.hamming_matches(h, h.where("id % 100 = 0").selectExpr("id AS qid", "hi AS qhi", "lo AS qlo"))
+    return vectors.hamming_top(h, h.where("id % 100 = 0").selectExpr("id AS qid", "hi AS qhi", "lo AS qlo"))
 
 
 @query("m1_upsert", """WITH o AS (SELECT p_partkey AS k, p_name AS name, p_brand AS brand FROM part WHERE p_partkey % 3 <> 0), n AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 2 = 0 THEN '' ELSE upper(p_name) END AS name, p_type AS brand FROM part WHERE p_partkey % 4 <> 0)

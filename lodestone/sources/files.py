@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from lodestone.functions import codes
+from lodestone.sources.scratch import materialize
 
 HEAD = 65536
 
@@ -88,24 +89,85 @@ def alias_map(spark: SparkSession, path: str) -> DataFrame:
     return pairs.groupBy("term").agg(F.array_sort(F.collect_set("other")).alias("others"))
 
 
-def publish(df: DataFrame, path: str) -> None:
-    """Full rebuild: written beside the old table, which is moved aside and dropped once the new one is in place.
+POINTER = "_CURRENT"
 
-    A job that fails leaves the old table; where the second rename fails, the old table is moved back. Between the two renames no table is there."""
+
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _at(spark: SparkSession, *parts: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path("/".join(parts))
+
+
+def current(spark: SparkSession, path: str) -> str | None:
+    """The folder of the version that a published table points to; None before the first."""
+    fs, _ = _fs(spark, path)
+    pointer = _at(spark, path, POINTER)
+    if not fs.exists(pointer):
+        return None
+    stream = fs.open(pointer)
+    try:
+        return f"{path}/{bytes(stream.readAllBytes()).decode()}"
+    finally:
+        stream.close()
+
+
+def publish(df: DataFrame, path: str, keep: int = 1) -> str:
+    """Full rebuild: a new version in a folder of its own, then one file that names it is replaced.
+
+    The rename of that file is the only step that readers can see, and it replaces the old one at once: at any time read_published()
+    gives a whole table. Older versions but the last `keep` go afterwards, so that readers that have begun can end. Jobs that fail before
+    leave a folder that nothing names."""
     spark = df.sparkSession
-    stage = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
-    df.write.parquet(stage)
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    here, there, aside = (jvm.org.apache.hadoop.fs.Path(p) for p in (stage, path, f"{stage}.old"))
-    fs = there.getFileSystem(conf)
-    had = fs.exists(there)
-    if had and not fs.rename(there, aside):
-        raise OSError(f"{path} can't be moved aside")
-    if not fs.rename(here, there):
-        if had:
-            fs.rename(aside, there)
-        raise OSError(f"{stage} can't be moved to {path}")
-    fs.delete(aside, True)
+    path = path.rstrip("/")
+    was = current(spark, path)
+    name = f"v{(int(was.rpartition('/v')[2].partition('-')[0]) if was else 0) + 1:08d}-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{name}")
+    fs, _ = _fs(spark, path)
+    fresh, pointer = _at(spark, path, f"{POINTER}.{uuid.uuid4().hex}"), _at(spark, path, POINTER)
+    stream = fs.create(fresh, True)
+    stream.write(bytearray(name.encode()))
+    stream.close()
+    jvm = spark.sparkContext._jvm
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(fresh, pointer, options)
+    versions = sorted(f.getPath().getName() for f in fs.listStatus(_at(spark, path)) if f.isDirectory() and f.getPath().getName() <= name)
+    for old in versions[: -1 - keep]:
+        fs.delete(_at(spark, path, old), True)
+    return f"{path}/{name}"
+
+
+def read_published(spark: SparkSession, path: str) -> DataFrame:
+    found = current(spark, path.rstrip("/"))
+    if found is None:
+        raise FileNotFoundError(f"{path} has no published version")
+    return spark.read.parquet(found)
+
+
+def rebuild(documents: DataFrame, build: Callable[[DataFrame], DataFrame], path: str, buckets: int = 64) -> DataFrame:
+    """Only the documents whose page count has changed, or that are new, are built again; the rows of all others are carried over, but for
+    documents that are gone. The result is published as a new version, with what was done beside it; returns the documents built.
+
+    documents: doc_id, n_pages and what build needs; build gives rows with doc_id. A job that fails between the two publications builds the same documents again."""
+    spark = documents.sparkSession
+    path = path.rstrip("/")
+    done_at = f"{path}/done"
+    sizes = documents.select("doc_id", "n_pages")
+    fresh = documents if current(spark, done_at) is None else to_build(documents, read_published(spark, done_at))
+    # what is built is decided once, before the versions that it is decided by change
+    built = materialize(fresh.select("doc_id", "n_pages"), "built")
+    rows = build(documents.join(built.select("doc_id"), "doc_id", "left_semi"))
+    if current(spark, f"{path}/rows") is not None:
+        old = read_published(spark, f"{path}/rows")
+        kept = old.join(sizes.join(built.select("doc_id"), "doc_id", "left_anti").select("doc_id"), "doc_id", "left_semi")
+        rows = kept.unionByName(rows.select(*old.columns))
+    publish(rows.repartition(buckets, "doc_id"), f"{path}/rows")
+    publish(sizes, done_at)
+    return built
 
 
 def rollback(spark: SparkSession, derived: list[str], confirm: bool = False) -> DataFrame:

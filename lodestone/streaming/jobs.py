@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def event_stream(spark: SparkSession, folder: str, files_a_trigger: int = 64) -> DataFrame:
@@ -28,16 +30,65 @@ def append_facts(pages: DataFrame, extract: Callable[[DataFrame], DataFrame], ou
     return pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def decision_state(events: DataFrame) -> DataFrame:
-    """The last event of each key so far, kept by Spark's own aggregate state."""
-    return events.groupBy("user_id").agg(F.max(F.struct("event_id", "event_type")).alias("last")).select("user_id", "last.event_id", F.col("last.event_type").alias("status"))
+#: What a decision may be.
+ACTIONS = ("approve", "reject", "override")
+STATUS = {"approve": "approved", "reject": "rejected", "override": "overridden"}
 
 
-def saved_query_hits(pages: DataFrame, queries: DataFrame) -> DataFrame:
-    """Arriving pages with every term of a saved query. A static join only: `queries` has qid and terms (array)."""
+def decision_state(events: DataFrame, key: str = "key") -> DataFrame:
+    """Key, id, status, n: the state of each key after a batch, for keys that it changed. events: key, id, action.
+
+    The state is kept here, a row a key: the decision of the highest id, and how many counted. Actions that are no decision are
+    left out, and an event with a lower id than the one that decides comes too late to change anything but the count."""
+
+    def update(k, batches, state: GroupState):
+        last, status, n = state.get if state.exists else (-1, "", 0)
+        was = (last, status, n)
+        for rows in batches:
+            rows = rows[rows["action"].isin(ACTIONS) & rows["id"].notna()]
+            if len(rows):
+                top = rows.sort_values(["id", "action"]).iloc[-1]
+                n += len(rows)
+                if top["id"] > last:
+                    last, status = int(top["id"]), STATUS[top["action"]]
+        if (last, status, n) != was:
+            state.update((last, status, n))
+            yield pd.DataFrame({key: [k[0]], "id": [last], "status": [status], "n": [n]})
+
+    kind = events.schema[key].dataType.simpleString()
+    out = f"{key} {kind}, id long, status string, n long"
+    return events.select(key, F.col("id").cast("long").alias("id"), "action").where(F.col(key).isNotNull()).groupBy(key).applyInPandasWithState(update, out, "id long, status string, n long", "update", GroupStateTimeout.NoTimeout)
+
+
+def route(queries: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """qid, terms, route: saved queries with the term that fewest pages have (one that no page has comes first), by which pages are sent to them. vocabulary: term, df."""
+    each = queries.select("qid", F.explode(F.array_distinct("terms")).alias("term")).join(vocabulary.select("term", "df"), "term", "left")
+    rare = each.groupBy("qid").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")).alias("r"))
+    return queries.select("qid", F.array_distinct("terms").alias("terms")).join(rare, "qid").select("qid", "terms", F.col("r.term").alias("route"))
+
+
+def saved_query_hits(pages: DataFrame, routed: DataFrame) -> DataFrame:
+    """Qid, doc_id, page_number: pages with every term of a saved query. A page meets the queries that one of its terms is the
+    route of, by an equi-join, and then each of these is held against all of its terms. routed: route()."""
     words = F.array_distinct(F.regexp_extract_all(F.lower("body_text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
-    met = pages.withColumn("terms_", words).join(F.broadcast(queries), F.size(F.array_except("terms", "terms_")) == 0)
-    return met.select("qid", "doc_id", "page_number")
+    each = pages.select("doc_id", "page_number", words.alias("words")).select("doc_id", "page_number", "words", F.explode("words").alias("route"))
+    return each.join(routed, "route").where(F.size(F.array_except("terms", "words")) == 0).select("qid", "doc_id", "page_number")
+
+
+def keep_members(pages: DataFrame, routed: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """The members of saved queries, as pages arrive: a folder a batch, which a retried batch replaces."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        saved_query_hits(batch, routed).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def member_counts(members: DataFrame, seen: DataFrame) -> DataFrame:
+    """Qid, n, new: the pages of each saved query, and how many have come since it was looked at. members: qid, doc_id, page_number, batch; seen: qid, batch, the last one looked at."""
+    first = members.groupBy("qid", "doc_id", "page_number").agg(F.min("batch").alias("batch"))
+    met = first.join(seen.select("qid", F.col("batch").alias("seen")), "qid", "left")
+    return met.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("seen").isNull() | (F.col("batch") > F.col("seen"))).alias("new"))
 
 
 def run_to_table(stream: DataFrame, name: str, mode: str, checkpoint: str) -> StreamingQuery:

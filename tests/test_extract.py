@@ -100,7 +100,7 @@ def test_sinks(spark):
     df = spark.createDataFrame([(1, "a", 2), (2, "b", 3)], "doc_id long, name string, n_pages int")
     files.publish(df, f"{root}/t")
     files.publish(df.where("doc_id = 1"), f"{root}/t")
-    assert spark.read.parquet(f"{root}/t").count() == 1
+    assert files.read_published(spark, f"{root}/t").count() == 1
     assert [r["doc_id"] for r in files.to_build(df, df.where("doc_id = 1")).collect()] == [2]
     files.write_buckets(df, f"{root}/b")
     files.write_buckets(df.where("doc_id = 2"), f"{root}/b")

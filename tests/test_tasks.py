@@ -5,8 +5,10 @@ import re
 import zlib
 from collections import Counter
 
+import pytest
+
 from lodestone import bindings as b
-from lodestone.operators import facts, search, tasks as t
+from lodestone.operators import facts, manuals, search, tasks as t
 from lodestone.plans import registry
 from lodestone.sources import files
 
@@ -86,7 +88,50 @@ def test_rollback_and_publish(spark, tmp_path):
     path = str(tmp_path / "published")
     for n in (2, 5):
         files.publish(spark.range(n), path)
-        assert spark.read.parquet(path).count() == n
+        assert files.read_published(spark, path).count() == n
+
+
+def test_readers_see_a_whole_table_at_every_step(spark, tmp_path):
+    path = str(tmp_path / "table")
+    with pytest.raises(FileNotFoundError):
+        files.read_published(spark, path)
+    files.publish(spark.range(3), path)
+    begun = files.read_published(spark, path)
+    # a job that fails while it writes, and one that has written and not published yet
+    with pytest.raises(Exception):
+        files.publish(spark.range(4).selectExpr("assert_true(id < 2)", "id"), path)
+    spark.range(9).write.parquet(f"{path}/v00000002-unpublished")
+    assert files.read_published(spark, path).count() == 3
+    files.publish(spark.range(5), path)
+    assert files.read_published(spark, path).count() == 5 and begun.count() == 3
+    files.publish(spark.range(6), path)
+    files.publish(spark.range(7), path)
+    assert files.read_published(spark, path).count() == 7 and len(list((tmp_path / "table").glob("v*"))) == 2
+
+
+def test_rebuild_touches_changed_documents_only(spark, tmp_path):
+    path, built = str(tmp_path / "facts"), []
+
+    def build(docs):
+        built.append(sorted(r["doc_id"] for r in docs.select("doc_id").collect()))
+        return docs.selectExpr("doc_id", "explode(sequence(1, n_pages)) AS page", f"{len(built)} AS run")
+
+    docs = lambda *rows: spark.createDataFrame(list(rows), "doc_id long, n_pages int")
+    assert files.rebuild(docs((1, 2), (2, 1), (3, 1)), build, path, 4).count() == 3
+    got = files.rebuild(docs((1, 2), (2, 3), (4, 1)), build, path, 4)
+    assert sorted(map(tuple, got.collect())) == [(2, 3), (4, 1)] and built[1] == [2, 4]
+    rows = sorted(map(tuple, files.read_published(spark, f"{path}/rows").collect()))
+    assert rows == [(1, 1, 1), (1, 2, 1), (2, 1, 2), (2, 2, 2), (2, 3, 2), (4, 1, 2)]
+    assert files.rebuild(docs((1, 2), (2, 3), (4, 1)), build, path, 4).count() == 0
+
+
+def test_foreign_extractors(spark):
+    pages = spark.createDataFrame([(1, "a bb"), (2, None), (3, ""), (4, "ccc")], "doc_id long, body_text string")
+    out = t.foreign(pages, lambda text: ((w, len(w)) for w in text.split()), "word string, n int")
+    assert sorted(map(tuple, out.collect())) == [(1, "a", 1), (1, "bb", 2), (4, "ccc", 3)]
+    lines = spark.createDataFrame([(1, "Weight: 12 stone\nColor: red")], "doc_id long, body_text string")
+    own = lambda p: t.foreign(p, lambda x: [("weight", 14.0 * int(x.split()[0]), "lb")] if "stone" in x else [], "type string, value double, unit string")
+    assert sorted(map(tuple, manuals.label_values(lines, measure=own).collect())) == [(1, "Color", "red", None, None, None), (1, "Weight", "12 stone", "weight", 168.0, "lb")]
 
 
 def test_new_queries_are_registered():
