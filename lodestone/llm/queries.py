@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-import corpus_pipeline
 from lodestone.llm import chat, covertree, decontaminate, jaccard, lexical, linededup, lmscore, mixing, quality, runs, substring, toxicity, urls
 from lodestone.llm.common import table, words
 from lodestone.llm.sql import ORACLES
@@ -83,7 +82,6 @@ def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "pipeline": corpus_pipeline.run,
     "op1_substring_dedup": op1_substring_dedup,
     "op2_url_filters": op2_url_filters,
     "op3_toxicity": op3_toxicity,

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lodestone.llm import tokens as tk
-from lodestone.sources.scratch import frugal
+from lodestone.sources.scratch import frugal, materialize
 
 SAMPLE, FEATURES, LEAST_Z, LEXICON, LEXICONS, VOTERS = 12_000, 1024, 4.0, 240, 10, 16
 BEGINNINGS = (5, 7, 9)
@@ -195,7 +195,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     spark = docs.sparkSession
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold(F.col("doc_id")) != 2))
     chosen_rows = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    known = docs.select("doc_id", "text").join(F.broadcast(chosen_rows.withColumnRenamed("doc_id", "id_")), F.col("doc_id") == F.col("id_")).dropDuplicates(["id_"]).select("toxic", F.coalesce("text", F.lit("")).alias("text"))
+    met = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen_rows.withColumnRenamed("doc_id", "id_")), F.col("doc_id") == F.col("id_"))
+    # of a repeated doc_id the text with the smallest digest, however the rows lie; written once, as it is read three times
+    known = materialize(met.groupBy("id_").agg(F.max("toxic").alias("toxic"), F.min_by("text", F.struct(F.sha2("text", 256), "text")).alias("text")).select("toxic", "text"), "labelled")
     size = known.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t")).first()
     if not size["t"] or size["t"] == size["n"]:
         return None
@@ -214,6 +216,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     chosen, voter = spark.sparkContext.broadcast(hashes[order]), spark.sparkContext.broadcast(lexicon)
 
     rows = known.mapInArrow(_sample_rows(chosen, voter), "toxic int, pattern int, n long, at array<int>, count array<float>").collect()
+    rows.sort(key=lambda r: (r["pattern"], r["n"], r["toxic"], list(r["at"]), list(r["count"])))  # sums don't depend on where rows lie
     toxic, pattern, n = (np.array([r[i] for r in rows]) for i in range(3))
     x = np.zeros((len(rows), len(hashes)), np.float32)
     for i, r in enumerate(rows):
