@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 # Fixed values.
@@ -87,6 +89,42 @@ def strip_html(html: Column) -> Column:
     return F.trim(F.regexp_replace(bare, r"[ \t\r\n]+", " "))
 
 
+def phrases(words: tuple[str, ...], gap: str = r"\s+", start: str = r"\b", end: str = r"\b") -> str:
+    """A pattern of any of some phrases, without regard to case; longer ones first, their blanks as `gap`."""
+    found = "|".join(gap.join(map(re.escape, w.split(" "))) for w in sorted(words, key=len, reverse=True))
+    return f"(?i){start}(?:{found}){end}"
+
+
+# Words of a title that name a side, and of a lubrication order.
+OPERATOR_WORDS = ("operator", "operators", "operator's")
+MECHANIC_WORDS = ("maintenance", "unit", "organizational", "direct support", "general support", "rpstl", "repair parts")
+LUBRICATION_WORDS = ("lo", "lubrication order")
+
+
+def tm_side(tm: Column, title: Column, path: Column) -> Column:
+    """Operator, mechanic, coverage, basis and confidence of a manual, as a struct.
+
+    The last field of two digits that begins with 1 to 4, of the number or else of title and path, is the coverage: 10 the operator's, 11 to 19
+    both, the others the mechanic's. A parts list (a P after a digit, RPSTL) and a lubrication order are the mechanic's too. All of these
+    are sure (high); words of the title count where none is there (medium); a manual without any is the mechanic's (low)."""
+    number, blob = F.coalesce(tm, F.lit("")), F.concat_ws(" ", *[F.nullif(c, F.lit("")) for c in (tm, title, path)])
+    fields = lambda c: F.regexp_extract_all(c, F.lit(r"(?i)(?:^|[-\s])(\d{2,3})(?:&?P)?(?=$|[-\s&])"), F.lit(1))
+    found = F.when(F.size(fields(number)) > 0, fields(number)).otherwise(fields(blob))
+    code = F.element_at(F.concat(F.array(F.lit("")), F.filter(found, lambda x: x.rlike(r"^[1-4]\d$"))), -1)
+    parts = number.rlike(r"(?i)\d&?P\b") | blob.rlike(phrases(("rpstl",)))
+    oil = number.rlike(phrases(LUBRICATION_WORDS)) | blob.rlike(phrases(LUBRICATION_WORDS))
+    sure = (code != "") | parts | oil
+    by_op, by_me = ~sure & blob.rlike(phrases(OPERATOR_WORDS)), ~sure & blob.rlike(phrases(MECHANIC_WORDS))
+    named = sure | by_op | by_me
+    basis = F.array_join(F.filter(F.array(
+        F.when(code != "", F.concat(F.lit("coverage "), code)), F.when(parts, "parts list"), F.when(oil, "lubrication order"), F.when(by_op, "title: operator"), F.when(by_me, "title: maintenance"), F.when(~named, "undetermined"),
+    ), lambda x: x.isNotNull()), ", ")
+    return F.struct(
+        (F.startswith(code, F.lit("1")) | by_op).alias("operator"), (((code != "") & (code != "10")) | parts | oil | by_me | ~named).alias("mechanic"),
+        F.when(code != "", code).when(parts, "P").when(oil, "LO").otherwise("").alias("coverage"), basis.alias("basis"), F.when(sure, "high").when(named, "medium").otherwise("low").alias("confidence"),
+    )
+
+
 def document_type(title: Column) -> Column:
     """The first rule that matches."""
     t = F.upper(title)

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lodestone.functions import codes
 from lodestone.operators import facts, postings
 
 # Name parts of parts lists, and the words of dimensions in characteristics.
@@ -23,18 +24,35 @@ def bears_dimension(characteristics: str) -> Column:
     return F.coalesce(F.upper(F.col(characteristics)).rlike(DIMENSION), F.lit(False))
 
 
-def side_map(documents: DataFrame, pages: DataFrame, overrides: DataFrame) -> DataFrame:
-    """The side of each document: an override, else its number, else the words of its first two pages (4000 characters).
+# Words on the first pages of an operator's and of a mechanic's manual.
+OPERATOR_COVER = codes.phrases(("operator manual", "operators manual", "operator's manual", "operator instructions", "operators instructions", "operator's instructions"), start="")
+MECHANIC_COVER = codes.phrases(("maintenance allocation chart", "unit maintenance", "field maintenance", "direct support", "general support", "repair parts and special"))
+
 
-    documents: doc_id, tm; pages: doc_id, page_number, body_text; overrides: doc_id, override."""
-    head = pages.where("page_number <= 2").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_number", "body_text"))).alias("p"))
-    head = head.select("doc_id", F.lower(F.substring(F.array_join(F.transform("p", lambda x: x["body_text"]), " "), 1, 4000)).alias("text"))
-    met = documents.join(head, "doc_id", "left").join(overrides, "doc_id", "left")
-    op, me = F.col("text").rlike("operator|crew"), F.col("text").rlike("maintenance|repair")
-    by_number = F.when(F.col("tm").endswith("-10"), "operator").when(F.col("tm").rlike("-2[04]P?$"), "mechanic")
-    by_text = F.when(op & me, "both").when(op, "operator").when(me, "mechanic")
-    confidence = F.when(F.col("override").isNotNull() | by_number.isNotNull(), "high").when(by_text.isNotNull(), "medium").otherwise("low")
-    return met.select(*documents.columns, F.coalesce("override", by_number, by_text, F.lit("uncertain")).alias("side"), confidence.alias("confidence"))
+def side_map(documents: DataFrame, pages: DataFrame, overrides: DataFrame) -> DataFrame:
+    """The documents with operator, mechanic, side (both, operator, mechanic), coverage and confidence: by number and title; where these say nothing,
+    by the words of the first two pages (4000 characters); a reviewer's override wins.
+
+    documents: doc_id, tm, title and perhaps path; pages: doc_id, page_number, body_text; overrides: doc_id, override."""
+    path = F.col("path") if "path" in documents.columns else F.lit("")
+    named = documents.withColumn("own", codes.tm_side(F.col("tm"), F.col("title"), path))
+    # pages are read for the unsure ones only
+    unsure = named.where("own.confidence = 'low'").select("doc_id")
+    head = pages.where("page_number <= 2").join(unsure, "doc_id", "left_semi").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_number", "body_text"))).alias("p"))
+    head = head.select("doc_id", F.substring(F.array_join(F.transform("p", lambda x: x["body_text"]), " "), 1, 4000).alias("text"))
+    met = named.join(head, "doc_id", "left").join(overrides, "doc_id", "left")
+    op, me = F.coalesce(F.col("text").rlike(OPERATOR_COVER), F.lit(False)), F.coalesce(F.col("text").rlike(MECHANIC_COVER), F.lit(False))
+    said = op | me
+    operator = F.when(F.col("override").isNotNull(), F.col("override").isin("operator", "both")).when(said, op).otherwise(F.col("own.operator"))
+    mechanic = F.when(F.col("override").isNotNull(), F.col("override").isin("mechanic", "both")).when(said, me | ~op).otherwise(F.col("own.mechanic"))
+    confidence = F.when(F.col("override").isNotNull(), "override").when(said, "medium").otherwise(F.col("own.confidence"))
+    out = met.select(*documents.columns, operator.alias("operator"), mechanic.alias("mechanic"), F.col("own.coverage").alias("coverage"), confidence.alias("confidence"))
+    return out.withColumn("side", F.when(F.col("operator") & F.col("mechanic"), "both").when(F.col("operator"), "operator").when(F.col("mechanic"), "mechanic").otherwise("none"))
+
+
+def side_counts(sides: DataFrame) -> DataFrame:
+    """Documents, those of each side, of both, and the uncertain ones."""
+    return sides.agg(F.count(F.lit(1)).alias("documents"), F.count_if("operator").alias("operator"), F.count_if("mechanic").alias("mechanic"), F.count_if(F.col("operator") & F.col("mechanic")).alias("both"), F.count_if(F.col("confidence") == "low").alias("uncertain"))
 
 
 def of_side(sides: DataFrame, side: str, needle: str = "", limit: int = 400, offset: int = 0) -> DataFrame:
@@ -46,7 +64,7 @@ def of_side(sides: DataFrame, side: str, needle: str = "", limit: int = 400, off
 
 def uncertain(sides: DataFrame, limit: int = 200) -> DataFrame:
     """Documents whose side is of low or medium confidence, low first."""
-    return sides.where("confidence <> 'high'").orderBy(F.col("confidence") != "low", "doc_id").limit(limit)
+    return sides.where("confidence IN ('low', 'medium')").orderBy(F.col("confidence") != "low", "doc_id").limit(limit)
 
 
 def priorities(pages: DataFrame, documents: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -10,16 +9,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from lodestone.functions.codes import phrases
 from lodestone.operators import extract as x
 
-
-
-def phrases(words: tuple[str, ...], gap: str = r"\s+", start: str = r"\b", end: str = r"\b") -> str:
-    """A pattern of any of some phrases, without regard to case; longer ones first, their blanks as `gap`."""
-    found = "|".join(gap.join(map(re.escape, w.split(" "))) for w in sorted(words, key=len, reverse=True))
-    return f"(?i){start}(?:{found}){end}"
-
-
 # Words in the headings of an operator's and of a mechanic's part of a manual.
 OPERATOR = phrases(("operator", "operating", "operation", "operators instructions", "operators pmcs", "operators controls", "controls and indicators"))
 MECHANIC = phrases(("unit maintenance", "organizational maintenance", "field maintenance", "direct support", "general support", "maintenance allocation chart", "repair parts", "rpstl", "troubleshooting", "schematic", "schematics"))

@@ -24,10 +24,11 @@ DOCS = """docs AS (SELECT doc_id, source AS vehicle, 'TM 9-2320-' || (doc_id % 4
   CASE doc_id % 7 WHEN 0 THEN 'Troubleshooting' WHEN 1 THEN 'Repair parts' ELSE 'Manual' END AS title FROM documents)"""
 FIRST = """lines AS (SELECT *, length(body_text) AS n_chars FROM pages_v), heads AS (SELECT doc_id, lower(substr(string_agg(body_text, ' ' ORDER BY page_number), 1, 4000)) AS text FROM lines WHERE page_number <= 2 GROUP BY doc_id),
 overrides AS (SELECT doc_id, 'both' AS override FROM labels WHERE toxic = 1 GROUP BY doc_id),
-judged AS (SELECT d.*, override, CASE WHEN tm LIKE '%-10' THEN 'operator' WHEN regexp_matches(tm, '-2[04]P?$') THEN 'mechanic' END AS by_number,
-  CASE WHEN regexp_matches(text, 'operator|crew') AND regexp_matches(text, 'maintenance|repair') THEN 'both' WHEN regexp_matches(text, 'operator|crew') THEN 'operator' WHEN regexp_matches(text, 'maintenance|repair') THEN 'mechanic' END AS by_text
-  FROM docs d LEFT JOIN heads USING (doc_id) LEFT JOIN overrides USING (doc_id)),
-sides AS (SELECT doc_id, vehicle, tm, title, coalesce(override, by_number, by_text, 'uncertain') AS side, CASE WHEN override IS NOT NULL OR by_number IS NOT NULL THEN 'high' WHEN by_text IS NOT NULL THEN 'medium' ELSE 'low' END AS confidence FROM judged)"""
+coded AS (SELECT docs.*, override, coalesce(text, '') AS text, CASE doc_id % 5 WHEN 0 THEN '10' WHEN 1 THEN '24' WHEN 2 THEN '20' WHEN 3 THEN '24' ELSE CASE WHEN doc_id % 40 >= 10 THEN (doc_id % 40)::VARCHAR END END AS code FROM docs LEFT JOIN heads USING (doc_id) LEFT JOIN overrides USING (doc_id)),
+said AS (SELECT *, code IS NULL AND title <> 'Repair parts' AS unsure, regexp_matches(text, 'operator''?s? (manual|instructions)') AS o, regexp_matches(text, 'maintenance allocation chart|unit maintenance|field maintenance|direct support|general support|repair parts and special') AS me FROM coded),
+judged AS (SELECT *, CASE WHEN override IS NOT NULL THEN true WHEN unsure AND (o OR me) THEN o ELSE coalesce(code LIKE '1%', false) END AS operator, CASE WHEN override IS NOT NULL THEN true WHEN unsure AND (o OR me) THEN me OR NOT o ELSE coalesce(code <> '10', true) END AS mechanic,
+  coalesce(code, '') AS coverage, CASE WHEN override IS NOT NULL THEN 'override' WHEN code IS NOT NULL THEN 'high' WHEN NOT unsure OR o OR me THEN 'medium' ELSE 'low' END AS confidence FROM said),
+sides AS (SELECT doc_id, vehicle, tm, title, operator, mechanic, coverage, confidence, CASE WHEN operator AND mechanic THEN 'both' WHEN operator THEN 'operator' ELSE 'mechanic' END AS side FROM judged)"""
 D = b.with_(DOCS)
 S = b.with_(DOCS, b.PAGES, FIRST)
 TOK = f"tok AS (SELECT DISTINCT doc_id, page_number, unnest({b.TOKENS}) AS term FROM pages_v)"
@@ -53,12 +54,17 @@ def _(spark, sf):
     return sides(spark, sf)
 
 
+@query("b6_counts", S + " SELECT count(*) AS documents, count(*) FILTER (operator) AS operator, count(*) FILTER (mechanic) AS mechanic, count(*) FILTER (operator AND mechanic) AS both, count(*) FILTER (confidence = 'low') AS uncertain FROM sides".replace("AS both", 'AS "both"'))
+def _(spark, sf):
+    return m.side_counts(sides(spark, sf))
+
+
 @query("b7_of_side", S + " SELECT *, (SELECT count(*) FROM sides WHERE side = 'mechanic' AND lower(tm) LIKE '%2320-1%') AS total FROM sides WHERE side = 'mechanic' AND (lower(tm) LIKE '%2320-1%' OR lower(vehicle) LIKE '%2320-1%') ORDER BY vehicle, tm, doc_id LIMIT 400 OFFSET 5")
 def _(spark, sf):
     return m.of_side(sides(spark, sf), "mechanic", "2320-1", 400, 5)
 
 
-@query("b19_uncertain", S + " SELECT * FROM sides WHERE confidence <> 'high' ORDER BY confidence <> 'low', doc_id LIMIT 200")
+@query("b19_uncertain", S + " SELECT * FROM sides WHERE confidence IN ('low', 'medium') ORDER BY confidence <> 'low', doc_id LIMIT 200")
 def _(spark, sf):
     return m.uncertain(sides(spark, sf))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from lodestone import bindings as b
+from lodestone.functions import codes
 from lodestone.operators import extract as x, facts, partsjoin as pj, search
 
 Q, SQL = {}, {}
@@ -114,10 +115,21 @@ def _(spark, sf):
     return x.steps(pages).select("doc_id", "page", "step", "n_sub", "n_alerts")
 
 
-@query("b5_sides", "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'operator' WHEN 1 THEN 'mechanic' WHEN 2 THEN 'both' WHEN 3 THEN 'operator' ELSE 'mechanic' END AS side FROM part")
+#: Numbers and titles of manuals with what they are.
+MANUALS = (
+    ("TM 9-2320-280-10", "", True, False, "10", "high"), ("TM 9-2320-280-12", "Truck", True, True, "12", "high"), ("TM 11-5820-890-15&P", "", True, True, "15", "high"), ("TM 9-2320-280-20", "", False, True, "20", "high"),
+    ("TM 9-2320-280-23&P", "", False, True, "23", "high"), ("TM 9-2320-280-24P", "", False, True, "24", "high"), ("TM 9-2320-280-34", "operator", False, True, "34", "high"), ("TM 9-2320-280-40", "", False, True, "40", "high"),
+    ("LO 9-2320-280", "", False, True, "LO", "high"), ("", "RPSTL for the truck", False, True, "P", "high"), ("TM 9-2320-280P", "", False, True, "P", "high"), ("", "Operators guide", True, False, "", "medium"), ("", "Unit Maintenance, Operator's part", True, True, "", "medium"),
+    (None, "Repair Parts", False, True, "", "medium"), ("TM 9-2320-280", "Truck", False, True, "", "low"), (None, None, False, True, "", "low"), ("", "manual -14 of the set", True, True, "14", "high"), ("TM 9-2320-280-50", "", False, True, "", "low"),
+)
+_MANUALS = ", ".join("({}, {}, {}, {}, {}, '{}', '{}')".format(i, *("NULL" if x is None else "'" + x.replace("'", "''") + "'" for x in r[:2]), *r[2:4], *r[4:]) for i, r in enumerate(MANUALS))
+
+
+@query("b5_sides", f"WITH known(i, tm, title, operator, mechanic, coverage, confidence) AS (VALUES {_MANUALS}) SELECT p_partkey, operator, mechanic, coverage, confidence FROM part JOIN known ON i = p_partkey % {len(MANUALS)}")
 def _(spark, sf):
-    title = F.expr("concat(p_name, CASE p_partkey % 5 WHEN 0 THEN ' TM 9-2320-10' WHEN 1 THEN ' TM 9-2320-24P' WHEN 2 THEN ' operator and maintenance' WHEN 3 THEN ' operator' ELSE '' END)")
-    return b.read(spark, sf, "part").select("p_partkey", x.side(title).alias("side"))
+    given = F.element_at(F.array(*[F.struct(F.lit(t).cast("string").alias("tm"), F.lit(n).cast("string").alias("title")) for t, n, *_ in MANUALS]), (F.col("p_partkey") % len(MANUALS) + 1).cast("int"))
+    rows = b.read(spark, sf, "part").select("p_partkey", given.alias("m"))
+    return rows.select("p_partkey", codes.tm_side(F.col("m.tm"), F.col("m.title"), F.lit("")).alias("s")).select("p_partkey", "s.operator", "s.mechanic", "s.coverage", "s.confidence")
 
 
 @query("b17_trimmed")

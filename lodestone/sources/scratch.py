@@ -10,14 +10,17 @@ from lodestone.operators.graph import ensure_checkpoint_dir
 
 #: A finished job's shuffle files are deleted at once instead of when the driver next collects garbage.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes of an Arrow batch: what a Python worker and the JVM beside it hold at once follows this, not the number of rows.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 #: Rows of a narrow table up to which it is broadcast; beyond, joins with it exchange both sides.
 SMALL = 200_000
 
 
 def frugal(spark: SparkSession) -> None:
-    """Call before building the DataFrames of a job with several steps."""
+    """Call before building the DataFrames of a job with several steps. Sets both settings for the session."""
     ensure_checkpoint_dir(spark)
     spark.conf.set(CLEANUP, "true")
+    spark.conf.set(BATCH, str(BATCH_BYTES))
 
 
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
