@@ -7,6 +7,7 @@ from pyspark.sql import Window, functions as F
 from lodestone import bindings as b
 from lodestone.functions import codes
 from lodestone.operators import extract as x, facts, partsjoin as pj, search
+from lodestone.plans.text_queries import ASKED, ONE_EDIT, VOCAB, WORDS
 
 Q, SQL = {}, {}
 
@@ -132,7 +133,10 @@ def _(spark, sf):
     return rows.select("p_partkey", codes.tm_side(F.col("m.tm"), F.col("m.title"), F.lit("")).alias("s")).select("p_partkey", "s.operator", "s.mechanic", "s.coverage", "s.confidence")
 
 
-@query("b17_trimmed")
+@query("b17_trimmed", b.with_(b.PAGES) + r""", n AS (SELECT doc_id, count(DISTINCT page_number) AS n_pages FROM pages_v GROUP BY doc_id HAVING count(DISTINCT page_number) >= 5),
+f AS (SELECT doc_id, page_number, body_text, regexp_replace(lower(trim(body_text)), '[0-9]', '#', 'g') AS form FROM pages_v),
+odd AS (SELECT doc_id, form FROM (SELECT doc_id, form, count(DISTINCT page_number) AS k FROM f WHERE form <> '' GROUP BY ALL) JOIN n USING (doc_id) WHERE k >= greatest(2.0, 0.4 * n_pages))
+SELECT doc_id, page_number AS page, body_text FROM f WHERE NOT EXISTS (SELECT 1 FROM odd WHERE odd.doc_id = f.doc_id AND odd.form = f.form)""")
 def _(spark, sf):
     pages = b.pages(spark, sf)
     return x.trimmed(pages.select("doc_id", F.col("page_number").alias("page"), "body_text"), facts.boilerplate(pages))
@@ -228,7 +232,7 @@ def _cited(found, master):
     return master.join(hits, ["niin", "type", "value"], "left").withColumn("cited", F.col("document_id").isNotNull())
 
 
-@query("h6_did_you_mean")
+@query("h6_did_you_mean", f"WITH {WORDS}, {VOCAB}, {ASKED}, a AS (SELECT DISTINCT x || 'x' AS word FROM (SELECT unnest(w) AS x FROM q) WHERE length(x) >= 6) SELECT word, term AS suggestion, row_number() OVER (PARTITION BY word ORDER BY df DESC, term) AS rank FROM a JOIN vocab ON substr(word, 1, 2) = substr(term, 1, 2) WHERE df >= 2 AND abs(length(word) - length(term)) <= 1 AND word <> term AND {ONE_EDIT} QUALIFY rank <= 3")
 def _(spark, sf):
     tok = b.tokens(b.read(spark, sf, "documents"), ["doc_id"], "text")
     vocab = search.vocabulary(tok)
