@@ -89,7 +89,7 @@ def limits(pages: DataFrame) -> DataFrame:
 def spec_tokens(pages: DataFrame) -> DataFrame:
     """Thread sizes, standards and their families."""
     keys = [c for c in pages.columns if c != "body_text"]
-    thread, standard = r"\b(\d/\d{1,2}-\d{2}|M\d{1,2}(?:x\d(?:\.\d+)?)?)\b", rf"\b(({'|'.join(STANDARDS)})[- ]?\d{{2,6}}(?:-\d+)?)\b"
+    thread, standard = r"\b(\d/\d{1,2}-\d{2}|M\d{1,2}(?:x\d(?:\.\d+)?)?)\b", rf"\b(({'|'.join(STANDARDS)})[- ]?\d{{2,}}(?:-\d+)?)\b"
     threads = pages.select(*keys, F.lit("thread").alias("kind"), F.explode(F.regexp_extract_all("body_text", F.lit(thread), F.lit(1))).alias("value"))
     norms = pages.select(*keys, F.lit("standard").alias("kind"), F.explode(F.regexp_extract_all("body_text", F.lit(standard), F.lit(1))).alias("value"))
     found = threads.union(norms).distinct()
