@@ -130,8 +130,8 @@ def service_pages(pages: DataFrame) -> DataFrame:
     return hit.select("doc_id", "page", named.alias("intervals"), F.transform(F.slice(first, 1, 12), lambda v: F.substring(v, 1, 160)).alias("items"), around.alias("snippet"))
 
 
-def standards(pages: DataFrame, cap: int = 60) -> DataFrame:
-    """The different designations of a page, up to `cap`, with family, series, kind and, for common series, the item.
+def standards(pages: DataFrame, cap: int = 60, items: dict[str, str] = SERIES) -> DataFrame:
+    """The different designations of a page, up to `cap`, with family, series, kind and, for the series of `items`, the item.
 
     A revision letter after a common series names the same item; another digit doesn't."""
     families = "|".join(sorted(FAMILIES, key=len, reverse=True))
@@ -141,12 +141,14 @@ def standards(pages: DataFrame, cap: int = 60) -> DataFrame:
     family, number = F.regexp_extract("token", pattern, 1), F.regexp_extract("token", pattern, 2)
     series = F.when(family.isin("MS", "AN", "NAS", "NASM"), F.concat(family, F.regexp_extract(number, "^[^-/]*", 0))).when(family.startswith("MIL") | family.isin("SAE", "ASTM", "AMS"), F.concat_ws("-", family, F.substring_index(number, "/", 1))).otherwise(F.concat(family, number))
     out = found.select("doc_id", "page", "token", family.alias("family"), series.alias("series"))
-    return out.withColumn("kind", x.lookup(FAMILIES, F.col("family"))).withColumn("item", F.coalesce(x.lookup(SERIES, F.col("series")), x.lookup(SERIES, F.regexp_replace("series", "[A-Z]$", ""))))
+    return out.withColumn("kind", x.lookup(FAMILIES, F.col("family"))).withColumn("item", F.coalesce(x.lookup(items, F.col("series")), x.lookup(items, F.regexp_replace("series", "[A-Z]$", ""))))
 
 
-def abbreviations_used(pages: DataFrame, cap: int = 200) -> DataFrame:
-    """Of each document the abbreviations that it explains itself (last explanation wins), with how often it uses them, commonest first."""
-    meant = x.glossary(pages).groupBy("doc_id", "abbreviation").agg(F.max_by("meaning", F.struct("page", "line_no")).alias("meaning"))
+def abbreviations_used(pages: DataFrame, cap: int = 200, glossaries: DataFrame | None = None) -> DataFrame:
+    """Of each document the abbreviations that it explains itself (last explanation wins), with how often it uses them, commonest first.
+
+    glossaries: the pages that explain, where not every page is taken to; a sentence that begins like an explanation is none then."""
+    meant = x.glossary(pages if glossaries is None else glossaries).groupBy("doc_id", "abbreviation").agg(F.max_by("meaning", F.struct("page", "line_no")).alias("meaning"))
     used = pages.select("doc_id", F.explode(F.regexp_extract_all("body_text", F.lit(r"\b([A-Z][A-Z0-9]{1,7})\b"), F.lit(1))).alias("abbreviation")).groupBy("doc_id", "abbreviation").agg(F.count(F.lit(1)).alias("n"))
     ranked = meant.join(used, ["doc_id", "abbreviation"]).withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "abbreviation")))
     return ranked.where(F.col("rank") <= cap)
