@@ -65,14 +65,15 @@ def gated(facts: DataFrame) -> DataFrame:
     return facts.withColumns({"status": codes.value_gate(F.col("type"), F.col("value"), given), "reason": codes.gate_reason(F.col("type"), F.col("value"), given)})
 
 
-def consolidate(facts: DataFrame, subject: str = "niin", external: DataFrame | None = None) -> DataFrame:
+def consolidate(facts: DataFrame, subject: str = "niin", external: DataFrame | None = None, once_a_page: bool = True) -> DataFrame:
     """One row a subject, type, unit and origin: median, or where nothing is a number the commonest text (`given`, the first of equals),
-    with low, high and count. A value counts once for each document and page of the corpus; external rows, each for itself, only where the
-    corpus has nothing of the type.
+    with low, high and count. A value counts once for each document and page of the corpus (without `once_a_page`: as often as it is stated);
+    external rows, each for itself, only where the corpus has nothing of the type.
 
     facts: subject, type, unit, document_id, page, value and, where there are texts, given."""
     text = lambda df: F.col("given") if "given" in df.columns else F.lit(None).cast("string")
-    once = facts.select(subject, "type", "unit", "document_id", "page", "value", text(facts).alias("given")).distinct().withColumn("origin", F.lit("corpus"))
+    once = facts.select(subject, "type", "unit", "document_id", "page", "value", text(facts).alias("given"))
+    once = (once.distinct() if once_a_page else once).withColumn("origin", F.lit("corpus"))
     if external is not None:
         once = once.unionByName(external.select(subject, "type", "unit", "value", text(external).alias("given"), F.lit("external").alias("origin")), allowMissingColumns=True)
     group = [subject, "type", "unit", "origin"]
