@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+import math
+
 from pyspark.sql import DataFrame, Window, functions as F
 
+from lodestone.sources.scratch import frugal, materialize
+
 
 def locate(parts: DataFrame, queries: DataFrame) -> DataFrame:
     """Appearances of each query's part, by stock number or part number; the first of each (document, page, fig_no).
@@ -90,15 +95,44 @@ def on_page(parts: DataFrame) -> DataFrame:
     return parts.select("document_id", "page", "nsn", "part_number", "name").distinct().withColumn("place", F.row_number().over(order))
 
 
-def nearest(points: DataFrame, lines: DataFrame, reach: float = 60.0) -> DataFrame:
-    """For each point of a page the nearest line end within reach. Both sides meet in grid cells of that size."""
-    cell = lambda c: F.floor(F.col(c) / reach).cast("int")
+def _beside(lines: DataFrame, side: float, cells: DataFrame | None) -> DataFrame:
+    """page, cx, cy and `ends`, the lines of a cell and of the eight around it, of `cells` where they are named."""
     step = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    near = lines.select("page", "line_id", "lx", "ly", cell("lx").alias("cx"), F.explode(step).alias("dx")).select("*", cell("ly").alias("cy"), F.explode(step).alias("dy"))
-    near = near.select("page", "line_id", "lx", "ly", (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"))
-    square = (F.col("x") - F.col("lx")) ** 2 + (F.col("y") - F.col("ly")) ** 2
-    met = points.withColumn("cx", cell("x")).withColumn("cy", cell("y")).join(near, ["page", "cx", "cy"]).withColumn("d2", square).where(F.col("d2") < reach * reach)
-    return met.groupBy("page", "point_id").agg(F.min(F.struct("d2", "line_id")).alias("b")).select("page", "point_id", "b.line_id", F.round(F.sqrt("b.d2"), 6).alias("distance"))
+    cell = lambda c: F.floor(F.col(c) / side)
+    near = lines.select("page", "line_id", "lx", "ly", cell("lx").alias("x_"), cell("ly").alias("y_"), F.explode(step).alias("dx")).select("*", F.explode(step).alias("dy"))
+    near = near.select("page", (F.col("x_") + F.col("dx")).alias("cx"), (F.col("y_") + F.col("dy")).alias("cy"), F.struct("lx", "ly", "line_id").alias("end"))
+    if cells is not None:
+        near = near.join(cells, ["page", "cx", "cy"], "left_semi")
+    return near.groupBy("page", "cx", "cy").agg(F.collect_list("end").alias("ends"))
+
+
+def nearest(points: DataFrame, lines: DataFrame, reach: float = 60.0) -> DataFrame:
+    """For each point of a page the nearest line end within reach.
+
+    Line ends of one place are one. The first cells are as small as the ends are crowded, about one end a cell; a point whose nearest end
+    among nine cells is no farther than a cell's side has it for good, and only the others go on to cells twice as large, up to the reach."""
+    spark = points.sparkSession
+    frugal(spark)
+    known = materialize(lines.where("lx IS NOT NULL AND ly IS NOT NULL").groupBy("page", "lx", "ly").agg(F.min("line_id").alias("line_id")), "lines")
+    crowds = known.groupBy("page", F.floor(F.col("lx") / reach).alias("cx"), F.floor(F.col("ly") / reach).alias("cy")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    crowd = crowds.agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()[0] or 1.0
+    found, left = [], points.select("page", "point_id", "x", "y")
+    for halvings in range(math.ceil(math.log(crowd, 4)), -1, -1):
+        side = reach / 2**halvings
+        asked = left.withColumn("cx", F.floor(F.col("x") / side)).withColumn("cy", F.floor(F.col("y") / side))
+        cells = asked.select("page", "cx", "cy").distinct() if found else None
+        square = lambda e: (F.col("x") - e["lx"]) ** 2 + (F.col("y") - e["ly"]) ** 2
+        met = asked.join(_beside(known, side, cells).hint("merge"), ["page", "cx", "cy"], "left")
+        seen = met.select("page", "point_id", "x", "y", F.array_min(F.transform("ends", lambda e: F.struct(square(e).alias("d2"), e["line_id"].alias("line_id")))).alias("b"))
+        # a cell's side is rounded: what is at its very edge is settled by the next cells
+        sure = F.col("b.d2") < (reach * reach if halvings == 0 else side * side * (1 - 1e-9))
+        seen = materialize(seen.withColumn("sure", F.coalesce(sure, F.lit(False))), "nearest")
+        found.append(seen.where("sure").select("page", "point_id", "b"))
+        left = seen.where("NOT sure").select("page", "point_id", "x", "y")
+        if left.isEmpty():
+            break
+    best = functools.reduce(DataFrame.union, found).groupBy("page", "point_id").agg(F.min("b").alias("b"))
+    return best.select("page", "point_id", "b.line_id", F.round(F.sqrt("b.d2"), 6).alias("distance"))
 
 
 def in_sections(pages: DataFrame, sections: DataFrame) -> DataFrame:
