@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lodestone.operators.graph import connected_components
-from lodestone.sources.scratch import materialize
+from lodestone.sources.scratch import frugal, materialize
 
 SNAP = 0.007
 #: Side of the cells that wires are looked up in.
@@ -35,20 +35,28 @@ def _wires(segments: DataFrame) -> DataFrame:
 def nodes_of(wires: DataFrame, snap: float = SNAP) -> DataFrame:
     """page, x, y of each end, with the node (page, nx, ny) that it belongs to."""
     ends = wires.select("page", F.explode(F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))).alias("p")).select("page", "p.x", "p.y").distinct()
-    # ends of one cell are near each other, whatever they are: a star stands for their pairs
+    # ends of one cell are near each other, whatever they are: a star stands for their pairs, and ends alone in a cell need none
     side = snap / 2**0.5
-    placed = ends.select("page", "x", "y", F.floor(F.col("x") / side).alias("cx"), F.floor(F.col("y") / side).alias("cy"), _key(F.col("page"), F.col("x"), F.col("y")).alias("k"))
-    stars = placed.join(placed.groupBy("page", "cx", "cy").agg(F.min("k").alias("first")), ["page", "cx", "cy"]).select(F.col("k").alias("a"), F.col("first").alias("b"))
-    # ends of other cells: half of the neighbours, as a pair needs to meet once
+    placed = ends.select("page", "x", "y", F.floor(F.col("x") / side).alias("cx"), F.floor(F.col("y") / side).alias("cy"))
+    first = placed.groupBy("page", "cx", "cy").agg(F.min(F.struct("x", "y")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("page", "cx", "cy", F.col("f.x").alias("ox"), F.col("f.y").alias("oy"))
+    stars = placed.join(first, ["page", "cx", "cy"]).select("page", "x", "y", "ox", "oy")
+    # ends of other cells: half of the neighbours, as a pair needs to meet once, and of these the ones that are near enough
     near = [(dx, dy) for dx in range(-2, 3) for dy in range(-2, 3) if (dx, dy) > (0, 0)]
     moves = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in near]))
-    asking = placed.select("page", F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("k").alias("a"), "cx", "cy", moves.alias("m")).select("page", "ax", "ay", "a", (F.col("cx") + F.col("m.dx")).alias("cx"), (F.col("cy") + F.col("m.dy")).alias("cy"))
-    apart = (F.col("ax") - F.col("x")) ** 2 + (F.col("ay") - F.col("y")) ** 2
-    pairs = asking.join(placed, ["page", "cx", "cy"]).where(apart <= snap * snap).select("a", F.col("k").alias("b"))
-    found = connected_components(stars.union(pairs))
-    named = placed.select("page", "x", "y", "k").join(found, F.col("k") == F.col("node"))
-    first = named.groupBy("component").agg(F.min(F.struct("x", "y")).alias("n"))
-    return named.join(first, "component").select("page", "x", "y", F.col("n.x").alias("nx"), F.col("n.y").alias("ny"))
+    asking = placed.select("page", F.col("x").alias("ox"), F.col("y").alias("oy"), "cx", "cy", moves.alias("m")).select("page", "ox", "oy", (F.col("cx") + F.col("m.dx")).alias("cx"), (F.col("cy") + F.col("m.dy")).alias("cy"))
+    gap = lambda o, c: F.greatest(F.lit(0.0), F.col(c) * side - F.col(o), F.col(o) - (F.col(c) + 1) * side)
+    asking = asking.where(gap("ox", "cx") ** 2 + gap("oy", "cy") ** 2 <= snap * snap * (1 + 1e-6))
+    apart = (F.col("ox") - F.col("x")) ** 2 + (F.col("oy") - F.col("y")) ** 2
+    pairs = asking.join(placed, ["page", "cx", "cy"]).where(apart <= snap * snap).select("page", "x", "y", "ox", "oy")
+    met = materialize(stars.union(pairs), "near")
+    key = lambda x, y: _key(F.col("page"), F.col(x), F.col(y))
+    found = connected_components(met.select(key("x", "y").alias("a"), key("ox", "oy").alias("b")))
+    # only ends with another one near are named anew; any other is its own node
+    linked = met.select("page", "x", "y").union(met.select("page", "ox", "oy")).distinct()
+    named = linked.withColumn("node", key("x", "y")).join(found, "node")
+    least = named.groupBy("component").agg(F.min(F.struct("x", "y")).alias("n"))
+    moved = named.join(least, "component").select("page", "x", "y", "n")
+    return ends.join(moved, ["page", "x", "y"], "left").select("page", "x", "y", F.coalesce("n.x", "x").alias("nx"), F.coalesce("n.y", "y").alias("ny"))
 
 
 def _cells(x: Column | str, y: Column | str) -> tuple[Column, Column]:
@@ -95,6 +103,7 @@ def netlist(segments: DataFrame, labels: DataFrame | None = None, snap: float =
     nets: page, net, n_nodes, n_edges. pages: n_segments, n_nodes, n_edges, n_nets, n_junctions (nodes of three wires or more),
     n_labels and a confidence: half for wires that go on at both ends, the rest for junctions and labels, eight of each being
     enough, and for a sane number of nets, rounded to `digits`. Pages without a wire aren't returned."""
+    frugal(segments.sparkSession)
     wires = materialize(_wires(segments), "segments")
     nodes = materialize(nodes_of(wires, snap), "nodes")
     edges = materialize(edges_of(wires, nodes, snap), "edges")
