@@ -18,6 +18,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from lodestone.operators.graph import ensure_checkpoint_dir
+from lodestone.sources.scratch import SMALL, materialize
 
 K1, B = 1.2, 0.75
 #: Buckets of the tables, and parts that a term's postings are dealt over.
@@ -69,6 +70,21 @@ def build(tokens: DataFrame, key: list[str] | None = None, buckets: int = BUCKET
     return Postings(key, kept, spark.read.parquet(f"{folder}/terms"), name, folder)
 
 
+def build_texts(docs: DataFrame, key: list[str] | None = None, text: str = "text", buckets: int = BUCKETS) -> Postings:
+    """As build(), from whole texts, for searches that need no places (`pos` is null): words are counted in their row, and the postings
+    are exchanged once, into their buckets. A row is a document."""
+    from lodestone.operators.scan import counted  # it uses parsed() of this module
+
+    spark, key, name = docs.sparkSession, key or ["doc_id"], uuid.uuid4().hex
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/index-{name}"
+    run = counted(docs, key, text).select(*key, "len", F.inline_outer("c")).withColumn("part", F.pmod(F.xxhash64(*key), F.lit(PARTS)).cast("int"))
+    _write(run.withColumn("pos", F.lit(None).cast("array<int>")), key, name, folder, buckets, "overwrite")
+    kept = spark.table(f"postings_{name}")
+    _write_terms(spark, kept, key, name, folder, "overwrite")
+    return Postings(key, kept, spark.read.parquet(f"{folder}/terms"), name, folder)
+
+
 def append(index: Postings, tokens: DataFrame) -> Postings:
     """The index with the pages of tokens as a further run. Pages that it holds already are left out."""
     spark = tokens.sparkSession
@@ -95,6 +111,14 @@ def kept(spark: SparkSession, name: tuple, make) -> Postings:
     return _kept[at]
 
 
+def kept_texts(spark: SparkSession, name: tuple, docs) -> Postings:
+    """As kept(), from the whole texts that docs() gives, without places."""
+    at = (spark.sparkContext.applicationId, "texts", *name)
+    if at not in _kept:
+        _kept[at] = build_texts(docs())
+    return _kept[at]
+
+
 def _asked(index: Postings, queries: DataFrame) -> DataFrame:
     """queries with `part`, a row for each part of the postings: what is exchanged is the queries."""
     return queries.withColumn("part", F.explode(F.array(*[F.lit(i) for i in range(PARTS)])))
@@ -180,11 +204,16 @@ def with_prefixes(index: Postings, prefixes: DataFrame) -> DataFrame:
     return asked.join(cut, "prefix").select("prefix", "term", "df", "tf")
 
 
-def prefix_table(words: DataFrame, top: int = 8, longest: int = 12) -> DataFrame:
-    """prefix, word, kind, freq, rank: the commonest words of each prefix of two letters to `longest`, rolled up once for all prefixes.
+def prefix_table(words: DataFrame, top: int = 8, longest: int = 12, asked: DataFrame | None = None) -> DataFrame:
+    """prefix, word, kind, freq, rank: the commonest words of each prefix of two letters to `longest`, rolled up once for all prefixes,
+    or for those that begin a prefix of `asked`.
 
     words: word, kind, freq. Each prefix keeps `top` of a kind; window limits are applied before the exchange."""
     cut = words.where(F.length("word") >= 2).select("word", "kind", "freq", F.explode(F.sequence(F.lit(2), F.least(F.length("word"), F.lit(longest)))).alias("k")).withColumn("prefix", F.lower(F.expr("left(word, k)")))
+    if asked is not None:
+        known = materialize(asked.select(F.lower(F.left("prefix", F.lit(longest))).alias("prefix")).distinct(), "prefixes")
+        # a prefix of other words goes no further than where its word lies, while those asked are few
+        cut = cut.join(F.broadcast(known) if known.count() <= SMALL else known, "prefix", "left_semi")
     order = Window.partitionBy("prefix", "kind").orderBy(F.desc("freq"), "word")
     return cut.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("prefix", "word", "kind", "freq", "rank")
 

@@ -55,3 +55,32 @@ def exchanged(spark, df):
 def test_words_stay_where_they_lie(spark, sf, name):
     texts = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert exchanged(spark, lambda: registry.QUERIES[name](spark, sf)) < sum(len(cut(t)) for t in texts) / 2
+
+
+def test_match_as_the_index(spark):
+    from lodestone import bindings as b
+    from lodestone.operators import postings
+
+    asked = spark.createDataFrame([(1, "cat do"), (2, '"the dog" an'), (3, "the-cat dog"), (4, '"the the" the-dog ca'), (5, "zebra"), (6, '"and the"'), (7, "nowhere-cat")], "qid long, text string")
+    index = postings.build(b.tokens(docs(spark), ["doc_id"], "text"), buckets=2)
+    for any_ in (False, True):
+        assert pairs(scan.match(docs(spark), asked, any_)) == pairs(postings.match(index, asked, any_=any_)) != []
+
+
+def test_texts_give_the_same_postings(spark):
+    from lodestone import bindings as b
+    from lodestone.operators import postings
+
+    each = lambda index: sorted(map(tuple, index.postings.select("term", "doc_id", "tf", "len").collect()))
+    texts, tokens = postings.build_texts(docs(spark), buckets=2), postings.build(b.tokens(docs(spark), ["doc_id"], "text"), buckets=2)
+    assert each(texts) == each(tokens) and sorted(map(tuple, texts.terms.collect())) == sorted(map(tuple, tokens.terms.collect()))
+
+
+def test_prefixes_that_nobody_asks_stay_out(spark):
+    from lodestone.operators import postings
+
+    words = spark.createDataFrame([("Cattle", "term", 3), ("cat", "term", 5), ("dog", "part", 1)], "word string, kind string, freq long")
+    asked = spark.createDataFrame([("CAT",), ("do",), ("cattle ranch",)], "prefix string")
+    some, every = postings.prefix_table(words, longest=6, asked=asked), postings.prefix_table(words, longest=6)
+    assert {r["prefix"] for r in some.collect()} == {"cat", "do", "cattle"} and every.count() > some.count()
+    assert sorted(map(tuple, postings.suggest(some, asked, longest=6).collect())) == sorted(map(tuple, postings.suggest(every, asked, longest=6).collect()))
