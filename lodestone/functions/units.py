@@ -109,7 +109,8 @@ def _keys(name: str) -> set[str]:
 PATTERN = "|".join(_pattern(n) for n in sorted({n for u in UNITS for n in u.names}, key=lambda n: (-len(n), n)))
 NUMBER = r"[+\-]?(?:\d+(?:,\d{3})*(?:\.\d+)?|\.\d+)"
 AMOUNT = rf"({NUMBER})\s*(?:(?:-|–|to|through)\s*({NUMBER})\s*)?(?:(?:±|\+/-|plus or minus)\s*({NUMBER})\s*)?"
-MEASURE = rf"(?i)(?<![\w.]){AMOUNT}({PATTERN})"
+#: What a number begins with is looked for before anything else.
+MEASURE = rf"(?i)(?=[+\-.\d])(?<![\w.]){AMOUNT}({PATTERN})"
 KEYS = {k: u for u in UNITS for n in u.names for k in _keys(n)}
 
 
