@@ -64,10 +64,15 @@ def triples(parts: DataFrame, documents: DataFrame) -> DataFrame:
     return part.union(fig).union(doc)
 
 
+def stated_edges(found: DataFrame) -> DataFrame:
+    """Edges with node keys type|label, as often as they are stated."""
+    key = lambda t, c: F.concat_ws("|", t, F.lower(c))
+    return found.select(key("src_type", "src").alias("src"), "rel", key("dst_type", "dst").alias("dst"))
+
+
 def graph_edges(found: DataFrame) -> DataFrame:
     """Distinct edges with node keys type|label."""
-    key = lambda t, c: F.concat_ws("|", t, F.lower(c))
-    return found.select(key("src_type", "src").alias("src"), "rel", key("dst_type", "dst").alias("dst")).distinct()
+    return stated_edges(found).distinct()
 
 
 def graph_statistics(edges: DataFrame) -> DataFrame:
@@ -78,24 +83,33 @@ def graph_statistics(edges: DataFrame) -> DataFrame:
 
 
 def neighbours(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges out of and into the asked nodes. `nodes`: node."""
-    out = edges.join(nodes, F.col("src") == F.col("node")).select("node", "rel", F.col("dst").alias("other"), F.lit("out").alias("way"))
-    back = edges.join(nodes, F.col("dst") == F.col("node")).select("node", "rel", F.col("src").alias("other"), F.lit("in").alias("way"))
-    return out.union(back).distinct()
+    """Edges out of and into the asked nodes, each once; edges may be stated often, and are read once. `nodes`: node."""
+    from lodestone.sources.scratch import small  # it uses ensure_checkpoint_dir of this module
+
+    ends = F.array(F.struct(F.col("src").alias("end"), F.col("dst").alias("other"), F.lit("out").alias("way")), F.struct(F.col("dst").alias("end"), F.col("src").alias("other"), F.lit("in").alias("way")))
+    met = edges.select("rel", F.inline(ends)).join(small(nodes.select("node").distinct(), "nodes"), F.col("end") == F.col("node"))
+    return met.select("node", "rel", "other", "way").distinct()
 
 
 def find_nodes(nodes: DataFrame, asked: DataFrame, most: int = 20) -> DataFrame:
     """Q, node, how: the nodes that a question names: those of that label (exact), else those whose label begins with it (prefix), else
-    those that have it inside (substring); the first `most` by label and node. nodes: node, label; asked: q."""
-    from lodestone.operators.postings import containing, gram_table  # it uses ensure_checkpoint_dir of this module
+    those that have it inside (substring); the first `most` by label and node. nodes: node, label, as often as they are stated; asked: q.
+
+    A label meets the questions that begin with one of its pieces of three characters, in its row; only nodes that hold a question are exchanged."""
+    from lodestone.sources.scratch import small  # it uses ensure_checkpoint_dir of this module
 
-    known = nodes.select("node", F.lower("label").alias("name"))
-    met = containing(gram_table(known.select("name")), asked)
+    want = small(asked.select(F.lower("q").alias("q")).where("q <> ''").distinct().withColumn("piece", F.substring("q", 1, 3)), "asked")
+    sizes = sorted(r[0] for r in want.select(F.length("piece")).distinct().collect())  # of 1, 2 and 3
+    if not sizes:
+        return nodes.select(F.lit("").alias("q"), "node", F.lit("").alias("how")).limit(0)
+    known = nodes.select("node", F.lower("label").alias("name")).select("node", "name", F.explode(F.array(*map(F.lit, sizes))).alias("size"))
+    known = known.select("node", "name", "size", F.explode(F.expr("sequence(1, greatest(length(name) - size + 1, 1))")).alias("at")).select("node", "name", F.expr("substr(name, at, size)").alias("piece"))
     how = F.when(F.col("name") == F.col("q"), 1).when(F.startswith("name", "q"), 2).otherwise(3)
-    best = met.select("q", "name", how.alias("how"))
-    best = best.join(best.groupBy("q").agg(F.min("how").alias("how")), ["q", "how"])
-    ranked = best.join(known, "name").withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("name", "node"))).where(F.col("rank") <= most)
-    return ranked.select("q", "node", F.element_at(F.array(*map(F.lit, ("exact", "prefix", "substring"))), F.col("how")).alias("how"))
+    met = known.join(want, "piece").where(F.contains("name", "q")).select("q", "name", "node", how.alias("how")).distinct()
+    order = Window.partitionBy("q")
+    ranked = met.withColumn("rank", F.row_number().over(order.orderBy("how", "name", "node"))).where(F.col("rank") <= most)
+    best = ranked.withColumn("best", F.min("how").over(order)).where("how = best")
+    return best.select("q", "node", F.element_at(F.array(*map(F.lit, ("exact", "prefix", "substring"))), F.col("how")).alias("how"))
 
 
 def nets(pins: DataFrame) -> DataFrame:

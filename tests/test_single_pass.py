@@ -33,3 +33,18 @@ def test_measurements_with_one_and_with_several_on_a_page(spark):
 def test_long_numbers_are_garbled(spark):
     rows = spark.createDataFrame([(9_999_999.0, "length"), (10_000_000.0, "length"), (3.0, "other")], "value double, type string")
     assert [r["reason"] for r in facts.gated(rows).select("value", F.col("reason")).orderBy("value").collect()][2] == "garbled"
+
+
+def test_nodes_and_neighbours_of_edges_stated_often(spark):
+    from lodestone.operators import graph
+
+    rows = [("part|5300-00-100", "used on", "vehicle|chad"), ("part|5300-00-200", "used on", "vehicle|chad"), ("part|x", "used on", "vehicle|chadian"), ("part|x", "in", "part|x")]
+    edges = spark.createDataFrame(rows * 3, "src string, rel string, dst string")
+    nodes = edges.selectExpr("explode(array(src, dst)) AS node").selectExpr("node", "split_part(node, '|', 2) AS label")
+    asked = spark.createDataFrame([("Chad",), ("cha",), ("had",), ("00-1",), ("x",), ("00",), ("nobody",), ("",), (None,)], "q string")
+    got = {tuple(r) for r in graph.find_nodes(nodes, asked, 2).collect()}
+    assert got == {("chad", "vehicle|chad", "exact"), ("cha", "vehicle|chad", "prefix"), ("cha", "vehicle|chadian", "prefix"), ("had", "vehicle|chad", "substring"), ("had", "vehicle|chadian", "substring"), ("00-1", "part|5300-00-100", "substring"), ("x", "part|x", "exact"), ("00", "part|5300-00-100", "substring"), ("00", "part|5300-00-200", "substring")}
+    assert graph.find_nodes(nodes, asked.limit(0)).collect() == []
+    met = graph.neighbours(edges, nodes.where("label = 'x'"))
+    assert sorted(map(tuple, met.collect())) == [("part|x", "in", "part|x", "in"), ("part|x", "in", "part|x", "out"), ("part|x", "used on", "vehicle|chadian", "out")]
+    assert met._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= 1
