@@ -121,11 +121,18 @@ def roles(c: Column) -> Column:
 
 
 def steps(pages: DataFrame) -> DataFrame:
-    """Numbered steps with their sub-steps, warnings and what they refer to."""
-    found = lines(pages).select("doc_id", "page", "line_no", "line", _get(r"^\s*(\d{1,2})\.\s+\S", 1).cast("int").alias("step"), F.col("line").rlike(r"^\s*(?:\([a-z]\)|[a-z]\.)\s").alias("sub"), F.col("line").rlike(r"\b(WARNING|CAUTION)\b").alias("alert"))
-    run = carry(found, "step").where("step IS NOT NULL")
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: F.trim(x["line"])), " ")
-    per = run.groupBy("doc_id", "page", "step").agg(whole.alias("text"), F.count_if("sub").alias("n_sub"), F.count_if("alert").alias("n_alerts"))
+    """Numbered steps with their sub-steps, warnings and what they refer to. A page is a row, and its lines stay in it: a step is the slices
+    of lines that its number begins, so that no line is exchanged or sorted."""
+    step = lambda df, name, value: df.select("doc_id", "page", *[c for c in df.columns if c == "line"], F.explode(F.array(value)).alias(name))  # noqa: E731 (explode of one value: it is computed once)
+    cut = step(pages.where("body_text IS NOT NULL"), "line", F.split("body_text", "\n"))
+    number = lambda x: F.nullif(F.regexp_extract(x, r"^\s*(\d{1,2})\.\s+\S", 1), F.lit("")).cast("int")
+    begun = step(cut, "begun", F.filter(F.transform("line", lambda x, i: F.struct(number(x).alias("step"), (i + 1).alias("at"))), lambda x: x["step"].isNotNull()))
+    ends = F.transform("begun", lambda x, i: F.struct(x["step"].alias("step"), F.slice("line", x["at"], F.coalesce(F.get(F.col("begun"), i + 1)["at"], F.size("line") + 1) - x["at"]).alias("lines")))
+    parts = step(begun, "parts", ends).drop("line")
+    each = parts.select("doc_id", "page", "parts", F.explode(F.array_distinct(F.transform("parts", lambda x: x["step"]))).alias("step"))
+    own = each.select("doc_id", "page", "step", F.flatten(F.transform(F.filter("parts", lambda x: x["step"] == F.col("step")), lambda x: x["lines"])).alias("lines"))
+    n = lambda p: F.size(F.filter("lines", lambda x: x.rlike(p))).cast("long")
+    per = own.select("doc_id", "page", "step", F.array_join(F.transform("lines", lambda x: F.trim(x)), " ").alias("text"), n(r"^\s*(?:\([a-z]\)|[a-z]\.)\s").alias("n_sub"), n(r"\b(WARNING|CAUTION)\b").alias("n_alerts"))
     refs = F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\d{4}-\d{2}-\d{3}-\d{4}"), F.lit(0))))
     return per.withColumn("nsns", refs).withColumn("figures", F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?i)\bfig(?:ure)?\.?\s*(\d+)"), F.lit(1))))
 

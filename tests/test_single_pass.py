@@ -48,3 +48,28 @@ def test_nodes_and_neighbours_of_edges_stated_often(spark):
     met = graph.neighbours(edges, nodes.where("label = 'x'"))
     assert sorted(map(tuple, met.collect())) == [("part|x", "in", "part|x", "in"), ("part|x", "in", "part|x", "out"), ("part|x", "used on", "vehicle|chadian", "out")]
     assert met._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= 1
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_steps_stay_in_their_page(spark):
+    from lodestone.operators import extract as x
+
+    rows = [(1, 1, "intro\n 1. Remove it, fig. 7. \n(a) lift\n2. Next\nWARNING: hot\n1. Again 5305-00-123-4567\nb. turn"), (2, 1, None), (3, 1, "no step")]
+    got = x.steps(spark.createDataFrame(rows, "doc_id int, page int, body_text string"))
+    assert {(r["doc_id"], r["step"]): tuple(r)[3:] for r in got.collect()} == {
+        (1, 1): ("1. Remove it, fig. 7. (a) lift 1. Again 5305-00-123-4567 b. turn", 2, 0, ["5305-00-123-4567"], ["7"]), (1, 2): ("2. Next WARNING: hot", 0, 1, [], [])}
+    assert not any(w in plan(got) for w in ("Exchange", "Sort", "Window"))
+
+
+def test_procedures_stay_in_their_page(spark):
+    from lodestone.operators import tasks as t
+
+    text = "x\nREMOVAL\nSpecial tools\nWrench\n" + "\n".join(f"tool {i}" for i in range(30)) + "\n\nMaterials/Parts\nGrease\nNOTE\nSee TM 9-1 and TM 9-2320-10\n" + "\n".join(f"{i}. Loosen bolt {i}" for i in range(50))
+    got = t.procedures(spark.createDataFrame([(1, 1, text), (2, 1, None), (3, 1, "nothing")], "doc_id int, page int, body_text string"))
+    one = got.collect()
+    assert len(one) == 1 and (one[0]["kind"], one[0]["title"], len(one[0]["steps"]), len(one[0]["tools"])) == ("Removal", "REMOVAL", 40, 25)
+    assert (one[0]["tools"][:2], one[0]["materials"], one[0]["references"], one[0]["cautions"]) == (["Wrench", "tool 0"], ["Grease"], ["TM 9-1", "TM 9-2320-10"], ["NOTE: See TM 9-1 and TM 9-2320-10"])
+    assert not any(w in plan(got) for w in ("Exchange", "Sort", "Window"))
