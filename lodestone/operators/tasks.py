@@ -88,32 +88,49 @@ def vendor_status(confidence: DataFrame) -> DataFrame:
 
 
 def procedures(pages: DataFrame) -> DataFrame:
-    """Kind, title, steps, tools, materials, references and cautions of each page that has steps or tools.
-
-    A list runs from its header to a blank line or the start of another section."""
-    up, bare = F.upper(F.trim("line")), F.trim("line")
-    head, start_tools, start_materials = (F.length(bare) <= 24) & up.rlike(HEADING), up.rlike(TOOLS), up.rlike(MATERIALS)
-    marked = x.lines(pages).select(
-        "doc_id", "page", "line_no", bare.alias("line"), head.alias("head"), (start_tools | start_materials).alias("header"),
-        F.when(start_tools, True).when(start_materials | (bare == "") | up.rlike(AFTER_TOOLS), False).alias("in_tools"),
-        F.when(start_tools, False).when(start_materials, True).when((bare == "") | up.rlike(AFTER_MATERIALS), False).alias("in_materials"),
-    )
-    down = Window.partitionBy("doc_id", "page").orderBy("line_no")
-    run = x.carry(x.carry(marked, "in_tools"), "in_materials").withColumn("next", F.lead("line").over(down))
-    body = ~F.col("header") & (F.length("line") > 2)
-    alert, step = F.regexp_extract(F.upper("line"), r"^(WARNING|CAUTION|NOTE|DANGER)\b", 1), F.regexp_extract("line", r"^\d{1,3}[.)]\s+(.{5,})", 1)
-    said = F.when(F.col("line").contains(":"), F.trim(F.regexp_extract("line", "^[^:]*:(.*)$", 1))).otherwise(F.coalesce("next", F.lit("")))
-    kept = lambda where, what, cap: F.slice(F.transform(F.array_sort(F.collect_list(F.when(where, F.struct("line_no", what.alias("v"))))), lambda r: r["v"]), 1, cap)
-    per = run.groupBy("doc_id", "page").agg(
-        F.min_by("line", F.when(F.col("head"), F.col("line_no"))).alias("title"), kept((step != "") & ~F.col("header"), F.substring(step, 1, 300), 40).alias("steps"),
-        kept(F.coalesce("in_tools", F.lit(False)) & body, F.substring("line", 1, 80), 25).alias("tools"), kept(F.coalesce("in_materials", F.lit(False)) & body, F.substring("line", 1, 80), 20).alias("materials"),
-        F.flatten(kept(F.lit(True), F.regexp_extract_all(F.upper("line"), F.lit(r"\b((?:TM|WP|LO|TB|TC)\s?\d[\dA-Z-]{2,})"), F.lit(1)), 2**30)).alias("refs"), kept(alert != "", F.concat(alert, F.lit(": "), F.substring(said, 1, 160)), 12).alias("cautions"),
-    )
+    """Kind, title, steps, tools, materials, references and cautions of each page that has steps or tools. A page is a row.
+
+    A list runs from its header to a blank line or the start of another section. A page's lines are read in its row, so that none is exchanged or
+    sorted; what is carried from line to line is whether a list is open, and what was found, up to its cap."""
+    step = lambda df, name, value: df.select("doc_id", "page", F.explode(F.array(value)).alias(name))  # noqa: E731 (explode of one value: it is computed once)
+    bare = step(pages.where("body_text IS NOT NULL"), "bare", F.transform(F.split("body_text", "\n"), lambda x: F.trim(x)))
+    seen = step(bare, "seen", F.transform("bare", lambda x, i: F.struct(x.alias("line"), F.upper(x).alias("up"), F.coalesce(F.get(F.col("bare"), i + 1), F.lit("")).alias("next"))))
+
+    def heads(x: Column) -> Column:
+        return F.struct(x.alias("of"), ((F.length(x["line"]) <= 24) & x["up"].rlike(HEADING)).alias("head"), x["up"].rlike(TOOLS).alias("tools"), x["up"].rlike(MATERIALS).alias("materials"))
+
+    def marks(x: Column) -> Column:
+        line, up = x["of"]["line"], x["of"]["up"]
+        header = x["tools"] | x["materials"]
+        alert = F.regexp_extract(up, r"^(WARNING|CAUTION|NOTE|DANGER)\b", 1)
+        said = F.when(line.contains(":"), F.trim(F.regexp_extract(line, "^[^:]*:(.*)$", 1))).otherwise(x["of"]["next"])
+        return F.struct(
+            F.when(x["head"], line).alias("title"), F.when(~header & (F.length(line) > 2), F.substring(line, 1, 80)).alias("item"),
+            F.when(x["tools"], True).when(x["materials"] | (line == "") | up.rlike(AFTER_TOOLS), False).alias("in_tools"),
+            F.when(x["tools"], False).when(x["materials"], True).when((line == "") | up.rlike(AFTER_MATERIALS), False).alias("in_materials"),
+            F.when(~header, F.nullif(F.substring(F.regexp_extract(line, r"^\d{1,3}[.)]\s+(.{5,})", 1), 1, 300), F.lit(""))).alias("step"),
+            F.regexp_extract_all(up, F.lit(r"\b((?:TM|WP|LO|TB|TC)\s?\d[\dA-Z-]{2,})"), F.lit(1)).alias("refs"), F.when(alert != "", F.concat(alert, F.lit(": "), F.substring(said, 1, 160))).alias("caution"),
+        )
+
+    marked = step(step(seen, "heads", F.transform("seen", heads)), "marks", F.transform("heads", marks))
+    none, texts = F.lit(None).cast("string"), F.array().cast("array<string>")
+    start = F.struct(none.alias("title"), F.lit(False).alias("in_tools"), F.lit(False).alias("in_materials"), *[texts.alias(n) for n in ("steps", "tools", "materials", "refs", "cautions")])
+
+    def more(acc: Column, x: Column) -> Column:
+        kept = lambda n, what, cap: F.when(what.isNotNull() & (F.size(acc[n]) < cap), F.concat(acc[n], F.array(what))).otherwise(acc[n]).alias(n)
+        tools, materials = F.coalesce(x["in_tools"], acc["in_tools"]), F.coalesce(x["in_materials"], acc["in_materials"])
+        refs = F.when((F.size(x["refs"]) > 0) & (F.size(acc["refs"]) < 12), F.slice(F.array_distinct(F.concat(acc["refs"], x["refs"])), 1, 12)).otherwise(acc["refs"])
+        return F.struct(
+            F.coalesce(acc["title"], x["title"]).alias("title"), tools.alias("in_tools"), materials.alias("in_materials"), kept("steps", x["step"], 40),
+            kept("tools", F.when(tools, x["item"]), 25), kept("materials", F.when(materials, x["item"]), 20), refs.alias("refs"), kept("cautions", x["caution"], 12),
+        )
+
+    per = step(marked, "r", F.aggregate("marks", start, more)).select("doc_id", "page", "r.*")
     kind = F.lit("Procedure")
     for part, label in reversed(KINDS):
         kind = F.when(F.upper("title").contains(part), label).otherwise(kind)
     found = per.where((F.size("steps") > 0) | (F.size("tools") > 0))
-    return found.select("doc_id", "page", kind.alias("kind"), F.coalesce("title", F.lit("")).alias("title"), "steps", "tools", "materials", F.slice(F.array_distinct("refs"), 1, 12).alias("references"), "cautions")
+    return found.select("doc_id", "page", kind.alias("kind"), F.coalesce("title", F.lit("")).alias("title"), "steps", "tools", "materials", F.col("refs").alias("references"), "cautions")
 
 
 def service_pages(pages: DataFrame) -> DataFrame:
