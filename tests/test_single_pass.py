@@ -73,3 +73,15 @@ def test_procedures_stay_in_their_page(spark):
     assert len(one) == 1 and (one[0]["kind"], one[0]["title"], len(one[0]["steps"]), len(one[0]["tools"])) == ("Removal", "REMOVAL", 40, 25)
     assert (one[0]["tools"][:2], one[0]["materials"], one[0]["references"], one[0]["cautions"]) == (["Wrench", "tool 0"], ["Grease"], ["TM 9-1", "TM 9-2320-10"], ["NOTE: See TM 9-1 and TM 9-2320-10"])
     assert not any(w in plan(got) for w in ("Exchange", "Sort", "Window"))
+
+
+def test_partitions_follow_the_pairs(spark, monkeypatch):
+    from lodestone.operators import partsjoin as pj
+
+    monkeypatch.setattr(pj, "_PAIRS", 1)
+    pairs = spark.createDataFrame([("1", "2"), ("1", "3"), ("2", "3"), ("1", "9")], "a string, b string")
+    traits = spark.createDataFrame([(i, q, r) for i, rs in (("1", "xyz"), ("2", "xyw"), ("3", "xyz")) for q, r in zip("abc", rs)] + [("1", "d", None), ("2", "d", "v")], "niin string, requirement string, reply string")
+    one = lambda *r: spark.createDataFrame(r, "a string, b string")
+    got = pj.interchange(pairs, one(("2", "1"), ("2", "1")), one(("3", "2"), ("1", "2")), traits)
+    assert {tuple(r) for r in got.collect()} == {("1", "2", 67.0, "green"), ("1", "3", 100.0, "amber"), ("2", "3", 67.0, "amber"), ("1", "9", 0.0, "red")}
+    assert "REPARTITION_BY_NUM" in plan(got)
