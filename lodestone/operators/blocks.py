@@ -19,6 +19,8 @@ from lodestone.sources.scratch import materialize
 
 #: Scores that are held at once, queries of a block, and groups of rows for each partition of the input.
 CELLS, BLOCK, GROUPS = 4_000_000, 10_000, 4
+#: Cells of a bit matrix while it is built, queries of its block, and letters up to which words are cut side by side.
+BITS, MANY, SHORT = 64_000_000, 40_000, 32
 
 
 def _first(top: int, order: list[str], once: str | None, covered: bool) -> Callable:
@@ -116,3 +118,111 @@ def bm25(pages: DataFrame, queries: DataFrame, top: int, key: list[str], text: s
     each = post.select(*key, "len", F.inline_outer("c")).join(known, "term").select(*key, F.struct("term", share.alias("weight")).alias("t"))
     rows = each.groupBy(*key).agg(F.collect_list("t").alias("t")).select(*key, F.col("t.term").alias("terms"), F.col("t.weight").alias("weights"))
     return first_of(rows, asked, top, key, key, _parts(pages))
+
+
+def _inside(words: pa.Array, asked: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(word, asked) of every asked term that stands in a word, whole or in part; a pair may come more than once."""
+    size, length = pc.utf8_length(words).to_numpy(zero_copy_only=False), pc.utf8_length(asked).to_numpy(zero_copy_only=False)
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    long = np.flatnonzero(size > SHORT)
+    texts = words.take(pa.array(long)).to_pylist()
+    for k in np.unique(length):
+        mine = np.flatnonzero(length == k)
+        terms = asked.take(pa.array(mine))
+        for i in range(SHORT - int(k) + 1):
+            at = np.flatnonzero((size >= i + k) & (size <= SHORT))
+            if not len(at):
+                break
+            met = pc.index_in(pc.utf8_slice_codeunits(words.take(pa.array(at)), i, i + int(k)), value_set=terms)
+            hit = np.flatnonzero(pc.is_valid(met).to_numpy(zero_copy_only=False))
+            found.append((at[hit], mine[met.take(pa.array(hit)).to_numpy(zero_copy_only=False)]))
+        known = dict(zip(terms.to_pylist(), mine.tolist(), strict=True))
+        for w, text in zip(long.tolist(), texts, strict=True):
+            hit = [known[t] for t in {text[i : i + k] for i in range(len(text) - int(k) + 1)} if t in known]
+            found.append((np.full(len(hit), w), np.array(hit, np.int64)))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _any(labelled: bool, inside: bool) -> Callable:
+    """A group of rows (label, a, b, terms) and a block of queries (qid, label, terms) to qid, label, n, a, b: of each label the
+    number of (a, b) with a term of the query, and the first of them. Only queries of that label are asked if `labelled`.
+
+    A term has a bit for each (a, b), and a query's bits are its terms' together."""
+    cells = BITS
+
+    def run(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        one = lambda c: c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
+        code = lambda c: one(one(c).dictionary_encode().indices).to_numpy(zero_copy_only=False)
+        rows, asked = rows.sort_by([(c, "ascending") for c in ("label", "a", "b")]).combine_chunks(), asked.sort_by("qid").combine_chunks()
+        label, mine = code(rows["label"]), code(asked["qid"])
+        names = one(one(rows["label"]).dictionary_encode().dictionary).to_pylist()
+        edge = np.ones(rows.num_rows, bool)
+        edge[1:] = (np.diff(label) != 0) | (np.diff(code(rows["a"])) != 0) | (np.diff(code(rows["b"])) != 0)
+        column, first = np.cumsum(edge) - 1, np.flatnonzero(edge)
+        flat, parent = pc.list_flatten(one(rows["terms"])), pc.list_parent_indices(one(rows["terms"])).to_numpy()
+        want, by = pc.list_flatten(one(asked["terms"])), pc.list_parent_indices(one(asked["terms"])).to_numpy()
+        vocabulary = pc.unique(want)
+        want = pc.index_in(want, value_set=vocabulary).to_numpy(zero_copy_only=False)
+        words = pc.unique(flat)
+        if inside:
+            w, t = _inside(words, vocabulary)
+        else:
+            met = pc.index_in(words, value_set=vocabulary)
+            w = np.flatnonzero(pc.is_valid(met).to_numpy(zero_copy_only=False))
+            t = met.take(pa.array(w)).to_numpy(zero_copy_only=False)
+        order = np.argsort(w, kind="stable")
+        w, t = w[order], t[order]
+        start = np.searchsorted(w, np.arange(len(words) + 1))
+        word = pc.index_in(flat, value_set=words).to_numpy(zero_copy_only=False)
+        many = start[word + 1] - start[word]
+        ends = np.cumsum(many)
+        has = t[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[word] - ends + many, many)]
+        where = np.repeat(column[parent], many)
+        theirs = np.array(asked["label"].to_pylist(), object)[by] if labelled else None
+        out = []
+        for g, name in enumerate(names):
+            pick = theirs == name if labelled else np.ones(len(by), bool)
+            terms, keys = np.unique(want[pick], return_inverse=True)
+            if not len(terms):
+                continue
+            queries, starts = np.unique(mine[by[pick]], return_index=True)
+            row = np.full(len(vocabulary), -1)
+            row[terms] = np.arange(len(terms))
+            low, high = np.searchsorted(label[first], [g, g + 1])
+            step = max(64, cells // len(terms) // 64 * 64)
+            n, least = np.zeros(len(queries), np.int64), np.full(len(queries), -1)
+            for lo in range(low, high, step):
+                a, z = np.searchsorted(where, [lo, min(lo + step, high)])
+                bits = np.zeros((len(terms), step), bool)
+                known = row[has[a:z]] >= 0
+                bits[row[has[a:z]][known], where[a:z][known] - lo] = True
+                bits = np.packbits(bits, axis=1, bitorder="little").view("<u8")
+                both = np.bitwise_or.reduceat(bits[keys], starts, axis=0)
+                new = np.bitwise_count(both).sum(axis=1, dtype=np.int64)
+                fresh = np.flatnonzero((least < 0) & (new > 0))
+                at = (both[fresh] != 0).argmax(axis=1)
+                last = both[fresh, at]
+                least[fresh] = lo + 64 * at + np.bitwise_count((last & (~last + np.uint64(1))) - np.uint64(1))
+                n += new
+            hit = np.flatnonzero(n)
+            ids = asked["qid"].take(pa.array(np.searchsorted(mine, queries[hit])))
+            found = rows.select(["a", "b"]).take(pa.array(first[least[hit]]))
+            out.append(pa.table([one(ids), pa.array([name] * len(hit), pa.string()), pa.array(n[hit]), one(found["a"]), one(found["b"])], ["qid", "label", "n", "a", "b"]))
+        kinds = [asked.schema.field("qid").type, pa.string(), pa.int64(), rows.schema.field("a").type, rows.schema.field("b").type]
+        return pa.concat_tables([pa.schema(list(zip(("qid", "label", "n", "a", "b"), kinds, strict=True))).empty_table(), *out])
+
+    return run
+
+
+def any_of(rows: DataFrame, queries: DataFrame, labelled: bool = False, inside: bool = False) -> DataFrame:
+    """qid, label, n, a, b: of each query and label how many different (a, b) have a term of the query, and the first of them; none without.
+
+    rows: label, a, b, terms, all of an (a, b) in one group; queries: qid, label, terms, a qid in one row for each label. With `labelled` a
+    query meets the rows of its label, with `inside` a term counts within words. A row is exchanged once for each `MANY` queries; a pair of a row and a query never is."""
+    asked = materialize(queries, "asked")
+    parts, blocks = _parts(rows), max(1, math.ceil(asked.count() / MANY))
+    asked = asked.withColumn("block_", F.pmod(F.xxhash64("qid"), F.lit(blocks))).withColumn("part_", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    dealt = rows.withColumn("part_", F.pmod(F.xxhash64("a", "b"), F.lit(parts)).cast("int")).withColumn("block_", F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")))
+    of = {**dict(rows.dtypes), **dict(queries.select("qid").dtypes)}
+    found = dealt.groupBy("block_", "part_").cogroup(asked.groupBy("block_", "part_")).applyInArrow(_any(labelled, inside), f"qid {of['qid']}, label string, n long, a {of['a']}, b {of['b']}")
+    return found.groupBy("qid", "label").agg(F.sum("n").alias("n"), F.min(F.struct("a", "b")).alias("f")).select("qid", "label", "n", "f.a", "f.b")

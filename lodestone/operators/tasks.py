@@ -10,7 +10,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from lodestone.functions.codes import phrases
-from lodestone.operators import extract as x
+from lodestone.operators import blocks, extract as x
 
 # Words in the headings of an operator's and of a mechanic's part of a manual.
 OPERATOR = phrases(("operator", "operating", "operation", "operators instructions", "operators pmcs", "operators controls", "controls and indicators"))
@@ -50,22 +50,23 @@ def heading_side(body: Column) -> Column:
     return F.when(op & me, "both").when(op, "operator").when(me, "mechanic")
 
 
-def status_suggestion(faults: DataFrame, tokens: DataFrame, history: DataFrame) -> DataFrame:
+def status_suggestion(faults: DataFrame, pages: DataFrame, history: DataFrame) -> DataFrame:
     """NMCS where a page of the vehicle says 'mission capable' and has a term of the fault, else the commonest status of past faults with one.
 
-    faults: fault_id, vehicle, text; tokens: doc_id, page, vehicle, pos, term; history: session, status, text. Terms are a fault's first six
-    words of four characters or more; in past faults they count inside words too, found by their first four characters. Ties go to the first status by name."""
+    faults: fault_id, vehicle, text; pages: doc_id, page, vehicle, body_text; history: session, status, text. Terms are a fault's first six
+    words of four characters or more; in past faults they count inside words too. Ties go to the first status by name."""
     words = F.filter(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))), lambda t: (F.length(t) >= 4) & ~t.isin(*DULL))
-    terms = faults.select("fault_id", "vehicle", F.explode(F.slice(words, 1, 6)).alias("term"))
-    at = F.col("pos") - (F.col("term") == "capable").cast("int")
-    said = tokens.where(F.col("term").isin("mission", "capable")).groupBy("doc_id", "page", at.alias("at")).agg(F.count_distinct("term").alias("n")).where("n = 2")
-    there = tokens.join(said.select("doc_id", "page").distinct(), ["doc_id", "page"], "left_semi").select("doc_id", "page", "vehicle", "term").distinct()
-    evidence = there.join(terms, ["vehicle", "term"]).groupBy("fault_id").agg(F.count_distinct("doc_id", "page").alias("n_pages"), F.min(F.struct("doc_id", "page")).alias("first"))
-    past = history.where(F.trim("status") != "").select("session", F.upper(F.trim("status")).alias("status"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]{4,}"), F.lit(0)))).alias("word"))
-    starts = past.select("word").distinct().select("word", F.explode(F.sequence(F.lit(1), F.length("word") - 3)).alias("i")).select("word", F.expr("substr(word, i, 4)").alias("four"), F.expr("substr(word, i)").alias("tail"))
-    inside = terms.select("term").distinct().withColumn("four", F.substring("term", 1, 4)).join(starts, "four").where(F.startswith("tail", "term")).select("term", "word").distinct()
-    votes = terms.select("fault_id", "term").join(inside, "term").select("fault_id", "word").distinct().join(past, "word").groupBy("fault_id", "status").agg(F.count_distinct("session").alias("n"))
-    best = votes.groupBy("fault_id").agg(F.min(F.struct((-F.col("n")).alias("least"), "status")).alias("b"))
+    terms = faults.select(F.col("fault_id").alias("qid"), F.col("vehicle").alias("label"), F.slice(words, 1, 6).alias("terms")).where((F.size("terms") > 0) & F.col("fault_id").isNotNull())
+    each = lambda by: terms.groupBy(*by).agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms"))  # noqa: E731 (a fault that is given twice has the terms of both)
+    said = F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).contains(" mission capable ")
+    # the body is looked through before its words are cut
+    near = pages.where(F.lower("body_text").contains("mission") & F.lower("body_text").contains("capable") & F.col("vehicle").isNotNull() & F.col("doc_id").isNotNull() & F.col("page").isNotNull())
+    cut = near.select("doc_id", "page", "vehicle", F.explode(F.array(F.regexp_extract_all(F.lower("body_text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("w")).where(said)
+    there = cut.select(F.col("vehicle").alias("label"), F.col("doc_id").alias("a"), F.col("page").alias("b"), F.array_distinct("w").alias("terms"))
+    evidence = blocks.any_of(there, each(["qid", "label"]), labelled=True).groupBy(F.col("qid").alias("fault_id")).agg(F.sum("n").alias("n_pages"), F.min(F.struct(F.col("a").alias("doc_id"), F.col("b").alias("page"))).alias("first"))
+    past = history.where("trim(status) <> '' AND session IS NOT NULL").select(F.upper(F.trim("status")).alias("label"), F.col("session").alias("a"), F.lit(0).alias("b"), F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]{4,}"), F.lit(0))).alias("terms"))
+    votes = blocks.any_of(past.where("size(terms) > 0"), each(["qid"]).withColumn("label", F.lit("")), inside=True)
+    best = votes.groupBy(F.col("qid").alias("fault_id")).agg(F.min(F.struct((-F.col("n")).alias("least"), F.col("label").alias("status"))).alias("b"))
     met = faults.select("fault_id").join(evidence, "fault_id", "left").join(best, "fault_id", "left")
     basis = F.when(F.col("n_pages").isNotNull(), "pages").when(F.col("b").isNotNull(), "history")
     return met.select("fault_id", F.when(F.col("n_pages").isNotNull(), "NMCS").otherwise(F.col("b.status")).alias("suggestion"), basis.alias("basis"), F.coalesce("n_pages", F.lit(0)).alias("n_pages"), F.col("first.doc_id").alias("doc_id"), F.col("first.page").alias("page"))
