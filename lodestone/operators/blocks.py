@@ -7,6 +7,7 @@ row and a query unless it is among the first of its group.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Callable
 
 import numpy as np
@@ -24,9 +25,9 @@ BITS, MANY, SHORT = 64_000_000, 40_000, 32
 
 
 def _first(top: int, order: list[str], once: str | None, covered: bool) -> Callable:
-    """A group of rows (order..., terms, weights or n) and a block of queries (qid, term) to the first `top` rows of each by score, equal ones by `order`.
+    """A group of rows (order..., terms, weights or n) and a block of queries (qid, term, maybe weight) to the first `top` rows of each by score, equal ones by `order`.
 
-    The score is the sum of weights, or with `covered` by the share of the query's and of the row's words; of rows with equal `once` the first
+    The score is the sum of weights (times those of the query, if it has any), or with `covered` by the share of the query's and of the row's words; of rows with equal `once` the first
     counts, its words as often as the row with the most of them under one `order[0]` repeats them."""
     cells = CELLS
 
@@ -44,6 +45,7 @@ def _first(top: int, order: list[str], once: str | None, covered: bool) -> Calla
         at = one(pc.index_in(asked["term"], value_set=vocabulary)).to_numpy(zero_copy_only=False)
         by = np.argsort(at, kind="stable")
         columns, start = qi[by], np.searchsorted(at[by], np.arange(len(vocabulary) + 1))
+        theirs = asked["weight"].to_numpy()[by] if "weight" in asked.column_names else None
         need = np.bincount(qi, minlength=len(qids))
         terms = one(rows["terms"])
         flat, parent = pc.list_flatten(terms), pc.list_parent_indices(terms).to_numpy()
@@ -61,7 +63,8 @@ def _first(top: int, order: list[str], once: str | None, covered: bool) -> Calla
             ends = np.cumsum(many)
             place = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[t] - ends + many, many)
             cell = np.repeat((parent[a:z] - low) * len(qids), many) + columns[place]
-            score = np.bincount(cell, weights=np.repeat(weight[a:z], many), minlength=(high - low) * len(qids)).reshape(high - low, len(qids))
+            part = np.repeat(weight[a:z], many)
+            score = np.bincount(cell, weights=part if theirs is None else part * theirs[place], minlength=(high - low) * len(qids)).reshape(high - low, len(qids))
             met = score > 0
             if once:
                 score = score * times[low:high, None]
@@ -84,8 +87,8 @@ def _first(top: int, order: list[str], once: str | None, covered: bool) -> Calla
 
 
 def first_of(rows: DataFrame, asked: DataFrame, top: int, order: list[str], deal: list[str], parts: int, once: str | None = None, covered: bool = False) -> DataFrame:
-    """qid, order..., score, rank. rows: order..., terms, weights or n; asked: qid, term, each once."""
-    asked = materialize(asked.select(F.col("qid").cast("long"), "term"), "asked")
+    """qid, order..., score, rank. rows: order..., terms, weights or n; asked: qid, term, each once, and maybe weight."""
+    asked = materialize(asked.select(F.col("qid").cast("long"), *asked.drop("qid").columns), "asked")
     blocks = max(1, math.ceil(asked.select("qid").distinct().count() / BLOCK))
     asked = asked.withColumn("block_", F.pmod(F.xxhash64("qid"), F.lit(blocks))).withColumn("part_", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     dealt = rows.withColumn("part_", F.pmod(F.xxhash64(*deal), F.lit(parts)).cast("int")).withColumn("block_", F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")))
@@ -95,7 +98,7 @@ def first_of(rows: DataFrame, asked: DataFrame, top: int, order: list[str], deal
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= top)
 
 
-def _parts(df: DataFrame) -> int:
+def parts_of(df: DataFrame) -> int:
     return max(df.sparkSession.sparkContext.defaultParallelism, GROUPS * df.rdd.getNumPartitions())
 
 
@@ -104,20 +107,58 @@ def answers(pages: DataFrame, queries: DataFrame, top: int = 5) -> DataFrame:
     sentences = pages.select("doc_id", F.explode(F.split("body_text", r"(?<=[.!?])\s+")).alias("sentence")).where(F.length("sentence") > 12)
     words = F.array_distinct(F.regexp_extract_all(F.lower("sentence"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
     rows = sentences.select("doc_id", "sentence", words.alias("terms"), F.regexp_count("sentence", F.lit(r"\S+")).alias("n"))
-    return first_of(rows, queries.distinct(), top, ["doc_id", "sentence"], ["sentence"], _parts(pages), "sentence", True).select("qid", "sentence", "score", "doc_id", "rank")
+    return first_of(rows, queries.distinct(), top, ["doc_id", "sentence"], ["sentence"], parts_of(pages), "sentence", True).select("qid", "sentence", "score", "doc_id", "rank")
 
 
 def bm25(pages: DataFrame, queries: DataFrame, top: int, key: list[str], text: str = "body_text") -> DataFrame:
     """The best pages of each query by BM25 for many queries with many terms. queries: qid, term."""
+    return bm25_counted(materialize(counted(pages, key, text), "counted"), queries, top, key, parts_of(pages))
+
+
+def bm25_counted(post: DataFrame, queries: DataFrame, top: int, key: list[str], parts: int) -> DataFrame:
+    """The rows of bm25() from pages whose words are counted (key..., len, c), which are read several times."""
     asked = materialize(queries.select("qid", "term").distinct(), "asked")
-    post = materialize(counted(pages, key, text), "counted")
     whole = post.agg(F.count(F.lit(1)).alias("pages_"), F.avg("len").alias("avg"))
     df = post.select(F.inline_outer("c")).join(lookup(asked.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     known = lookup(df.crossJoin(whole).select("term", "avg", F.log(1 + (F.col("pages_") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")))
     share = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg")))
     each = post.select(*key, "len", F.inline_outer("c")).join(known, "term").select(*key, F.struct("term", share.alias("weight")).alias("t"))
     rows = each.groupBy(*key).agg(F.collect_list("t").alias("t")).select(*key, F.col("t.term").alias("terms"), F.col("t.weight").alias("weights"))
-    return first_of(rows, asked, top, key, key, _parts(pages))
+    return first_of(rows, asked, top, key, key, parts)
+
+
+def _hashed(batches, key: str, dim: int):
+    """(key, terms, n) to sparse vectors (key, terms: buckets, weights): words of two letters or more by crc32 modulo dim, counted and scaled to length 1."""
+    for batch in batches:
+        terms = batch.column("terms")
+        flat, parent = pc.list_flatten(terms), pc.list_parent_indices(terms).to_numpy()
+        words = pc.unique(flat)
+        code = np.array([zlib.crc32(w.encode()) % dim if len(w) >= 2 else -1 for w in words.to_pylist()], np.int64)[pc.index_in(flat, value_set=words).to_numpy()]
+        use = code >= 0
+        cells, at = np.unique(parent[use] * dim + code[use], return_inverse=True)
+        n = np.bincount(at, weights=pc.list_flatten(batch.column("n")).to_numpy()[use], minlength=len(cells))
+        row = cells // dim
+        weight = n / np.sqrt(np.bincount(row, weights=n * n, minlength=batch.num_rows))[row]
+        ends = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)), pa.int32())
+        buckets = pa.array(cells % dim).cast(pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column(key), pa.ListArray.from_arrays(ends, buckets), pa.ListArray.from_arrays(ends, pa.array(weight, pa.float64()))], [key, "terms", "weights"])
+
+
+def hashed(post: DataFrame, key: str, dim: int = 384) -> DataFrame:
+    """Key, terms (buckets), weights: the sparse vector of each row of post (key, c), where the row lies."""
+
+    def run(batches):
+        yield from _hashed(batches, key, dim)
+
+    of = dict(post.dtypes)[key]
+    return post.select(key, F.col("c.term").alias("terms"), F.transform("c", lambda x: x["tf"].cast("long")).alias("n")).mapInArrow(run, f"{key} {of}, terms array<string>, weights array<double>")
+
+
+def hashed_top(post: DataFrame, queries: DataFrame, top: int, key: str, parts: int) -> DataFrame:
+    """The nearest rows of post (key, c) to each query by hashed vectors. queries: qid, term, a row for each word."""
+    words = queries.groupBy("qid", "term").agg(F.count(F.lit(1)).alias("tf")).groupBy("qid").agg(F.collect_list(F.struct("term", "tf")).alias("c"))
+    asked = hashed(words, "qid").select("qid", F.explode(F.arrays_zip("terms", "weights")).alias("t")).select("qid", F.col("t.terms").alias("term"), F.col("t.weights").alias("weight"))
+    return first_of(hashed(post, key), asked, top, [key], [key], parts)
 
 
 def _inside(words: pa.Array, asked: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -220,7 +261,7 @@ def any_of(rows: DataFrame, queries: DataFrame, labelled: bool = False, inside:
     rows: label, a, b, terms, all of an (a, b) in one group; queries: qid, label, terms, a qid in one row for each label. With `labelled` a
     query meets the rows of its label, with `inside` a term counts within words. A row is exchanged once for each `MANY` queries; a pair of a row and a query never is."""
     asked = materialize(queries, "asked")
-    parts, blocks = _parts(rows), max(1, math.ceil(asked.count() / MANY))
+    parts, blocks = parts_of(rows), max(1, math.ceil(asked.count() / MANY))
     asked = asked.withColumn("block_", F.pmod(F.xxhash64("qid"), F.lit(blocks))).withColumn("part_", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     dealt = rows.withColumn("part_", F.pmod(F.xxhash64("a", "b"), F.lit(parts)).cast("int")).withColumn("block_", F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")))
     of = {**dict(rows.dtypes), **dict(queries.select("qid").dtypes)}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from lodestone.functions import codes
+from lodestone.operators import blocks, scan
+from lodestone.sources.scratch import materialize
 
 K1, B = 1.2, 0.75
 
@@ -135,17 +137,24 @@ def fuse(first: DataFrame, second: DataFrame, k: int = 60, key: str = "doc_id")
     return both.groupBy("qid", key).agg(F.round(F.sum(1.0 / (k + F.col("rank"))), 9).alias("score"), F.array_join(F.array_sort(F.collect_set("signal")), "+").alias("signals"))
 
 
-def sparse_top(vectors: DataFrame, asked: DataFrame, top: int = 25, key: str = "doc_id") -> DataFrame:
-    """The nearest rows to each query by the product of sparse vectors of length 1. vectors: key, bucket, w; asked: qid, bucket, w."""
-    met = vectors.join(asked.select("qid", "bucket", F.col("w").alias("q")), "bucket").groupBy("qid", key).agg(F.round(F.sum(F.col("w") * F.col("q")), 6).alias("score"))
-    return met.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), key))).where(F.col("rank") <= top)
-
-
 def hybrid(tokens: DataFrame, queries: DataFrame, top: int = 25, key: str = "doc_id") -> DataFrame:
     """The best pages of each query by keywords (BM25) and by hashed vectors, fused by their ranks. queries: qid, term, a row for each word."""
-    words = bm25(tokens, queries, top, key).select("qid", key, "rank")
-    sense = sparse_top(hashed_vectors(tokens, key), hashed_vectors(queries, "qid"), top, key).select("qid", key, "rank")
-    both = fuse(words, sense, key=key)
+    counts = tokens.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    return _hybrid(counts.groupBy(key).agg(F.sum("tf").alias("len"), F.collect_list(F.struct("term", "tf")).alias("c")).where(F.col(key).isNotNull()), queries, top, key)
+
+
+def hybrid_texts(docs: DataFrame, queries: DataFrame, top: int = 25, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of hybrid() from whole texts, whose words are counted in their row. A row is a page: keys are taken to be unique."""
+    return _hybrid(scan.counted(docs.where(F.col(key).isNotNull()), [key], text), queries, top, key)
+
+
+def _hybrid(counted: DataFrame, queries: DataFrame, top: int, key: str) -> DataFrame:
+    """Pages meet queries in groups as matrices, and of each group the first are exchanged; counted: key, len, c."""
+    post, asked = materialize(counted, "counted"), materialize(queries.select("qid", "term").where("qid IS NOT NULL AND term IS NOT NULL"), "asked")
+    parts = blocks.parts_of(counted)
+    words = blocks.bm25_counted(post, asked, top, [key], parts).select("qid", key, "rank")
+    sense = blocks.hashed_top(post, asked, top, key, parts).select("qid", key, "rank")
+    both = fuse(words, sense, key=key).withColumn("qid", F.col("qid").cast(dict(queries.dtypes)["qid"]))
     return both.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), key))).where(F.col("rank") <= top)
 
 
