@@ -105,8 +105,17 @@ def _keys(name: str) -> set[str]:
     return {sep.join(x) for x in itertools.product(*halves) for sep in ("/", "")}
 
 
-#: Longer names first, so that a name is never taken for the beginning of another.
-PATTERN = "|".join(_pattern(n) for n in sorted({n for u in UNITS for n in u.names}, key=lambda n: (-len(n), n)))
+def _choices(names: list[str]) -> str:
+    """One of the names, in their order. Names that begin alike stand together, so that a letter that none begins with is compared with each beginning only."""
+    groups = {}
+    for n in names:
+        groups.setdefault(n[0], []).append(_pattern(n))
+    first = lambda c: len(re.escape(c))
+    return "|".join(f"{re.escape(c)}(?:{'|'.join(x[first(c):] for x in same)})" for c, same in groups.items())
+
+
+#: Longer names first, so that a name is never taken for the beginning of another; names that begin differently never match at one place.
+PATTERN = _choices(sorted({n for u in UNITS for n in u.names}, key=lambda n: (-len(n), n)))
 NUMBER = r"[+\-]?(?:\d+(?:,\d{3})*(?:\.\d+)?|\.\d+)"
 AMOUNT = rf"({NUMBER})\s*(?:(?:-|–|to|through)\s*({NUMBER})\s*)?(?:(?:±|\+/-|plus or minus)\s*({NUMBER})\s*)?"
 #: What a number begins with is looked for before anything else.

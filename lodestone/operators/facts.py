@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lodestone.functions import codes, units
+from lodestone.sources.scratch import small
 
 #: Mark where a measurement was found, and part it from its numbers and its unit; no characters of text.
 _MARK, _PART = "\x01", "\x02"
@@ -62,6 +63,14 @@ def measurements(pages: DataFrame, cap: int = 200, text: str = "body_text", cont
     return out.select(*keys, "place", F.col("r.is.type").alias("type"), number("value"), number("value2"), number("tolerance"), F.col("r.is.unit").alias("unit"), *more)
 
 
+def stated_types(pages: DataFrame, subject: str = "niin", text: str = "body_text") -> DataFrame:
+    """subject, type, each once: the types of what measurements() finds on the pages of each subject. Texts that are equal are measured once."""
+    digest = F.sha2(text, 256).alias("of_")
+    texts = pages.where(F.col(text).isNotNull()).select(text).distinct().select(digest, text)
+    known = small(measurements(texts, text=text).select("of_", "type").distinct(), "types")
+    return pages.select(subject, digest).join(known, "of_").select(subject, "type").distinct()
+
+
 def gated(facts: DataFrame) -> DataFrame:
     """Facts with their quality status and why. `raw`, what was read, is judged too where there is such a column."""
     # a number that is written out has no letters and one point at most; only its length can be wrong, and only that of a long one is looked at
