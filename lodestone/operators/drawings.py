@@ -1,12 +1,16 @@
 """Netlists of drawings. Wires are segments (page, x1, y1, x2, y2) in parts of a page's width and height.
 
 Ends within `snap` of each other are one node, and so are ends that a chain of such ends connects; its place is
-its smallest end. A node on the inside of a wire splits it. All of this is joins on (page, cell): near ends
-meet in neighbouring cells, and a wire is cut into short pieces that each name the few cells they touch.
+its smallest end. A node on the inside of a wire splits it. A page's wires come together once, and many pages are
+solved at once as arrays. Pages of more than `LARGE` wires are joins on (page, cell) instead: near ends meet in
+neighbouring cells, and a wire is cut into short pieces that each name the few cells they touch.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lodestone.operators.graph import connected_components
@@ -19,6 +23,8 @@ CELL = 0.05
 SPECK = 8e-4
 #: Part of a wire on either end where a node doesn't split it.
 MARGIN = 0.02
+#: Wires of a page that one task holds, wires that are solved at once, and pairs of a wire and a node that are.
+LARGE, ROWS, PAIRS = 20_000, 200_000, 4_000_000
 #: What a component is labelled with: up to three letters, up to four digits, perhaps a letter.
 LABEL = r"^[A-Z]{1,3}\d{1,4}[A-Z]?$"
 
@@ -97,14 +103,134 @@ def nets_of(edges: DataFrame) -> DataFrame:
     return lines.join(sizes, "component").select("page", F.col("component").alias("net"), "n_nodes", "n_edges")
 
 
-def netlist(segments: DataFrame, labels: DataFrame | None = None, snap: float = SNAP, digits: int = 2) -> tuple[DataFrame, DataFrame]:
-    """(nets, pages) of drawings. segments: page, x1, y1, x2, y2; labels: page, text.
+def _linked(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """root (the smallest of each one's component) once a and b are linked, too."""
+    while True:
+        a, b = root[a], root[b]
+        apart = a != b
+        if not apart.any():
+            return root
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root != (up := root[root])).any():
+            root = up
 
-    nets: page, net, n_nodes, n_edges. pages: n_segments, n_nodes, n_edges, n_nets, n_junctions (nodes of three wires or more),
-    n_labels and a confidence: half for wires that go on at both ends, the rest for junctions and labels, eight of each being
-    enough, and for a sane number of nets, rounded to `digits`. Pages without a wire aren't returned."""
-    frugal(segments.sparkSession)
-    wires = materialize(_wires(segments), "segments")
+
+def _solved(page: np.ndarray, x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray, snap: float) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Counts of each page (segments, nodes, edges, those that go on at both ends, junctions), and nets (page, x, y of their smallest node, nodes, edges), by page.
+
+    page: numbers from 0 in order, each with a wire."""
+    n, pages = len(page), int(page[-1]) + 1
+    p, x, y = np.concatenate([page, page]), np.concatenate([x1, x2]) + 0.0, np.concatenate([y1, y2]) + 0.0
+    order = np.lexsort((y, x, p))
+    p, x, y = p[order], x[order], y[order]
+    same = lambda c: (c[1:] == c[:-1]) | (np.isnan(c[1:]) & np.isnan(c[:-1]))
+    first = np.ones(2 * n, bool)
+    first[1:] = ~((p[1:] == p[:-1]) & same(x) & same(y))
+    end = np.empty(2 * n, np.int64)
+    end[order] = np.cumsum(first) - 1
+    p, x, y = p[first], x[first], y[first]
+    # an end meets the next ones of its page as far as their x is within reach
+    root, i, links, held = np.arange(len(p)), np.arange(len(p)), [], 0
+    for k in range(1, len(p)):
+        i = i[: np.searchsorted(i, len(p) - k)]
+        i = i[(p[i + k] == p[i]) & (x[i + k] - x[i] <= snap * (1 + 1e-9))]
+        if not len(i):
+            break
+        near = i[(x[i + k] - x[i]) ** 2 + (y[i + k] - y[i]) ** 2 <= snap * snap]
+        links, held = [*links, (near, near + k)], held + len(near)
+        if held > PAIRS:
+            root, links, held = _linked(root, *map(np.concatenate, zip(*links, strict=True))), [], 0
+    if links:
+        root = _linked(root, *map(np.concatenate, zip(*links, strict=True)))
+    a, b = root[end[:n]], root[end[n:]]
+    w = np.flatnonzero(a != b)
+    a, b, x1, y1, x2, y2 = a[w], b[w], x1[w], y1[w], x2[w], y2[w]
+    # nodes on a wire: those of its page in its span of x or of y, whichever has fewer
+    spots = np.flatnonzero(root == np.arange(len(root)))
+    n_nodes = np.bincount(p[spots], minlength=pages)
+    lists = []
+    for c, u, v in ((x, x1, x2), (y, y1, y2)):
+        mine = spots[np.isfinite(c[spots])]
+        mine = mine[np.lexsort((c[mine], p[mine]))]
+        at = p[mine] + 0j
+        at.imag = c[mine]
+        side = lambda z, low: np.searchsorted(at, low, z)  # noqa: E731, B023
+        low, high = p[a] + 0j, p[a] + 0j
+        low.imag, high.imag = np.fmin(u, v) - 1.01 * snap, np.fmax(u, v) + 1.01 * snap
+        known = np.isfinite(u) & np.isfinite(v)
+        low[~known], high[~known] = 0, 0
+        begin = side("left", low)
+        lists.append((mine, begin, np.where(known, side("right", high) - begin, 0)))
+    shorter = lists[0][2] <= lists[1][2]
+    taps = [(np.arange(len(w)), np.full(len(w), -1.0), a), (np.arange(len(w)), np.full(len(w), 2.0), b)]
+    for (mine, begin, many), chosen in zip(lists, (shorter, ~shorter), strict=True):
+        asking = np.flatnonzero(chosen & (many > 0))
+        if not len(asking):
+            continue
+        upto = np.cumsum(many[asking])
+        cuts = np.unique(np.searchsorted(upto, np.arange(0, upto[-1], PAIRS)))
+        for lo, hi in zip(cuts, [*cuts[1:], len(asking)], strict=True):
+            g, m = asking[lo:hi], many[asking[lo:hi]]
+            g, s = np.repeat(g, m), mine[np.arange(m.sum()) + np.repeat(begin[g] - np.cumsum(m) + m, m)]
+            other = (s != a[g]) & (s != b[g])
+            g, s = g[other], s[other]
+            dx, dy = x2[g] - x1[g], y2[g] - y1[g]
+            t = ((x[s] - x1[g]) * dx + (y[s] - y1[g]) * dy) / (dx * dx + dy * dy)
+            off = (x1[g] + t * dx - x[s]) ** 2 + (y1[g] + t * dy - y[s]) ** 2
+            on = (t > MARGIN) & (t < 1 - MARGIN) & (off <= snap * snap)
+            taps.append((g[on], t[on], s[on]))
+    g, t, s = map(np.concatenate, zip(*taps, strict=True))
+    order = np.lexsort((s, t, g))
+    g, s = g[order], s[order]
+    hop = np.flatnonzero(g[1:] == g[:-1])
+    a, b = s[hop], s[hop + 1]
+    degree = np.bincount(np.concatenate([a, b]), minlength=len(p))
+    count = lambda c: np.bincount(c, minlength=pages)
+    net = _linked(np.arange(len(p)), a, b)
+    counts = [count(page), n_nodes, count(p[a]), count(p[a[(degree[a] >= 2) & (degree[b] >= 2)]]), count(p[degree >= 3])]
+    names, n_edges = np.unique(net[a], return_counts=True)
+    return counts, [p[names], x[names], y[names], np.bincount(net[degree > 0], minlength=len(p))[names], n_edges]
+
+
+COUNTS = ("n_segments", "n_nodes", "n_edges", "going", "n_junctions")
+
+
+def _by_page(wires: DataFrame, snap: float) -> DataFrame:
+    """page, COUNTS, nets (x, y, n_nodes, n_edges): wires of a page come together, and in order of page."""
+    of, most = wires.select("page").schema[0].dataType.simpleString(), ROWS
+
+    def solve(rows: pa.Table) -> pa.RecordBatch:
+        code = rows["page"].combine_chunks().dictionary_encode()
+        counts, nets = _solved(code.indices.to_numpy().astype(np.int64), *[rows[c].to_numpy() for c in ("x1", "y1", "x2", "y2")], snap)
+        ends = pa.array(np.searchsorted(nets[0], np.arange(len(code.dictionary) + 1)), pa.int32())
+        each = pa.StructArray.from_arrays([pa.array(c) for c in nets[1:]], ["x", "y", "n_nodes", "n_edges"])
+        return pa.RecordBatch.from_arrays([code.dictionary, *map(pa.array, counts), pa.ListArray.from_arrays(ends, each)], ["page", *COUNTS, "nets"])
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            held, n = [*held, batch], n + batch.num_rows
+            if n < most:
+                continue
+            rows = pa.Table.from_batches(held)
+            # the last page may go on
+            page = rows["page"].combine_chunks()
+            whole = pc.index(page, page[-1]).as_py()
+            if whole:
+                yield solve(rows.slice(0, whole))
+            held = rows.slice(whole).combine_chunks().to_batches()
+            n = n - whole
+        if n:
+            yield solve(pa.Table.from_batches(held))
+
+    kinds = f"page {of}, {', '.join(f'{c} long' for c in COUNTS)}, nets array<struct<x:double,y:double,n_nodes:long,n_edges:long>>"
+    return wires.repartition("page").sortWithinPartitions("page").mapInArrow(run, kinds)
+
+
+def _by_cell(wires: DataFrame, snap: float) -> tuple[DataFrame, DataFrame]:
+    """(nets, pages with COUNTS and n_nets) of pages of any size."""
+    wires = materialize(wires, "segments")
     nodes = materialize(nodes_of(wires, snap), "nodes")
     edges = materialize(edges_of(wires, nodes, snap), "edges")
     nets = materialize(nets_of(edges), "nets")
@@ -116,12 +242,30 @@ def netlist(segments: DataFrame, labels: DataFrame | None = None, snap: float =
     counted = wires.groupBy("page").agg(F.count(F.lit(1)).alias("n_segments"))
     places = nodes.select("page", "nx", "ny").distinct().groupBy("page").agg(F.count(F.lit(1)).alias("n_nodes"))
     met = counted.join(places, "page").join(going, "page", "left").join(junctions, "page", "left").join(nets.groupBy("page").agg(F.count(F.lit(1)).alias("n_nets")), "page", "left")
+    return nets, met.select("page", *COUNTS, "n_nets").na.fill(0, ["n_edges", "going", "n_junctions", "n_nets"])
+
+
+def netlist(segments: DataFrame, labels: DataFrame | None = None, snap: float = SNAP, digits: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(nets, pages) of drawings. segments: page, x1, y1, x2, y2; labels: page, text.
+
+    nets: page, net, n_nodes, n_edges. pages: n_segments, n_nodes, n_edges, n_nets, n_junctions (nodes of three wires or more),
+    n_labels and a confidence: half for wires that go on at both ends, the rest for junctions and labels, eight of each being
+    enough, and for a sane number of nets, rounded to `digits`. Pages without a wire aren't returned. What is read of the two is computed then."""
+    frugal(segments.sparkSession)
+    wires = _wires(segments).where("page IS NOT NULL")
+    large = materialize(wires.groupBy("page").count().where(F.col("count") > LARGE).select("page"), "large")
+    few = large.count()
+    solved = _by_page(wires.join(large, "page", "left_anti") if few else wires, snap)
+    nets = solved.select("page", F.inline("nets")).select("page", _key(F.col("page"), F.col("x"), F.col("y")).alias("net"), "n_nodes", "n_edges")
+    met = solved.select("page", *COUNTS, F.size("nets").cast("long").alias("n_nets"))
+    if few:
+        more = _by_cell(wires.join(large, "page", "left_semi"), snap)
+        nets, met = nets.union(more[0].select(*nets.columns)), met.union(more[1].select(*met.columns))
     if labels is not None:
         named = labels.where(F.upper(F.trim("text")).rlike(LABEL)).groupBy("page").agg(F.count(F.lit(1)).alias("n_labels"))
-        met = met.join(named, "page", "left")
+        met = met.join(named, "page", "left").na.fill(0, ["n_labels"])
     else:
         met = met.withColumn("n_labels", F.lit(0).cast("long"))
-    met = met.na.fill(0, ["n_edges", "going", "n_junctions", "n_nets", "n_labels"])
     part = lambda c: F.least(F.lit(1.0), F.col(c) / 8)
     score = 0.5 * F.col("going") / F.col("n_edges") + 0.2 * part("n_junctions") + 0.18 * part("n_labels") + F.when(F.col("n_nets").between(1, 200), 0.12).otherwise(0.0)
     confidence = F.when(F.col("n_edges") == 0, 0.0).otherwise(F.round(F.least(F.lit(0.97), score), digits))
