@@ -16,55 +16,72 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from lodestone.operators.scan import B, K1, counted, lookup
-from lodestone.sources.scratch import materialize
+from lodestone.sources.scratch import frugal, materialize
 
-#: Scores that are held at once, queries of a block, and groups of rows for each partition of the input.
-CELLS, BLOCK, GROUPS = 4_000_000, 10_000, 4
+#: Scores that are held at once, and products that they are summed from; queries of a block; groups of rows for each partition of the input.
+CELLS, BLOCK, GROUPS = 2_000_000, 10_000, 4
 #: Cells of a bit matrix while it is built, queries of its block, and letters up to which words are cut side by side.
 BITS, MANY, SHORT = 64_000_000, 40_000, 32
 
 
 def _first(top: int, order: list[str], once: str | None, covered: bool) -> Callable:
-    """A group of rows (order..., terms, weights or n) and a block of queries (qid, term, maybe weight) to the first `top` rows of each by score, equal ones by `order`.
+    """A group of rows (order..., terms and weights, tf and len, or n) and a block of queries (term, asked: qid and maybe weight, maybe idf and avg) to the first `top`
+    rows of each by score, equal ones by `order`.
 
-    The score is the sum of weights (times those of the query, if it has any), or with `covered` by the share of the query's and of the row's words; of rows with equal `once` the first
-    counts, its words as often as the row with the most of them under one `order[0]` repeats them."""
+    The score is the sum of weights (times those of the query, if it has any), of BM25's shares if rows have `tf`, or with `covered` by the share of the query's and of the row's words;
+    of rows with equal `once` the first counts, its words as often as the row with the most of them under one `order[0]` repeats them. Beside its rows and queries, a group holds `CELLS` scores and products."""
     cells = CELLS
 
     def run(rows: pa.Table, asked: pa.Table) -> pa.Table:
-        rows, asked = rows.sort_by([(c, "ascending") for c in order]).combine_chunks(), asked.combine_chunks()
         one = lambda c: c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
+        plain = lambda c: c.to_numpy(zero_copy_only=False)
+        index = plain(pc.sort_indices(rows.select(order), sort_keys=[(c, "ascending") for c in order]))
         if once:
-            same = one(one(rows[once]).dictionary_encode().indices).to_numpy(zero_copy_only=False)
-            pairs, n_times = np.unique(np.stack([same, rows[order[0]].to_numpy()], axis=1), axis=0, return_counts=True)
+            same = plain(one(one(rows[once]).dictionary_encode().indices))[index]
+            pairs, n_times = np.unique(np.stack([same, rows[order[0]].to_numpy()[index]], axis=1), axis=0, return_counts=True)
             times, first = np.zeros(same.max(initial=-1) + 1), np.sort(np.unique(same, return_index=True)[1])
             np.maximum.at(times, pairs[:, 0], n_times)
-            times, rows = times[same[first]], rows.take(pa.array(first)).combine_chunks()
-        qids, qi = np.unique(asked["qid"].to_numpy(), return_inverse=True)
-        vocabulary = one(pc.unique(asked["term"]))
-        at = one(pc.index_in(asked["term"], value_set=vocabulary)).to_numpy(zero_copy_only=False)
-        by = np.argsort(at, kind="stable")
-        columns, start = qi[by], np.searchsorted(at[by], np.arange(len(vocabulary) + 1))
-        theirs = asked["weight"].to_numpy()[by] if "weight" in asked.column_names else None
-        need = np.bincount(qi, minlength=len(qids))
-        terms = one(rows["terms"])
-        flat, parent = pc.list_flatten(terms), pc.list_parent_indices(terms).to_numpy()
-        term = pc.index_in(flat, value_set=vocabulary)
-        known = np.flatnonzero(pc.is_valid(term).to_numpy(zero_copy_only=False))
-        term, parent = pc.fill_null(term, 0).to_numpy(zero_copy_only=False)[known], parent[known]
-        weight = np.ones(len(known)) if covered else pc.list_flatten(one(rows["weights"])).to_numpy(zero_copy_only=False)[known]
-        n = rows["n"].to_numpy() if covered else None
+            times, index = times[same[first]], index[first]
+        # queries by term
+        vocabulary, who = one(asked["term"]), one(asked["asked"])
+        start = np.concatenate([[0], np.cumsum(plain(pc.list_value_length(who)))]).astype(np.int64)
+        each = pc.list_flatten(who)
+        qids, columns = np.unique(plain(each.field("qid")), return_inverse=True)
+        need, columns = np.bincount(columns, minlength=len(qids)), columns.astype(np.int32)
+        theirs = plain(each.field("weight")) if "weight" in each.type.names else None
+        idf, avg = (plain(asked["idf"]), asked["avg"][0].as_py()) if "tf" in rows.column_names and asked.num_rows else (None, None)
+        # terms of rows that a query has: as numbers, row by row
+        code = [plain(pc.fill_null(pc.index_in(pc.list_flatten(c), value_set=vocabulary), -1)) for c in rows["terms"].chunks]
+        code = np.concatenate([np.zeros(0, np.int32), *code])
+        known = np.flatnonzero(code >= 0)
+        begin = np.concatenate([[0], np.cumsum(plain(pc.list_value_length(one(rows["terms"]))))])
+        begin, code = np.searchsorted(known, begin), code[known]
+        given = next((c for c in ("weights", "tf") if c in rows.column_names and not covered), None)
+        given = np.concatenate([np.zeros(0), *[plain(pc.list_flatten(c)) for c in rows[given].chunks]])[known] if given else None
+        length = rows["len"].to_numpy() if idf is not None else None
+        n = rows["n"].to_numpy()[index] if covered else None
         floor, held = np.zeros(len(qids)), [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         step = max(1, cells // max(1, len(qids)))
-        for low in range(0, rows.num_rows, step):
-            high = min(low + step, rows.num_rows)
-            a, z = np.searchsorted(parent, [low, high])
-            t, many = term[a:z], start[term[a:z] + 1] - start[term[a:z]]
+        low, high = 0, max(1, step // 8)
+        while low < len(index):
+            mine = index[low:high]
+            size = begin[mine + 1] - begin[mine]
+            at = np.arange(size.sum()) + np.repeat(begin[mine] - np.cumsum(size) + size, size)
+            row, t = np.repeat(np.arange(len(mine)), size), code[at]
+            weight = np.ones(len(at)) if given is None else given[at]
+            if idf is not None:
+                weight = idf[t] * weight * (K1 + 1) / (weight + K1 * (1 - B + B * length[mine][row] / avg))
+            many = start[t + 1] - start[t]
             ends = np.cumsum(many)
-            place = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[t] - ends + many, many)
-            cell = np.repeat((parent[a:z] - low) * len(qids), many) + columns[place]
-            part = np.repeat(weight[a:z], many)
-            score = np.bincount(cell, weights=part if theirs is None else part * theirs[place], minlength=(high - low) * len(qids)).reshape(high - low, len(qids))
+            score = np.zeros(len(mine) * len(qids))
+            cuts = np.unique(np.searchsorted(ends, np.arange(0, ends[-1] if len(ends) else 0, cells)))
+            for a, z in zip(cuts, [*cuts[1:], len(t)], strict=True) if len(cuts) else ():
+                m = many[a:z]
+                place = np.arange(m.sum()) + np.repeat(start[t[a:z]] - np.cumsum(m) + m, m)
+                part = np.repeat(weight[a:z], m)
+                # one after the other, so that sums don't depend on the cuts
+                np.add.at(score, np.repeat(row[a:z] * len(qids), m) + columns[place], part if theirs is None else part * theirs[place])
+            score = score.reshape(len(mine), len(qids))
             met = score > 0
             if once:
                 score = score * times[low:high, None]
@@ -80,20 +97,27 @@ def _first(top: int, order: list[str], once: str | None, covered: bool) -> Calla
             rank = np.arange(len(held[0])) - first[held[0]]
             floor[held[0][rank == top - 1]] = held[2][rank == top - 1]
             held = [x[rank < top] for x in held]
-        found = rows.select(order).take(pa.array(held[1]))
+            low, high = high, min(high + min(step, 2 * (high - low)), len(index))
+        found = rows.select(order).take(pa.array(index[held[1]]))
         return pa.table([pa.array(qids[held[0]], pa.int64()), *found.columns, pa.array(held[2], pa.float64())], ["qid", *order, "score"])
 
     return run
 
 
 def first_of(rows: DataFrame, asked: DataFrame, top: int, order: list[str], deal: list[str], parts: int, once: str | None = None, covered: bool = False) -> DataFrame:
-    """qid, order..., score, rank. rows: order..., terms, weights or n; asked: qid, term, each once, and maybe weight."""
+    """qid, order..., score, rank. rows: order..., terms, and weights, tf and len, or n; asked: qid, term, each once, and maybe weight, or idf and avg with the term.
+
+    A block of queries is a row for each of their terms, and so goes to every group once."""
+    frugal(rows.sparkSession)
     asked = materialize(asked.select(F.col("qid").cast("long"), *asked.drop("qid").columns), "asked")
     blocks = max(1, math.ceil(asked.select("qid").distinct().count() / BLOCK))
-    asked = asked.withColumn("block_", F.pmod(F.xxhash64("qid"), F.lit(blocks))).withColumn("part_", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    of = [c for c in ("idf", "avg") if c in asked.columns]
+    each = F.collect_list(F.struct("qid", *[c for c in ("weight",) if c in asked.columns])).alias("asked")
+    by_term = materialize(asked.groupBy(F.pmod(F.xxhash64("qid"), F.lit(blocks)).alias("block_"), "term", *of).agg(each), "by_term")
+    by_term = by_term.withColumn("part_", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     dealt = rows.withColumn("part_", F.pmod(F.xxhash64(*deal), F.lit(parts)).cast("int")).withColumn("block_", F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")))
     kinds = ", ".join(f"{c} {t}" for c, t in rows.select(*order).dtypes)
-    found = dealt.groupBy("block_", "part_").cogroup(asked.groupBy("block_", "part_")).applyInArrow(_first(top, order, once, covered), f"qid long, {kinds}, score double")
+    found = dealt.groupBy("block_", "part_").cogroup(by_term.groupBy("block_", "part_")).applyInArrow(_first(top, order, once, covered), f"qid long, {kinds}, score double")
     by = Window.partitionBy("qid").orderBy(F.desc("score"), *order)
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= top)
 
@@ -116,15 +140,13 @@ def bm25(pages: DataFrame, queries: DataFrame, top: int, key: list[str], text: s
 
 
 def bm25_counted(post: DataFrame, queries: DataFrame, top: int, key: list[str], parts: int) -> DataFrame:
-    """The rows of bm25() from pages whose words are counted (key..., len, c), which are read several times."""
+    """The rows of bm25() from pages whose words are counted (key..., len, c), which are read several times. A page's words are exchanged in its row, and weighted where they meet the queries."""
     asked = materialize(queries.select("qid", "term").distinct(), "asked")
     whole = post.agg(F.count(F.lit(1)).alias("pages_"), F.avg("len").alias("avg"))
     df = post.select(F.inline_outer("c")).join(lookup(asked.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    known = lookup(df.crossJoin(whole).select("term", "avg", F.log(1 + (F.col("pages_") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")))
-    share = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg")))
-    each = post.select(*key, "len", F.inline_outer("c")).join(known, "term").select(*key, F.struct("term", share.alias("weight")).alias("t"))
-    rows = each.groupBy(*key).agg(F.collect_list("t").alias("t")).select(*key, F.col("t.term").alias("terms"), F.col("t.weight").alias("weights"))
-    return first_of(rows, asked, top, key, key, parts)
+    known = df.crossJoin(whole).select("term", "avg", F.log(1 + (F.col("pages_") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    rows = post.select(*key, "len", F.col("c.term").alias("terms"), F.col("c.tf").alias("tf"))
+    return first_of(rows, asked.join(known, "term"), top, key, key, parts)
 
 
 def _hashed(batches, key: str, dim: int):
