@@ -82,10 +82,21 @@ def siblings(parts: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def see_also(parts: DataFrame, queries: DataFrame, most: int = 40) -> DataFrame:
-    """Other stock numbers under the same name (without regard to case), not on the same figure; the first `most`."""
-    named = parts.select("nsn", F.lower("name").alias("title")).distinct()
-    pairs = named.join(queries.select("nsn"), "nsn", "left_semi").withColumnRenamed("nsn", "of").join(named, "title").where("nsn <> of").select("of", "nsn")
-    rest = pairs.distinct().join(siblings(parts, queries).select("of", "nsn"), ["of", "nsn"], "left_anti")
+    """Other stock numbers under the same name (without regard to case), not on the same figure; the first `most`.
+
+    A name's numbers are tried in order, as many as there can be others among: the number itself and those on its figures. So a part meets
+    a few numbers of its name, whatever their number."""
+    frugal(parts.sparkSession)
+    asked = queries.select("nsn").distinct()
+    named = materialize(parts.where("nsn IS NOT NULL").select("nsn", F.lower("name").alias("title")).where("title IS NOT NULL").distinct(), "named")
+    mine = materialize(parts.select("nsn", "document_id", "fig_no").join(asked, "nsn", "left_semi").select(F.col("nsn").alias("of"), "document_id", "fig_no").distinct(), "mine")
+    beside = materialize(mine.join(parts.select("nsn", "document_id", "fig_no"), ["document_id", "fig_no"]).where("nsn <> of").select("of", "nsn").distinct(), "beside")
+    passed = materialize(beside.groupBy("of").agg((F.count(F.lit(1)) + most + 1).alias("tried")), "passed")
+    longest = passed.agg(F.coalesce(F.max("tried"), F.lit(most + 1))).first()[0]
+    first = named.withColumn("place", F.row_number().over(Window.partitionBy("title").orderBy("nsn"))).where(F.col("place") <= longest)
+    wanted = named.join(asked, "nsn", "left_semi").withColumnRenamed("nsn", "of").join(passed, "of", "left")
+    pairs = wanted.join(first, "title").where((F.col("place") <= F.coalesce("tried", F.lit(most + 1))) & (F.col("nsn") != F.col("of"))).select("of", "nsn")
+    rest = pairs.distinct().join(beside, ["of", "nsn"], "left_anti")
     return rest.withColumn("n", F.row_number().over(Window.partitionBy("of").orderBy("nsn"))).where(F.col("n") <= most).drop("n")
 
 
