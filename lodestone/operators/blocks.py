@@ -16,10 +16,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from lodestone.operators.scan import B, K1, counted, lookup
-from lodestone.sources.scratch import frugal, materialize
+from lodestone.sources.scratch import SMALL, frugal, materialize
 
 #: Scores that are held at once, and products that they are summed from; queries of a block; groups of rows for each partition of the input.
 CELLS, BLOCK, GROUPS = 2_000_000, 10_000, 4
+#: Bytes of rows that are held where they lie.
+HELD = 32 << 20
 #: Cells of a bit matrix while it is built, queries of its block, and letters up to which words are cut side by side.
 BITS, MANY, SHORT = 64_000_000, 40_000, 32
 
@@ -104,20 +106,40 @@ def _first(top: int, order: list[str], once: str | None, covered: bool) -> Calla
     return run
 
 
-def first_of(rows: DataFrame, asked: DataFrame, top: int, order: list[str], deal: list[str], parts: int, once: str | None = None, covered: bool = False) -> DataFrame:
+def _where_they_lie(first: Callable, asked: pa.Table) -> Callable:
+    most = HELD
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            held, size = [*held, batch], size + batch.nbytes
+            if size >= most:
+                yield from first(pa.Table.from_batches(held), asked).to_batches()
+                held, size = [], 0
+        if held:
+            yield from first(pa.Table.from_batches(held), asked).to_batches()
+
+    return run
+
+
+def first_of(rows: DataFrame, asked: DataFrame, top: int, order: list[str], deal: list[str], parts: int, once: str | None = None, covered: bool = False, few: bool = False) -> DataFrame:
     """qid, order..., score, rank. rows: order..., terms, and weights, tf and len, or n; asked: qid, term, each once, and maybe weight, or idf and avg with the term.
 
-    A block of queries is a row for each of their terms, and so goes to every group once."""
+    A block of queries is a row for each of their terms, and so goes to every group once. With `few`, queries of up to `SMALL` rows go to where the rows
+    lie, in groups of `HELD` bytes, and rows aren't exchanged."""
     frugal(rows.sparkSession)
     asked = materialize(asked.select(F.col("qid").cast("long"), *asked.drop("qid").columns), "asked")
     blocks = max(1, math.ceil(asked.select("qid").distinct().count() / BLOCK))
     of = [c for c in ("idf", "avg") if c in asked.columns]
     each = F.collect_list(F.struct("qid", *[c for c in ("weight",) if c in asked.columns])).alias("asked")
-    by_term = materialize(asked.groupBy(F.pmod(F.xxhash64("qid"), F.lit(blocks)).alias("block_"), "term", *of).agg(each), "by_term")
-    by_term = by_term.withColumn("part_", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    every = materialize(asked.groupBy(F.pmod(F.xxhash64("qid"), F.lit(blocks)).alias("block_"), "term", *of).agg(each), "by_term")
+    by_term = every.withColumn("part_", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     dealt = rows.withColumn("part_", F.pmod(F.xxhash64(*deal), F.lit(parts)).cast("int")).withColumn("block_", F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")))
     kinds = ", ".join(f"{c} {t}" for c, t in rows.select(*order).dtypes)
-    found = dealt.groupBy("block_", "part_").cogroup(by_term.groupBy("block_", "part_")).applyInArrow(_first(top, order, once, covered), f"qid long, {kinds}, score double")
+    if few and blocks == 1 and asked.count() <= SMALL:
+        found = rows.mapInArrow(_where_they_lie(_first(top, order, once, covered), every.drop("block_").toArrow()), f"qid long, {kinds}, score double")
+    else:
+        found = dealt.groupBy("block_", "part_").cogroup(by_term.groupBy("block_", "part_")).applyInArrow(_first(top, order, once, covered), f"qid long, {kinds}, score double")
     by = Window.partitionBy("qid").orderBy(F.desc("score"), *order)
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= top)
 
@@ -134,19 +156,19 @@ def answers(pages: DataFrame, queries: DataFrame, top: int = 5) -> DataFrame:
     return first_of(rows, queries.distinct(), top, ["doc_id", "sentence"], ["sentence"], parts_of(pages), "sentence", True).select("qid", "sentence", "score", "doc_id", "rank")
 
 
-def bm25(pages: DataFrame, queries: DataFrame, top: int, key: list[str], text: str = "body_text") -> DataFrame:
-    """The best pages of each query by BM25 for many queries with many terms. queries: qid, term."""
-    return bm25_counted(materialize(counted(pages, key, text), "counted"), queries, top, key, parts_of(pages))
+def bm25(pages: DataFrame, queries: DataFrame, top: int, key: list[str], text: str = "body_text", few: bool = False) -> DataFrame:
+    """The best pages of each query by BM25 for many queries with many terms, or for `few`. queries: qid, term."""
+    return bm25_counted(materialize(counted(pages, key, text), "counted"), queries, top, key, parts_of(pages), few)
 
 
-def bm25_counted(post: DataFrame, queries: DataFrame, top: int, key: list[str], parts: int) -> DataFrame:
+def bm25_counted(post: DataFrame, queries: DataFrame, top: int, key: list[str], parts: int, few: bool = False) -> DataFrame:
     """The rows of bm25() from pages whose words are counted (key..., len, c), which are read several times. A page's words are exchanged in its row, and weighted where they meet the queries."""
     asked = materialize(queries.select("qid", "term").distinct(), "asked")
     whole = post.agg(F.count(F.lit(1)).alias("pages_"), F.avg("len").alias("avg"))
     df = post.select(F.inline_outer("c")).join(lookup(asked.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     known = df.crossJoin(whole).select("term", "avg", F.log(1 + (F.col("pages_") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     rows = post.select(*key, "len", F.col("c.term").alias("terms"), F.col("c.tf").alias("tf"))
-    return first_of(rows, asked.join(known, "term"), top, key, key, parts)
+    return first_of(rows, asked.join(known, "term"), top, key, key, parts, few=few)
 
 
 def _hashed(batches, key: str, dim: int):
